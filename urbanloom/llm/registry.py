@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import token_files
+from . import licenses, quality, token_files
 
-QUERIES = {"op10_token_files": token_files.op10_token_files}
+QUERIES = {
+    "op8_quality": quality.op8_quality,
+    "op9_licenses": licenses.op9_licenses,
+    "op10_token_files": token_files.op10_token_files,
+}
 ORACLES: dict[str, str] = {}
