@@ -38,6 +38,15 @@ def test_documents_round_trip(spark):
         at += len(ids)
 
 
+def test_pieces_like_the_library():
+    encode = tf.WordEncoder(tf.tokenizer_path(tf.TOKENIZER))
+    texts = ["it's don't'll 'tis a's. b'", "Word, word. word!!! (word) wörd, WÖRD; naïve... e\u0301te e\u0301", "İstanbul ǅ ΣΣ ς'", "x<|endoftext|>y <|ENDOFTEXT|>", "a1 1a 12,345.6 9' ½ ² ٣٤ x² ªb", "\u00a0a\u00a0b \x1c c\x85d \u2003e", "日本語、テスト。 한국어! \ud7a3\u11a8", "##a ..b. -c- _d_ __ é.é", "\x00 \ufffd \u200b z\u200bz", "ﬁ K Å"]
+    for text in texts * 2:
+        for t in (text, text.upper(), text.title()):
+            ids = np.frombuffer(encode(t.encode()), "<u4").tolist()
+            assert [*ids, tf.END_ID] == reference_ids(t), t
+
+
 def test_empty(spark):
     assert tf.token_files(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

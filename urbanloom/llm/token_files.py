@@ -7,10 +7,13 @@ from a directory of counts (one for each 512 bits), so any single id is read wit
 
 from __future__ import annotations
 
+import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +28,9 @@ from . import common
 MAGIC = b"ULDAC\x00\x00\x01"
 RANK_BITS = 512
 #: Ids in a file before it is closed: bounds a worker's memory.
-FILE_IDS = 2_000_000
+FILE_IDS = 1_000_000
 #: Entries of a worker's cache of encoded words.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 
@@ -113,32 +116,85 @@ class TokenFile:
         return out
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it prints, else from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+#: Marks that the vocabulary's splitter never joins to the letters before them (an apostrophe it may).
+TAIL_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class WordEncoder:
     """Text to ids with the tokenizers library, which is asked once for each distinct blank-free piece.
 
     The vocabulary's normaliser and splitter never join characters over an ASCII blank, so the ids of a text
-    are those of its pieces in order.
+    are those of its pieces in order; it lower-cases, so pieces are held in lower case, unless the text may
+    have a special token's string. Letters with marks behind them are two pieces to the splitter, and letters
+    that the normaliser leaves alone go to the library's model directly. Pieces met lately are kept in two
+    generations of at most CACHE_WORDS.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _letters(self, piece: bytes) -> bytes:
+        """Ids of a piece of letters, by the model alone if the normaliser leaves the piece as it is."""
+        if piece.isascii():
+            tokens = self.model.tokenize(piece.decode())
+        else:
+            text = piece.decode("utf-8", "replace")
+            if text.lower() != text or not unicodedata.is_normalized("NFC", text):
+                return self._whole(piece)
+            tokens = self.model.tokenize("".join(map(self.letters.__getitem__, piece)))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+    def _whole(self, piece: bytes) -> bytes:
+        ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _encode(self, piece: bytes) -> bytes:
+        core = piece.rstrip(TAIL_MARKS)
+        if not core or not (core.isalpha() if core.isascii() else core.decode("utf-8", "replace").isalpha()) or core != core.lower():
+            return self._whole(piece)
+        ids = self.known.get(core) or self.older.get(core) or self._letters(core)
+        if len(core) < len(piece):
+            self.known[core] = ids
+            tail = piece[len(core) :]
+            rest = self.known.get(tail) or self._whole(tail)
+            self.known[tail] = rest
+            ids += rest
+        return ids
 
     def __call__(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        pieces = text.split()
-        new = [p for p in set(pieces) if p not in self.known]
-        if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known = {}
-                new = list(set(pieces))
-            found = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(new, found, strict=True))
-        return b"".join(map(self.known.__getitem__, pieces))
+        pieces = (text if b"<|" in text else text.lower()).split()
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            if len(self.known) > CACHE_WORDS:
+                self.known, self.older = {}, self.known
+            for i, ids in enumerate(found):
+                if ids is None:
+                    piece = pieces[i]
+                    found[i] = self.known[piece] = self.known.get(piece) or self.older.get(piece) or self._encode(piece)
+        return b"".join(found)
+
+
+@cache
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker: its cache serves all of the worker's tasks."""
+    return WordEncoder(path)
 
 
 def tokenizer_path(name: str) -> str:
@@ -162,7 +218,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id
     schema = "part long, seq long, path string, n_docs long, n_ids long"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = WordEncoder(tokenizer_path(tokenizer)), TaskContext.get().partitionId(), 0
+        encode, part, seq = worker_encoder(tokenizer_path(tokenizer)), TaskContext.get().partitionId(), 0
         system, root = _filesystem(folder)
         end = np.array([end_id], "<u4").tobytes()
         doc_ids, counts, blobs, held = [], [], [], 0
