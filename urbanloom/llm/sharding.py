@@ -18,8 +18,8 @@ SHARDS = 40
 ROUNDS = 6
 #: Rows that one task numbers, about.
 SALT_ROWS = 20_000
-#: Blocks of one group have at most this part of a shard's rows.
-BLOCK_PART = 4
+#: Blocks of one group have about this part of a shard's rows at most: others leave so much room.
+BLOCK_PART = 0.8
 
 
 def _salts(rows: int) -> int:
@@ -39,7 +39,7 @@ def _start(docs: DataFrame, shards: int) -> tuple[DataFrame, int]:
     rows = common.store(rows)
     n = rows.count()
     groups = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    quota = max(1, n // shards // BLOCK_PART)
+    quota = max(1, int(n / shards * BLOCK_PART))
     linked = rows.join(groups, "group", "left")
     part = F.pmod(F.xxhash64("doc_id", "rid"), F.ceil(F.col("n") / quota))
     linked = linked.withColumn("block", F.when(F.col("n").isNotNull(), F.xxhash64("group", part)))
