@@ -52,6 +52,11 @@ def text_bytes(text: Column | str = "text") -> Column:
     return F.coalesce(col, F.lit("")).cast("binary")
 
 
+def fields(df: DataFrame, keep: list[str]) -> str:
+    """The columns `keep` of df, in that order, as a schema string."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices Arrow batches so that `column` (binary) holds about `limit` bytes in each."""
     for batch in batches:

@@ -141,7 +141,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None, templates: dict[str, st
             out = [batch.column(c) for c in keep] + [pa.array(list(v), k) for v, k in zip(found, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(out, names=[*keep, *names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
+    fields = common.fields(docs, keep)
     schema = f"{fields}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     return docs.select(*keep, common.text_bytes().alias("_body")).mapInArrow(run, schema)
 

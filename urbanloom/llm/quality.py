@@ -125,7 +125,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
             out = [batch.column(c) for c in keep] + [pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))]
             yield pa.RecordBatch.from_arrays(out, names=[*keep, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
+    fields = common.fields(docs, keep)
     return docs.select(*keep, common.text_bytes().alias("_body")).mapInArrow(run, f"{fields}, score double")
 
 

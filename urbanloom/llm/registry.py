@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, quality, sharding, token_files
+from . import licenses, media, mixing, quality, sharding, token_files
 
 QUERIES = {
+    "op1_media": media.op1_media,
     "op2_sharding": sharding.op2_sharding,
     "op3_mixing": mixing.op3_mixing,
     "op8_quality": quality.op8_quality,
