@@ -281,7 +281,10 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return manifest.repartition("path").mapInArrow(read, schema)
+    # A fixed number of tasks: the manifest's rows are tiny, but each stands for a whole file.
+    files = manifest.count()
+    tasks = max(1, min(files, manifest.sparkSession.sparkContext.defaultParallelism), files // 64)
+    return manifest.repartition(tasks, "path").mapInArrow(read, schema)
 
 
 def token_files(docs: DataFrame) -> DataFrame:
