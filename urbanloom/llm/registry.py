@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import licenses, media, mixing, packing, pseudonyms, quality, sharding, token_files, topk
+from . import licenses, media, mixing, near_dups, packing, pseudonyms, quality, sharding, token_files, topk
 
 QUERIES = {
     "op1_media": media.op1_media,
     "op2_sharding": sharding.op2_sharding,
     "op3_mixing": mixing.op3_mixing,
     "op4_topk": topk.op4_topk,
+    "op5_near_dups": near_dups.op5_near_dups,
     "op6_packing": packing.op6_packing,
     "op7_pseudonyms": pseudonyms.op7_pseudonyms,
     "op8_quality": quality.op8_quality,
