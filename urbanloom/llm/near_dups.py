@@ -258,7 +258,8 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> DataFrame:
-    """A row for each row of docs: doc_id, text_hash, n_shingles, component_id, kept.
+    """A row for each row of docs: doc_id, text_hash, n_shingles, comp (its component; null without words),
+    component_id, kept.
 
     docs needs doc_id and text. Rows are linked when their sets of n-word shingles have 100 * intersection >=
     percent * union; component_id is the smallest doc_id that is reached over links (rows without words, and
@@ -270,13 +271,40 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> Data
     labels = links(docs, classes, n, percent)
     placed = classes.select("cid", "first_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     lowest = placed.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    placed = common.store(placed.select("cid", "comp").join(lowest, "comp").select("cid", "component_id"))
+    placed = common.store(placed.select("cid", "comp").join(lowest, "comp").select("cid", "comp", "component_id"))
     full = rows.where("cid is not null").select("doc_id", "text_hash", "n_shingles", "cid").join(placed, "cid").drop("cid")
-    empty = rows.where("cid is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    empty = rows.where("cid is null").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("binary").alias("comp"), F.col("doc_id").alias("component_id"))
     every = full.unionByName(empty)
     return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id (null last), then text_hash.
+
+    Rows without words stay, all of them. All columns and their order stay.
+    """
+    found = common.store(near_duplicates(docs, n, percent).select("doc_id", "text_hash", "comp").where("comp is not null"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = common.store(found.groupBy("comp").agg(F.min(key).alias("best")))
+    judged = found.select("comp", key.alias("key")).join(best, "comp")
+    # Keys that go, and keys of which several equal rows would stay.
+    gone = judged.where("key <> best").select("key.doc_id", "key.text_hash").distinct()
+    again = judged.where("key = best").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key.doc_id", "key.text_hash")
+    gone, again = common.store(gone), common.store(again)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()], F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_t"))
+
+    def match(side: DataFrame, how: str) -> DataFrame:
+        side = side.select(F.col("doc_id").alias("_sd"), F.col("text_hash").alias("_st"))
+        side = F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+        return rows.join(side, F.col("_d").eqNullSafe(F.col("_sd")) & (F.col("_t") == F.col("_st")), how)
+
+    rows = match(gone, "left_anti")
+    if again.limit(1).count():
+        rows = match(again, "left_anti").unionByName(match(again, "left_semi").dropDuplicates(["_d", "_t"]))
+    return rows.select(*[F.col(a).alias(c) for c, a in names.items()])
+
+
 def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, n=2).select("doc_id", "n_shingles", "component_id", "kept")

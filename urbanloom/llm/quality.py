@@ -112,8 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, dimensions
     return np.frombuffer(found[0].weights, "<f8") if found else np.zeros(dimensions)
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and `score`: the model's probability that a text (null: empty) is good."""
+def score(docs: DataFrame, weights: np.ndarray, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns `keep` of docs and `name`: the model's probability that a text (null: empty) is good."""
     dimensions = weights.size
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -123,10 +123,19 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
             owner, index, value = counted(batch.column("_body"), dimensions)
             logit = w[0] + np.bincount(owner, value * w[index], batch.num_rows)
             out = [batch.column(c) for c in keep] + [pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))]
-            yield pa.RecordBatch.from_arrays(out, names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays(out, names=[*keep, name])
 
     fields = common.fields(docs, keep)
-    return docs.select(*keep, common.text_bytes().alias("_body")).mapInArrow(run, f"{fields}, score double")
+    return docs.select(*keep, common.text_bytes().alias("_body")).mapInArrow(run, f"{fields}, {name} double")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text scores at least `threshold`, after training on docs and labels; all columns.
+
+    Null texts are scored as empty ones; rows may repeat; without labels nothing is rejected (0.5 for all).
+    """
+    weights = train(docs, labels)
+    return score(docs, weights, docs.columns, "_score").where(F.col("_score") >= threshold).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
