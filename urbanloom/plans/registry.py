@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from . import equity_queries
+
 FLAGSHIP = "access_equity"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in (equity_queries,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
