@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import equity_queries, planning_queries
+from . import equity_queries, network_queries, planning_queries
 
 FLAGSHIP = "access_equity"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (equity_queries, planning_queries):
+for _module in (equity_queries, network_queries, planning_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
