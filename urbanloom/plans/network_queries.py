@@ -35,7 +35,11 @@ def _graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 
 def _facilities(spark: SparkSession, d: str) -> DataFrame:
-    return _points(spark, d, "supplier", "s_suppkey", F.col("s_suppkey").alias("pos"), (F.col("s_acctbal") / 100).alias("capacity")).where("id % 10 = 3")
+    return _points(spark, d, "supplier", "s_suppkey", F.col("s_suppkey").alias("pos"), (F.col("s_acctbal") / 100).alias("capacity"))
+
+
+def _centres(spark: SparkSession, d: str) -> DataFrame:
+    return _points(spark, d, "nation", "n_nationkey", F.col("n_nationkey").alias("pos"))
 
 
 def _demand(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +53,7 @@ def od_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 def costs_by_joins(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark)
-    starts = op.nearest_node(_facilities(spark, d).select("id", "x", "y"), nodes).select("node_id").distinct()
+    starts = op.nearest_node(_centres(spark, d).select("id", "x", "y"), nodes).select("node_id").distinct()
     found = op.costs_by_joins(edges, starts, 600.0)
     ends = nodes.select("node_id", "x", "y")
     return rounded(found.join(ends.toDF("source", "sx", "sy"), "source").join(ends.toDF("node", "nx", "ny"), "node").select("sx", "sy", "nx", "ny", "cost"), 6)
@@ -57,7 +61,7 @@ def costs_by_joins(spark: SparkSession, d: str) -> DataFrame:
 
 def od_routes(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark)
-    near = op.od_routes(nodes, edges, _demand(spark, d).where("id % 25 = 1").select("id", "x", "y"), _facilities(spark, d).select("id", "x", "y"), 3)
+    near = op.od_routes(nodes, edges, _facilities(spark, d).select("id", "x", "y"), _centres(spark, d).select("id", "x", "y"), 3)
     return rounded(near.select("origin_id", "dest_id", "k", "net_cost"), 6)
 
 
@@ -80,14 +84,13 @@ def facility_adequacy(spark: SparkSession, d: str) -> DataFrame:
 
 def access_score(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark)
-    s = _points(spark, d, "supplier", "s_suppkey")
-    found = op.access_score(nodes, edges, _demand(spark, d), {"shop": s.where("id % 10 = 3"), "school": s.where("id % 10 = 4")}, 4.8, 3.0)
+    found = op.access_score(nodes, edges, _demand(spark, d), {"shop": _facilities(spark, d), "school": _centres(spark, d)}, 4.8, 3.0)
     return rounded(found.select("id", "t_shop", "t_school", "n_reach", "score"), 2)
 
 
 def green_access_summary(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark)
-    greens = _points(spark, d, "supplier", "s_suppkey", (F.col("s_suppkey") % 8).cast("double").alias("area_ha")).where("id % 5 = 2")
+    greens = _points(spark, d, "supplier", "s_suppkey", (F.col("s_suppkey") % 8).cast("double").alias("area_ha"))
     return rounded(op.green_access(nodes, edges, _demand(spark, d), greens, [(0.5, 150.0), (2.0, 400.0), (6.0, 900.0)], "pop")[1], 6)
 
 
@@ -114,12 +117,12 @@ def network_betweenness(spark: SparkSession, d: str) -> DataFrame:
 
 def link_criticality(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark)
-    return rounded(op.link_criticality(nodes, edges, _facilities(spark, d).select("id", "x", "y")), 6)
+    return rounded(op.link_criticality(nodes, edges, _centres(spark, d).select("id", "x", "y")), 6)
 
 
 def service_area_edges(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark)
-    starts = op.nearest_node(_facilities(spark, d).where("id % 20 = 3").select("id", "x", "y"), nodes).select("node_id", F.lit(0).alias("start"), F.lit(0.0).alias("offset"))
+    starts = op.nearest_node(_centres(spark, d).select("id", "x", "y"), nodes).select("node_id", F.lit(0).alias("start"), F.lit(0.0).alias("offset"))
     pieces = op.isochrone_edges(edges, op.nearest_source(edges, starts, 500.0), [150.0, 300.0, 500.0])
     return rounded(pieces.groupBy("band").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.col("to_m") - F.col("from_m")).alias("length_m")), 6)
 
@@ -139,12 +142,13 @@ def _at(name: str, source: str, key: str, more: str = "", where: str = "TRUE") -
   FROM (SELECT *, {key} AS id, {key} * 37 % 701 + 0.25::DOUBLE AS x, {key} * 53 % 701 + 0.25::DOUBLE AS y FROM {source}) WHERE {where})"""
 
 
-_F = _at("f", "supplier", "s_suppkey", ", s_acctbal / 100 AS capacity", "id % 10 = 3")
+_F = _at("f", "supplier", "s_suppkey", ", s_acctbal / 100 AS capacity")
+_N = _at("z0", "nation", "n_nationkey")
 _C = _at("c", "customer", "c_custkey", ", c_custkey % 4 + 1 AS pop")
 _NEAREST = f"""WITH {_COSTS}, {_F}, {_C},
 n AS (SELECT c.id, c.pop, f.id AS fid, d.cost, row_number() OVER (PARTITION BY c.id ORDER BY round(d.cost, 6), f.id) AS k FROM c JOIN d ON d.a = c.node JOIN f ON f.node = d.b WHERE d.cost <= 500),
 z AS (SELECT c.id, c.pop, coalesce(CAST(n.fid AS VARCHAR), '') AS facility, coalesce(n.cost, -1) AS net_cost FROM c LEFT JOIN n ON n.id = c.id AND n.k = 1)"""
-_TIMES = "coalesce((SELECT min(d.cost) / 80 FROM d JOIN s ON s.node = d.b WHERE d.a = c.node AND s.id % 10 = {0} AND d.cost <= 480), -1)"
+_TIMES = "coalesce((SELECT min(d.cost) / 80 FROM d JOIN {0} s ON s.node = d.b WHERE d.a = c.node AND d.cost <= 480), -1)"
 
 
 def _green(i: int, ha: float, far: float) -> str:
@@ -157,20 +161,20 @@ ORACLES = {
 SELECT o.id AS origin_id, p.id AS dest_id, round(cost, 6) AS net_cost, round(sqrt((o.x - p.x) ^ 2 + (o.y - p.y) ^ 2), 6) AS euclid_m,
   CASE WHEN o.x = p.x AND o.y = p.y THEN 0 ELSE round(cost / sqrt((o.x - p.x) ^ 2 + (o.y - p.y) ^ 2), 6) END AS detour
 FROM f o JOIN d ON d.a = o.node JOIN f p ON p.node = d.b WHERE o.id <> p.id AND cost <= 900""",
-    "costs_by_joins": f"WITH {_COSTS}, {_F} SELECT DISTINCT a % 8 * 100.0::DOUBLE AS sx, a // 8 * 100.0::DOUBLE AS sy, b % 8 * 100.0::DOUBLE AS nx, b // 8 * 100.0::DOUBLE AS ny, round(cost, 6) AS cost FROM d JOIN f ON f.node = d.a WHERE cost <= 600",
-    "od_routes": f"""WITH {_COSTS}, {_F}, {_C},
-r AS (SELECT c.id AS origin_id, f.id AS dest_id, row_number() OVER (PARTITION BY c.id ORDER BY round(cost, 6), f.id) AS k, cost, c.node AS a, f.node AS b FROM c JOIN d ON d.a = c.node JOIN f ON f.node = d.b WHERE c.id % 25 = 1)
+    "costs_by_joins": f"WITH {_COSTS}, {_N} SELECT DISTINCT a % 8 * 100.0::DOUBLE AS sx, a // 8 * 100.0::DOUBLE AS sy, b % 8 * 100.0::DOUBLE AS nx, b // 8 * 100.0::DOUBLE AS ny, round(cost, 6) AS cost FROM d JOIN z0 ON z0.node = d.a WHERE cost <= 600",
+    "od_routes": f"""WITH {_COSTS}, {_F}, {_N},
+r AS (SELECT f.id AS origin_id, z0.id AS dest_id, row_number() OVER (PARTITION BY f.id ORDER BY round(cost, 6), z0.id) AS k, cost, f.node AS a, z0.node AS b FROM f JOIN d ON d.a = f.node JOIN z0 ON z0.node = d.b)
 SELECT origin_id, dest_id, CAST(k AS INTEGER) AS k, round(cost, 6) AS net_cost FROM r WHERE k <= 3 AND a <> b""",
     "nearest_facility": _NEAREST + " SELECT id, facility, round(net_cost, 6) AS net_cost FROM z",
     "facility_summary": _NEAREST + " SELECT CAST(f.id AS VARCHAR) AS facility, count(z.id) AS demand_n, coalesce(round(avg(z.net_cost), 6), 0) AS mean_cost, coalesce(round(max(z.net_cost), 6), 0) AS max_cost FROM f LEFT JOIN z ON z.facility = CAST(f.id AS VARCHAR) GROUP BY f.id",
     "facility_adequacy": _NEAREST + """, a AS (SELECT CAST(f.id AS VARCHAR) AS facility, f.capacity, CAST(coalesce(sum(z.pop), 0) AS DOUBLE) AS assigned FROM f LEFT JOIN z ON z.facility = CAST(f.id AS VARCHAR) GROUP BY f.id, f.capacity)
 SELECT facility, round(capacity, 6) AS capacity, assigned, CASE WHEN capacity > 0 THEN round(100 * assigned / capacity, 6) WHEN assigned > 0 THEN 9999 ELSE 0 END AS utilization,
   CASE WHEN assigned <= 0 THEN 'Unused' WHEN assigned > capacity THEN 'Overloaded' ELSE 'Adequate' END AS status FROM a""",
-    "access_score": f"""WITH {_COSTS}, {_C}, {_at("s", "supplier", "s_suppkey")},
-t AS (SELECT id, {_TIMES.format(3)} AS a, {_TIMES.format(4)} AS b FROM c)
+    "access_score": f"""WITH {_COSTS}, {_C}, {_F}, {_N},
+t AS (SELECT id, {_TIMES.format("f")} AS a, {_TIMES.format("z0")} AS b FROM c)
 SELECT id, round(a, 2) AS t_shop, round(b, 2) AS t_school, CAST(CASE WHEN a BETWEEN 0 AND 3 THEN 1 ELSE 0 END + CASE WHEN b BETWEEN 0 AND 3 THEN 1 ELSE 0 END AS INTEGER) AS n_reach,
   50.0::DOUBLE * (CASE WHEN a BETWEEN 0 AND 3 THEN 1 ELSE 0 END + CASE WHEN b BETWEEN 0 AND 3 THEN 1 ELSE 0 END) AS score FROM t""",
-    "green_access_summary": f"""WITH {_COSTS}, {_C}, g0 AS (SELECT * FROM supplier), {_at("g1", "g0", "s_suppkey", ", CAST(s_suppkey % 8 AS DOUBLE) AS ha", "id % 5 = 2")},
+    "green_access_summary": f"""WITH {_COSTS}, {_C}, g0 AS (SELECT * FROM supplier), {_at("g1", "g0", "s_suppkey", ", CAST(s_suppkey % 8 AS DOUBLE) AS ha")},
 g AS (SELECT *, sqrt((x - node % 8 * 100) ^ 2 + (y - node // 8 * 100) ^ 2) AS snap FROM g1)
 {_green(1, 0.5, 150.0)} UNION ALL {_green(2, 2.0, 400.0)} UNION ALL {_green(3, 6.0, 900.0)}""",
     "street_nodes": f"""WITH {_EDGES}, n AS (SELECT node, count(*) AS g FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node)
