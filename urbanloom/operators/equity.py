@@ -68,18 +68,17 @@ def access_equity(df: DataFrame, value: str, pop: str | None = None, group: str
     )
     spread = F.sqrt(F.greatest(F.try_divide(F.col("_xx"), F.col("population")) - F.col("mean") ** 2, F.lit(0.0)))
     stats = stats.withColumns({"cv": F.coalesce(F.try_divide(spread, F.abs("mean")), F.lit(0.0)), "p90_p10": F.when(F.col("_p10") > 0, F.col("_p90") / F.col("_p10")).otherwise(0.0)})
-    # Between and within parts come from the groups' rows; they are ALL's.
-    whole = stats.where("scope = 'ALL'").select(F.col("_s").alias("_all_s"), F.col("population").alias("_all_w"))
-    parts = stats.where("scope <> 'ALL' and population > 0").crossJoin(F.broadcast(whole)).where("_all_s > 0 and _all_w > 0")
-    share = F.col("_s") / F.col("_all_s")
-    level = (F.col("_s") / F.col("population")) / (F.col("_all_s") / F.col("_all_w"))
-    parts = parts.agg(F.coalesce(F.sum(F.when(level > 0, share * F.ln(level))), F.lit(0.0)).alias("_btw"), F.coalesce(F.sum(share * F.col("theil")), F.lit(0.0)).alias("_wth"))
-    own = F.col("scope") == "ALL"
-    return stats.crossJoin(F.broadcast(parts)).select(
-        "scope", "population", "mean", "median", "gini", "theil",
-        F.when(own, F.col("_btw")).otherwise(0.0).alias("theil_btw"), F.when(own, F.col("_wth")).otherwise(0.0).alias("theil_wth"),
-        "cv", "p90_p10", "pov_share",
-    )
+    # Between and within parts come from the groups' rows; they are ALL's. The summary has a row for each group.
+    own, every = F.col("scope") == "ALL", W.partitionBy()
+    all_s, all_w = (F.max(F.when(own, F.col(c))).over(every) for c in ("_s", "population"))
+    stats = stats.withColumns({"_all_s": all_s, "_all_w": all_w})
+    counts = ~own & (F.col("population") > 0) & (F.col("_all_s") > 0) & (F.col("_all_w") > 0)
+    share = F.col("_s") / F.nullif("_all_s", F.lit(0.0))
+    level = F.try_divide(F.try_divide("_s", "population"), F.try_divide("_all_s", "_all_w"))
+    between = F.sum(F.when(counts & (level > 0), share * F.ln(level))).over(every)
+    within = F.sum(F.when(counts, share * F.col("theil"))).over(every)
+    part = lambda c: F.when(own, F.coalesce(c, F.lit(0.0))).otherwise(0.0)
+    return stats.select("scope", "population", "mean", "median", "gini", "theil", part(between).alias("theil_btw"), part(within).alias("theil_wth"), "cv", "p90_p10", "pov_share")
 
 
 def inequality_curve(df: DataFrame, value: str, pop: str | None = None, rank: str | None = None, order: str | None = None) -> DataFrame:
