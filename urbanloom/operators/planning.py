@@ -137,7 +137,15 @@ LTS_RULES = {
     "mixed_lts2_lanes": 2.0, "mixed_lts3_speed": 50.0,
 }
 #: Names of the classes.
-LTS_LABELS = {1: "LTS 1", 2: "LTS 2", 3: "LTS 3", 4: "LTS 4"}
+LTS_LABELS = {1: "LTS 1 low stress", 2: "LTS 2 low stress", 3: "LTS 3 moderate stress", 4: "LTS 4 high stress"}
+
+
+def lts_label(lts: str = "lts") -> Column:
+    """Name of a stress class."""
+    out = F.lit(LTS_LABELS[4])
+    for k in (1, 2, 3):
+        out = F.when(F.col(lts) == k, LTS_LABELS[k]).otherwise(out)
+    return out
 
 
 def cycling_stress(df: DataFrame, speed: str | None, lanes: str | None, aadt: str | None, infra: str | None, rules: str | None = None, speed_default: float = 50.0, lanes_default: float = 2.0, aadt_default: float = 0.0, infra_default: str = "mixed") -> DataFrame:
@@ -159,12 +167,12 @@ def cycling_stress(df: DataFrame, speed: str | None, lanes: str | None, aadt: st
 
 
 def stress_summary(df: DataFrame, length: str) -> DataFrame:
-    """Classes 1 to 4, also those without segments: length_m, share_len (percent), segments."""
+    """Classes 1 to 4, also those without segments: label, length_m, share_len (percent), segments."""
     sums = df.groupBy("lts").agg(F.sum(number(length, 0)).alias("length_m"), F.count(F.lit(1)).alias("segments"))
     every = df.sparkSession.range(1, 5).select(F.col("id").cast("int").alias("lts"))
     found = every.join(sums, "lts", "left").select("lts", F.coalesce("length_m", F.lit(0.0)).alias("length_m"), F.coalesce("segments", F.lit(0)).alias("segments"))
     total = F.sum("length_m").over(W.partitionBy())
-    return found.select("lts", "length_m", F.coalesce(100 * F.try_divide("length_m", total), F.lit(0.0)).alias("share_len"), "segments")
+    return found.select("lts", lts_label().alias("label"), "length_m", F.coalesce(100 * F.try_divide("length_m", total), F.lit(0.0)).alias("share_len"), "segments")
 
 
 def road_emissions(df: DataFrame, volume: str, factor: float = 1.0, ef_gkm: float = 0.5) -> DataFrame:

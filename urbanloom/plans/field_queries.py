@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanloom.operators import environment as env
 from urbanloom.operators import raster as ra
+from urbanloom.operators import sight
 from urbanloom.operators import siting as st
 from urbanloom.plans.rounding import rounded
 from urbanloom.sources.tables import table
@@ -146,7 +149,35 @@ def entropy_mix(spark: SparkSession, d: str) -> DataFrame:
     return rounded(env.entropy_mix(_receivers(spark, d), _sources(spark, d).select("bx", "by", "category"), 400.0).select("id", "mix_ent"), 6)
 
 
-QUERIES = {f.__name__: f for f in (site_coverage, site_nearest, max_coverage, p_median, capacitated_allocation, capacitated_siting, gravity_flows, flow_directions, flow_accumulation, height_above_drainage, flood_exposure, neighbour_share, edge_length, sprawl_metrics, growth, shadow_cells, sky_view, sun_hours, noise_receivers, air_receivers, kernel_density, entropy_mix)}
+def viewshed(spark: SparkSession, d: str) -> DataFrame:
+    watch = table(spark, d, "nation").select((F.col("n_nationkey") * 3 % 40).cast("int").alias("row"), (F.col("n_nationkey") * 7 % 50).cast("int").alias("col"))
+    return sight.viewshed(_dem(spark, d), watch, 2.0, 1.6, 0.0, 40.0, 180)
+
+
+def visual_exposure(spark: SparkSession, d: str) -> DataFrame:
+    top = _dem(spark, d).where("value >= 50").select("row", "col")
+    return sight.visual_exposure(_dem(spark, d), top, 2.0, 5.0, 1.6, 30.0)
+
+
+def isovist_field(spark: SparkSession, d: str) -> DataFrame:
+    dem = _dem(spark, d)
+    walls = dem.where("value >= 40").select("row", "col")
+    return rounded(sight.isovists(walls, dem.where("value < 40"), 2.0, 90, 40.0), 6)
+
+
+def fill_depressions(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(sight.fill_depressions(_dem(spark, d)), 6)
+
+
+def solar_irradiation(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(sight.irradiation(_dem(spark, d), 2.0, datetime.date(2026, 6, 21), 2.0, 45.0, 9.0, 120.0, None, 20.0), 6)
+
+
+def annual_solar(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(sight.annual_irradiation(_dem(spark, d), 2.0, 2026, 1.0, 45.0, 9.0, 240.0, None, 12.0), 6)
+
+
+QUERIES = {f.__name__: f for f in (viewshed, visual_exposure, isovist_field, fill_depressions, solar_irradiation, annual_solar, site_coverage, site_nearest, max_coverage, p_median, capacitated_allocation, capacitated_siting, gravity_flows, flow_directions, flow_accumulation, height_above_drainage, flood_exposure, neighbour_share, edge_length, sprawl_metrics, growth, shadow_cells, sky_view, sun_hours, noise_receivers, air_receivers, kernel_density, entropy_mix)}
 
 _SITES = """c AS (SELECT a.n_nationkey AS site, b.n_nationkey AS demand, CAST(10 * abs(a.n_nationkey % 5 - b.n_nationkey % 5) + 10 * abs(a.n_nationkey // 5 - b.n_nationkey // 5) + (a.n_nationkey * 3 + b.n_nationkey * 7) % 4 AS DOUBLE) AS cost FROM nation a, nation b),
 w AS (SELECT CAST(c_nationkey AS BIGINT) AS demand, CAST(count(*) AS DOUBLE) AS weight FROM customer GROUP BY 1)"""

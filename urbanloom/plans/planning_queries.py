@@ -143,7 +143,7 @@ WITH u AS (SELECT *, -0.1::DOUBLE * l_quantity AS a, 0.2::DOUBLE - 0.08::DOUBLE
 e AS (SELECT *, exp(a) / (exp(a) + exp(b)) AS s FROM u)
 SELECT l_orderkey, l_linenumber, l_partkey, round(s, 4) AS share_car, round(1 - s, 4) AS share_transit, round(l_extendedprice * s, 4) AS flow_car, round(l_extendedprice * (1 - s), 4) AS flow_transit FROM e""",
     "cycling_stress": f"WITH {_SEGMENTS} SELECT lts, k AS infra_used, count(*) AS n, sum(sp * n) AS load FROM l GROUP BY lts, k",
-    "stress_summary": f"WITH {_SEGMENTS} SELECT CAST(r.range AS INTEGER) AS lts, round(coalesce(sum(length), 0), 6) AS length_m, round(100 * coalesce(sum(length), 0) / (SELECT sum(length) FROM l), 6) AS share_len, count(length) AS segments FROM range(1, 5) r LEFT JOIN l ON l.lts = r.range GROUP BY r.range",
+    "stress_summary": f"WITH {_SEGMENTS} SELECT CAST(r.range AS INTEGER) AS lts, CASE r.range WHEN 1 THEN 'LTS 1 low stress' WHEN 2 THEN 'LTS 2 low stress' WHEN 3 THEN 'LTS 3 moderate stress' ELSE 'LTS 4 high stress' END AS label, round(coalesce(sum(length), 0), 6) AS length_m, round(100 * coalesce(sum(length), 0) / (SELECT sum(length) FROM l), 6) AS share_len, count(length) AS segments FROM range(1, 5) r LEFT JOIN l ON l.lts = r.range GROUP BY r.range",
     "road_emissions": "SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity * 24 * 0.35::DOUBLE, 6) AS emission, round(l_quantity * 24, 6) AS vol_used FROM lineitem",
     "seismic_risk": """
 WITH b AS (SELECT p_partkey, greatest(p_size % 12, 1) * 3.0::DOUBLE AS h, 1960 + p_partkey % 65 AS y, p_retailprice AS a FROM part),
