@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import functools
+import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that the results depend on (time zone) or that any cluster size profits from.
 SETTINGS = {
@@ -24,3 +30,31 @@ def build_session(app: str = "urbanloom", master: str | None = None, **extra: st
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+@functools.cache
+def _package(application: str) -> str:
+    """A zip of this package, made once for each Spark application."""
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="urbanloom-")) / "urbanloom.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    return str(path)
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, which first ships the package to the session's workers."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        context = spark.sparkContext
+        if context.applicationId not in _SHIPPED:
+            _SHIPPED.add(context.applicationId)
+            context.addPyFile(_package(context.applicationId))
+        return query(spark, sf_dir)
+
+    return run
+
+
+_SHIPPED: set[str] = set()
