@@ -15,6 +15,18 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 
 
+#: Rows of an Arrow batch where texts go to Python: some thousand long texts at once would fill a worker.
+BATCH_ROWS = 1000
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that sends at most BATCH_ROWS rows at once to Python workers (fewer if it says so)."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder's path under the cluster's shared checkpoint folder (spark.checkpoint.dir).
 
@@ -30,14 +42,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/urbanloom-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df written once to the shared folder and read from there: cuts lineage, survives lost executors."""
+def store(df: DataFrame, codec: str = "zstd", parts: int | None = None) -> DataFrame:
+    """df written once to the shared folder and read from there: cuts lineage, survives lost executors.
+
+    With `parts`, into so many files at most: a narrow table in hundreds of files costs more in opening and
+    closing them than in rows. The number should follow from a count of rows.
+    """
     spark = df.sparkSession
+    df = df if parts is None else df.coalesce(parts)
     path = scratch_dir(spark)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_for(rows: int, each: int = 25_000) -> int:
+    """Files for a narrow table of about so many rows; at least eight, to keep tasks side by side."""
+    return max(8, -(-rows // each))
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes the files behind a DataFrame that store() returned, once nothing reads them any more."""
     spark = df.sparkSession

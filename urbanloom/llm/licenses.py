@@ -143,7 +143,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None, templates: dict[str, st
 
     fields = common.fields(docs, keep)
     schema = f"{fields}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select(*keep, common.text_bytes().alias("_body")).mapInArrow(run, schema)
+    return common.bound_batches(docs.select(*keep, common.text_bytes().alias("_body"))).mapInArrow(run, schema)
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

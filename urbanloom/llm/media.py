@@ -115,7 +115,7 @@ def parse(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(found, kind)], names=[*keep, "items"])
 
     fields = common.fields(pages, keep)
-    return pages.select(*keep, common.text_bytes(F.col(html)).alias("_html")).mapInArrow(run, f"{fields}, items array<struct<{ITEM}>>")
+    return common.bound_batches(pages.select(*keep, common.text_bytes(F.col(html)).alias("_html"))).mapInArrow(run, f"{fields}, items array<struct<{ITEM}>>")
 
 
 def to_pixmap(payload: Column) -> Column:

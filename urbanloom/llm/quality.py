@@ -126,7 +126,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str], name: str = "sc
             yield pa.RecordBatch.from_arrays(out, names=[*keep, name])
 
     fields = common.fields(docs, keep)
-    return docs.select(*keep, common.text_bytes().alias("_body")).mapInArrow(run, f"{fields}, {name} double")
+    return common.bound_batches(docs.select(*keep, common.text_bytes().alias("_body"))).mapInArrow(run, f"{fields}, {name} double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -246,7 +246,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("body"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("body"))
+    ordered = common.bound_batches(rows).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("body"))
     manifest = common.store(ordered.mapInArrow(write, schema))
     # Offsets in two steps: over the parts (as many as partitions), then over a part's files.
     parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("_ids"))
