@@ -15,15 +15,16 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     needs about log n rounds. Labels are written to the shared folder each round; the driver sees a count.
     """
     both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst")))
-    both = common.store(both.where("src <> dst").distinct())
-    labels = common.store(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("comp")))
+    parts = common.parts_for(2 * edges.count())
+    both = common.store(both.where("src <> dst").distinct(), parts=parts)
+    labels = common.store(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("comp")), parts=parts)
     for _ in range(rounds):
         seen = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("comp").alias("low"))
         step = labels.join(seen, "node").select("node", F.least("comp", "low").alias("near"), F.col("comp").alias("old"))
-        step = common.store(step)
+        step = common.store(step, parts=parts)
         above = step.select(F.col("node").alias("near"), F.col("near").alias("far"))
         labels_next = step.join(above, "near").select("node", F.least("near", "far").alias("comp"), "old")
-        labels_next = common.store(labels_next)
+        labels_next = common.store(labels_next, parts=parts)
         changed = labels_next.where("comp <> old").limit(1).count()
         labels = labels_next.select("node", "comp")
         if not changed:

@@ -121,7 +121,7 @@ def sketched(docs: DataFrame, n: int) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), common.text_bytes().alias("body"))
-    return rows.mapInArrow(run, schema)
+    return common.bound_batches(rows).mapInArrow(run, schema)
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -167,9 +167,9 @@ def _confirm_units(units: DataFrame, bodies: DataFrame, n: int, percent: int) ->
     return units.join(bodies, "cid").groupBy("unit").applyInPandas(run, "a binary, b binary")
 
 
-def _bodies(docs: DataFrame, classes: DataFrame, cids: DataFrame) -> DataFrame:
+def _bodies(docs: DataFrame, classes: DataFrame, cids: DataFrame, parts: int) -> DataFrame:
     """(cid, body) of the classes named in cids, each from one of its rows."""
-    wanted = common.store(classes.join(cids, "cid", "left_semi").select("cid", F.col("rep.doc_id").alias("_d"), F.col("rep.text_hash").alias("_t")))
+    wanted = common.store(classes.join(cids, "cid", "left_semi").select("cid", F.col("rep.doc_id").alias("_d"), F.col("rep.text_hash").alias("_t")), parts=parts)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), common.text_bytes().alias("body"))
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     return common.store(rows.join(side, rows["doc_id"].eqNullSafe(side["_d"]) & (rows["text_hash"] == side["_t"])).select("cid", "body"))
@@ -198,35 +198,36 @@ def classes_of(rows: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, comp) of all classes that are linked with another."""
+    parts = common.parts_for(classes.count())
     banded = classes.select("cid", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("hub")).where("n > 1")
     # Written once; sorted out of all buckets are those of a single class, most of them.
-    members = common.store(banded.join(shared, "band").select("band", "n", "hub", "cid"))
+    members = common.store(banded.join(shared, "band").select("band", "n", "hub", "cid"), parts=parts)
     near = percent / 100 - SLACK
     sketch = classes.select("cid", "sketch")
     stars = members.where("cid <> hub").select("hub", "cid").distinct()
     stars = stars.join(sketch, "cid").join(sketch.select(F.col("cid").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub")
-    stars = common.store(stars.where(_estimate_column(F.col("sketch"), F.col("hub_sketch")) >= near))
+    stars = common.store(stars.where(_estimate_column(F.col("sketch"), F.col("hub_sketch")) >= near), parts=parts)
     # One hub for each class, the smallest that is close enough: a class is confirmed in one unit.
     own = stars.groupBy("cid").agg(F.min(F.struct("hub", "sketch", "hub_sketch")).alias("s")).select("cid", "s.*")
     hubs = own.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.first("hub_sketch").alias("sketch"))
-    hubs = common.store(hubs.withColumn("of", F.ceil(F.col("n") / TEXT_BLOCK).cast("int")))
+    hubs = common.store(hubs.withColumn("of", F.ceil(F.col("n") / TEXT_BLOCK).cast("int")), parts=parts)
     first = own.select("hub", "cid", "sketch").join(hubs.select("hub", "of"), "hub")
     first = first.select(F.xxhash64("hub", F.pmod(F.xxhash64("cid"), F.col("of")).cast("int")).alias("unit"), "cid", "sketch")
     with_hub = hubs.select("hub", "sketch", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("i"))
     with_hub = with_hub.select(F.xxhash64("hub", "i").alias("unit"), F.col("hub").alias("cid"), "sketch")
-    units = common.store(first.unionByName(with_hub).withColumn("comp", F.col("cid")))
-    bodies = _bodies(docs, classes, units.select("cid").distinct())
-    found = common.store(_confirm_units(units, bodies, n, percent))
+    units = common.store(first.unionByName(with_hub).withColumn("comp", F.col("cid")), parts=parts)
+    bodies = _bodies(docs, classes, units.select("cid").distinct(), parts)
+    found = common.store(_confirm_units(units, bodies, n, percent), parts=parts)
     labels = components(found)
     # Close pairs of other hubs, and buckets of three or more, whose classes are still apart.
     comp = labels.select(F.col("node").alias("cid"), F.col("comp"))
     pairs = stars.select("hub", "cid", "sketch", "hub_sketch").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     pairs = pairs.join(comp.select(F.col("cid").alias("hub"), F.col("comp").alias("hub_comp")), "hub", "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
-    pairs = common.store(pairs.where("comp <> hub_comp"))
+    pairs = common.store(pairs.where("comp <> hub_comp"), parts=parts)
     members = members.where("n > 2").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     open_ = members.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
-    apart = common.store(members.join(open_, "band").join(sketch, "cid").select("band", "cid", "comp", "sketch"))
+    apart = common.store(members.join(open_, "band").join(sketch, "cid").select("band", "cid", "comp", "sketch"), parts=parts)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         """Pairs of components that close sketches join: a forest over the block's components."""
@@ -244,7 +245,7 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
         return pd.DataFrame({"a": [x for x, _ in out], "b": [y for _, y in out]}, columns=["a", "b"])
 
     proposed = _blocks(apart, ["band"], SKETCH_BLOCK).select("unit", "cid", "comp", "sketch").groupBy("unit").applyInPandas(search, "a binary, b binary")
-    proposed = common.store(proposed.unionByName(pairs.select(F.col("comp").alias("a"), F.col("hub_comp").alias("b"))).distinct())
+    proposed = common.store(proposed.unionByName(pairs.select(F.col("comp").alias("a"), F.col("hub_comp").alias("b"))).distinct(), parts=parts)
     if not proposed.limit(1).count():
         return labels
     clusters = components(proposed).select(F.col("node").alias("comp"), F.col("comp").alias("cluster"))
@@ -252,8 +253,8 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
     again = again.unionByName(pairs.select("cid", "comp", "sketch"))
     again = again.unionByName(pairs.select(F.col("hub").alias("cid"), F.col("hub_comp").alias("comp"), F.col("hub_sketch").alias("sketch")))
     again = again.dropDuplicates(["cid"]).join(clusters, "comp")
-    units = common.store(_blocks(again, ["cluster"], TEXT_BLOCK).select("unit", "cid", "comp", "sketch"))
-    more = common.store(_confirm_units(units, _bodies(docs, classes, units.select("cid").distinct()), n, percent))
+    units = common.store(_blocks(again, ["cluster"], TEXT_BLOCK).select("unit", "cid", "comp", "sketch"), parts=parts)
+    more = common.store(_confirm_units(units, _bodies(docs, classes, units.select("cid").distinct(), parts), n, percent), parts=parts)
     return components(found.unionByName(more))
 
 
@@ -271,7 +272,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> Data
     labels = links(docs, classes, n, percent)
     placed = classes.select("cid", "first_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     lowest = placed.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    placed = common.store(placed.select("cid", "comp").join(lowest, "comp").select("cid", "comp", "component_id"))
+    placed = common.store(placed.select("cid", "comp").join(lowest, "comp").select("cid", "comp", "component_id"), parts=common.parts_for(classes.count()))
     full = rows.where("cid is not null").select("doc_id", "text_hash", "n_shingles", "cid").join(placed, "cid").drop("cid")
     empty = rows.where("cid is null").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("binary").alias("comp"), F.col("doc_id").alias("component_id"))
     every = full.unionByName(empty)
