@@ -328,19 +328,26 @@ def street_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node_id").join(ends, "node_id").select("node_id", "degree", kind.alias("node_type"))
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, comp) of an edge table (a, b): comp is the smallest node that is connected."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp) of an edge table (a, b): comp is the smallest node that is connected.
+
+    Rounds lower labels to the neighbours' smallest, the old label's node with them, and jump to the label's own
+    label, about log n times, until no label changes.
+    """
     both = written(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct())
     labels = written(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("comp")))
-    for _ in range(rounds):
+    none = F.lit(None).cast(labels.schema["comp"].dataType)
+    while True:
         low = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("comp").alias("low"))
-        near = written(labels.join(low, "node").select("node", F.least("comp", "low").alias("near"), F.col("comp").alias("old")))
+        near = labels.join(low, "node").select("node", F.least("comp", "low").alias("near"), F.col("comp").alias("old"))
+        hook = F.struct(F.col("old").alias("node"), "near", none.alias("old"))
+        near = near.select(F.explode(F.array(F.struct("node", "near", "old"), hook)).alias("s")).select("s.*")
+        near = written(near.groupBy("node").agg(F.min("near").alias("near"), F.max("old").alias("old")))
         jump = near.select(F.col("node").alias("near"), F.col("near").alias("far"))
         after = written(near.join(jump, "near").select("node", F.least("near", "far").alias("comp"), "old"))
         labels = after.select("node", "comp")
         if not after.where("comp <> old").limit(1).count():
-            break
-    return labels
+            return labels
 
 
 def low_stress_islands(edges: DataFrame, lts: str, threshold: float = 2) -> DataFrame:
