@@ -23,7 +23,7 @@ LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"\b(?:password|passwd|pwd|token|secret|api_key|apikey)\s?[=:]\s?\"?(?=[^\s\"]{0,127}\d)[^\s\"]{6,128}",
+    "secret": r"\b(?i:password|passwd|pwd|token|secret|api_key|apikey)\s?[=:]\s?\"?[^\s\"]{6,128}",
     "access": r"\bAKIA[0-9A-Z]{16}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)",
@@ -183,10 +183,12 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    """What follows the = or : is permuted: as a hexadecimal number if it is one, else by class."""
+    """What follows the = or : is permuted: as a hexadecimal number if it is one (in capitals too), else by class."""
     head = F.regexp_extract(m, r"^\w+\s?[=:]\s?\"?", 0)
     body = F.substr(m, F.length(head) + 1, F.length(m))
-    return F.concat(head, F.when(body.rlike("^[0-9a-f]+$"), permuted(body, HEX, key, "secret")).otherwise(_each_class(body, key, "secret")))
+    number = permuted(F.lower(body), HEX, key, "secret")
+    image = F.when(body.rlike("^[0-9a-f]+$"), number).when(body.rlike("^[0-9A-F]+$"), F.upper(number)).otherwise(_each_class(body, key, "secret"))
+    return F.concat(head, image)
 
 
 def image_of(m: Column, key: str) -> Column:
