@@ -21,3 +21,19 @@ def test_any_case_and_no_digit(spark):
         assert p.text[len(head) :] != text[len(head) :]
     small, capital = images(spark, [texts[0].replace("9233A8ECF7C5B09FE5949719B6B82BC439E9329B", v("9233A8ECF7C5B09FE5949719B6B82BC439E9329B")) for v in (str.lower, str.upper)])
     assert re.fullmatch('TOKEN = "[0-9A-F]{40}', capital.text) and small.text[9:].upper() == capital.text[9:]
+
+
+def test_values_of_any_length(spark):
+    """Nothing of a long value stays, wherever its first digit is, and a change in it changes what is after it."""
+    bodies = ["a1B2c3D4" * 40, "a" * 200 + "1", "0123456789abcdef" * 150, "aZ09-" * 5000]
+    other = "b" + bodies[3][1:]
+    got = images(spark, [f'token = "{b}" end' for b in [*bodies, other]])
+    for body, p in zip([*bodies, other], got, strict=True):
+        assert p.n == 1 and p.text.startswith('token = "') and p.text.endswith('" end')
+        image = p.text[9:-5]
+        assert len(image) == len(body)
+        for i in range(0, len(body), 100):
+            assert len(body[i : i + 100]) < 50 or image[i : i + 100] != body[i : i + 100], i
+    assert re.fullmatch("[0-9a-f]+", got[2].text[9:-5])
+    for i in range(1024, len(other), 1024):
+        assert len(other[i:]) < 50 or got[3].text[9 + i : 9 + i + 1024] != got[4].text[9 + i : 9 + i + 1024]

@@ -23,7 +23,7 @@ LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"\b(?i:password|passwd|pwd|token|secret|api_key|apikey)\s?[=:]\s?\"?[^\s\"]{6,128}",
+    "secret": r"\b(?i:password|passwd|pwd|token|secret|api_key|apikey)\s?[=:]\s?\"?[^\s\"]{6,}+",
     "access": r"\bAKIA[0-9A-Z]{16}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)",
@@ -35,6 +35,8 @@ ANY = "|".join(PATTERNS.values())
 #: Days of 400 years, which repeat: 189 * 773.
 CYCLE, CYCLE_A, CYCLE_B = 146_097, 189, 773
 EPOCH = "1800-01-01"
+#: Characters of a secret that are permuted at once; what is done for each grows with their square.
+PIECE = 1024
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -59,12 +61,13 @@ def _rounds(a: Column, b: Column, below_a: Column, below_b: Column, key: str, tw
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(a.alias("a"), b.alias("b")), step)
 
 
-def permuted(value: Column, alphabet: str, key: str, kind: str) -> Column:
+def permuted(value: Column, alphabet: str, key: str, kind: str | Column) -> Column:
     """The image of a string over `alphabet`, of equal length; each kind and length has its own permutation.
 
     Longer strings go in blocks whose halves fit a long; a block's permutation depends on what is before it.
     """
     radix = len(alphabet)
+    kind = F.lit(kind) if isinstance(kind, str) else kind
     width = 2 * int(math.log(4e18) / math.log(radix))
 
     def number(s: Column) -> Column:
@@ -84,7 +87,7 @@ def permuted(value: Column, alphabet: str, key: str, kind: str) -> Column:
 
     def block(i: Column) -> Column:
         b = F.substr(value, i * width + 1, F.lit(width))
-        tweak = F.concat(F.lit(f"{kind}|"), F.length(value).cast("string"), F.lit("|"), F.substr(value, F.lit(1), i * width))
+        tweak = F.concat(kind, F.lit("|"), F.length(value).cast("string"), F.lit("|"), F.substr(value, F.lit(1), i * width))
         u = F.floor(F.length(b) / 2).cast("int")
         v = (F.length(b) - u).cast("int")
         done = _rounds(number(F.substr(b, F.lit(1), u)), number(F.substr(b, u + 1, v)), power(u), power(v), key, tweak)
@@ -105,11 +108,13 @@ def refilled(value: Column, members: str, image: Column) -> Column:
     return F.when(F.length(value) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), at), ""))
 
 
-def _each_class(value: Column, key: str, kind: str) -> Column:
+def _each_class(value: Column, key: str, kind: str | Column) -> Column:
     """value with its digits, small and capital letters permuted, each class in its places."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+
     def change(out: Column, name: str, members: str, alphabet: str) -> Column:
         only = F.regexp_replace(value, f"[^{members}]", "")
-        both = F.struct(out.alias("o"), permuted(only, alphabet, key, f"{kind}-{name}").alias("p"))
+        both = F.struct(out.alias("o"), permuted(only, alphabet, key, F.concat(kind, F.lit(f"-{name}"))).alias("p"))
         return _let(both, lambda x: refilled(x["o"], members, x["p"]))
 
     out = change(value, "d", "0-9", DIGITS)
@@ -183,12 +188,25 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    """What follows the = or : is permuted: as a hexadecimal number if it is one (in capitals too), else by class."""
+    """What follows the = or : is permuted: as a hexadecimal number if it is one (in capitals too), else by class.
+
+    A long value goes in pieces of PIECE characters, each under a permutation that depends on all before it.
+    """
     head = F.regexp_extract(m, r"^\w+\s?[=:]\s?\"?", 0)
     body = F.substr(m, F.length(head) + 1, F.length(m))
-    number = permuted(F.lower(body), HEX, key, "secret")
-    image = F.when(body.rlike("^[0-9a-f]+$"), number).when(body.rlike("^[0-9A-F]+$"), F.upper(number)).otherwise(_each_class(body, key, "secret"))
-    return F.concat(head, image)
+
+    def piece(i: Column) -> Column:
+        start = i * PIECE
+        before = F.sha2(F.substr(body, F.lit(1), start), 256)
+        kind = F.when(i == 0, F.lit("secret")).otherwise(F.concat(F.lit("secret@"), before))
+        return F.struct(F.substr(body, start + 1, F.lit(PIECE)).alias("b"), kind.alias("k"))
+
+    def image(x: Column) -> Column:
+        number = permuted(F.lower(x["b"]), HEX, key, x["k"])
+        return F.when(body.rlike("^[0-9a-f]+$"), number).when(body.rlike("^[0-9A-F]+$"), F.upper(number)).otherwise(_each_class(x["b"], key, x["k"]))
+
+    places = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(body) / PIECE).cast("int") - 1, F.lit(0)))
+    return F.concat(head, F.array_join(F.transform(F.transform(places, piece), image), ""))
 
 
 def image_of(m: Column, key: str) -> Column:
