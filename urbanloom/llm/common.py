@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,54 +11,65 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a Python worker handles at once, to bound its memory.
 BATCH_BYTES = 4 << 20
 
 
-#: Rows of an Arrow batch where texts go to Python: some thousand long texts at once would fill a worker.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch where texts go to Python: some thousand long texts at once would fill a worker.
+BATCH_ROWS, BATCH_HELD = 1000, 16 << 20
 
 
 def bound_batches(df: DataFrame) -> DataFrame:
-    """df, in a session that sends at most BATCH_ROWS rows at once to Python workers (fewer if it says so)."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    """df, in a session that sends at most BATCH_ROWS rows and about BATCH_HELD bytes at once to Python workers.
+
+    Smaller limits of the session stay; larger ones are lowered for the session, as Spark has none for one query.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_HELD)):
+        held = re.match(r"\d+", conf.get(name, str(most + 1)))
+        if held and not 0 < int(held[0]) <= most:
+            conf.set(name, str(most))
     return df
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder's path under the cluster's shared checkpoint folder (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests, a local temporary folder serves.
+    Where that setting is absent, a local temporary folder serves in a single process (as in tests); on a
+    cluster, whose executors would not share such a folder, it is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="urbanloom-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
     return f"{base.rstrip('/')}/urbanloom-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, codec: str = "zstd", parts: int | None = None) -> DataFrame:
+def store(df: DataFrame, codec: str = "zstd", parts: int | None = None, wide: bool = False) -> DataFrame:
     """df written once to the shared folder and read from there: cuts lineage, survives lost executors.
 
     With `parts`, into so many files at most: a narrow table in hundreds of files costs more in opening and
-    closing them than in rows. The number should follow from a count of rows.
+    closing them than in rows. The number should follow from a count of rows. With `wide`, df is worked out in
+    as many tasks as it has, and only its rows are dealt into the files; without, in `parts` tasks.
     """
     spark = df.sparkSession
-    df = df if parts is None else df.coalesce(parts)
+    if parts is not None:
+        df = df.repartition(parts) if wide else df.coalesce(parts)
     path = scratch_dir(spark)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def parts_for(rows: int, each: int = 25_000) -> int:
-    """Files for a narrow table of about so many rows; at least eight, to keep tasks side by side."""
-    return max(8, -(-rows // each))
+    """Files for a narrow table of about so many rows; at least four, to keep tasks side by side."""
+    return max(4, -(-rows // each))
 
 
 def drop_stored(df: DataFrame) -> None:
@@ -74,9 +86,17 @@ def text_bytes(text: Column | str = "text") -> Column:
     return F.coalesce(col, F.lit("")).cast("binary")
 
 
-def fields(df: DataFrame, keep: list[str]) -> str:
-    """The columns `keep` of df, in that order, as a schema string."""
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+def by_place(df: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns named c0, c1, ... by place, and the new names of `needed`.
+
+    So no name of a caller's column, whatever it is, meets a name that an operator makes; toDF(*old names) undoes it.
+    """
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{df.columns.index(c)}" for c in needed]
+
+
+def fields(df: DataFrame, keep: list[str]) -> StructType:
+    """The columns `keep` of df, in that order, as a schema (all may be null)."""
+    return StructType([StructField(c, df.schema[c].dataType) for c in keep])
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Items of a block on average; the reduction tree's fan-in.
 FAN = 64
+#: Equal rows that one task writes out or numbers, about.
+RUN = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 KEY = ["source", "doc_id", "size", "text_hash"]
 ITEM = "struct<h: bigint, source: string, doc_id: bigint, size: bigint, text_hash: bigint, p: double>"
@@ -132,8 +134,12 @@ def mix(docs: DataFrame, seed: int = 3) -> DataFrame:
     equal rows share their copies evenly. The choice depends on the rows' values alone: reruns agree.
     """
     rows = common.store(sizes(docs))
-    found = copies(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("m")), seed)
-    each = found.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    found = common.store(copies(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("m")), seed))
+    # Many equal rows are dealt to tasks in runs of RUN, so no task writes out a large group alone.
+    runs = found.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / RUN))))
+    runs = runs.where(f"m <= {RUN}").unionByName(runs.where(f"m > {RUN}").repartition(F.xxhash64(*KEY, "run")))
+    last = F.least("m", (F.col("run") + 1) * RUN) - 1
+    each = runs.withColumn("k", F.explode(F.sequence((F.col("run") * RUN).cast("long"), last.cast("long"))))
     n = F.col("whole") + (F.col("k") < F.col("extra")).cast("long")
     return each.select("doc_id", "source", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken"))
 
@@ -141,24 +147,31 @@ def mix(docs: DataFrame, seed: int = 3) -> DataFrame:
 def take(docs: DataFrame, seed: int = 3) -> DataFrame:
     """The mix itself: each row of docs with all its columns, as many times as it is taken (perhaps never).
 
-    A row without words is never taken: it has nothing to give to a target.
+    A row without words is never taken: it has nothing to give to a target. Further columns may have any names.
     """
+    rows, (text, source, doc_id) = common.by_place(docs, "text", "source", "doc_id")
+    keyed = rows.select(*rows.columns, *[F.col(c).alias(k) for c, k in zip((source, doc_id, text), ("source", "doc_id", "text"), strict=True)])
     count = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    values = {"_source": F.col("source").cast("string"), "_doc_id": F.col("doc_id").cast("long"), "_size": count, "_text_hash": F.xxhash64("text")}
-    keyed = docs.withColumns(values)
-    items = keyed.groupBy(*["_" + c for c in KEY]).agg(F.count(F.lit(1)).alias("m"))
-    found = copies(common.store(items.select(*[F.col("_" + c).alias(c) for c in KEY], "m")), seed)
-    found = found.where("size > 0 and (whole > 0 or extra > 0)").select(*KEY, "m", "whole", "extra")
-    match = [keyed["_" + c].eqNullSafe(found[c]) for c in KEY]
-    single = keyed.join(found, match[0] & match[1] & match[2] & match[3]).select(*[keyed[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], found["m"].alias("_m"), found["whole"].alias("_whole"), found["extra"].alias("_extra"), *[keyed["_" + c] for c in KEY])
-    # Equal rows get numbers; rows that are alone need none.
-    alone = single.where("_m = 1").withColumn("_k", F.lit(0))
-    many = single.where("_m > 1").withColumn("_k", F.row_number().over(W.partitionBy(*["_" + c for c in KEY]).orderBy(F.lit(0))) - 1)
-    every = alone.unionByName(many)
-    n = (F.col("_whole") + (F.col("_k") < F.col("_extra")).cast("long")).cast("int")
-    repeated = every.withColumn("_n", n).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return repeated.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    keyed = keyed.select(*rows.columns, F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), count.alias("size"), F.xxhash64("text").alias("text_hash"))
+    items = common.store(keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("m")))
+    # Stored: the join below stands alone, so that Spark can split a key that many rows share.
+    found = common.store(copies(items, seed).where("size > 0 and (whole > 0 or extra > 0)").select(*[F.col(c).alias("_" + c) for c in KEY], "m", "whole", "extra"))
+    match = [keyed[c].eqNullSafe(found["_" + c]) for c in KEY]
+    single = keyed.join(found, match[0] & match[1] & match[2] & match[3]).drop(*["_" + c for c in KEY])
+    # Equal rows get numbers, in runs as above; rows that are alone need none.
+    alone = single.where("m = 1").withColumn("k", F.lit(0).cast("long"))
+    many = single.where("m > 1").withColumn("rid", F.monotonically_increasing_id())
+    if not found.where("m > 1").limit(1).count():
+        every = alone
+    else:
+        many = common.store(many)
+        places = common.gapless_rank(many.select(*KEY, "rid"), KEY, ["rid"], "k", max(1, -(-many.count() // RUN))).select("rid", "k")
+        every = alone.unionByName(many.join(places, "rid").drop("rid"))
+    n = (F.col("whole") + (F.col("k") < F.col("extra")).cast("long")).cast("int")
+    repeated = every.withColumn("n", n).where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return repeated.select(*rows.columns).toDF(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents, with the weights and the limit of this module."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

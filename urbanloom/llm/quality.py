@@ -16,6 +16,8 @@ from . import tokens as tk
 DIMENSIONS = 1 << 18
 #: At most so many labelled documents train the model; those with the smallest hashes of doc_id are taken.
 TRAIN_ROWS = 20_000
+#: Bytes of examples that the learning task holds at once, about.
+LEARN_BYTES = 16 << 20
 #: A document counts as good from this score.
 THRESHOLD = 0.3
 BATCH = 1 << 20
@@ -101,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, dimensions
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Leader(dimensions)
-        for batch in batches:
+        for batch in common.small_batches(batches, "index", LEARN_BYTES):
             for label, index, value in zip(*(batch.column(c).to_pylist() for c in ("label", "index", "value")), strict=True):
                 model.learn(np.frombuffer(index, "<i4"), np.frombuffer(value, "<f4"), label)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype("<f8").tobytes()], pa.binary())], names=["weights"])
@@ -113,32 +115,39 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, dimensions
 
 
 def score(docs: DataFrame, weights: np.ndarray, keep: list[str], name: str = "score") -> DataFrame:
-    """The columns `keep` of docs and `name`: the model's probability that a text (null: empty) is good."""
+    """The columns `keep` of docs and `name`: the model's probability that a text (null: empty) is good.
+
+    The columns that are kept may have any names; one that is called `name` too comes before it in the result.
+    """
     dimensions = weights.size
     shared = docs.sparkSession.sparkContext.broadcast(weights)
+    rows, (text, *kept) = common.by_place(docs, "text", *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for batch in common.small_batches(batches, "_body", BATCH):
-            owner, index, value = counted(batch.column("_body"), dimensions)
+        for batch in common.small_batches(batches, "body", BATCH):
+            owner, index, value = counted(batch.column("body"), dimensions)
             logit = w[0] + np.bincount(owner, value * w[index], batch.num_rows)
-            out = [batch.column(c) for c in keep] + [pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))]
-            yield pa.RecordBatch.from_arrays(out, names=[*keep, name])
+            out = [batch.column(c) for c in kept] + [pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))]
+            yield pa.RecordBatch.from_arrays(out, names=[*kept, "p"])
 
-    fields = common.fields(docs, keep)
-    return common.bound_batches(docs.select(*keep, common.text_bytes().alias("_body"))).mapInArrow(run, f"{fields}, {name} double")
+    schema = common.fields(rows, kept).add("p", "double")
+    return common.bound_batches(rows.select(*kept, common.text_bytes(text).alias("body"))).mapInArrow(run, schema).toDF(*keep, name)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose text scores at least `threshold`, after training on docs and labels; all columns.
 
     Null texts are scored as empty ones; rows may repeat; without labels nothing is rejected (0.5 for all).
+    Further columns may have any names and stay as they are.
     """
     weights = train(docs, labels)
-    return score(docs, weights, docs.columns, "_score").where(F.col("_score") >= threshold).select(*[f"`{c}`" for c in docs.columns])
+    scored = score(docs, weights, docs.columns).toDF(*[f"c{i}" for i in range(len(docs.columns))], "p")
+    return scored.where(F.col("p") >= threshold).drop("p").toDF(*docs.columns)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score by the model that the labels of documents not held out give."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     weights = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, weights, ["doc_id"]).select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
