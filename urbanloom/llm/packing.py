@@ -22,6 +22,8 @@ CAPACITY = 2048
 SOURCE_LIMIT = 3
 #: Pieces that one task packs at once, about: bounds its memory, and the search for a compatible bin.
 BLOCK_ROWS = 4096
+#: Rows that one task numbers, about.
+RANK_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -62,37 +64,51 @@ def pack(docs: DataFrame, keep: list[str], capacity: int = CAPACITY, source_limi
     one piece of 0 words, and no bin or offset. Cluster: texts that are equal when blanks are folded and A-Z
     lower-cased; one bin has no two documents of a cluster, and no more than source_limit of a source (null is
     one source); pieces that fill a whole bin conflict with nothing. Rows are dealt into blocks by a hash, each
-    packed in descending order of words (ties: hash, doc_id), so no task sees more than about block_rows pieces.
-    `bin` is unique over all blocks, not gapless. keep may have any columns; their names win over none of the
-    result's.
+    packed in descending order of words (ties: rank), so no task sees more than about block_rows pieces. Ranks
+    follow from the rows' values: other files or partitions of the same rows give the same bins (rows that are
+    equal in doc_id, text, source and `keep` may change places). `bin` is unique over all blocks, not gapless;
+    it is below 0 for whole bins. keep may have any columns; a name of the result's stands twice then.
     """
-    body = F.coalesce("text", F.lit(""))
+    rows, (text, source, doc_id, *kept) = common.by_place(docs, "text", "source", "doc_id", *keep)
+    body = F.coalesce(F.col(text), F.lit(""))
     folded = F.trim(F.regexp_replace(F.translate(body, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
     words = F.regexp_count(body, F.lit(WORD)).cast("long")
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.xxhash64("doc_id").alias("_h"), F.col("doc_id").cast("long").alias("_id"), words.alias("size"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_source"), F.xxhash64(folded).alias("_cluster"), F.monotonically_increasing_id().alias("_rid"))
+    hashable = [c for c in kept if "map<" not in rows.schema[c].dataType.simpleString()]
+    rows = rows.select(
+        *[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)],
+        F.xxhash64(F.col(doc_id).cast("long"), text, source, *hashable).alias("_h"),
+        F.col(doc_id).cast("long").alias("_id"),
+        words.alias("size"),
+        F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("_source"),
+        F.xxhash64(folded).alias("_cluster"),
+        F.monotonically_increasing_id().alias("_place"),
+    )
     rows = common.store(rows)
+    n = rows.count()
+    rows = common.store(common.gapless_rank(rows, [], ["_h", "_id", "_place"], "_rid", max(1, -(-n // RANK_ROWS))).drop("_place"))
     count = F.greatest(F.ceil(F.col("size") / capacity), F.lit(1))
     each = rows.withColumn("pieces", count.cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     each = each.withColumn("words", F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("piece") * capacity))
     # Pieces that fill a bin, and rows without words, need no search.
     partial = each.where((F.col("words") > 0) & (F.col("words") < capacity))
-    blocks = max(1, -(-rows.count() // block_rows))
+    blocks = max(1, -(-n // block_rows))
     dealt = partial.withColumn("block", F.pmod(F.xxhash64("_h", "_rid", "_cluster"), F.lit(blocks)).cast("int"))
     names = ["_rid", "piece", "bin", "offset"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["words", "_h", "_id", "_rid"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["words", "_rid"], ascending=[False, True], kind="stable")
         found, offset = best_fit(pdf["words"].to_numpy(), pd.factorize(pdf["_source"])[0], pd.factorize(pdf["_cluster"])[0], capacity, source_limit)
         return pdf.assign(bin=(pdf["block"].to_numpy("i8") << 32) + found, offset=offset)[names]
 
-    packed = dealt.select("block", "_rid", "_id", "_h", "words", "piece", "_source", "_cluster").groupBy("block").applyInPandas(run, "_rid long, piece int, bin long, offset long")
-    placed = each.join(packed, ["_rid", "piece"], "left")
-    # Whole bins: below 0, so they are apart from the blocks' bins.
-    fills = F.col("words") == capacity
-    bin_ = F.when(fills, -(F.col("_rid") * F.lit(1 << 20) + F.col("piece")) - 1).otherwise(F.col("bin"))
-    offset = F.when(fills, F.lit(0).cast("long")).otherwise(F.col("offset"))
-    return placed.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "size", "piece", "pieces", "words", bin_.alias("bin"), offset.alias("offset"))
+    packed = dealt.select("block", "_rid", "words", "piece", "_source", "_cluster").groupBy("block").applyInPandas(run, "_rid long, piece int, bin long, offset long")
+    # Whole bins, below 0, are numbered by rank: apart from the blocks' bins, and gapless.
+    fills = each.where(F.col("words") == capacity).select("_rid", "piece")
+    full = common.gapless_rank(fills, [], ["_rid", "piece"], "_n", max(1, -(-n // RANK_ROWS)))
+    packed = packed.unionByName(full.select("_rid", "piece", (-F.col("_n") - 1).alias("bin"), F.lit(0).cast("long").alias("offset")))
+    placed = each.join(packed, ["_rid", "piece"], "left").select(*[f"k{i}" for i in range(len(kept))], "size", "piece", "pieces", "words", "bin", "offset")
+    return placed.toDF(*keep, "size", "piece", "pieces", "words", "bin", "offset")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces with their bins."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id", "source"])
