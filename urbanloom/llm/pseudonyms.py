@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common
+
 #: The key of the registered query; a real run passes its own secret.
 KEY = "urbanloom-demo-key"
 ROUNDS = 8
@@ -22,7 +24,7 @@ LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The formats that are looked for, in order of precedence.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
-    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "secret": r"\b(?i:password|passwd|pwd|token|secret|api_key|apikey)\s?[=:]\s?\"?[^\s\"]{6,}+",
     "access": r"\bAKIA[0-9A-Z]{16}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
@@ -32,9 +34,14 @@ PATTERNS = {
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
 }
 ANY = "|".join(PATTERNS.values())
-#: Days of 400 years, which repeat: 189 * 773.
-CYCLE, CYCLE_A, CYCLE_B = 146_097, 189, 773
+#: Dates are permuted within spans of years, all of whose days have years of four digits: 400 years each from 200
+#: on, and what is left of 1 to 9999 before and after them. First day, and the two factors of the number of days.
 EPOCH = "1800-01-01"
+CYCLE, CYCLE_A, CYCLE_B = 146_097, 189, 773
+HEAD, HEAD_A, HEAD_B = "0001-01-01", 13, 5_591
+TAIL, TAIL_A, TAIL_B = "9800-01-01", 184, 397
+#: Areas and serials of social security numbers: 001 to 899 without 666, with groups 01 to 99; 0001 to 9999.
+AREAS, GROUPS, SERIALS = 898, 99, 9_999
 #: Characters of a secret that are permuted at once; what is done for each grows with their square.
 PIECE = 1024
 
@@ -149,20 +156,33 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """Days of a 400-year cycle are permuted; what is no date of the calendar stays."""
+    """Days of a span of years are permuted, so images have four-digit years; what is no date of the calendar stays."""
     iso = F.when(m.rlike("^....-"), m).when(m.contains("."), F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(4), F.lit(2)), F.substr(m, F.lit(1), F.lit(2)))).otherwise(F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(4), F.lit(2))))
-    day = F.datediff(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date"), F.lit(EPOCH).cast("date")).cast("long")
+    date = F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date")
 
     def image(d: Column) -> Column:
-        place = F.pmod(d, F.lit(CYCLE).cast("long"))
-        b = F.pmod(place, F.lit(CYCLE_B).cast("long"))
-        done = _rounds(((place - b) / CYCLE_B).cast("long"), b, F.lit(CYCLE_A).cast("long"), F.lit(CYCLE_B).cast("long"), key, F.lit("date"))
-        return F.date_add(F.lit(EPOCH).cast("date"), (_let(done, lambda x: x["a"] * CYCLE_B + x["b"]) + (d - place)).cast("int"))
+        """d: days since EPOCH."""
+        day, head, tail = F.lit(EPOCH).cast("date"), F.lit(HEAD).cast("date"), F.lit(TAIL).cast("date")
+        first, low, high = F.datediff(head, day), F.datediff(F.lit("0200-01-01").cast("date"), day), F.datediff(tail, day)
+        cycle = F.floor(d / CYCLE) * CYCLE
+        start = F.when(d < low, first).when(d >= high, high).otherwise(cycle).cast("long")
+        a = F.when(d < low, HEAD_A).when(d >= high, TAIL_A).otherwise(CYCLE_A).cast("long")
+        b = F.when(d < low, HEAD_B).when(d >= high, TAIL_B).otherwise(CYCLE_B).cast("long")
+
+        def moved(x: Column) -> Column:
+            place = d - x["start"]
+            rest = F.pmod(place, x["b"])
+            done = _rounds(F.call_function("div", place, x["b"]), rest, x["a"], x["b"], key, F.lit("date"))
+            return F.date_add(day, _let(done, lambda y: y["a"] * x["b"] + y["b"] + x["start"]).cast("int"))
+
+        return _let(F.struct(start.alias("start"), a.alias("a"), b.alias("b")), moved)
 
     def shown(d: Column) -> Column:
         return F.when(m.rlike("^....-"), F.date_format(d, "yyyy-MM-dd")).when(m.contains("."), F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy"))
 
-    return F.when(day.isNull(), m).otherwise(_let(image(F.coalesce(day, F.lit(0).cast("long"))), shown))
+    date = F.when(date >= F.lit(HEAD).cast("date"), date)
+    days = F.coalesce(F.datediff(date, F.lit(EPOCH).cast("date")), F.lit(0)).cast("long")
+    return F.when(date.isNull(), m).otherwise(_let(_let(days, image), shown))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -182,9 +202,30 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    """Letters and digits before the @ are permuted in their places; the domain stays."""
+    """Letters and digits before the @ are permuted in their places; the domain stays.
+
+    A name with letters beyond a to z becomes 24 digits of a keyed digest: it has no small alphabet of its own.
+    """
     at = F.instr(m, "@")
-    return F.concat(_each_class(F.substr(m, F.lit(1), at - 1), key, "email"), F.substr(m, at, F.length(m)))
+    name = F.substr(m, F.lit(1), at - 1)
+    digest = F.substr(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), name, F.lit(key)), 256), F.lit(1), F.lit(24))
+    image = F.when(name.rlike(r"[^\x00-\x7F]"), digest).otherwise(_each_class(name, key, "email"))
+    return F.concat(image, F.substr(m, at, F.length(m)))
+
+
+def _ssn(m: Column, key: str) -> Column:
+    """Numbers that can be assigned are permuted among themselves; others stay."""
+    area, group, serial = (F.substr(m, F.lit(a), F.lit(n)).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    place = (area - F.when(area > 666, 2).otherwise(1)) * GROUPS + group - 1
+    bounds = (F.lit(AREAS * GROUPS).cast("long"), F.lit(SERIALS).cast("long"))
+
+    def shown(x: Column) -> Column:
+        high = F.call_function("div", x["a"], F.lit(GROUPS).cast("long"))
+        parts = ((high + F.when(high >= 665, 2).otherwise(1), 3), (F.pmod(x["a"], F.lit(GROUPS)) + 1, 2), (x["b"] + 1, 4))
+        return F.concat_ws("-", *[F.lpad(n.cast("string"), width, "0") for n, width in parts])
+
+    return F.when(valid, _let(_rounds(place, serial - 1, *bounds, key, F.lit("ssn")), shown)).otherwise(m)
 
 
 def _secret(m: Column, key: str) -> Column:
@@ -212,14 +253,13 @@ def _secret(m: Column, key: str) -> Column:
 def image_of(m: Column, key: str) -> Column:
     """The pseudonym of one match of ANY; values that fail their check stay as they are."""
     access = F.concat(F.lit("AKIA"), _each_class(F.substr(m, F.lit(5), F.length(m)), key, "access"))
-    ssn = _let(permuted(_digits(m), DIGITS, key, "ssn"), lambda d: refilled(m, "0-9", d))
     return (
         F.when(m.contains("@") & m.rlike(f"^(?:{PATTERNS['email']})$"), _email(m, key))
         .when(m.rlike(f"^(?:{PATTERNS['secret']})$"), _secret(m, key))
         .when(m.rlike(f"^(?:{PATTERNS['access']})$"), access)
         .when(m.rlike(f"^(?:{PATTERNS['ip']})$"), _ip(m, key))
         .when(m.rlike(f"^(?:{PATTERNS['date']})$"), _date(m, key))
-        .when(m.rlike(f"^(?:{PATTERNS['ssn']})$"), ssn)
+        .when(m.rlike(f"^(?:{PATTERNS['ssn']})$"), _ssn(m, key))
         .when(m.rlike(f"^(?:{PATTERNS['card']})$"), _card(m, key))
         .otherwise(_phone(m, key))
     )
@@ -250,11 +290,14 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", count: str
     With `count`, a column of that name (replacing one that clashes) says how many values changed. Null texts
     stay null; rows may repeat; every column may have nulls.
     """
-    done = docs.select(*[F.col(f"`{c}`") for c in docs.columns], pseudonymised(F.col(f"`{text}`"), key).alias("_pseudonymised"))
-    columns = [F.col("_pseudonymised.text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c != count]
-    return done.select(*columns, *([F.col("_pseudonymised.n").alias(count)] if count else []))
+    rows, (at,) = common.by_place(docs, text)
+    done = rows.withColumn("done", pseudonymised(F.col(at), key))
+    kept = [(c, name) for c, name in zip(rows.columns, docs.columns, strict=True) if name != count]
+    columns = [F.col("done.text") if c == at else F.col(c) for c, _ in kept]
+    return done.select(*columns, *([F.col("done.n")] if count else [])).toDF(*[name for _, name in kept], *([count] if count else []))
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with its values replaced, under the demonstration key."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pseudonymise(docs.select("doc_id", "text"), count="n_replaced")
