@@ -33,6 +33,29 @@ def test_templates_accept_their_wording():
     assert lic.scan_text(b"licensed over the apache license version 2 0", automata, {b" apache license version 2 ": "apache-2"})[-1] == 0.6
 
 
+def filled(template):
+    """The template's wording with its optional regions and the fewest replaceable words."""
+    words = re.sub(r"<<any:(\d+)-\d+>>", lambda m: "someone " * int(m[1]), template)
+    return re.sub(r"<<(?:optional|end)>>", " ", words).split()
+
+
+def test_whole_texts_and_altered_ones():
+    automata = {k: lic.Automaton(t) for k, t in lic.TEMPLATES.items()}
+    for label in [k for k in lic.TEMPLATES if k.startswith("text-")]:
+        words = filled(lic.TEMPLATES[label])
+        scan = lambda w: {x for x in lic.scan_text(" ".join(["Copyright (c)", *w, "End."]).encode(), automata, {})[5].split(",") if x.startswith("text-")}
+        assert scan(words) == {label}
+        # Mandatory wording: a word less at the start, in the middle or at the end, another word, a line more.
+        mandatory = [i for i, w in enumerate(words) if w not in ("someone", "or", "including", "next", "paragraph", "the")]
+        for i in (mandatory[0], mandatory[len(mandatory) // 2], mandatory[-1]):
+            assert not scan(words[:i] + words[i + 1 :]) and not scan([*words[:i], "other", *words[i + 1 :]])
+
+
+def test_template_of_a_text():
+    a = lic.Automaton(lic.template_of("Do What You Want -- Über-Lizenz, v1.0"))
+    assert a.found("x do what you want Über lizenz v1 0 y".encode().split()) and not a.found(b"do what you want lizenz v1 0".split())
+
+
 def test_cases(spark):
     texts = [None, "", "under the MIT license under the mit license", "CC-BY-NC cc by nc by nc", "Über the mit license", "a " * 30000 + "Apache License, Version 2.0", "cc by\xa0nc", "cc by nc"]
     docs = spark.createDataFrame([(i // 2, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, score int")
