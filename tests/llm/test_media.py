@@ -23,11 +23,21 @@ def test_sequence_order_and_captions():
         (2, "text", "three", None, None),
         (3, "media", b, None, "Both of them"),
         (4, "media", c, None, "Both of them"),
-        (5, "text", "four", None, None),
-        (6, "text", "five", None, None),
+        (5, "media", None, None, None),
+        (6, "text", "four", None, None),
+        (7, "text", "five", None, None),
     ]
 
 
+def test_captions_without_figures_and_plain_sources():
+    items = lambda html: [(i["kind"], i["text"] or i["src"], i["caption"]) for i in md.SequenceParser().sequence(html)]
+    assert items("<figcaption>alone</figcaption><p>x<img src='photo.jpg'>") == [("text", "alone", None), ("text", "x", None), ("media", "photo.jpg", None)]
+    assert items("<figure><figcaption>no <p>media</p></figcaption></figure>y") == [("text", "no media", None), ("text", "y", None)]
+    assert items("<figure><img src='a.png'><figcaption>never closed") == [("media", "a.png", "never closed")]
+    assert items("<figure><img src='a.png'><figure><img src='b.png'><figcaption>in</figcaption></figure></figure>") == [("media", "a.png", None), ("media", "b.png", "in")]
+    assert items("<figcaption>open") == [("text", "open", None)]
+
+
 @pytest.mark.parametrize("h", [1, 3, 8, 50])
 def test_feature_is_from_all_samples(h):
     a, b = bytes(range(192)) * h, bytes(range(192)) * (h - 1) + bytes(range(1, 193))
@@ -49,12 +59,31 @@ def test_documents(spark, tmp_path):
     texts = [None, "", "a", "a" * 192, "é" * 97, "<b>&amp; \r\n\x00 > end", "z" * 150_000, "a", "</p><img src='" + "f" * 64 + "'>"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: tuple(r)[1:] for r in md.op1_media(spark, str(tmp_path)).collect()}
-    assert {k: v[:-1] for k, v in got.items()} == {i: brute(t) for i, t in enumerate(texts)}
-    assert got[2] == got[7]
+    assert {k: v[:6] for k, v in got.items()} == {i: brute(t) for i, t in enumerate(texts)}
+    assert got[2][:7] == got[7][:7]
+    # Position, caption, and number of items: one text before the media, unless it is blank.
+    assert {k: (v[7], v[9], v[10]) for k, v in got.items()} == {i: (n := int(bool((t or "").strip())), str(i), n + 1) for i, t in enumerate(texts)}
+
+
+def plain_feature(h, samples):
+    """The feature by counting every sample."""
+    light = [[sum(samples[192 * y + 3 * x : 192 * y + 3 * x + 3]) for x in range(64)] for y in range(h)]
+    total, bits = sum(map(sum, light)), ""
+    for i in range(8):
+        for j in range(8):
+            cells = [light[y][x] for y in range(i * h // 8, (i + 1) * h // 8) for x in range(8 * j, 8 * j + 8)]
+            bits += "1" if sum(cells) * h * 64 > total * len(cells) else "0"
+    return f"64x{h} rgb={','.join(str(sum(samples[c::3])) for c in range(3))} areas={int(bits, 2):016x}"
+
+
+@pytest.mark.parametrize("h", [1, 7, 8, 21])
+def test_feature_like_the_plain_version(h):
+    samples = bytes((i * i * 7 + i // 50) % 251 for i in range(192 * h))
+    assert md.feature(64, h, samples) == plain_feature(h, samples)
 
 
 def test_corpus(spark):
     folder = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
-    got = {r.doc_id: tuple(r)[1:-1] for r in md.op1_media(spark, folder).collect()}
+    got = {r.doc_id: tuple(r)[1:7] for r in md.op1_media(spark, folder).collect()}
     assert got == {k: brute(t) for k, t in texts.items()}

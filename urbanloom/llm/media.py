@@ -17,12 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import common
 
 WIDTH = 64
 ROW = 3 * WIDTH
-ITEM = "pos: int, kind: string, text: string, digest: string, alt: string, caption: string"
+ITEM = {"pos": "int", "kind": "string", "text": "string", "src": "string", "digest": "string", "alt": "string", "caption": "string"}
 DIGEST = re.compile(r"\b([0-9a-f]{64})\b")
 #: Elements whose text is no content, and elements that end a run of text.
 SILENT = {"script", "style", "noscript", "template", "title"}
@@ -31,14 +32,18 @@ MEDIA = {"img", "video", "audio", "source", "embed"}
 
 
 class SequenceParser(HTMLParser):
-    """Collects the items of a page in document order; a figure's caption goes to all media of that figure."""
+    """Collects the items of a page in document order.
+
+    A figure's caption goes to all media of that figure; a caption outside of figures, or of one without media, is
+    text. Media keep their src; without a digest in it they stay unresolved.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.run: list[str] = []
         self.silent = 0
-        self.figures: list[list[int]] = []
+        self.figures: list[dict[str, list]] = []
         self.caption: list[str] | None = None
 
     def _flush(self) -> None:
@@ -48,46 +53,59 @@ class SequenceParser(HTMLParser):
             self._add("text", text=text)
 
     def _add(self, kind: str, **values: str | None) -> None:
-        self.items.append({"pos": len(self.items), "kind": kind, "text": None, "digest": None, "alt": None, "caption": None} | values)
+        self.items.append({"pos": len(self.items), "kind": kind, "text": None, "src": None, "digest": None, "alt": None, "caption": None} | values)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in SILENT:
             self.silent += 1
         elif tag == "figcaption":
+            self._end_caption()
             self._flush()
             self.caption = []
         elif tag in MEDIA:
             values = dict(attrs)
-            found = DIGEST.search(values.get("src") or values.get("data-src") or "")
-            if found:
+            src = values.get("src") or values.get("data-src")
+            if src:
                 self._flush()
                 if self.figures:
-                    self.figures[-1].append(len(self.items))
-                self._add("media", digest=found[1], alt=values.get("alt"))
+                    self.figures[-1]["media"].append(len(self.items))
+                found = DIGEST.search(src)
+                self._add("media", src=src, digest=found[1] if found else None, alt=values.get("alt"))
         elif tag in BLOCKS:
-            self._flush()
+            if self.caption is None:
+                self._flush()
             if tag == "figure":
-                self.figures.append([])
+                self._end_caption()
+                self.figures.append({"media": [], "captions": []})
+
+    def _end_caption(self) -> None:
+        """What was read since <figcaption> goes to the figure, or stands as text where there is none."""
+        if self.caption is None:
+            return
+        text, self.caption = " ".join("".join(self.caption).split()), None
+        if self.figures:
+            self.figures[-1]["captions"].append(text)
+        elif text:
+            self._add("text", text=text)
+
+    def _end_figure(self) -> None:
+        self._end_caption()
+        figure = self.figures.pop()
+        text = " ".join(filter(None, figure["captions"]))
+        for at in figure["media"]:
+            self.items[at]["caption"] = text if figure["captions"] else None
+        if text and not figure["media"]:
+            self._add("text", text=text)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for at in self.figures[-1] if self.figures else ():
-                self.items[at]["caption"] = text
-            if self.figures:
-                self.figures[-1].append(-1)
-                self.caption_text = text
-            self.caption = None
-        elif tag in BLOCKS:
+        elif tag == "figcaption":
+            self._end_caption()
+        elif tag in BLOCKS and (self.caption is None or tag == "figure"):
             self._flush()
             if tag == "figure" and self.figures:
-                members = self.figures.pop()
-                if -1 in members:  # media that follow their caption
-                    for at in members:
-                        if at >= 0:
-                            self.items[at]["caption"] = self.caption_text
+                self._end_figure()
 
     def handle_data(self, data: str) -> None:
         if self.caption is not None:
@@ -98,6 +116,10 @@ class SequenceParser(HTMLParser):
     def sequence(self, html: str) -> list[dict]:
         self.feed(html)
         self.close()
+        while self.figures:
+            self._flush()
+            self._end_figure()
+        self._end_caption()
         self._flush()
         return self.items
 
@@ -105,17 +127,20 @@ class SequenceParser(HTMLParser):
 def parse(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """The columns `keep` and `items`, the page's texts and media references in order (null html: none).
 
-    Text keeps its blanks; references without a digest are no items; markup that is not closed ends with the page.
+    Text keeps its blanks; media without a digest are items too; markup that is not closed ends with the page. The
+    columns that are kept may have any names.
     """
+    rows, (page, *kept) = common.by_place(pages, html, *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("pos", pa.int32())] + [(n, pa.string()) for n in ("kind", "text", "digest", "alt", "caption")]))
-        for batch in common.small_batches(batches, "_html"):
-            found = [SequenceParser().sequence(h.decode("utf-8", "replace")) for h in batch.column("_html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(found, kind)], names=[*keep, "items"])
+        kind = pa.list_(pa.struct([(n, pa.int32() if t == "int" else pa.string()) for n, t in ITEM.items()]))
+        for batch in common.small_batches(batches, "html"):
+            found = [SequenceParser().sequence(h.decode("utf-8", "replace")) for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(found, kind)], names=[*kept, "items"])
 
-    fields = common.fields(pages, keep)
-    return common.bound_batches(pages.select(*keep, common.text_bytes(F.col(html)).alias("_html"))).mapInArrow(run, f"{fields}, items array<struct<{ITEM}>>")
+    items = StructType([StructField(n, IntegerType() if t == "int" else StringType()) for n, t in ITEM.items()])
+    schema = common.fields(rows, kept).add("items", ArrayType(items))
+    return common.bound_batches(rows.select(*kept, common.text_bytes(page).alias("html"))).mapInArrow(run, schema).toDF(*keep, "items")
 
 
 def to_pixmap(payload: Column) -> Column:
@@ -167,7 +192,7 @@ def describe(media: DataFrame) -> DataFrame:
 
     schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     # Stored, so that the join to references can split a digest that many pages share.
-    return common.store(media.mapInArrow(run, schema).dropDuplicates(["digest"]))
+    return common.store(common.bound_batches(media).mapInArrow(run, schema).dropDuplicates(["digest"]))
 
 
 def references(parsed: DataFrame, described: DataFrame, keep: list[str]) -> DataFrame:
@@ -181,17 +206,17 @@ def references(parsed: DataFrame, described: DataFrame, keep: list[str]) -> Data
 def interleave(pages: DataFrame, media: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """Pages as interleaved sequences: `key` and items; each media item also has the resolved columns of describe().
 
-    Rows with equal keys stay apart; pages without items have an empty array.
+    Rows with equal keys stay apart; pages without items have an empty array; other columns are not read.
     """
-    rows = pages.withColumn("_rid", F.monotonically_increasing_id())
-    parsed = common.store(parse(rows, ["_rid", key], html))
+    rows = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{html}`").alias("html"), F.monotonically_increasing_id().alias("rid"))
+    parsed = common.store(parse(rows, ["rid", "key"]))
     held = describe(media)
-    found = references(parsed, held, ["_rid"])
+    found = references(parsed, held, ["rid"])
     values = F.struct(*[c for c in held.columns if c != "digest"])
-    grouped = found.groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("pos", values.alias("v")))).alias("_found"))
-    joined = parsed.join(grouped, "_rid", "left")
-    items = F.transform("items", lambda i: F.struct(*[i[n.split(":")[0].strip()].alias(n.split(":")[0].strip()) for n in ITEM.split(",")], F.try_element_at("_found", i["pos"]).alias("media")))
-    return joined.select(key, items.alias("items"))
+    grouped = found.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("pos", values.alias("v")))).alias("found"))
+    joined = parsed.join(grouped, "rid", "left")
+    items = F.transform("items", lambda i: F.struct(*[i[n].alias(n) for n in ITEM], F.try_element_at("found", i["pos"]).alias("media")))
+    return joined.select(F.col("key").alias(key), items.alias("items"))
 
 
 def payload_of(text: str = "text") -> Column:
@@ -202,7 +227,10 @@ def payload_of(text: str = "text") -> Column:
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a page with its text and one picture made of it; the row is what the reference resolves to."""
+    """Each document as a page with its text and one picture made of it; the row is what the reference resolves to.
+
+    media_pos, alt and caption are those of the page's sequence; items counts its texts and media.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     payload = payload_of()
     described = describe(store_media(docs.select(payload.alias("payload"))))
@@ -212,5 +240,7 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(to_pixmap(payload), 256)
     figure = F.concat(F.lit('<figure><img src="media/'), digest, F.lit('.ppm" alt="the text\'s bytes"><figcaption>'), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
     pages = docs.select("doc_id", F.length(common.text_bytes()).cast("long").alias("n_bytes"), F.concat(F.lit("<article><p>"), text, F.lit("</p>"), figure, F.lit("</article>")).alias("html"))
-    found = references(parse(pages, ["doc_id", "n_bytes"]), described, ["doc_id", "n_bytes"])
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    keep = ["doc_id", "n_bytes", "n_items"]
+    parsed = parse(pages, keep[:2]).withColumn("n_items", F.size("items"))
+    found = references(parsed, described, keep)
+    return found.select(*keep[:2], "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.col("pos").alias("media_pos"), "alt", "caption", "n_items")
