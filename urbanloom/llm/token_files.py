@@ -7,6 +7,7 @@ from a directory of counts (one for each 512 bits), so any single id is read wit
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import unicodedata
@@ -127,10 +128,26 @@ def byte_letters() -> dict[int, str]:
 TAIL_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: The settings of a vocabulary whose texts may be encoded piece by piece.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_as_assumed(path: str) -> bool:
+    """Whether the vocabulary's file has the normaliser and splitter that WordEncoder's pieces rely on."""
+    with open(path, encoding="utf-8") as source:
+        held = json.load(source)
+    split, *more = (held.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    plain = all(not a["normalized"] and not a["lstrip"] and not a["rstrip"] and a["content"].startswith("<|") for a in held.get("added_tokens") or [])
+    levels = [(x["type"], x.get("use_regex"), x.get("add_prefix_space")) for x in more] == [("ByteLevel", False, False)]
+    model = held.get("model") or {}
+    return (held.get("normalizer") or {}).get("normalizers") == NORMALIZERS and split.get("pattern") == {"Regex": SPLIT} and split.get("behavior") == "Removed" and split.get("invert") is True and levels and plain and model.get("type") == "BPE" and not model.get("dropout")
+
+
 class WordEncoder:
     """Text to ids with the tokenizers library, which is asked once for each distinct blank-free piece.
 
-    The vocabulary's normaliser and splitter never join characters over an ASCII blank, so the ids of a text
+    So it is where splits_as_assumed(); texts under any other vocabulary go to the library whole. The vocabulary's normaliser and splitter never join characters over an ASCII blank, so the ids of a text
     are those of its pieces in order; it lower-cases, so pieces are held in lower case, unless the text may
     have a special token's string. Letters with marks behind them are two pieces to the splitter, and letters
     that the normaliser leaves alone go to the library's model directly. Pieces met lately are kept in two
@@ -145,6 +162,7 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
+        self.by_piece = splits_as_assumed(path)
         self.letters = byte_letters()
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -179,6 +197,8 @@ class WordEncoder:
 
     def __call__(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if not self.by_piece:
+            return self._whole(text)
         pieces = (text if b"<|" in text else text.lower()).split()
         found = list(map(self.known.get, pieces))
         if None in found:
@@ -297,4 +317,5 @@ def token_files(docs: DataFrame) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, as read back from the token files."""
     return token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
