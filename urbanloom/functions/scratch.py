@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,15 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written once below spark.checkpoint.dir (a local temporary folder where that is unset) and read again."""
+    """df written once below spark.checkpoint.dir and read again.
+
+    Where that is unset, a local temporary folder serves in a single process; on a cluster it is an error.
+    """
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("urbanloom.scratch", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="urbanloom-")
         spark.conf.set("urbanloom.scratch", base)
     path = f"{base.rstrip('/')}/urbanloom-{uuid.uuid4().hex}"
