@@ -31,6 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
         labels_next = step.join(above, "near").select("node", F.least("near", "far").alias("comp"), "old")
         labels_next = common.store(labels_next, parts=parts)
         changed = labels_next.where("comp <> old").limit(1).count()
+        common.drop_stored(step)
+        common.drop_stored(labels)
         labels = labels_next.select("node", "comp")
         if not changed:
+            common.drop_stored(both)
             return labels

@@ -2,13 +2,13 @@
 
 Documents with equal shingle sets are one class. A class has PERMUTATIONS minima; ROWS of them make a band, and
 classes that share a band are candidates: a pair of similarity s is missed with chance (1 - s^ROWS)^BANDS, which
-is 1e-7 at 0.8. Of each minimum two bits are kept, in two bit planes; from the bits that agree follows the
-similarity, corrected for chance agreement, and a pair whose estimate is lower than the threshold by SLACK (six
+is 1e-7 at 0.8. Of each minimum the two lowest bits are kept (after higher ones are folded into them, as minima of
+large sets are small), in two bit planes; from the bits that agree follows the similarity, corrected for chance agreement, and a pair whose estimate is lower than the threshold by SLACK (six
 standard deviations) is dropped. All others are confirmed on their whole sets.
 
-No bucket is paired out. Each class is first held against the smallest class of its buckets; confirmed links
-make components. Only buckets whose classes are then in several components are searched further, in blocks,
-for pairs over component borders, and of these what is needed to join components is confirmed.
+Buckets are not paired out at first. Each class is held against the smallest class of its buckets; confirmed links
+make components. Only buckets whose classes are then in several components are searched further, in blocks and on
+sketches alone, for pairs over component borders, and of these what is needed to join components is confirmed.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ PERMUTATIONS = ROWS * BANDS
 WORDS = -(-PERMUTATIONS // 64)
 SLACK = 0.2
 PERCENT = 80
-#: Classes of one search block, and texts of one confirming block: they bound a task's memory.
-SKETCH_BLOCK, TEXT_BLOCK = 2048, 256
+#: Classes of one search block, and texts and shingles of one confirming block: they bound a task's memory.
+SKETCH_BLOCK, TEXT_BLOCK, SHINGLE_BLOCK = 1024, 256, 1 << 20
 #: Up to so many rows (about 60 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 BATCH = 1 << 20
@@ -77,11 +77,11 @@ def signatures(sets: list[np.ndarray]) -> tuple[list[bytes], np.ndarray, np.ndar
     bands = np.zeros((len(sets), BANDS), "u8") + np.arange(BANDS, dtype="u8")
     for r in range(ROWS):
         bands = tk.mix(bands * np.uint64(0x2545F4914F6CDD1D) + minima[:, r::ROWS])
-    codes = (minima * np.uint32(0x9E3779B1)) >> np.uint32(30)
+    folded = minima ^ (minima >> np.uint32(7)) ^ (minima >> np.uint32(15))
     planes = []
     for bit in (0, 1):
         bits = np.zeros((len(sets), WORDS * 64), "u1")
-        bits[:, :PERMUTATIONS] = codes >> np.uint32(bit) & np.uint32(1)
+        bits[:, :PERMUTATIONS] = folded >> np.uint32(bit) & np.uint32(1)
         planes.append(np.packbits(bits, axis=1, bitorder="little").view("<i8"))
     return ids, bands.view("i8"), np.concatenate(planes, axis=1)
 
@@ -169,31 +169,45 @@ def _confirm_units(units: DataFrame, bodies: DataFrame, n: int, percent: int) ->
 
 def _bodies(docs: DataFrame, classes: DataFrame, cids: DataFrame, parts: int) -> DataFrame:
     """(cid, body) of the classes named in cids, each from one of its rows."""
-    wanted = common.store(classes.join(cids, "cid", "left_semi").select("cid", F.col("rep.doc_id").alias("_d"), F.col("rep.text_hash").alias("_t")), parts=parts)
+    wanted = classes.join(cids, "cid", "left_semi").select("cid", F.col("rep.doc_id").alias("_d"), F.col("rep.text_hash").alias("_t"))
+    wanted = common.store(wanted, parts=parts, wide=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), common.text_bytes().alias("body"))
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     return common.store(rows.join(side, rows["doc_id"].eqNullSafe(side["_d"]) & (rows["text_hash"] == side["_t"])).select("cid", "body"))
 
 
-def _blocks(members: DataFrame, key: list[str], size: int) -> DataFrame:
-    """members with a number of each `unit` that they are in; units that share a number only do more work.
+def _parts_of(n: Column, shingles: Column, size: int) -> Column:
+    """Into how many blocks n members with so many shingles go: about `size` members and SHINGLE_BLOCK shingles each."""
+    return F.greatest(F.ceil(n / size), F.ceil(shingles / SHINGLE_BLOCK), F.lit(1)).cast("int")
 
-    A key with few members is one unit. In others the members are dealt into blocks, and every two blocks meet.
+
+def _blocks(members: DataFrame, key: str, size: int) -> DataFrame:
+    """members (key, cid, comp, n_shingles, ...) with a number of each `unit` that they are in, so that any two of a
+    key and of different components meet; units that share a number only do more work.
+
+    A key with few members is one unit. In others the members of its largest component are dealt into blocks, and
+    so are all others: each block of the first meets each of the others, and the others meet each other. So rows
+    repeat with the number of members outside the largest component, not with the square of the group.
     """
-    counts = members.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_of", F.ceil(F.col("_n") / size).cast("int"))
-    dealt = members.join(counts, key).withColumn("_block", F.pmod(F.xxhash64("cid"), F.col("_of")).cast("int"))
-    other = F.when(F.col("_of") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_of") - 1))
-    each = dealt.withColumn("_other", F.explode(other))
-    pair = F.xxhash64(*key, F.least("_block", "_other"), F.greatest("_block", "_other"))
-    # The pair of a block with itself is part of every pair that it is in.
-    each = each.where((F.col("_of") == 1) | (F.col("_block") != F.col("_other")))
-    return each.withColumn("unit", pair).drop("_n", "_of", "_block", "_other")
+    by = members.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("s"))
+    by = by.groupBy(key).agg(F.max(F.struct("c", "s", "comp")).alias("top"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    rest_c, rest_s = F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")
+    by = by.select(key, F.col("top.comp").alias("_top"), (_parts_of(F.col("c"), F.col("s"), size) == 1).alias("_one"), _parts_of(F.col("top.c"), F.col("top.s"), size).alias("_a"), _parts_of(rest_c, rest_s, size).alias("_b"))
+    dealt = members.join(common.store(by), key).withColumn("_in", F.col("comp") == F.col("_top"))
+    dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("cid"), F.when(F.col("_in"), F.col("_a")).otherwise(F.col("_b"))).cast("int"))
+    own = F.col("_block")
+    with_rest = F.transform(F.sequence(F.lit(0), F.col("_b") - 1), lambda j: F.xxhash64(key, F.lit("x"), own, j))
+    with_top = F.transform(F.sequence(F.lit(0), F.col("_a") - 1), lambda i: F.xxhash64(key, F.lit("x"), i, own))
+    others = F.filter(F.sequence(F.lit(0), F.col("_b") - 1), lambda j: j != own)
+    with_others = F.transform(others, lambda j: F.xxhash64(key, F.lit("y"), F.least(own, j), F.greatest(own, j)))
+    units = F.when(F.col("_one"), F.array(F.xxhash64(key))).when(F.col("_in"), with_rest).otherwise(F.concat(with_top, with_others))
+    return dealt.withColumn("unit", F.explode(units)).drop("_top", "_one", "_a", "_b", "_in", "_block")
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """One row for each class: cid, first_id (smallest doc_id), rep (a row of it), bands, sketch."""
+    """One row for each class: cid, n_shingles, first_id (smallest doc_id), rep (a row of it), bands, sketch."""
     held = rows.where("cid is not null")
-    return held.groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    return held.groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
 
 
 def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -204,30 +218,30 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
     # Written once; sorted out of all buckets are those of a single class, most of them.
     members = common.store(banded.join(shared, "band").select("band", "n", "hub", "cid"), parts=parts)
     near = percent / 100 - SLACK
-    sketch = classes.select("cid", "sketch")
+    sketch = classes.select("cid", "sketch", "n_shingles")
     stars = members.where("cid <> hub").select("hub", "cid").distinct()
-    stars = stars.join(sketch, "cid").join(sketch.select(F.col("cid").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub")
-    stars = common.store(stars.where(_estimate_column(F.col("sketch"), F.col("hub_sketch")) >= near), parts=parts)
+    stars = stars.join(sketch, "cid").join(sketch.select(F.col("cid").alias("hub"), F.col("sketch").alias("hub_sketch"), F.col("n_shingles").alias("hub_shingles")), "hub")
+    stars = common.store(stars.where(_estimate_column(F.col("sketch"), F.col("hub_sketch")) >= near), parts=parts, wide=True)
     # One hub for each class, the smallest that is close enough: a class is confirmed in one unit.
-    own = stars.groupBy("cid").agg(F.min(F.struct("hub", "sketch", "hub_sketch")).alias("s")).select("cid", "s.*")
-    hubs = own.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.first("hub_sketch").alias("sketch"))
-    hubs = common.store(hubs.withColumn("of", F.ceil(F.col("n") / TEXT_BLOCK).cast("int")), parts=parts)
+    own = stars.groupBy("cid").agg(F.min(F.struct("hub", "sketch", "n_shingles", "hub_sketch")).alias("s")).select("cid", "s.*")
+    hubs = own.groupBy("hub").agg(_parts_of(F.count(F.lit(1)), F.sum("n_shingles"), TEXT_BLOCK).alias("of"), F.first("hub_sketch").alias("sketch"))
+    hubs = common.store(hubs, parts=parts)
     first = own.select("hub", "cid", "sketch").join(hubs.select("hub", "of"), "hub")
     first = first.select(F.xxhash64("hub", F.pmod(F.xxhash64("cid"), F.col("of")).cast("int")).alias("unit"), "cid", "sketch")
     with_hub = hubs.select("hub", "sketch", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("i"))
     with_hub = with_hub.select(F.xxhash64("hub", "i").alias("unit"), F.col("hub").alias("cid"), "sketch")
     units = common.store(first.unionByName(with_hub).withColumn("comp", F.col("cid")), parts=parts)
     bodies = _bodies(docs, classes, units.select("cid").distinct(), parts)
-    found = common.store(_confirm_units(units, bodies, n, percent), parts=parts)
+    found = common.store(_confirm_units(units, bodies, n, percent), parts=parts, wide=True)
     labels = components(found)
     # Close pairs of other hubs, and buckets of three or more, whose classes are still apart.
     comp = labels.select(F.col("node").alias("cid"), F.col("comp"))
-    pairs = stars.select("hub", "cid", "sketch", "hub_sketch").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    pairs = stars.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     pairs = pairs.join(comp.select(F.col("cid").alias("hub"), F.col("comp").alias("hub_comp")), "hub", "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
     pairs = common.store(pairs.where("comp <> hub_comp"), parts=parts)
     members = members.where("n > 2").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     open_ = members.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
-    apart = common.store(members.join(open_, "band").join(sketch, "cid").select("band", "cid", "comp", "sketch"), parts=parts)
+    apart = common.store(members.join(open_, "band").join(sketch, "cid").select("band", "cid", "comp", "sketch", F.lit(0).alias("n_shingles"), F.col("n_shingles").alias("held")), parts=parts, wide=True)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         """Pairs of components that close sketches join: a forest over the block's components."""
@@ -244,17 +258,17 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
                         label[label == label[j]] = label[i]
         return pd.DataFrame({"a": [x for x, _ in out], "b": [y for _, y in out]}, columns=["a", "b"])
 
-    proposed = _blocks(apart, ["band"], SKETCH_BLOCK).select("unit", "cid", "comp", "sketch").groupBy("unit").applyInPandas(search, "a binary, b binary")
-    proposed = common.store(proposed.unionByName(pairs.select(F.col("comp").alias("a"), F.col("hub_comp").alias("b"))).distinct(), parts=parts)
+    proposed = _blocks(apart, "band", SKETCH_BLOCK).select("unit", "cid", "comp", "sketch").groupBy("unit").applyInPandas(search, "a binary, b binary")
+    proposed = common.store(proposed.unionByName(pairs.select(F.col("comp").alias("a"), F.col("hub_comp").alias("b"))).distinct(), parts=parts, wide=True)
     if not proposed.limit(1).count():
         return labels
     clusters = components(proposed).select(F.col("node").alias("comp"), F.col("comp").alias("cluster"))
-    again = apart.select("cid", "comp", "sketch")
-    again = again.unionByName(pairs.select("cid", "comp", "sketch"))
-    again = again.unionByName(pairs.select(F.col("hub").alias("cid"), F.col("hub_comp").alias("comp"), F.col("hub_sketch").alias("sketch")))
+    again = apart.select("cid", "comp", "sketch", F.col("held").alias("n_shingles"))
+    again = again.unionByName(pairs.select("cid", "comp", "sketch", "n_shingles"))
+    again = again.unionByName(pairs.select(F.col("hub").alias("cid"), F.col("hub_comp").alias("comp"), F.col("hub_sketch").alias("sketch"), F.col("hub_shingles").alias("n_shingles")))
     again = again.dropDuplicates(["cid"]).join(clusters, "comp")
-    units = common.store(_blocks(again, ["cluster"], TEXT_BLOCK).select("unit", "cid", "comp", "sketch"), parts=parts)
-    more = common.store(_confirm_units(units, _bodies(docs, classes, units.select("cid").distinct(), parts), n, percent), parts=parts)
+    units = common.store(_blocks(again, "cluster", TEXT_BLOCK).select("unit", "cid", "comp", "sketch"), parts=parts)
+    more = common.store(_confirm_units(units, _bodies(docs, classes, units.select("cid").distinct(), parts), n, percent), parts=parts, wide=True)
     return components(found.unionByName(more))
 
 
@@ -284,7 +298,8 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> DataFram
 
     Rows without words stay, all of them. All columns and their order stay.
     """
-    found = common.store(near_duplicates(docs, n, percent).select("doc_id", "text_hash", "comp").where("comp is not null"))
+    placed, (text, doc_id) = common.by_place(docs, "text", "doc_id")
+    found = common.store(near_duplicates(placed.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), n, percent).select("doc_id", "text_hash", "comp").where("comp is not null"))
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = common.store(found.groupBy("comp").agg(F.min(key).alias("best")))
     judged = found.select("comp", key.alias("key")).join(best, "comp")
@@ -292,8 +307,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> DataFram
     gone = judged.where("key <> best").select("key.doc_id", "key.text_hash").distinct()
     again = judged.where("key = best").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key.doc_id", "key.text_hash")
     gone, again = common.store(gone), common.store(again)
-    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()], F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_t"))
+    rows = placed.select(*placed.columns, F.col(doc_id).cast("long").alias("_d"), F.xxhash64(text).alias("_t"))
 
     def match(side: DataFrame, how: str) -> DataFrame:
         side = side.select(F.col("doc_id").alias("_sd"), F.col("text_hash").alias("_st"))
@@ -303,9 +317,10 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> DataFram
     rows = match(gone, "left_anti")
     if again.limit(1).count():
         rows = match(again, "left_anti").unionByName(match(again, "left_semi").dropDuplicates(["_d", "_t"]))
-    return rows.select(*[F.col(a).alias(c) for c, a in names.items()])
+    return rows.drop("_d", "_t").toDF(*docs.columns)
 
 
 def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component over links of 2-word shingle sets at 80 %."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, n=2).select("doc_id", "n_shingles", "component_id", "kept")
