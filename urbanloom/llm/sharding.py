@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from . import common
 
 SHARDS = 40
-ROUNDS = 6
+#: Rounds in a row that may pass without fewer documents asking to move.
+PATIENCE = 3
 #: Rows that one task numbers, about.
 SALT_ROWS = 20_000
-#: Blocks of one group have about this part of a shard's rows at most: others leave so much room.
+#: Blocks of a group that no shard can hold have about this part of a shard's rows: they leave so much room.
 BLOCK_PART = 0.8
 
 
@@ -27,10 +28,14 @@ def _salts(rows: int) -> int:
 
 
 def _start(docs: DataFrame, shards: int) -> tuple[DataFrame, int]:
-    """Rows with an id of their own, their block (null: unlinked), and a first shard that ignores links."""
+    """Rows with an id of their own, their block (null: unlinked), and a first shard that ignores links.
+
+    The id is the rank by doc_id and text, so it does not depend on files or partitions (equal rows may change
+    places).
+    """
     body = common.text_bytes()
     rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
+        F.monotonically_increasing_id().alias("place"),
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.length(body) + 16).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
@@ -38,34 +43,40 @@ def _start(docs: DataFrame, shards: int) -> tuple[DataFrame, int]:
     )
     rows = common.store(rows)
     n = rows.count()
-    groups = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    quota = max(1, int(n / shards * BLOCK_PART))
-    linked = rows.join(groups, "group", "left")
-    part = F.pmod(F.xxhash64("doc_id", "rid"), F.ceil(F.col("n") / quota))
-    linked = linked.withColumn("block", F.when(F.col("n").isNotNull(), F.xxhash64("group", part)))
-    ranked = common.gapless_rank(linked.drop("group", "n"), [], ["doc_id", "text_crc32", "rid"], "rank", _salts(n))
-    return common.store(ranked.withColumn("shard", F.pmod("rank", F.lit(shards)).cast("int")).drop("rank")), n
-
-
-def _round(state: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    """One round of moves: the new state and the number of documents that moved."""
+    ranked = common.store(common.gapless_rank(rows, [], ["doc_id", "text_crc32", "group", "place"], "rid", _salts(n)).drop("place"))
+    # Stored: the joins with it stand alone, so that Spark can split a group that many rows share.
+    groups = common.store(ranked.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    quota = max(1, n // shards)
+    linked = ranked.join(groups, "group", "left")
+    # A group that a shard could hold is one block; a larger one has blocks that leave room in a shard.
+    parts = F.when(F.col("n") <= quota, 1).otherwise(F.ceil(F.col("n") / max(1, int(quota * BLOCK_PART))))
+    linked = linked.withColumn("block", F.when(F.col("n").isNotNull(), F.xxhash64("group", F.pmod(F.xxhash64("doc_id", "rid"), parts))))
+    return common.store(linked.withColumn("shard", F.pmod("rid", F.lit(shards)).cast("int")).drop("group", "n")), n
+
+
+def _round(state: DataFrame, rows: int, shards: int) -> tuple[DataFrame, int, int]:
+    """One round of moves: the new state, how many documents asked to move and how many moved."""
+    salts = _salts(rows // shards)
     # At most shards rows: unlinked documents, whose place can be taken.
     room = state.where("block is null").groupBy("shard").agg(F.count(F.lit(1)).alias("room"))
-    held = state.where("block is not null").groupBy("block", "shard").agg(F.count(F.lit(1)).alias("n"))
+    held = common.store(state.where("block is not null").groupBy("block", "shard").agg(F.count(F.lit(1)).alias("n")))
     total = held.groupBy("block").agg(F.sum("n").alias("all"))
     votes = held.join(room, "shard", "left").join(total, "block").where("room > 0 or 2 * n >= all")
-    wish = votes.groupBy("block").agg(F.max_by("shard", F.struct("n", F.xxhash64("block", "shard"))).alias("to"))
+    wish = common.store(votes.groupBy("block").agg(F.max_by("shard", F.struct("n", F.xxhash64("block", "shard"))).alias("to")))
     wishes = state.where("block is not null").join(wish, "block").where("to <> shard")
-    numbered = common.gapless_rank(wishes.select("rid", "block", "shard", "to"), ["shard", "to"], ["block", "rid"], "k", _salts(rows // 40))
+    numbered = common.gapless_rank(wishes.select("rid", "block", "shard", "to"), ["shard", "to"], ["block", "rid"], "k", salts)
     numbered = common.store(numbered)
+    asked = numbered.count()
+    if not asked:
+        return state, 0, 0
     # At most shards ** 2 rows: how many ask for the way back.
     ways = numbered.groupBy(F.col("to").alias("shard"), F.col("shard").alias("to")).agg(F.count(F.lit(1)).alias("back"))
     numbered = numbered.join(F.broadcast(ways), ["shard", "to"], "left")
     swaps = numbered.where("k < back").select("rid", F.col("to").alias("next"))
     rest = numbered.where("back is null or k >= back").select("rid", "block", "shard", "to")
-    asking = common.gapless_rank(rest, ["to"], ["block", "rid"], "k", _salts(rows // 40))
+    asking = common.gapless_rank(rest, ["to"], ["block", "rid"], "k", _salts(asked))
     leaving = state.where("block is null").select("rid", "shard")
-    leaving = common.gapless_rank(leaving, ["shard"], ["rid"], "k", _salts(rows // 40))
+    leaving = common.gapless_rank(leaving, ["shard"], ["rid"], "k", salts)
     asking = asking.select(F.col("rid").alias("a"), F.col("shard").alias("origin"), F.col("to"), "k")
     leaving = leaving.select(F.col("rid").alias("b"), F.col("shard").alias("to"), "k")
     pairs = asking.join(leaving, ["to", "k"])
@@ -73,24 +84,28 @@ def _round(state: DataFrame, rows: int) -> tuple[DataFrame, int]:
     moves = common.store(swaps.unionByName(moved))
     count = moves.count()
     after = state.join(moves, "rid", "left").withColumn("shard", F.coalesce("next", "shard")).drop("next")
-    return common.store(after), count
+    return common.store(after), asked, count
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """A row for each row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Law `rows`: the shards' row counts are at most one apart. size: UTF-8 bytes of the text (null: none) and
-    16. slot: 0, 1, 2, ... within a shard. Null and empty texts are equal texts. Rows may repeat; an empty
-    table has no rows. Ends early when no document wants to move or none can.
+    16. slot: 0, 1, 2, ... within a shard, by doc_id (null first). Null and empty texts are equal texts. Rows
+    may repeat; an empty table has no rows; other columns are not read. Rounds go on until no document asks to
+    move, none can, or PATIENCE rounds have not lowered the number that ask.
     """
     state, n = _start(docs, shards)
-    for _ in range(rounds):
-        state, moved = _round(state, n)
+    least, since = None, 0
+    while since < PATIENCE:
+        state, asked, moved = _round(state, n, shards)
         if not moved:
             break
+        least, since = (asked, 0) if least is None or asked < least else (least, since + 1)
     placed = common.gapless_rank(state, ["shard"], ["doc_id", "rid"], "slot", _salts(n // shards))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in SHARDS shards."""
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
