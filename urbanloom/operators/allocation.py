@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 PARCELS = 200_000
 #: Exchanges between two parcels are tried only where so few parcels are free.
 SWAP_PARCELS = 1200
+#: Differences of an objective that count as none.
+TOLERANCE = 1e-9
 
 
 class Plan:
@@ -34,8 +36,8 @@ class Plan:
         return float(self.suit[parcel, use] * self.area[parcel] + self.weight * shared)
 
     def fill(self) -> None:
-        """Best pairs of parcel and use first (ties: smaller parcel, then use), while the use's area has room."""
-        value = self.suit[self.free] * self.area[self.free, None]
+        """Pairs of the highest suitability first (ties: smaller parcel, then use), while the use's area has room."""
+        value = self.suit[self.free]
         order = np.lexsort((np.tile(np.arange(value.shape[1]), len(self.free)), np.repeat(self.free, value.shape[1]), -value.ravel()))
         for k in order.tolist():
             parcel, use = int(self.free[k // value.shape[1]]), k % value.shape[1]
@@ -43,7 +45,7 @@ class Plan:
                 self.use[parcel] = use
                 self.left[use] -= self.area[parcel]
 
-    def improve(self, rounds: int = 20) -> int:
+    def improve(self, rounds: int = 50) -> int:
         """Moves of single parcels, then exchanges of two, as long as the sum of gains rises; the number of changes."""
         changes = 0
         for _ in range(rounds):
@@ -103,7 +105,7 @@ def _plan(pdf: pd.DataFrame, uses: list[str], targets: dict[str, float], weight:
             near[at[a]].append((at[b], length))
             near[at[b]].append((at[a], length))
     locked = np.array([uses.index(x) if x in uses else -1 for x in own["lock"]], "i8")
-    suit = np.nan_to_num(np.array(own["suit"].tolist(), "f8").reshape(len(own), len(uses)))
+    suit = np.maximum(np.nan_to_num(np.array(own["suit"].tolist(), "f8").reshape(len(own), len(uses))), 0.0)
     return own["id"].to_numpy(), Plan(own["area"].to_numpy("f8"), suit, np.array([targets[u] for u in uses]), locked, near, weight)
 
 
@@ -134,8 +136,9 @@ def pareto_allocation(parcels: DataFrame, targets: dict[str, float], borders: Da
     """point, w_compact, suitability, compactness, on_front, knee of plans with rising weight of compactness.
 
     The largest weight is six times the suitability of the first plan over all borders. A plan is on the front if no other
-    is as good in both and better in one; the knee is the plan of the front farthest from the line between its ends.
-    Each weight's plan is a task of its own.
+    is as good in both and better in one (differences up to TOLERANCE count as none). The knee is the plan of the front
+    farthest from the line between its ends, each objective scaled to its range on the front; a front of fewer than three
+    plans, or of one place, has none. Each weight's plan is a task of its own.
     """
     uses = list(targets)
     every = _together(parcels, borders, uses).drop("_one").withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
@@ -156,9 +159,15 @@ def pareto_allocation(parcels: DataFrame, targets: dict[str, float], borders: Da
     def front(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point").reset_index(drop=True)
         s, c = pdf["suitability"].to_numpy(), pdf["compactness"].to_numpy()
-        on = np.array([not ((s >= a) & (c >= b) & ((s > a) | (c > b))).any() for a, b in zip(s, c, strict=True)])
-        unit = lambda v: (v - v.min()) / (v.max() - v.min()) if v.max() > v.min() else np.zeros(len(v))
-        far = np.where(on, unit(s) + unit(c), -1.0)
-        return pdf.assign(on_front=on.astype("int32"), knee=(np.arange(len(pdf)) == int(np.argmax(far))).astype("int32"))
+        good, better = (lambda v: v[None, :] >= v[:, None] - TOLERANCE), (lambda v: v[None, :] > v[:, None] + TOLERANCE)
+        on = ~(good(s) & good(c) & (better(s) | better(c))).any(axis=1)
+        knee = np.zeros(len(pdf), "int32")
+        if on.sum() >= 3:
+            x, y = ((v - v[on].min()) / np.ptp(v[on]) if np.ptp(v[on]) > 0 else np.zeros(len(v)) for v in (s, c))
+            order = np.flatnonzero(on)[np.argsort(x[on], kind="stable")]
+            dx, dy = x[order[-1]] - x[order[0]], y[order[-1]] - y[order[0]]
+            if np.hypot(dx, dy) > 0:
+                knee[order[int(np.argmax(np.abs(dy * (x[order] - x[order[0]]) - dx * (y[order] - y[order[0]]))))]] = 1
+        return pdf.assign(on_front=on.astype("int32"), knee=knee)
 
     return found.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(lambda p: front(p.drop(columns="_one")), "point int, w_compact double, suitability double, compactness double, on_front int, knee int")

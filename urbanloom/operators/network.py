@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from urbanloom.functions.ordered import numbered
 from urbanloom.functions.scratch import written
 
 BROADCAST_EDGES = 2_000_000
@@ -42,7 +43,7 @@ def build_graph(lines: DataFrame, tolerance: float = 0.01, cost: str | None = No
     held = held.withColumns({"_ks": key(F.col("_s")), "_ke": key(F.col("_e"))})
     ends = held.select(F.explode(F.array(*[F.struct(F.struct(F.col("line_id"), F.lit(n).alias("n")).alias("at"), F.col(f"_k{c}").alias("k"), F.col(f"_{c}").alias("p")) for n, c in ((0, "s"), (1, "e"))])).alias("v")).select("v.*")
     nodes = ends.groupBy("k").agg(F.min("at").alias("at"), F.min_by("p", "at").alias("p"))
-    nodes = nodes.withColumn("node_id", (F.row_number().over(W.orderBy("at")) - 1).cast("long"))
+    nodes = numbered(nodes, ["at"], "node_id")
     nodes = written(nodes.select("k", "node_id", F.col("p.x").alias("x"), F.col("p.y").alias("y")))
     a, b = (nodes.select(F.col("k").alias(f"_k{c}"), F.col("node_id").alias(n)) for c, n in (("s", "a"), ("e", "b")))
     edges = held.join(a, "_ks").join(b, "_ke")
@@ -56,27 +57,31 @@ def nearest_node(points: DataFrame, nodes: DataFrame, cell: float | None = None)
     """points (x, y) with node_id and snap_m of their nearest node (ties: smaller node_id).
 
     Points meet the nodes of the 3 x 3 cells around them; those whose best node is not surely the nearest go on
-    with cells of double size, so each round's join is on equal cells and local.
+    with cells four times as large, so each round's join is on equal cells and local. A point outside the nodes'
+    bounds looks around its nearest place on them, at distance out: a node farther than one cell from there is
+    farther than hypot(out, cell) from the point, so a best node within that is the nearest. Once a cell is as
+    large as the bounds every node is in reach, so each point with coordinates finds its node.
     """
     bounds = nodes.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n")).first()
     if not bounds.n:
         return points.select("*", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("snap_m"))
     span = max(bounds.x1 - bounds.x0, bounds.y1 - bounds.y0, 1.0)
     cell = cell or max(span / max(1.0, bounds.n**0.5), span * 1e-6)
-    todo = written(points.withColumn("_pid", F.monotonically_increasing_id()))
+    near = lambda c: F.least(F.greatest(F.col(c), F.lit(bounds[f"{c}0"])), F.lit(bounds[f"{c}1"]))
+    todo = written(points.select("*", F.monotonically_increasing_id().alias("_pid")))
     whole, done = todo, []
+    todo = todo.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    todo = todo.select("_pid", "x", "y", near("x").alias("px"), near("y").alias("py"))
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     while True:
-        last = cell >= 4 * span
+        last = cell >= span
         at = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"), F.floor(F.col("x") / cell).alias("ci"), F.floor(F.col("y") / cell).alias("cj"))
-        if last:
-            found = todo.select("_pid", "x", "y").crossJoin(at.drop("ci", "cj")) if bounds.n <= 10_000 else None
-        if not last or found is None:
-            seen = todo.select("_pid", "x", "y", around.alias("o")).withColumns({"ci": F.floor(F.col("x") / cell) + F.col("o.i"), "cj": F.floor(F.col("y") / cell) + F.col("o.j")})
-            found = seen.join(at, ["ci", "cj"])
+        seen = todo.select("*", around.alias("o")).withColumns({"ci": F.floor(F.col("px") / cell) + F.col("o.i"), "cj": F.floor(F.col("py") / cell) + F.col("o.j")})
         d = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
-        best = found.groupBy("_pid").agg(F.min(F.struct(d.alias("d"), "node_id")).alias("b")).select("_pid", F.col("b.node_id").alias("node_id"), F.col("b.d").alias("snap_m"))
-        best = written(best if last else best.where(F.col("snap_m") <= cell))
+        out = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
+        best = seen.join(at, ["ci", "cj"]).groupBy("_pid").agg(F.min(F.struct(d.alias("d"), "node_id")).alias("b"), F.first(out).alias("out"))
+        best = best.select("_pid", F.col("b.node_id").alias("node_id"), F.col("b.d").alias("snap_m"), "out")
+        best = written((best if last else best.where(F.col("snap_m") <= F.hypot("out", F.lit(cell)))).drop("out"))
         done.append(best)
         todo = written(todo.join(best, "_pid", "left_anti"))
         if last or not todo.limit(1).count():

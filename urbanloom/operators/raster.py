@@ -106,19 +106,23 @@ def neighbour_share(mask: DataFrame) -> DataFrame:
 
 
 def grow(urban: DataFrame, suitability: DataFrame, demand: int, steps: int = 5, blocked: DataFrame | None = None, weight: float = 1.0, base: float = 0.1) -> DataFrame:
-    """row, col, year_of (0: urban at the start): each step turns the best free cells, suitability times (base + weight x
-    share of urban neighbours); equal scores go by a hash of the place, so runs agree. The last step takes what is left."""
-    bounds = suitability.agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    free = suitability.crossJoin(F.broadcast(bounds)).select("row", "col", F.coalesce(F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)).alias("fit"))
+    """row, col, year_of (0: urban at the start). Each step turns the free cells with the highest scores, as many as its
+    share of the demand (the last step's share is what is left) or as there are: suitability, scaled to 0 to 1, times
+    (base + weight x share of urban neighbours). Every free cell with a finite suitability can turn, whatever its score;
+    equal scores go by a scattered number of the place, so runs agree. Cells of `blocked` (row, col) never turn."""
+    fine = suitability.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < F.lit(float("inf"))))
+    bounds = fine.agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    free = fine.crossJoin(F.broadcast(bounds)).select("row", "col", F.coalesce(F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)).alias("fit"))
     free = free if blocked is None else free.join(blocked, ["row", "col"], "left_anti")
     free = written(free)
     done = written(urban.select("row", "col", F.lit(0).alias("year_of")))
     each = demand // steps
+    scattered = F.pmod(F.col("row").cast("long") * 73_856_093 + F.col("col").cast("long") * 19_349_663, F.lit(1_000_003))
     for step in range(1, steps + 1):
         k = each if step < steps else demand - each * (steps - 1)
         open_ = free.join(done, ["row", "col"], "left_anti").join(neighbour_share(done), ["row", "col"], "left")
         score = F.col("fit") * (base + weight * F.coalesce("share", F.lit(0.0)))
-        best = open_.withColumn("score", score).where("score > 0").orderBy(F.col("score").desc(), F.xxhash64("row", "col")).limit(k)
+        best = open_.withColumn("score", score).orderBy(F.col("score").desc(), scattered, "row", "col").limit(k)
         done = written(done.unionByName(best.select("row", "col", F.lit(step).alias("year_of"))))
     return done
 

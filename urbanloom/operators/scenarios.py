@@ -94,9 +94,19 @@ def skipped_metrics(metrics: DataFrame) -> DataFrame:
     return _scored(metrics, None).where("skipped is not null").groupBy("metric").agg(F.first("skipped").alias("reason"))
 
 
+#: Metrics of a snapshot, at most.
+SNAPSHOT_METRICS = 100_000
+
+
 def write_snapshot(metrics: DataFrame, name: str, path: str, generated: str) -> None:
-    """One scenario's metrics as a JSON file (kind, version, name, generated, metrics); rows without a number are left out."""
-    held = {r.metric: r.value for r in metrics.where("value is not null and not isnan(value)").select("metric", F.col("value").cast("double")).limit(100_000).collect()}
+    """One scenario's metrics as a JSON file (kind, version, name, generated, metrics); rows without a number are left out.
+
+    A snapshot is one small file: more than SNAPSHOT_METRICS metrics are an error.
+    """
+    rows = metrics.where("value is not null and not isnan(value)").select("metric", F.col("value").cast("double")).limit(SNAPSHOT_METRICS + 1).collect()
+    if len(rows) > SNAPSHOT_METRICS:
+        raise ValueError(f"more than {SNAPSHOT_METRICS} metrics")
+    held = {r.metric: r.value for r in rows}
     with open(path, "w", encoding="utf-8") as out:
         json.dump({"kind": "scenario-snapshot", "version": 1, "name": name or "Scenario", "generated": generated, "metrics": held}, out, indent=2, sort_keys=True)
 

@@ -182,9 +182,13 @@ def irradiation(dsm: DataFrame, pixel: float, date: datetime.date, utc_offset: f
     return held.join(every.groupBy("row", "col").agg(F.sum("e").alias("e")), ["row", "col"]).select("row", "col", (F.col("e") + F.col("svf") * diffuse).alias("kwh_m2"))
 
 
+#: The day of each month whose declination is nearest to the month's mean.
+REPRESENTATIVE_DAYS = (17, 16, 16, 15, 15, 11, 17, 16, 15, 15, 14, 10)
+
+
 def annual_irradiation(dsm: DataFrame, pixel: float, year: int, utc_offset: float, lat: float, lon: float, interval_min: float = 60.0, svf: DataFrame | None = None, reach: float | None = None) -> DataFrame:
-    """row, col, kwh_m2 of a year: the middle day of each month, times the month's days."""
-    months = [irradiation(dsm, pixel, datetime.date(year, m, 15), utc_offset, lat, lon, interval_min, svf, reach).withColumn("kwh_m2", F.col("kwh_m2") * calendar.monthrange(year, m)[1]) for m in range(1, 13)]
+    """row, col, kwh_m2 of a year: a representative day of each month, times the month's days."""
+    months = [irradiation(dsm, pixel, datetime.date(year, m, REPRESENTATIVE_DAYS[m - 1]), utc_offset, lat, lon, interval_min, svf, reach).withColumn("kwh_m2", F.col("kwh_m2") * calendar.monthrange(year, m)[1]) for m in range(1, 13)]
     every = months[0]
     for more in months[1:]:
         every = every.unionByName(more)

@@ -107,7 +107,7 @@ def sprawl_metrics(spark: SparkSession, d: str) -> DataFrame:
 def growth(spark: SparkSession, d: str) -> DataFrame:
     dem = _dem(spark, d)
     done = ra.grow(dem.where("value >= 45").select("row", "col"), dem, 50, 2)
-    return done.groupBy("year_of").agg(F.count(F.lit(1)).alias("cells"))
+    return done
 
 
 def shadow_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -192,6 +192,14 @@ _POINTS = """q AS (SELECT c_custkey AS id, c_custkey * 37 % 2001 + 0.25::DOUBLE
 s AS (SELECT s_suppkey * 41 % 2011 AS sx, s_suppkey * 59 % 2017 AS sy, CAST(s_suppkey * 13 % 700 AS DOUBLE) AS v, s_suppkey % 20 AS h, s_suppkey % 5 AS k FROM supplier),
 n AS (SELECT *, sqrt((x - sx) ^ 2 + (y - sy) ^ 2) AS dist FROM q, s)"""
 
+
+
+def _grown(k: int) -> str:
+    """Step k of growth: of the cells not in the table before, the 25 with the highest scores."""
+    return f"""n{k} AS (SELECT f.r, f.c, f.fit * (0.1::DOUBLE + (SELECT count(*) FROM u{k - 1} u WHERE abs(u.r - f.r) <= 1 AND abs(u.c - f.c) <= 1 AND (u.r <> f.r OR u.c <> f.c)) / 8.0::DOUBLE) AS score FROM f ANTI JOIN u{k - 1} u ON u.r = f.r AND u.c = f.c),
+u{k} AS (SELECT * FROM u{k - 1} UNION ALL SELECT r, c, {k} FROM (SELECT * FROM n{k} ORDER BY score DESC, (r::BIGINT * 73856093 + c::BIGINT * 19349663) % 1000003, r, c LIMIT 25))"""
+
+
 ORACLES = {
     "site_coverage": f"WITH {_SITES} SELECT CAST(site AS BIGINT) AS site, sum(weight) AS reach_dem FROM c JOIN w USING (demand) WHERE cost <= 15 GROUP BY site",
     "site_nearest": f"WITH {_SITES}, r AS (SELECT demand, site, cost, row_number() OVER (PARTITION BY demand ORDER BY cost, site) AS k FROM c WHERE site IN (3, 11, 20) AND cost <= 45) SELECT w.demand, weight, CAST(site AS BIGINT) AS site, cost FROM w LEFT JOIN r ON r.demand = w.demand AND k = 1",
@@ -204,6 +212,8 @@ SELECT sr AS row, sc AS col, round(sz - g.z, 6) AS value FROM t JOIN g ON g.r =
 SELECT kind, count(d.z) AS exposed_n, count(*) AS total_n, sum(CASE WHEN d.z IS NULL THEN 0 ELSE w END) AS exposed_w, sum(w) AS total_w FROM p LEFT JOIN d ON d.r = p.r AND d.c = p.c AND d.z >= 0 AND d.z <= 20 GROUP BY kind""",
     "neighbour_share": f"WITH {_MASK} SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, count(*) / 8.0::DOUBLE AS share FROM (SELECT r + i.range AS r, c + j.range AS c FROM m, range(-1, 2) i, range(-1, 2) j WHERE i.range <> 0 OR j.range <> 0) GROUP BY ALL",
     "edge_length": f"WITH {_MASK} SELECT 2.0::DOUBLE * (4 * (SELECT count(*) FROM m) - (SELECT count(*) FROM m a, m b WHERE abs(a.r - b.r) + abs(a.c - b.c) = 1)) AS edge_m",
+    "growth": f"""WITH {_DEM}, b AS (SELECT min(z) AS lo, max(z) AS hi FROM d), f AS (SELECT r, c, (z - lo) / (hi - lo) AS fit FROM d, b), u0 AS (SELECT r, c, 0 AS k FROM d WHERE z >= 45),
+{_grown(1)}, {_grown(2)} SELECT r AS row, c AS col, k AS year_of FROM u2""",
     "shadow_cells": f"WITH {_DEM} SELECT d.r AS row, d.c AS col, CAST(coalesce(max(e.z - 2 * (e.c - d.c)) > d.z + 0.01::DOUBLE, false) AS INTEGER) AS shadow FROM d LEFT JOIN d e ON e.r = d.r AND e.c > d.c AND e.c <= d.c + 20 GROUP BY d.r, d.c, d.z",
     "noise_receivers": f"""WITH {_POINTS}, l AS (SELECT id, 37.3::DOUBLE + 10 * log10(v * (1 + 0.082::DOUBLE * h)) + 10 * log10(25 * 10 / pi()) - 20 * log10(greatest(dist, 1)) AS level FROM n WHERE dist <= 250 AND v > 0),
 z AS (SELECT q.id, coalesce(10 * log10(sum(10 ^ (level / 10))), -1) AS db FROM q LEFT JOIN l ON l.id = q.id GROUP BY q.id)
