@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from urbanloom.functions.ordered import numbered
-from urbanloom.operators import allocation, network, raster, sight, street
+from urbanloom.operators import allocation, network, raster, sight, siting, street
 
 
 def test_samples_lie_in_the_middle_of_equal_parts(spark):
@@ -86,3 +86,26 @@ def test_first_fill_goes_by_suitability(spark):
 
 def test_representative_days():
     assert len(sight.REPRESENTATIVE_DAYS) == 12 and sum(sight.REPRESENTATIVE_DAYS) == 177
+
+
+def test_plans_filled_at_once_are_filled_alone():
+    rng = np.random.default_rng(4)
+    d = np.where(rng.random((6, 40)) < 0.2, np.inf, rng.integers(1, 60, (6, 40)) + rng.random((6, 40)))
+    w, cap = rng.integers(1, 9, 40).astype("f8"), rng.integers(20, 60, 6).astype("f8")
+    trials = rng.random((12, 6)) < 0.5
+    served, cost, left = siting.trial_fills(d, w, cap, siting.cheapest_pairs(d), trials)
+    for t, on in enumerate(trials):
+        found, rest = siting.fill(np.where(on[:, None], d, np.inf), w, cap)
+        j = np.flatnonzero(found >= 0)
+        assert served[t] == pytest.approx(w[j].sum()) and cost[t] == pytest.approx((d[found[j], j] * w[j]).sum())
+        assert left[t][on] == pytest.approx(rest[on])
+
+
+def test_slots_end_where_no_single_exchange_helps():
+    rng = np.random.default_rng(5)
+    d, w, cap = rng.integers(1, 90, (8, 30)) + rng.random((8, 30)), np.ones(30), np.full(8, 9.0)
+    plan = siting.SitePlan(d, w, cap, np.array([True] + [False] * 7), 3)
+    while any([plan.refill(k) for k in range(3)]):
+        pass
+    assert len(set(plan.slots.tolist())) == 3 and 0 not in plan.slots and plan.loads().sum() == 30
+    assert not any(plan.refill(k) for k in range(3))
