@@ -420,6 +420,31 @@ def centrality(nodes: DataFrame, edges: DataFrame, radius: float | None = None)
     return held.select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"), "reach", "closeness", "harm_clo", "straight", "betweenness", (F.col("betweenness") / pairs if pairs > 0 else F.lit(0.0)).alias("betw_norm"))
 
 
+def eigenvector(edges: DataFrame, rounds: int = 200, tolerance: float = 1e-10) -> DataFrame:
+    """node_id, eigen (largest 1): power iteration on the adjacency and the identity, parallel edges counted apart.
+
+    One task multiplies the broadcast arrays (at most BROADCAST_EDGES edges): each round needs the whole of the last.
+    """
+    spark = edges.sparkSession
+    shared = spark.sparkContext.broadcast(csr_of(edges))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = shared.value
+        src = np.repeat(np.arange(graph.n), np.diff(graph.indptr))
+        for _ in batches:
+            x = np.ones(graph.n)
+            for _ in range(rounds):
+                y = x + np.bincount(graph.dst, weights=x[src], minlength=graph.n)
+                y /= max(y.max(), 1e-300)
+                done = np.abs(y - x).max() < tolerance
+                x = y
+                if done:
+                    break
+            yield pd.DataFrame({"node_id": np.arange(graph.n), "eigen": x})
+
+    return spark.range(1 if shared.value.n else 0).coalesce(1).mapInPandas(run, "node_id long, eigen double")
+
+
 def link_criticality(nodes: DataFrame, edges: DataFrame, origins: DataFrame, destinations: DataFrame | None = None, cutoff: float | None = None) -> DataFrame:
     """edge_id, criticality, extra_cost, n_disconnected, used_by, length_m: what losing an edge adds to all routes.
 

@@ -81,6 +81,19 @@ def housing_needs(df: DataFrame, pop_future: str, existing: str, hh_size: float
     return df.select("*", households.alias("households"), target.alias("target_stock"), need.alias("need"))
 
 
+def housing_metrics(pop_future: float, existing: float, hh_size: float = 2.5, vacancy: float = 0.05, replacement: float = 0.0, backlog: float = 0.0) -> list[tuple[str, float]]:
+    """The same for one place as (metric, value) rows, its inputs among them."""
+    if hh_size <= 0:
+        raise ValueError("the household size must be positive")
+    floor = lambda v: max(0.0, v)
+    households = pop_future / hh_size
+    target = households * (1 + floor(vacancy))
+    need = target - existing + floor(replacement) + floor(backlog)
+    # Names of the metrics, in their order.
+    return [("Horizon population", pop_future), ("Household size", hh_size), ("Future households", households), ("Vacancy allowance", vacancy), ("Target stock (units)", target),
+            ("Existing dwellings", existing), ("Replacement losses", floor(replacement)), ("Backlog", floor(backlog)), ("Dwellings needed", need)]
+
+
 def population_projection(df: DataFrame, order: str, age: str, pop: str, survival: str, fertility: str, migration: str | None = None, steps: int = 4, step_years: int = 5) -> DataFrame:
     """Cohorts in `order` carried on: step, year_offset, age_group, population.
 

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from urbanloom.functions.scratch import written
+from urbanloom.operators.network import nearest_node, nearest_source
 
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
@@ -102,3 +103,32 @@ def earliest_arrival(times: DataFrame, access: DataFrame, max_transfers: int = 2
         if not fresh.limit(1).count():
             break
     return best
+
+
+def door_to_door(nodes: DataFrame, edges: DataFrame, times: DataFrame, stops: DataFrame, origins: DataFrame, demand: DataFrame, departure: float, walk_kmh: float = 4.8, max_walk_min: float = 10.0, max_transfers: int = 2) -> DataFrame:
+    """Rows of demand (x, y, ...) with walk_min, transit_min, best_min, saved_min, mode: from the nearest of the origins
+    (x, y) on foot, and on foot to a stop, by trips and on foot again, leaving at `departure` (seconds).
+
+    stops (stop_id, x, y) that are farther from the network than the longest walk to a stop take no part; the walk
+    from the last stop has no limit. Walks go along the network from the nearest node, with a stop's way to its node. mode is
+    Transit if that is faster, else Walk, or Unreachable (all minutes null); saved_min is 0 for walks and null if no walk
+    leads there.
+    """
+    speed = walk_kmh / 3.6
+    ways = written(edges.select("a", "b", (F.col("len") / speed).alias("cost")))
+    starts = nearest_node(origins.select("x", "y"), nodes).select("node_id", F.lit(0).alias("start"), F.lit(0.0).alias("offset"))
+    walk = written(nearest_source(ways, starts).select(F.col("node").alias("node_id"), F.col("cost").alias("_walk")))
+    at = nearest_node(stops.select("stop_id", "x", "y"), nodes).where(F.col("snap_m") <= max_walk_min * 60 * speed)
+    at = written(at.select("stop_id", "node_id", (F.col("snap_m") / speed).alias("_snap")))
+    to_stop = F.col("_walk") + F.col("_snap")
+    access = at.join(walk, "node_id").where(to_stop <= max_walk_min * 60).select("stop_id", (departure + to_stop).alias("at"))
+    arrived = at.join(earliest_arrival(times, access, max_transfers), "stop_id")
+    left = arrived.select("node_id", F.lit(0).alias("start"), (F.col("arrival") + F.col("_snap")).alias("offset"))
+    ride = written(nearest_source(ways, left).select(F.col("node").alias("node_id"), F.col("cost").alias("_ride")))
+    ends = nearest_node(demand, nodes).drop("snap_m").join(walk, "node_id", "left").join(ride, "node_id", "left")
+    on_foot, by_trips = F.col("_walk") / 60, (F.col("_ride") - departure) / 60
+    faster = by_trips < F.coalesce(on_foot, F.lit(float("inf")))
+    best = F.least(on_foot, by_trips)
+    mode = F.when(best.isNull(), "Unreachable").when(faster, "Transit").otherwise("Walk")
+    saved = F.when(faster, on_foot - by_trips).when(best.isNotNull(), 0.0)
+    return ends.select(*demand.columns, on_foot.alias("walk_min"), by_trips.alias("transit_min"), best.alias("best_min"), saved.alias("saved_min"), mode.alias("mode"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanloom.operators import network as op
+from urbanloom.operators import noding, walkability as walk
 from urbanloom.plans.rounding import rounded
 from urbanloom.sources.tables import table
 
@@ -127,7 +128,29 @@ def service_area_edges(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pieces.groupBy("band").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.col("to_m") - F.col("from_m")).alias("length_m")), 6)
 
 
-QUERIES = {f.__name__: f for f in (od_matrix, costs_by_joins, od_routes, nearest_facility, facility_summary, facility_adequacy, access_score, green_access_summary, street_nodes, low_stress_islands, network_centrality, network_betweenness, link_criticality, service_area_edges)}
+def network_eigenvector(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _graph(spark)
+    return rounded(op.eigenvector(edges).join(nodes, "node_id").select("x", "y", "eigen"), 6)
+
+
+def prepare_network(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as straight streets of 500 to 870 m that cross one another."""
+    k = F.col("s_suppkey")
+    x, y = k * 41 % 2011 * 1.0, k * 59 % 2017 * 1.0
+    end = F.struct((x + 400 + k % 7 * 50).alias("x"), (y + (k % 2 * 2 - 1) * (300 + k % 5 * 40)).alias("y"))
+    streets = table(spark, d, "supplier").select(k.alias("line_id"), F.array(F.struct(x.alias("x"), y.alias("y")), end).alias("pts"))
+    return rounded(noding.prepare_network(streets).select("line_id", "length_m"), 4)
+
+
+def walkability(spark: SparkSession, d: str) -> DataFrame:
+    """The lattice with customers as destinations and a relief of 8 x 8 cells from parts."""
+    k = F.col("p_partkey")
+    relief = table(spark, d, "part").groupBy((F.floor(k / 8) % 8).cast("int").alias("row"), (k % 8).cast("int").alias("col")).agg(F.avg("p_size").alias("z"))
+    found = walk.walkability(lattice(spark).select("line_id", "pts"), 260.0, pois=_demand(spark, d), dem=relief, grid=(0.0, 100.0, 0.0, 100.0))
+    return rounded(found.select("line_id", "walk_score", "int_km2", "blk_len", "n_pois", "slope_pct"), 6)
+
+
+QUERIES = {f.__name__: f for f in (network_eigenvector, prepare_network, walkability, od_matrix, costs_by_joins, od_routes, nearest_facility, facility_summary, facility_adequacy, access_score, green_access_summary, street_nodes, low_stress_islands, network_centrality, network_betweenness, link_criticality, service_area_edges)}
 
 _EDGES = """l AS (SELECT range AS id, range % 8 AS c, range // 8 AS r FROM range(64)),
 e AS (SELECT id * 2 AS edge, id AS a, id + 1 AS b, 100 + (c * 7 + r * 13) % 11 * 7.5::DOUBLE AS cost, (id * 5) % 7 / 2.0::DOUBLE + 1 AS lts FROM l WHERE c < 7
@@ -185,6 +208,26 @@ SELECT edge AS edge_id, CAST(lts <= 2 AS INTEGER) AS lowstress, CASE WHEN lts <=
     "network_centrality": f"""WITH {_COSTS}, n AS (SELECT node, count(*) AS g FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node),
 s AS (SELECT a, sum(cost) AS f, sum(1 / cost) AS h, avg(sqrt((a % 8 - b % 8) ^ 2 + (a // 8 - b // 8) ^ 2) * 100 / cost) AS st FROM d WHERE a <> b GROUP BY a)
 SELECT a % 8 * 100.0::DOUBLE AS x, a // 8 * 100.0::DOUBLE AS y, CAST(g AS INTEGER) AS degree, 64 AS reach, round(63 / f, 8) AS closeness, round(h, 8) AS harm_clo, round(st, 8) AS straight FROM s JOIN n ON n.node = s.a""",
-    "link_criticality": None,
+    # The number of shortest paths by their number of streets; a node lies on those where its two parts are shortest too.
+    "network_betweenness": f"""WITH RECURSIVE {_COSTS}, w AS (SELECT a, b, cost FROM e UNION ALL SELECT b, a, cost FROM e),
+p AS (SELECT id AS s, id AS v, 0 AS k, 1.0::DOUBLE AS n FROM l UNION ALL
+  SELECT p.s, w.b, p.k + 1, sum(p.n) FROM p JOIN w ON w.a = p.v JOIN d x ON x.a = p.s AND x.b = p.v JOIN d z ON z.a = p.s AND z.b = w.b WHERE x.cost + w.cost = z.cost AND p.k < 32 GROUP BY p.s, w.b, p.k),
+g AS MATERIALIZED (SELECT p.s, p.v, d.cost, sum(n) AS n FROM p JOIN d ON d.a = p.s AND d.b = p.v GROUP BY p.s, p.v, d.cost),
+t AS (SELECT i.v, sum(i.n * j.n / h.n) / 2 AS bc FROM g i JOIN g j ON j.s = i.v JOIN g h ON h.s = i.s AND h.v = j.v WHERE i.s <> i.v AND j.v <> i.v AND i.s <> j.v AND i.cost + j.cost = h.cost GROUP BY i.v)
+SELECT id % 8 * 100.0::DOUBLE AS x, id // 8 * 100.0::DOUBLE AS y, round(coalesce(bc, 0), 6) AS betweenness, round(coalesce(bc, 0) / 1953, 6) AS betw_norm FROM l LEFT JOIN t ON t.v = l.id""",
+    "network_eigenvector": f"""WITH RECURSIVE {_EDGES}, w AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e UNION ALL SELECT id, id FROM l),
+p AS (SELECT id, 1.0::DOUBLE AS x, 0 AS k FROM l UNION ALL SELECT w.b, sum(p.x) / 5, p.k + 1 FROM p JOIN w ON w.a = p.id WHERE p.k < 200 GROUP BY w.b, p.k)
+SELECT id % 8 * 100.0::DOUBLE AS x, id // 8 * 100.0::DOUBLE AS y, round(x / max(x) OVER (), 6) AS eigen FROM p WHERE k = 200""",
+    "prepare_network": """WITH s AS (SELECT s_suppkey AS i, s_suppkey * 41 % 2011 * 1.0::DOUBLE AS x, s_suppkey * 59 % 2017 * 1.0::DOUBLE AS y, 400.0::DOUBLE + s_suppkey % 7 * 50 AS u, (s_suppkey % 2 * 2 - 1) * (300.0::DOUBLE + s_suppkey % 5 * 40) AS v FROM supplier),
+c AS (SELECT p.i, ((q.x - p.x) * q.v - (q.y - p.y) * q.u) / (p.u * q.v - p.v * q.u) AS t, ((q.x - p.x) * p.v - (q.y - p.y) * p.u) / (p.u * q.v - p.v * q.u) AS z FROM s p JOIN s q ON p.i <> q.i AND p.u * q.v <> p.v * q.u),
+m AS (SELECT i, t FROM c WHERE t BETWEEN 0 AND 1 AND z BETWEEN -1e-9 AND 1 + 1e-9 UNION ALL SELECT i, 0 FROM s UNION ALL SELECT i, 1 FROM s),
+g AS (SELECT i, lead(t) OVER (PARTITION BY i ORDER BY t) - t AS part FROM m)
+SELECT i AS line_id, round(part * sqrt(u * u + v * v), 4) AS length_m FROM g JOIN s USING (i) WHERE part * sqrt(u * u + v * v) > 0.05::DOUBLE""",
+    "walkability": f"""WITH {_EDGES}, {_C}, n AS (SELECT id, c * 100 AS x, r * 100 AS y FROM l WHERE NOT (c IN (0, 7) AND r IN (0, 7))),
+h AS (SELECT p_partkey // 8 % 8 * 8 + p_partkey % 8 AS id, avg(p_size) AS z FROM part GROUP BY 1),
+m AS (SELECT edge, a, b, (a % 8 + b % 8) * 50.0::DOUBLE AS x, (a // 8 + b // 8) * 50.0::DOUBLE AS y FROM e),
+j AS (SELECT edge, count(n.id) / (pi() * 0.0676::DOUBLE) AS km2 FROM m LEFT JOIN n ON (m.x - n.x) ^ 2 + (m.y - n.y) ^ 2 <= 67600 GROUP BY edge),
+o AS (SELECT edge, count(c.id) AS pois FROM m LEFT JOIN c ON (m.x - c.x) ^ 2 + (m.y - c.y) ^ 2 <= 67600 GROUP BY edge),
+s AS (SELECT m.edge, km2, pois, coalesce(abs(ha.z - hb.z), 0) AS slope FROM m JOIN j USING (edge) JOIN o USING (edge) LEFT JOIN h ha ON ha.id = m.a LEFT JOIN h hb ON hb.id = m.b)
+SELECT edge AS line_id, round((30 * least(km2 / 120, 1) + 25 * least(pois / 25.0::DOUBLE, 1) + 10 * 0.9375::DOUBLE + 10 * greatest(least((12 - slope) / 12, 1), 0)) / 0.75::DOUBLE, 6) AS walk_score, round(km2, 6) AS int_km2, 100.0::DOUBLE AS blk_len, CAST(pois AS INTEGER) AS n_pois, round(slope, 6) AS slope_pct FROM s""",
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}
