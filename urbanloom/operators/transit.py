@@ -112,7 +112,7 @@ def door_to_door(nodes: DataFrame, edges: DataFrame, times: DataFrame, stops: Da
     stops (stop_id, x, y) that are farther from the network than the longest walk to a stop take no part; the walk
     from the last stop has no limit. Walks go along the network from the nearest node, with a stop's way to its node. mode is
     Transit if that is faster, else Walk, or Unreachable (all minutes null); saved_min is 0 for walks and null if no walk
-    leads there.
+    leads there. A place that takes no walking at all is a walk of 0 minutes.
     """
     speed = walk_kmh / 3.6
     ways = written(edges.select("a", "b", (F.col("len") / speed).alias("cost")))
