@@ -11,7 +11,7 @@ from urbanloom.sources.tables import table
 
 
 def landuse_balance(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(op.landuse_balance(table(spark, d, "part"), "p_type", "p_size", 1000.0, "steel=3, brass=2, tin=90"), 4)
+    return rounded(op.landuse_balance(table(spark, d, "part"), "p_type", "p_size", 1000.0, "economy=3, large=9, stand=90"), 4)
 
 
 def residential_capacity(spark: SparkSession, d: str) -> DataFrame:
@@ -121,8 +121,8 @@ _CHANGE = "SELECT l_returnflag AS from_class, l_linestatus AS to_class, count(*)
 
 ORACLES = {
     "landuse_balance": """
-WITH a AS (SELECT p_type AS category, CAST(sum(p_size) AS DOUBLE) AS area, CASE WHEN lower(p_type) LIKE '%steel%' THEN 'steel' WHEN lower(p_type) LIKE '%brass%' THEN 'brass' WHEN lower(p_type) LIKE '%tin%' THEN 'tin' ELSE '' END AS k FROM part GROUP BY p_type),
-b AS (SELECT *, CASE k WHEN 'steel' THEN 3.0::DOUBLE WHEN 'brass' THEN 2.0::DOUBLE WHEN 'tin' THEN 90.0::DOUBLE END AS per FROM a)
+WITH a AS (SELECT p_type AS category, CAST(sum(p_size) AS DOUBLE) AS area, CASE WHEN lower(p_type) LIKE '%economy%' THEN 'economy' WHEN lower(p_type) LIKE '%large%' THEN 'large' WHEN lower(p_type) LIKE '%stand%' THEN 'stand' ELSE '' END AS k FROM part GROUP BY p_type),
+b AS (SELECT *, CASE k WHEN 'economy' THEN 3.0::DOUBLE WHEN 'large' THEN 9.0::DOUBLE WHEN 'stand' THEN 90.0::DOUBLE END AS per FROM a)
 SELECT category, round(area, 4) AS area_m2, round(area / 1000, 4) AS m2_capita, k AS std_key, coalesce(per, 0) AS std_m2cap, coalesce(per * 1000, 0) AS required,
   CASE WHEN per IS NULL THEN 0.0::DOUBLE ELSE round(area - per * 1000, 4) END AS balance_m2, CASE WHEN per IS NULL THEN 'No standard' WHEN area - per * 1000 >= 0 THEN 'Meets standard' ELSE 'Deficit' END AS status FROM b""",
     "residential_capacity": f"WITH {_CAPACITY} SELECT p_partkey, round(b, 4) AS buildable_m2, CAST(floor(b * 0.85::DOUBLE / 90) AS BIGINT) AS cap_units FROM c",
