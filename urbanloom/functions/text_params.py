@@ -79,3 +79,15 @@ def _number(text: str, entry: str) -> float:
         return float(text)
     except ValueError:
         raise ValueError(f"not a number in {entry!r}") from None
+
+
+#: Words for no limit.
+UNLIMITED = {"n", "rn", "global", "inf"}
+
+
+def parse_radii(text: str) -> list[float | None]:
+    """Radii above 0; words for no limit, and an empty text, stand for None."""
+    found = [None if e.lower() in UNLIMITED else _number(e, e) for e in entries(text)]
+    if any(r is not None and not r > 0 for r in found):
+        raise ValueError(f"a radius must be above 0: {text!r}")
+    return found or [None]

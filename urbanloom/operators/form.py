@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from urbanloom.functions.scratch import written
+from urbanloom.functions.text_params import parse_radii
 from urbanloom.operators import network
 
 
@@ -374,3 +375,14 @@ def space_syntax(lines: DataFrame, radius: float | None = None) -> DataFrame:
     choice = found.select(F.explode(F.arrays_zip("on", "n")).alias("z")).groupBy(F.col("z.on").alias("line_id")).agg((F.sum("z.n") / 2).alias("ch"))
     held = found.join(choice, "line_id", "left").withColumn("ch", F.coalesce("ch", F.lit(0.0)))
     return held.select("line_id", "connectivity", "nc", "td", F.coalesce(F.try_divide("td", F.col("nc") - 1.0), F.lit(0.0)).alias("md"), (F.pow("nc", F.lit(1.2)) / (F.col("td") + 2)).alias("nain"), "ch", (F.log10(F.col("ch") + 1) / F.log10(F.col("td") + 3)).alias("nach"))
+
+
+def space_syntax_radii(lines: DataFrame, radii: str = "800, n") -> DataFrame:
+    """line_id, connectivity and, for each radius, NC_, TD_, MD_, NAIN_, CH_ and NACH_ with the radius (n: no limit)."""
+    out = None
+    for radius in dict.fromkeys(parse_radii(radii)):
+        name = "n" if radius is None else f"{radius:g}"
+        found = space_syntax(lines, radius)
+        named = [F.col(c).alias(f"{c.upper()}_{name}") for c in ("nc", "td", "md", "nain", "ch", "nach")]
+        out = found.select("line_id", "connectivity", *named) if out is None else out.join(found.select("line_id", *named), "line_id")
+    return out

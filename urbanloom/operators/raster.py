@@ -146,17 +146,22 @@ def edge_length(mask: DataFrame, pixel: float = 1.0) -> DataFrame:
 
 
 def sprawl_metrics(before: DataFrame, after: DataFrame, pop_before: float, pop_after: float, pixel: float = 1.0) -> DataFrame:
-    """metric, value: areas, growth, land consumption over population growth, patches, largest patch, edge and its density."""
+    """metric, value: areas and people of both times, their growth and growth rates (lcr, pgr) and the rates' ratio,
+    patches, the largest patch's share, edge density. Undefined values are null; a mask without cells is an error."""
+    if before.isEmpty() or after.isEmpty():
+        raise ValueError("a mask has no urban cell")
     label = patches(after).groupBy("patch").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("p"), F.max("n").alias("big"))
     wide = before.agg(F.count(F.lit(1)).alias("a")).crossJoin(after.agg(F.count(F.lit(1)).alias("b"))).crossJoin(label).crossJoin(edge_length(after, pixel))
     ha = pixel * pixel / 10_000
-    lcr = F.ln(F.try_divide("b", "a"))
-    pgr = math.log(pop_after / pop_before) if pop_after > 0 and pop_before > 0 else None
-    wide = wide.select(
-        (F.col("a") * ha).alias("urban_t1_ha"), (F.col("b") * ha).alias("urban_t2_ha"), ((F.col("b") - F.col("a")) * ha).alias("growth_ha"),
-        (100 * F.try_divide(F.col("b") - F.col("a"), F.col("a"))).alias("growth_pct"), (F.try_divide(lcr, F.lit(pgr)) if pgr else F.lit(None).cast("double")).alias("lcrpgr"),
-        F.col("p").cast("double").alias("patches"), (100 * F.try_divide("big", "b")).alias("largest_patch_pct"), F.col("edge_m").alias("edge_m"), F.try_divide(F.col("edge_m"), F.col("b") * ha).alias("edge_density_m_ha"))
-    return wide.selectExpr("stack(9, " + ", ".join(f"'{c}', {c}" for c in wide.columns) + ") as (metric, value)")
+    lcr, pgr = F.ln(F.try_divide("b", "a")), F.ln(F.try_divide(F.lit(float(pop_after)), F.lit(float(pop_before))))
+    # The metrics' names.
+    values = {
+        "Urban area t1 (ha)": F.col("a") * ha, "Urban area t2 (ha)": F.col("b") * ha, "Urban growth (pct)": 100 * (F.col("b") / F.col("a") - 1),
+        "Population t1": F.lit(float(pop_before)), "Population t2": F.lit(float(pop_after)), "Population growth (pct)": 100 * (F.try_divide(F.lit(float(pop_after)), F.lit(float(pop_before))) - 1),
+        "Land consumption rate (LCR)": lcr, "Population growth rate (PGR)": pgr, "LCRPGR (SDG 11.3.1)": F.try_divide(lcr, pgr),
+        "Urban patches (t2)": F.col("p"), "Largest patch share": F.col("big") / F.col("b"), "Edge density (m per ha)": F.col("edge_m") / (F.col("b") * ha),
+    }
+    return wide.select(*[v.cast("double").alias(k) for k, v in values.items()]).unpivot([], [F.col(f"`{k}`") for k in values], "metric", "value")
 
 
 def sun_position(year: int, month: int, day: int, hour_utc: float, lat: float, lon: float) -> tuple[float, float]:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from urbanloom.sources.files import write_text
+
 #: Known metrics, their labels, and whether more is better (1), worse (-1) or neither (0).
 METRICS = {
     "plan_performance_index": ("Plan Performance Index", 1),
@@ -41,7 +43,8 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, v[0], v[1], i) for i, (k, v) in enumerate(METRICS.items())], "metric string, label string, direction int, place int")
 
 
-def _named(df: DataFrame) -> DataFrame:
+def named(df: DataFrame) -> DataFrame:
+    """Rows of metrics with label, direction and place; labels of unknown metrics follow from their names."""
     known = F.broadcast(registry(df.sparkSession))
     title = F.initcap(F.replace("metric", F.lit("_"), F.lit(" ")))
     return df.join(known, "metric", "left").withColumns({"label": F.coalesce("label", title), "direction": F.coalesce("direction", F.lit(0)), "place": F.coalesce("place", F.lit(len(METRICS)))})
@@ -50,7 +53,7 @@ def _named(df: DataFrame) -> DataFrame:
 def compare(metrics: DataFrame, a: str, b: str) -> DataFrame:
     """metric, label, a, b, delta, delta_pct, direction, better ('A', 'B', 'tie', 'n/a') of two scenarios' metrics."""
     side = lambda name, c: metrics.where(F.col("scenario") == name).groupBy("metric").agg(F.first("value").alias(c))
-    rows = _named(side(a, "a").join(side(b, "b"), "metric", "full"))
+    rows = named(side(a, "a").join(side(b, "b"), "metric", "full"))
     delta = F.col("b") - F.col("a")
     better = F.when(delta.isNull() | (F.col("direction") == 0), "n/a").when(delta == 0, "tie").when(delta * F.col("direction") > 0, "B").otherwise("A")
     return rows.select("metric", "label", "a", "b", delta.alias("delta"), F.try_divide(100 * delta, F.abs("a")).alias("delta_pct"), "direction", better.alias("better"))
@@ -60,7 +63,7 @@ def _scored(metrics: DataFrame, weights: dict[str, float] | None) -> DataFrame:
     """Rows of metrics with their oriented share of the range (norm), and why a metric is skipped (else null)."""
     names = metrics.agg(F.countDistinct("scenario").alias("_all"))
     per = W.partitionBy("metric")
-    rows = _named(metrics).crossJoin(F.broadcast(names)).withColumns({"_n": F.count(F.lit(1)).over(per), "_lo": F.min("value").over(per), "_hi": F.max("value").over(per)})
+    rows = named(metrics).crossJoin(F.broadcast(names)).withColumns({"_n": F.count(F.lit(1)).over(per), "_lo": F.min("value").over(per), "_hi": F.max("value").over(per)})
     skipped = F.when(F.col("direction") == 0, "neutral").when(F.col("_n") < F.col("_all"), "not-shared").when(F.col("_lo") == F.col("_hi"), "constant")
     span = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     norm = F.when(F.col("direction") == 1, (F.col("value") - F.col("_lo")) / span).otherwise((F.col("_hi") - F.col("value")) / span)
@@ -107,8 +110,8 @@ def write_snapshot(metrics: DataFrame, name: str, path: str, generated: str) ->
     if len(rows) > SNAPSHOT_METRICS:
         raise ValueError(f"more than {SNAPSHOT_METRICS} metrics")
     held = {r.metric: r.value for r in rows}
-    with open(path, "w", encoding="utf-8") as out:
-        json.dump({"kind": "scenario-snapshot", "version": 1, "name": name or "Scenario", "generated": generated, "metrics": held}, out, indent=2, sort_keys=True)
+    snapshot = {"kind": "scenario-snapshot", "version": 1, "name": name or "Scenario", "generated": generated, "metrics": held}
+    write_text(metrics.sparkSession, path, json.dumps(snapshot, indent=2, sort_keys=True))
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:

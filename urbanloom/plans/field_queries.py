@@ -200,6 +200,9 @@ def _grown(k: int) -> str:
 u{k} AS (SELECT * FROM u{k - 1} UNION ALL SELECT r, c, {k} FROM (SELECT * FROM n{k} ORDER BY score DESC, (r::BIGINT * 73856093 + c::BIGINT * 19349663) % 1000003, r, c LIMIT 25))"""
 
 
+_PATCHES = """e AS (SELECT x.r * 50 + x.c AS a, y.r * 50 + y.c AS b FROM m x JOIN m y ON y.r BETWEEN x.r - 1 AND x.r + 1 AND abs(x.r - y.r) + abs(x.c - y.c) <= 1),
+t AS (SELECT a, a AS b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON e.a = t.b), s AS (SELECT root, count(*) AS n FROM (SELECT a, min(b) AS root FROM t GROUP BY a) GROUP BY root)"""
+
 ORACLES = {
     "site_coverage": f"WITH {_SITES} SELECT CAST(site AS BIGINT) AS site, sum(weight) AS reach_dem FROM c JOIN w USING (demand) WHERE cost <= 15 GROUP BY site",
     "site_nearest": f"WITH {_SITES}, r AS (SELECT demand, site, cost, row_number() OVER (PARTITION BY demand ORDER BY cost, site) AS k FROM c WHERE site IN (3, 11, 20) AND cost <= 45) SELECT w.demand, weight, CAST(site AS BIGINT) AS site, cost FROM w LEFT JOIN r ON r.demand = w.demand AND k = 1",
@@ -211,6 +214,9 @@ SELECT sr AS row, sc AS col, round(sz - g.z, 6) AS value FROM t JOIN g ON g.r =
     "flood_exposure": f"""WITH {_DEM}, p AS (SELECT c_mktsegment AS kind, CAST(floor(c_custkey * 37 % 1000 / 20.0::DOUBLE) AS INTEGER) AS c, CAST(floor(c_custkey * 53 % 800 / 20.0::DOUBLE) AS INTEGER) AS r, c_custkey % 4 + 1.0::DOUBLE AS w FROM customer)
 SELECT kind, count(d.z) AS exposed_n, count(*) AS total_n, sum(CASE WHEN d.z IS NULL THEN 0 ELSE w END) AS exposed_w, sum(w) AS total_w FROM p LEFT JOIN d ON d.r = p.r AND d.c = p.c AND d.z >= 0 AND d.z <= 20 GROUP BY kind""",
     "neighbour_share": f"WITH {_MASK} SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, count(*) / 8.0::DOUBLE AS share FROM (SELECT r + i.range AS r, c + j.range AS c FROM m, range(-1, 2) i, range(-1, 2) j WHERE i.range <> 0 OR j.range <> 0) GROUP BY ALL",
+    "sprawl_metrics": f"""WITH RECURSIVE {_MASK}, {_PATCHES}, v AS (SELECT (SELECT count(*) FROM d WHERE z >= 40) AS a, (SELECT count(*) FROM m) AS b, (SELECT count(*) FROM s) AS p, (SELECT max(n) FROM s) AS big, 10.0::DOUBLE * (4 * (SELECT count(*) FROM m) - (SELECT count(*) FROM m x, m y WHERE abs(x.r - y.r) + abs(x.c - y.c) = 1)) AS edge)
+SELECT t.metric, round(t.value, 6) AS value FROM v, LATERAL (VALUES ('Urban area t1 (ha)', a / 100.0::DOUBLE), ('Urban area t2 (ha)', b / 100.0::DOUBLE), ('Urban growth (pct)', 100 * (b / a::DOUBLE - 1)), ('Population t1', 100000), ('Population t2', 120000), ('Population growth (pct)', 20),
+  ('Land consumption rate (LCR)', ln(b / a::DOUBLE)), ('Population growth rate (PGR)', ln(1.2::DOUBLE)), ('LCRPGR (SDG 11.3.1)', ln(b / a::DOUBLE) / ln(1.2::DOUBLE)), ('Urban patches (t2)', p), ('Largest patch share', big / b::DOUBLE), ('Edge density (m per ha)', edge / (b / 100.0::DOUBLE))) t(metric, value)""",
     "edge_length": f"WITH {_MASK} SELECT 2.0::DOUBLE * (4 * (SELECT count(*) FROM m) - (SELECT count(*) FROM m a, m b WHERE abs(a.r - b.r) + abs(a.c - b.c) = 1)) AS edge_m",
     "growth": f"""WITH {_DEM}, b AS (SELECT min(z) AS lo, max(z) AS hi FROM d), f AS (SELECT r, c, (z - lo) / (hi - lo) AS fit FROM d, b), u0 AS (SELECT r, c, 0 AS k FROM d WHERE z >= 45),
 {_grown(1)}, {_grown(2)} SELECT r AS row, c AS col, k AS year_of FROM u2""",
