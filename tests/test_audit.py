@@ -5,7 +5,7 @@ import math
 import pytest
 
 from urbanloom.functions.text_params import parse_radii
-from urbanloom.operators import audit, form, raster
+from urbanloom.operators import audit, form, network, raster
 
 
 def held(df):
@@ -84,3 +84,17 @@ def test_radii(spark):
     assert found.columns[:3] == ["line_id", "connectivity", "NC_150"]
     rows = {r.line_id: r for r in found.collect()}
     assert rows[0].NC_150 == 2 and rows[0].NC_n == 4
+
+
+def test_edge_and_sampled_betweenness(spark):
+    # A path of four nodes and a street beside its middle one that is as long: half of the paths take each.
+    lines = spark.createDataFrame([(0, [(0.0, 0.0), (1.0, 0.0)]), (1, [(1.0, 0.0), (2.0, 0.0)]), (2, [(1.0, 0.0), (2.0, 0.0)]), (3, [(2.0, 0.0), (3.0, 0.0)])], "line_id long, pts array<struct<x: double, y: double>>")
+    nodes, edges = network.build_graph(lines)
+    found = {r.edge_id: r for r in network.edge_centrality(nodes, edges).collect()}
+    assert [found[i].betw_edge for i in range(4)] == [3.0, 2.0, 2.0, 3.0]
+    assert found[0].str_mean == pytest.approx(1.0)
+    whole = {r.node_id: r.betweenness for r in network.centrality(nodes, edges).collect()}
+    assert {r.node_id: r.betweenness for r in network.centrality(nodes, edges, samples=4).collect()} == whole
+    some = network.centrality(nodes, edges, samples=2).collect()
+    assert some == network.centrality(nodes, edges, samples=2).collect()
+    assert {r.reach for r in some} == {4} and sum(r.betweenness for r in some) <= 2 * sum(whole.values())

@@ -369,22 +369,23 @@ def low_stress_islands(edges: DataFrame, lts: str, threshold: float = 2) -> Data
     return found.select(*held.columns, F.when(own, F.col("island_id")).otherwise(-1).alias("island_id"), F.when(own, F.col("island_m")).otherwise(0.0).alias("island_m"))
 
 
-def centrality(nodes: DataFrame, edges: DataFrame, radius: float | None = None) -> DataFrame:
-    """node_id, degree, reach, closeness, harm_clo, straight, betweenness (each pair once), betw_norm.
-
-    reach counts nodes within the radius, the source too; closeness is (reach - 1) / cost sum, times the share of
-    all other nodes that is reached. One shortest path search per node; equal paths share their count.
-    """
+def _shortest_paths(nodes: DataFrame, edges: DataFrame, radius: float | None, samples: int, by_edge: bool) -> tuple[DataFrame, int, float]:
+    """(a row for each node: reach, closeness, harm_clo, straight, and the places on its paths with their shares; number
+    of nodes; what a share counts for). With samples, only paths from so many nodes have shares."""
     spots = nodes.select("node_id", "x", "y").orderBy("node_id").toPandas() if nodes.count() <= BROADCAST_EDGES else None
     if spots is None:
         raise ValueError("too many nodes to be sent to every task")
     place = edges.sparkSession.sparkContext.broadcast((spots["x"].to_numpy(), spots["y"].to_numpy()))
     total = len(spots)
+    used = samples if 0 < samples < total else total
+    # The sample: the nodes whose digests are smallest, the same ones in every run.
+    chosen = nodes.select("node_id").orderBy(F.xxhash64("node_id"), "node_id").limit(used).withColumn("counts", F.lit(True))
+    sources = nodes.select("node_id").join(F.broadcast(chosen), "node_id", "left").select("node_id", F.coalesce("counts", F.lit(False)).alias("counts"))
 
     def kernel(graph: Csr, rows: pd.DataFrame) -> pd.DataFrame:
         x, y = place.value
         near, out = graph.neighbours(), []
-        for s in map(int, rows["node_id"]):
+        for s, counts in zip(rows["node_id"].tolist(), rows["counts"].tolist(), strict=True):
             dist, order, before, paths = {}, [], {s: []}, {s: 1.0}
             best, heap = {s: 0.0}, [(0.0, s)]
             while heap:
@@ -393,33 +394,60 @@ def centrality(nodes: DataFrame, edges: DataFrame, radius: float | None = None)
                     continue
                 dist[u] = d
                 order.append(u)
-                for v, c, _ in near[u] if u < graph.n else ():
+                for v, c, e in near[u] if u < graph.n else ():
                     nd, tol = d + c, 1e-9 * max(1.0, abs(d + c))
                     if radius is not None and nd > radius:
                         continue
                     if v not in dist and nd < best.get(v, INF) - tol:
-                        best[v], paths[v], before[v] = nd, paths[u], [u]
+                        best[v], paths[v], before[v] = nd, paths[u], [(u, e)]
                         heapq.heappush(heap, (nd, v))
                     elif v != s and abs(nd - best.get(v, INF)) <= tol and v not in dist:
                         paths[v] += paths[u]
-                        before[v].append(u)
-            share = dict.fromkeys(order, 0.0)
-            for v in reversed(order):
-                for u in before[v]:
-                    share[u] += paths[u] / paths[v] * (1 + share[v])
+                        before[v].append((u, e))
+            share, along = dict.fromkeys(order, 0.0), {}
+            for v in reversed(order) if counts else ():
+                for u, e in before[v]:
+                    part = paths[u] / paths[v] * (1 + share[v])
+                    share[u] += part
+                    along[e] = along.get(e, 0.0) + part
+            held = along if by_edge else {v: share[v] for v in order if v != s and share[v] > 0}
             far = [v for v in order if v != s and dist[v] > 0]
             farness, r = sum(dist[v] for v in far), len(order)
             straight = [np.hypot(x[v] - x[s], y[v] - y[s]) / dist[v] for v in far]
-            out.append((s, r, (r - 1) / farness * (r - 1) / (total - 1) if farness > 0 and total > 1 else 0.0, sum(1 / dist[v] for v in far), float(np.mean(straight)) if straight else 0.0, [v for v in order if v != s and share[v] > 0], [share[v] for v in order if v != s and share[v] > 0]))
+            out.append((s, r, (r - 1) / farness * (r - 1) / (total - 1) if farness > 0 and total > 1 else 0.0, sum(1 / dist[v] for v in far), float(np.mean(straight)) if straight else 0.0, list(held), list(held.values())))
         return pd.DataFrame(out, columns=["node_id", "reach", "closeness", "harm_clo", "straight", "on", "n"])
 
-    found = written(per_source(edges, nodes.select("node_id"), kernel, "node_id long, reach int, closeness double, harm_clo double, straight double, on array<long>, n array<double>"))
-    between = found.select(F.explode(F.arrays_zip("on", "n")).alias("z")).groupBy(F.col("z.on").alias("node_id")).agg((F.sum("z.n") / 2).alias("betweenness"))
+    found = per_source(edges, sources, kernel, "node_id long, reach int, closeness double, harm_clo double, straight double, on array<long>, n array<double>")
+    return written(found), total, total / used / 2 if used else 0.0
+
+
+def centrality(nodes: DataFrame, edges: DataFrame, radius: float | None = None, samples: int = 0) -> DataFrame:
+    """node_id, degree, reach, closeness, harm_clo, straight, betweenness (each pair once), betw_norm.
+
+    reach counts nodes within the radius, the source too; closeness is (reach - 1) / cost sum, times the share of
+    all other nodes that is reached. One shortest path search per node; equal paths share their count. With samples,
+    betweenness is estimated from the paths of so many nodes (picked by a digest of node_id), scaled to all.
+    """
+    found, total, each = _shortest_paths(nodes, edges, radius, samples, by_edge=False)
+    between = found.select(F.explode(F.arrays_zip("on", "n")).alias("z")).groupBy(F.col("z.on").alias("node_id")).agg((F.sum("z.n") * each).alias("betweenness"))
     pairs = (total - 1) * (total - 2) / 2
     held = found.drop("on", "n").join(between, "node_id", "left").join(street_nodes(nodes, edges).drop("node_type"), "node_id", "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
     return held.select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"), "reach", "closeness", "harm_clo", "straight", "betweenness", (F.col("betweenness") / pairs if pairs > 0 else F.lit(0.0)).alias("betw_norm"))
 
 
+def edge_centrality(nodes: DataFrame, edges: DataFrame, radius: float | None = None, samples: int = 0) -> DataFrame:
+    """edge_id, betw_edge (shortest paths along an edge, each pair once), clo_mean and str_mean (of its two ends).
+
+    samples as in centrality().
+    """
+    found, _, each = _shortest_paths(nodes, edges, radius, samples, by_edge=True)
+    between = found.select(F.explode(F.arrays_zip("on", "n")).alias("z")).groupBy(F.col("z.on").alias("edge_id")).agg((F.sum("z.n") * each).alias("betw_edge"))
+    ends = found.select("node_id", "closeness", "straight")
+    held = edges.select("edge_id", "a", "b").join(ends.toDF("a", "ca", "sa"), "a").join(ends.toDF("b", "cb", "sb"), "b").join(between, "edge_id", "left")
+    mean = lambda one, other: (F.col(one) + F.col(other)) / 2
+    return held.select("edge_id", F.coalesce("betw_edge", F.lit(0.0)).alias("betw_edge"), mean("ca", "cb").alias("clo_mean"), mean("sa", "sb").alias("str_mean"))
+
+
 def eigenvector(edges: DataFrame, rounds: int = 200, tolerance: float = 1e-10) -> DataFrame:
     """node_id, eigen (largest 1): power iteration on the adjacency and the identity, parallel edges counted apart.
 

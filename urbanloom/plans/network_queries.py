@@ -116,6 +116,11 @@ def network_betweenness(spark: SparkSession, d: str) -> DataFrame:
     return rounded(op.centrality(nodes, edges).join(nodes, "node_id").select("x", "y", "betweenness", "betw_norm"), 6)
 
 
+def network_edge_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = _graph(spark)
+    return rounded(op.edge_centrality(nodes, edges), 6)
+
+
 def link_criticality(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark)
     return rounded(op.link_criticality(nodes, edges, _centres(spark, d).select("id", "x", "y")), 6)
@@ -150,7 +155,7 @@ def walkability(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found.select("line_id", "walk_score", "int_km2", "blk_len", "n_pois", "slope_pct"), 6)
 
 
-QUERIES = {f.__name__: f for f in (network_eigenvector, prepare_network, walkability, od_matrix, costs_by_joins, od_routes, nearest_facility, facility_summary, facility_adequacy, access_score, green_access_summary, street_nodes, low_stress_islands, network_centrality, network_betweenness, link_criticality, service_area_edges)}
+QUERIES = {f.__name__: f for f in (network_eigenvector, prepare_network, walkability, od_matrix, costs_by_joins, od_routes, nearest_facility, facility_summary, facility_adequacy, access_score, green_access_summary, street_nodes, low_stress_islands, network_centrality, network_betweenness, network_edge_betweenness, link_criticality, service_area_edges)}
 
 _EDGES = """l AS (SELECT range AS id, range % 8 AS c, range // 8 AS r FROM range(64)),
 e AS (SELECT id * 2 AS edge, id AS a, id + 1 AS b, 100 + (c * 7 + r * 13) % 11 * 7.5::DOUBLE AS cost, (id * 5) % 7 / 2.0::DOUBLE + 1 AS lts FROM l WHERE c < 7
@@ -215,6 +220,14 @@ p AS (SELECT id AS s, id AS v, 0 AS k, 1.0::DOUBLE AS n FROM l UNION ALL
 g AS MATERIALIZED (SELECT p.s, p.v, d.cost, sum(n) AS n FROM p JOIN d ON d.a = p.s AND d.b = p.v GROUP BY p.s, p.v, d.cost),
 t AS (SELECT i.v, sum(i.n * j.n / h.n) / 2 AS bc FROM g i JOIN g j ON j.s = i.v JOIN g h ON h.s = i.s AND h.v = j.v WHERE i.s <> i.v AND j.v <> i.v AND i.s <> j.v AND i.cost + j.cost = h.cost GROUP BY i.v)
 SELECT id % 8 * 100.0::DOUBLE AS x, id // 8 * 100.0::DOUBLE AS y, round(coalesce(bc, 0), 6) AS betweenness, round(coalesce(bc, 0) / 1953, 6) AS betw_norm FROM l LEFT JOIN t ON t.v = l.id""",
+    # A street lies on the paths whose parts before and behind it are shortest too.
+    "network_edge_betweenness": f"""WITH RECURSIVE {_COSTS}, w AS (SELECT edge, a, b, cost FROM e UNION ALL SELECT edge, b, a, cost FROM e),
+p AS (SELECT id AS s, id AS v, 0 AS k, 1.0::DOUBLE AS n FROM l UNION ALL
+  SELECT p.s, w.b, p.k + 1, sum(p.n) FROM p JOIN w ON w.a = p.v JOIN d x ON x.a = p.s AND x.b = p.v JOIN d z ON z.a = p.s AND z.b = w.b WHERE x.cost + w.cost = z.cost AND p.k < 32 GROUP BY p.s, w.b, p.k),
+g AS MATERIALIZED (SELECT p.s, p.v, d.cost, sum(n) AS n FROM p JOIN d ON d.a = p.s AND d.b = p.v GROUP BY p.s, p.v, d.cost),
+t AS (SELECT w.edge, sum(i.n * j.n / h.n) / 2 AS bc FROM w JOIN g i ON i.v = w.a JOIN g j ON j.s = w.b JOIN g h ON h.s = i.s AND h.v = j.v WHERE i.cost + w.cost + j.cost = h.cost GROUP BY w.edge),
+q AS (SELECT d.a, 63 / sum(d.cost) AS clo, avg(100 * sqrt((x.c - y.c) ^ 2 + (x.r - y.r) ^ 2) / d.cost) AS str FROM d JOIN l x ON x.id = d.a JOIN l y ON y.id = d.b WHERE d.a <> d.b GROUP BY d.a)
+SELECT e.edge AS edge_id, round(coalesce(bc, 0), 6) AS betw_edge, round((u.clo + v.clo) / 2, 6) AS clo_mean, round((u.str + v.str) / 2, 6) AS str_mean FROM e LEFT JOIN t USING (edge) JOIN q u ON u.a = e.a JOIN q v ON v.a = e.b""",
     "network_eigenvector": f"""WITH RECURSIVE {_EDGES}, w AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e UNION ALL SELECT id, id FROM l),
 p AS (SELECT id, 1.0::DOUBLE AS x, 0 AS k FROM l UNION ALL SELECT w.b, sum(p.x) / 5, p.k + 1 FROM p JOIN w ON w.a = p.id WHERE p.k < 200 GROUP BY w.b, p.k)
 SELECT id % 8 * 100.0::DOUBLE AS x, id // 8 * 100.0::DOUBLE AS y, round(x / max(x) OVER (), 6) AS eigen FROM p WHERE k = 200""",
