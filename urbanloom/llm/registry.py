@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clustering, licenses, media, mixing, near_dups, packing, pseudonyms, quality, resampling, sharding, token_files, topk
+from . import clustering, licenses, media, mixing, near_dups, packing, pseudonyms, quality, resampling, sharding, suffixes, token_files, topk
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_licenses": licenses.op9_licenses,
     "op10_token_files": token_files.op10_token_files,
+    "op11_repeats": suffixes.op11_repeats,
     "op12_resampling": resampling.op12_resampling,
     "op13_clusters": clustering.op13_clusters,
 }
