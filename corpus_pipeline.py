@@ -24,8 +24,11 @@ def distinct_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal numbers, dates and secrets replaced by keyed pseudonyms of their format."""
-    return pseudonyms.pseudonymise(docs)
+    """Personal numbers, dates and secrets replaced by keyed pseudonyms of their format.
+
+    The key is the session's setting urbanloom.pseudonyms.key; without it, that of the registered query.
+    """
+    return pseudonyms.pseudonymise(docs, spark.conf.get("urbanloom.pseudonyms.key", pseudonyms.KEY))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
