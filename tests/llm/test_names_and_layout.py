@@ -36,7 +36,7 @@ def test_stages_keep_odd_columns(spark, stage):
     done = {
         "quality": lambda: quality.keep_good(df, spark.createDataFrame([], LABELS)),
         "near_dups": lambda: near_dups.one_of_each(df),
-        "pseudonyms": lambda: pseudonyms.pseudonymise(df),
+        "pseudonyms": lambda: pseudonyms.pseudonymise(df, "k"),
         "mixing": lambda: mixing.take(df),
     }[stage]()
     assert done.columns == df.columns
@@ -59,7 +59,7 @@ def test_operators_with_odd_columns(spark):
     assert whole(media.parse(df, keep, "text").collect(), ["doc_id"]) == list(range(n))
     scored = quality.score(df, quality.train(df, spark.createDataFrame([], LABELS)), keep)
     assert whole(scored.collect(), ["doc_id"]) == list(range(n))
-    counted = pseudonyms.pseudonymise(df, count="score")
+    counted = pseudonyms.pseudonymise(df, "k", count="score")
     assert counted.columns == [c for c in df.columns if c != "score"] + ["score"] and {r[-1] for r in counted.collect()} == {0, 1}
     assert sharding.shard(df, 4).count() == n and mixing.mix(df).count() == n
     vectors = spark.createDataFrame([(i, [i, 1], "x", "y") for i in range(5)], "vec_id long, v array<long>, score string, shard string")

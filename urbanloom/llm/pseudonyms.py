@@ -15,21 +15,24 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: The key of the registered query; a real run passes its own secret.
+#: The key of the registered query alone; every other caller passes its own secret.
 KEY = "urbanloom-demo-key"
 ROUNDS = 8
 DIGITS, HEX = "0123456789", "0123456789abcdef"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: All printable ASCII characters but blank and quotation mark: the alphabet of secrets with marks.
+PRINTABLE = "".join(chr(c) for c in range(33, 127) if c != 34)
 
 #: The formats that are looked for, in order of precedence.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
-    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"\b(?i:password|passwd|pwd|token|secret|api_key|apikey)\s?[=:]\s?\"?[^\s\"]{6,}+",
+    "email": r"(?<![\p{L}\p{M}0-9._%+-])[\p{L}\p{M}0-9._%+-]++@[\p{L}\p{M}0-9-]+(?:\.[\p{L}\p{M}0-9-]+)+",
+    "secret": r"(?i:password|passwd|pwd|token|secret|api[_-]?key)(?i:[_-]?key|[_-]\w{1,20})?\s?[=:]\s?\"?[^\s\"]{6,}+",
     "access": r"\bAKIA[0-9A-Z]{16}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
 }
@@ -155,13 +158,43 @@ def _card(m: Column, key: str) -> Column:
     return F.when(F.pmod(luhn_sum(digits, False), F.lit(10)) == 0, _let(full, lambda d: refilled(m, "0-9", d))).otherwise(m)
 
 
+def _iban(m: Column, key: str) -> Column:
+    """Valid check digits: what follows them is permuted by class in its places, and they are worked out anew."""
+
+    def remainder(text: Column) -> Column:
+        """The account number with its first four characters last, letters as 10 to 35, modulo 97."""
+
+        def add(n: Column, c: Column) -> Column:
+            value = F.position(c, F.lit(DIGITS + UPPER)) - 1
+            return F.pmod(n * F.when(value > 9, 100).otherwise(10) + value, F.lit(97)).cast("int")
+
+        turned = F.concat(F.substr(text, F.lit(5), F.length(text)), F.substr(text, F.lit(1), F.lit(4)))
+        return F.aggregate(F.split(turned, ""), F.lit(0), lambda n, c: F.when(c == "", n).otherwise(add(n, c)))
+
+    plain, country = F.regexp_replace(m, " ", ""), F.substr(m, F.lit(1), F.lit(2))
+
+    def image(body: Column) -> Column:
+        check = F.lpad((98 - remainder(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0")
+        return refilled(m, "0-9A-Z", F.concat(country, check, body))
+
+    body = _each_class(F.substr(plain, F.lit(5), F.length(plain)), key, F.concat(F.lit("iban-"), country))
+    return F.when(remainder(plain) == 1, _let(body, image)).otherwise(m)
+
+
 def _date(m: Column, key: str) -> Column:
-    """Days of a span of years are permuted, so images have four-digit years; what is no date of the calendar stays."""
-    iso = F.when(m.rlike("^....-"), m).when(m.contains("."), F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(4), F.lit(2)), F.substr(m, F.lit(1), F.lit(2)))).otherwise(F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(4), F.lit(2))))
+    """Days of a span of years are permuted, so images have four-digit years; what is no date of the calendar stays.
+
+    Dates with slashes have the month first; those that only the day-first reading makes a date (days from 13 on)
+    are permuted among themselves, by taking images until one has such a day.
+    """
+    year, a, b = F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(4), F.lit(2))
+    month_first = F.concat_ws("-", year, a, b)
+    day_first = m.contains("/") & (b.cast("int") <= 12) & (a.cast("int") > 12)
+    iso = F.when(m.rlike("^....-"), m).when(m.contains(".") | day_first, F.concat_ws("-", year, b, a)).otherwise(month_first)
     date = F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date")
 
     def image(d: Column) -> Column:
-        """d: days since EPOCH."""
+        """The image of d, both in days since EPOCH."""
         day, head, tail = F.lit(EPOCH).cast("date"), F.lit(HEAD).cast("date"), F.lit(TAIL).cast("date")
         first, low, high = F.datediff(head, day), F.datediff(F.lit("0200-01-01").cast("date"), day), F.datediff(tail, day)
         cycle = F.floor(d / CYCLE) * CYCLE
@@ -173,16 +206,25 @@ def _date(m: Column, key: str) -> Column:
             place = d - x["start"]
             rest = F.pmod(place, x["b"])
             done = _rounds(F.call_function("div", place, x["b"]), rest, x["a"], x["b"], key, F.lit("date"))
-            return F.date_add(day, _let(done, lambda y: y["a"] * x["b"] + y["b"] + x["start"]).cast("int"))
+            return _let(done, lambda y: y["a"] * x["b"] + y["b"] + x["start"])
 
         return _let(F.struct(start.alias("start"), a.alias("a"), b.alias("b")), moved)
 
+    def dated(d: Column) -> Column:
+        return F.date_add(F.lit(EPOCH).cast("date"), d.cast("int"))
+
+    def walked(d: Column) -> Column:
+        """One image in three has a day up to 12: after 96 of them the chance that none was later is 1e-39."""
+        more = F.sequence(F.lit(1), F.lit(96))
+        return F.aggregate(more, image(d), lambda x, _: F.when(F.dayofmonth(dated(x)) > 12, x).otherwise(_let(x, image)))
+
     def shown(d: Column) -> Column:
-        return F.when(m.rlike("^....-"), F.date_format(d, "yyyy-MM-dd")).when(m.contains("."), F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy"))
+        other = F.when(day_first, F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy"))
+        return F.when(m.rlike("^....-"), F.date_format(d, "yyyy-MM-dd")).when(m.contains("."), F.date_format(d, "dd.MM.yyyy")).otherwise(other)
 
     date = F.when(date >= F.lit(HEAD).cast("date"), date)
     days = F.coalesce(F.datediff(date, F.lit(EPOCH).cast("date")), F.lit(0)).cast("long")
-    return F.when(date.isNull(), m).otherwise(_let(_let(days, image), shown))
+    return F.when(date.isNull(), m).otherwise(_let(_let(days, lambda d: F.when(day_first, walked(d)).otherwise(image(d))), lambda d: shown(dated(d))))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -229,11 +271,13 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    """What follows the = or : is permuted: as a hexadecimal number if it is one (in capitals too), else by class.
+    """What follows the = or : is replaced whole: a hexadecimal number (in capitals too) by one, letters and digits by
+    class, other printable ASCII by a permutation of all printable characters, and a value with any other character
+    by a keyed digest of equal length.
 
     A long value goes in pieces of PIECE characters, each under a permutation that depends on all before it.
     """
-    head = F.regexp_extract(m, r"^\w+\s?[=:]\s?\"?", 0)
+    head = F.regexp_extract(m, r"^[\w-]+\s?[=:]\s?\"?", 0)
     body = F.substr(m, F.length(head) + 1, F.length(m))
 
     def piece(i: Column) -> Column:
@@ -242,9 +286,19 @@ def _secret(m: Column, key: str) -> Column:
         kind = F.when(i == 0, F.lit("secret")).otherwise(F.concat(F.lit("secret@"), before))
         return F.struct(F.substr(body, start + 1, F.lit(PIECE)).alias("b"), kind.alias("k"))
 
+    def digest(x: Column) -> Column:
+        """Hexadecimal digits of keyed digests, as many as the piece has characters."""
+        each = F.transform(F.sequence(F.lit(0), F.floor(F.length(x["b"]) / 64).cast("int")), lambda i: F.sha2(F.concat_ws("|", F.lit(key), x["k"], i.cast("string"), x["b"], F.lit(key)), 256))
+        return F.substr(F.array_join(each, ""), F.lit(1), F.length(x["b"]))
+
     def image(x: Column) -> Column:
         number = permuted(F.lower(x["b"]), HEX, key, x["k"])
-        return F.when(body.rlike("^[0-9a-f]+$"), number).when(body.rlike("^[0-9A-F]+$"), F.upper(number)).otherwise(_each_class(x["b"], key, x["k"]))
+        marks = permuted(x["b"], PRINTABLE, key, F.concat(x["k"], F.lit("-marks")))
+        return (
+            F.when(body.rlike("^[0-9a-f]+$"), number).when(body.rlike("^[0-9A-F]+$"), F.upper(number))
+            .when(body.rlike("^[0-9A-Za-z]+$"), _each_class(x["b"], key, x["k"]))
+            .when(body.rlike(r"^[\x21\x23-\x7E]+$"), marks).otherwise(digest(x))
+        )
 
     places = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(body) / PIECE).cast("int") - 1, F.lit(0)))
     return F.concat(head, F.array_join(F.transform(F.transform(places, piece), image), ""))
@@ -260,12 +314,13 @@ def image_of(m: Column, key: str) -> Column:
         .when(m.rlike(f"^(?:{PATTERNS['ip']})$"), _ip(m, key))
         .when(m.rlike(f"^(?:{PATTERNS['date']})$"), _date(m, key))
         .when(m.rlike(f"^(?:{PATTERNS['ssn']})$"), _ssn(m, key))
+        .when(m.rlike(f"^(?:{PATTERNS['iban']})$"), _iban(m, key))
         .when(m.rlike(f"^(?:{PATTERNS['card']})$"), _card(m, key))
         .otherwise(_phone(m, key))
     )
 
 
-def pseudonymised(text: Column, key: str = KEY) -> Column:
+def pseudonymised(text: Column, key: str) -> Column:
     """struct<text, n>: the text with its values replaced, and how many changed. Null stays null with 0.
 
     Texts without a match, most of them, are left after one pass of the pattern.
@@ -284,10 +339,10 @@ def pseudonymised(text: Column, key: str = KEY) -> Column:
     return F.when(text.rlike(ANY), _let(F.struct(gaps.alias("gaps"), found.alias("found")), put_together)).otherwise(same)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", count: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """docs with `text` replaced by its pseudonymised form, columns and their order as before.
 
-    With `count`, a column of that name (replacing one that clashes) says how many values changed. Null texts
+    `key` is the secret that fixes all permutations; the same key links values over runs. With `count`, a column of that name (replacing one that clashes) says how many values changed. Null texts
     stay null; rows may repeat; every column may have nulls.
     """
     rows, (at,) = common.by_place(docs, text)
@@ -300,4 +355,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", count: str
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with its values replaced, under the demonstration key."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pseudonymise(docs.select("doc_id", "text"), count="n_replaced")
+    return pseudonymise(docs.select("doc_id", "text"), KEY, count="n_replaced")
