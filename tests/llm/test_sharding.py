@@ -15,6 +15,10 @@ def check(rows, docs, shards):
         slots[r.shard].append(r.slot)
         assert r.law == "rows" and r.grown_shard is None
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    for s in slots:
+        own = sorted((r for r in rows if r.shard == s), key=lambda r: r.slot)
+        ids = [-1 if r.doc_id is None else r.doc_id for r in own]
+        assert ids == sorted(ids)  # whatever the number of ranges, slots follow doc_id
 
 
 def cut(rows):
@@ -54,4 +58,25 @@ def test_corpus(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     rows = sh.op2_sharding(spark, folder).collect()
     check(rows, docs, 40)
-    assert cut(rows) < 0.5
+    linked = [r for r in rows if r.linked]
+    assert len(linked) > 50 and sum(r.apart for r in linked) <= 0.02 * len(linked)
+    assert cut(rows) < 0.1
+
+
+def test_order_over_many_ranges(spark):
+    """Numbers by ranges: gapless and in order within keys, null keys and ties included, for any number of partitions."""
+    from pyspark.sql import functions as F
+
+    from urbanloom.llm import common
+
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(4000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), F.floor(F.col("id") * 7919 % 4001 / 5).alias("v"), "id")
+        rows = common.ordered_rank(df, ["k"], ["v", "id"], "n").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for k in (None, 1, 2):
+        own = sorted((r.v, r.id, r.n) for r in rows if r.k == k)
+        assert [n for *_, n in own] == list(range(len(own))) and len(own) > 1000

@@ -17,17 +17,11 @@ from . import common
 SHARDS = 40
 #: Rounds in a row that may pass without fewer documents asking to move.
 PATIENCE = 3
-#: Rows that one task numbers, about.
-SALT_ROWS = 20_000
 #: Blocks of a group that no shard can hold have about this part of a shard's rows: they leave so much room.
 BLOCK_PART = 0.8
 
 
-def _salts(rows: int) -> int:
-    return max(1, -(-rows // SALT_ROWS))
-
-
-def _start(docs: DataFrame, shards: int) -> tuple[DataFrame, int]:
+def _start(docs: DataFrame, shards: int) -> DataFrame:
     """Rows with an id of their own, their block (null: unlinked), and a first shard that ignores links.
 
     The id is the rank by doc_id and text, so it does not depend on files or partitions (equal rows may change
@@ -43,7 +37,7 @@ def _start(docs: DataFrame, shards: int) -> tuple[DataFrame, int]:
     )
     rows = common.store(rows)
     n = rows.count()
-    ranked = common.store(common.gapless_rank(rows, [], ["doc_id", "text_crc32", "group", "place"], "rid", _salts(n)).drop("place"))
+    ranked = common.store(common.ordered_rank(rows, [], ["doc_id", "text_crc32", "group", "place"], "rid").drop("place"))
     # Stored: the joins with it stand alone, so that Spark can split a group that many rows share.
     groups = common.store(ranked.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     quota = max(1, n // shards)
@@ -51,12 +45,11 @@ def _start(docs: DataFrame, shards: int) -> tuple[DataFrame, int]:
     # A group that a shard could hold is one block; a larger one has blocks that leave room in a shard.
     parts = F.when(F.col("n") <= quota, 1).otherwise(F.ceil(F.col("n") / max(1, int(quota * BLOCK_PART))))
     linked = linked.withColumn("block", F.when(F.col("n").isNotNull(), F.xxhash64("group", F.pmod(F.xxhash64("doc_id", "rid"), parts))))
-    return common.store(linked.withColumn("shard", F.pmod("rid", F.lit(shards)).cast("int")).drop("group", "n")), n
+    return common.store(linked.withColumn("shard", F.pmod("rid", F.lit(shards)).cast("int")).drop("group", "n"))
 
 
-def _round(state: DataFrame, rows: int, shards: int) -> tuple[DataFrame, int, int]:
+def _round(state: DataFrame) -> tuple[DataFrame, int, int]:
     """One round of moves: the new state, how many documents asked to move and how many moved."""
-    salts = _salts(rows // shards)
     # At most shards rows: unlinked documents, whose place can be taken.
     room = state.where("block is null").groupBy("shard").agg(F.count(F.lit(1)).alias("room"))
     held = common.store(state.where("block is not null").groupBy("block", "shard").agg(F.count(F.lit(1)).alias("n")))
@@ -64,7 +57,7 @@ def _round(state: DataFrame, rows: int, shards: int) -> tuple[DataFrame, int, in
     votes = held.join(room, "shard", "left").join(total, "block").where("room > 0 or 2 * n >= all")
     wish = common.store(votes.groupBy("block").agg(F.max_by("shard", F.struct("n", F.xxhash64("block", "shard"))).alias("to")))
     wishes = state.where("block is not null").join(wish, "block").where("to <> shard")
-    numbered = common.gapless_rank(wishes.select("rid", "block", "shard", "to"), ["shard", "to"], ["block", "rid"], "k", salts)
+    numbered = common.ordered_rank(wishes.select("rid", "block", "shard", "to"), ["shard", "to"], ["block", "rid"], "k")
     numbered = common.store(numbered)
     asked = numbered.count()
     if not asked:
@@ -74,9 +67,9 @@ def _round(state: DataFrame, rows: int, shards: int) -> tuple[DataFrame, int, in
     numbered = numbered.join(F.broadcast(ways), ["shard", "to"], "left")
     swaps = numbered.where("k < back").select("rid", F.col("to").alias("next"))
     rest = numbered.where("back is null or k >= back").select("rid", "block", "shard", "to")
-    asking = common.gapless_rank(rest, ["to"], ["block", "rid"], "k", _salts(asked))
+    asking = common.ordered_rank(rest, ["to"], ["block", "rid"], "k")
     leaving = state.where("block is null").select("rid", "shard")
-    leaving = common.gapless_rank(leaving, ["shard"], ["rid"], "k", salts)
+    leaving = common.ordered_rank(leaving, ["shard"], ["rid"], "k")
     asking = asking.select(F.col("rid").alias("a"), F.col("shard").alias("origin"), F.col("to"), "k")
     leaving = leaving.select(F.col("rid").alias("b"), F.col("shard").alias("to"), "k")
     pairs = asking.join(leaving, ["to", "k"])
@@ -87,23 +80,31 @@ def _round(state: DataFrame, rows: int, shards: int) -> tuple[DataFrame, int, in
     return common.store(after), asked, count
 
 
+def with_apart(state: DataFrame) -> DataFrame:
+    """state with apart: whether a linked row is not in the shard that holds most of its block."""
+    held = state.where("block is not null").groupBy("block", "shard").agg(F.count(F.lit(1)).alias("n"))
+    home = common.store(held.groupBy("block").agg(F.max_by("shard", F.struct("n", "shard")).alias("home")))
+    return state.join(home, "block", "left").withColumn("apart", F.coalesce(F.col("home") != F.col("shard"), F.lit(False))).drop("home")
+
+
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """A row for each row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
+    """A row for each row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard, linked, apart.
 
     Law `rows`: the shards' row counts are at most one apart. size: UTF-8 bytes of the text (null: none) and
     16. slot: 0, 1, 2, ... within a shard, by doc_id (null first). Null and empty texts are equal texts. Rows
     may repeat; an empty table has no rows; other columns are not read. Rounds go on until no document asks to
-    move, none can, or PATIENCE rounds have not lowered the number that ask.
+    move, none can, or PATIENCE rounds have not lowered the number that ask. linked: another row has the same text;
+    apart: it is not where most of its block is, so what the rounds leave cut is in the result.
     """
-    state, n = _start(docs, shards)
+    state = _start(docs, shards)
     least, since = None, 0
     while since < PATIENCE:
-        state, asked, moved = _round(state, n, shards)
+        state, asked, moved = _round(state)
         if not moved:
             break
         least, since = (asked, 0) if least is None or asked < least else (least, since + 1)
-    placed = common.gapless_rank(state, ["shard"], ["doc_id", "rid"], "slot", _salts(n // shards))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = common.ordered_rank(with_apart(state), ["shard"], ["doc_id", "rid"], "slot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("block").isNotNull().alias("linked"), "apart")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
