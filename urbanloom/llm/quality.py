@@ -21,15 +21,16 @@ LEARN_BYTES = 16 << 20
 #: A document counts as good from this score.
 THRESHOLD = 0.3
 BATCH = 1 << 20
+#: Tokens of a single text that are counted at once.
+STEP = 1 << 18
 
 
-def gram_indices(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index, place of the document in the batch) of every 1- and 2-gram of a binary column's texts.
+def gram_indices(hashes: np.ndarray, doc: np.ndarray, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index, document) of every 1- and 2-gram of tokens, given by their hashes and documents.
 
-    Tokens are runs of letters and digits, or of other marks, in lower case. Index 0 is the constant; 2-grams
-    of one token twice, and tokens that return after one other, also count under the indices 1 and 2.
+    Index 0 is the constant; 2-grams of one token twice, and tokens that return after one other, also count under the
+    indices 1 and 2.
     """
-    hashes, _, doc = tk.tokens(*tk.flat(column), tk.shape_classes(), tk.lower_table())
     pairs, pair_doc = tk.grams(hashes, doc, 2)
     twice, back = ((hashes[k:] == hashes[:-k]) & (doc[k:] == doc[:-k]) for k in (1, 2))
     size = np.uint64(dimensions - 3)
@@ -38,11 +39,34 @@ def gram_indices(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndar
     return np.concatenate(index), np.concatenate([doc, pair_doc, doc[1:][twice], doc[2:][back]])
 
 
+def _one_counted(hashes: np.ndarray, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index, count) of one text's grams, STEP tokens at a time: beside the tokens only a vector of counts is held."""
+    counts, size = np.zeros(dimensions, "i8"), np.uint64(dimensions - 3)
+    for at in range(0, hashes.size, STEP):
+        h = hashes[at : at + STEP + 2]
+        n = min(STEP, hashes.size - at)
+        pairs = tk.grams(h[: n + 1], np.zeros(min(n + 1, h.size), "i8"), 2)[0]
+        for grams in (h[:n], pairs):
+            counts += np.bincount((grams % size).astype("i8") + 3, minlength=dimensions)
+        for k in (1, 2):
+            counts[k] += np.count_nonzero(h[k : n + k] == h[: max(0, min(n, h.size - k))])
+    index = np.flatnonzero(counts)
+    return index, counts[index]
+
+
 def counted(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, index, value) sorted by document: counts of equal grams, scaled to unit length in each text."""
-    index, owner = gram_indices(column, dimensions)
-    keys, counts = np.unique(owner * dimensions + index, return_counts=True)
-    owner, index = keys // dimensions, keys % dimensions
+    """(document, index, value) sorted by document: counts of equal grams, scaled to unit length in each text.
+
+    Tokens are runs of letters and digits, or of other marks, in lower case.
+    """
+    hashes, _, doc = tk.tokens(*tk.flat(column), tk.shape_classes(), tk.lower_table())
+    if len(column) == 1:  # a long text comes alone
+        index, counts = _one_counted(hashes, dimensions)
+        owner = np.zeros(index.size, "i8")
+    else:
+        index, owner = gram_indices(hashes, doc, dimensions)
+        keys, counts = np.unique(owner * dimensions + index, return_counts=True)
+        owner, index = keys // dimensions, keys % dimensions
     norm = np.sqrt(np.bincount(owner, counts.astype("f8") ** 2, len(column)))
     return owner, index, counts / norm[owner]
 
@@ -88,8 +112,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, dimensions
     """The model's weights. Learns from at most `rows` labels whose doc_id is not held out; null labels are left out.
 
     The sample (16 bytes a row, at most `rows` rows) is broadcast to the documents; their features, made on
-    the executors, reach one task in an order fixed by doc_id, which updates the model example by example.
-    Without any label the model scores 0.5 for all.
+    the executors, reach one task in an order fixed by doc_id, which updates the model example by example. Of rows
+    that share a doc_id one is learnt from, that with the smallest hash of its text; a doc_id with both labels is
+    learnt with both, and each counts. So at most `rows` examples reach the task. Without any label the model scores
+    0.5 for all.
     """
     order = F.xxhash64("doc_id", F.lit(8))
     chosen = labels.where(F.col("quality").isin(0, 1) & ~is_held_out()).select("doc_id", F.col("quality").cast("int").alias("label"))
@@ -109,7 +135,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, dimensions
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype("<f8").tobytes()], pa.binary())], names=["weights"])
 
     rows_in = docs.select("doc_id", common.text_bytes().alias("body")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "body")
-    examples = rows_in.mapInArrow(extract, schema).repartition(1).sortWithinPartitions(order, "doc_id", "label", "index")
+    # One text for each label: rows that share a doc_id are folded before they meet.
+    rows_in = rows_in.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("body").alias("h"), "body")).alias("x")).select("doc_id", "label", "x.body")
+    examples = common.bound_batches(rows_in).mapInArrow(extract, schema).repartition(1).sortWithinPartitions(order, "doc_id", "label", "index")
     found = examples.mapInArrow(learn, "weights binary").collect()
     return np.frombuffer(found[0].weights, "<f8") if found else np.zeros(dimensions)
 

@@ -10,6 +10,9 @@ import pyarrow as pa
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
+#: Bytes that are hashed at once.
+WINDOW = 1 << 20
+
 #: ASCII blanks: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -65,25 +68,54 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tokens(offsets: np.ndarray, data: np.ndarray, classes: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, class, document's place in the batch) of every run of a class over 0; runs end with their document."""
-    n = data.size
-    if not n:
+    """(hash, class, document's place in the batch) of every run of a class over 0; runs end with their document.
+
+    Bytes are worked through in windows of WINDOW; a run that a window cuts goes on in the next, so what is held beside
+    the tokens does not grow with a text, and one run may be of any length.
+    """
+    hashes, kinds, docs = [], [], []
+    held: tuple[int, int, int, int] | None = None  # sum, length, class and document of the run that a window cut
+
+    def give(sums: np.ndarray, size: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> None:
+        hashes.append(mix(sums + size.astype("u8")))
+        kinds.append(kind)
+        docs.append(doc)
+
+    def give_held() -> None:
+        give(*(np.array([x], t) for x, t in zip(held, ("u8", "i8", "u1", "i8"), strict=True)))
+
+    up, down = _powers(max(16, min(data.size, WINDOW).bit_length()))
+    for at in range(0, data.size, WINDOW):
+        part = data[at : at + WINDOW]
+        n = part.size
+        kind = classes[part]
+        cut = np.empty(n, bool)
+        cut[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=cut[1:])
+        inside = offsets[(offsets > at) & (offsets < at + n)] - at
+        cut[inside] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], n)
+        total = np.empty(n + 1, "u8")
+        total[0] = 0
+        np.cumsum(_values()[part if fold is None else fold[part]] * up[:n], out=total[1:])
+        sums, size, kind = (total[end] - total[start]) * down[start], end - start, kind[start]
+        doc = np.searchsorted(offsets, start + at, side="right") - 1
+        if held:
+            if held[2] == kind[0] and held[3] == doc[0]:
+                power = pow(int(_BASE), held[1], 2**64)
+                sums[0] = (held[0] + power * int(sums[0])) % 2**64
+                size[0] += held[1]
+            elif held[2]:
+                give_held()
+        held = (int(sums[-1]), int(size[-1]), int(kind[-1]), int(doc[-1]))
+        keep = np.flatnonzero(kind[:-1] > 0)
+        give(sums[keep], size[keep], kind[keep], doc[keep])
+    if held and held[2]:
+        give_held()
+    if not hashes:
         return np.zeros(0, "u8"), np.zeros(0, "u1"), np.zeros(0, "i8")
-    kind = classes[data]
-    cut = np.empty(n, bool)
-    cut[0] = True
-    np.not_equal(kind[1:], kind[:-1], out=cut[1:])
-    cut[offsets[:-1][offsets[:-1] < n]] = True
-    start = np.flatnonzero(cut)
-    end = np.append(start[1:], n)
-    keep = kind[start] > 0
-    start, end = start[keep], end[keep]
-    up, down = _powers(max(16, int(n).bit_length()))
-    total = np.empty(n + 1, "u8")
-    total[0] = 0
-    np.cumsum(_values()[data if fold is None else fold[data]] * up[:n], out=total[1:])
-    hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype("u8"))
-    return hashes, kind[start], np.searchsorted(offsets, start, side="right") - 1
+    return np.concatenate(hashes), np.concatenate(kinds), np.concatenate(docs)
 
 
 def grams(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
