@@ -91,3 +91,36 @@ def parse_radii(text: str) -> list[float | None]:
     if any(r is not None and not r > 0 for r in found):
         raise ValueError(f"a radius must be above 0: {text!r}")
     return found or [None]
+
+
+def parse_targets(text: str) -> dict[str, float]:
+    """Areas by use from 'use=area, use=area'; names are free, areas not below 0, the last of equal names holds."""
+    out: dict[str, float] = {}
+    for part in filter(None, (p.strip() for p in text.replace(";", ",").split(","))):
+        name, equals, value = part.partition("=")
+        try:
+            area = float(value)
+        except ValueError:
+            area = -1.0
+        if not name.strip() or not equals or not area >= 0:
+            raise ValueError(f"not a use and its area: {part!r}")
+        out[name.strip()] = area
+    if not out:
+        raise ValueError("no targets")
+    return out
+
+
+def parse_compat(text: str) -> dict[tuple[str, str], float]:
+    """How well uses go together, from 'a|b=value, a|a=value'."""
+    out: dict[tuple[str, str], float] = {}
+    for part in filter(None, (p.strip() for p in text.replace(";", ",").split(","))):
+        pair, equals, value = part.partition("=")
+        a, bar, b = (x.strip() for x in pair.partition("|"))
+        try:
+            number = float(value)
+        except ValueError:
+            equals = ""
+        if not (a and b and bar and equals):
+            raise ValueError(f"not a pair of uses and a value: {part!r}")
+        out[a, b] = number
+    return out

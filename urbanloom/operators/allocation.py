@@ -22,8 +22,9 @@ TOLERANCE = 1e-9
 class Plan:
     """An assignment of parcels to uses (-1: none) that is improved under area targets."""
 
-    def __init__(self, area: np.ndarray, suit: np.ndarray, targets: np.ndarray, locked: np.ndarray, near: list[list[tuple[int, float]]], weight: float):
+    def __init__(self, area: np.ndarray, suit: np.ndarray, targets: np.ndarray, locked: np.ndarray, near: list[list[tuple[int, float]]], weight: float, compat: np.ndarray | None = None):
         self.area, self.suit, self.near, self.weight = area, suit, near, weight
+        self.compat = np.eye(len(targets)) if compat is None else compat
         self.use = locked.copy()
         self.free = np.flatnonzero(locked < 0)
         self.left = targets.astype("f8").copy()
@@ -31,8 +32,8 @@ class Plan:
             self.left[u] -= area[locked == u].sum()
 
     def gain(self, parcel: int, use: int) -> float:
-        """Suitability times area, and the weight times the border with parcels of the same use."""
-        shared = sum(length for n, length in self.near[parcel] if self.use[n] == use)
+        """Suitability times area, and the weight times the border with each neighbour times how well the uses go together."""
+        shared = sum(length * self.compat[use, self.use[n]] for n, length in self.near[parcel] if self.use[n] >= 0)
         return float(self.suit[parcel, use] * self.area[parcel] + self.weight * shared)
 
     def fill(self) -> None:

@@ -173,25 +173,44 @@ def per_source(edges: DataFrame, sources: DataFrame, kernel: Callable[[Csr, pd.D
     return sources.repartition(spark.sparkContext.defaultParallelism * 2).mapInPandas(run, schema)
 
 
-def costs_from(edges: DataFrame, sources: DataFrame, cutoff: float | None = None) -> DataFrame:
-    """(source, node, cost) for all nodes within the cutoff of each source node (sources: node_id, distinct)."""
+def costs_from(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """(source, node, cost) for all nodes within the cutoff of each source node (sources: node_id, distinct).
+
+    With targets (node), only those nodes leave the search; they are at most the graph's nodes, which are broadcast too.
+    """
     if edges.count() > BROADCAST_EDGES:
-        return costs_by_joins(edges, sources, cutoff)
+        found = costs_by_joins(edges, sources, cutoff)
+        return found if targets is None else found.join(targets.select("node").distinct(), "node", "left_semi").select("source", "node", "cost")
+    wanted = None
+    if targets is not None:
+        wanted = targets.select("node").where("node is not null").distinct().toPandas()["node"].to_numpy("i8")
+        wanted = edges.sparkSession.sparkContext.broadcast(set(wanted.tolist()))
 
     def kernel(graph: Csr, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        source, node, cost = [], [], []
         for s in rows["node_id"]:
             dist = graph.search([(int(s), 0.0)], cutoff)[0]
-            out.append(pd.DataFrame({"source": int(s), "node": list(dist), "cost": list(dist.values())}))
-        return pd.concat(out) if out else pd.DataFrame({"source": [], "node": [], "cost": []})
+            if wanted is not None:
+                dist = {n: dist[n] for n in wanted.value & dist.keys()}
+            source.append(np.full(len(dist), int(s)))
+            node += dist
+            cost += dist.values()
+        return pd.DataFrame({"source": np.concatenate(source) if source else [], "node": node, "cost": cost})
 
     return per_source(edges, sources.select("node_id").distinct(), kernel, "source long, node long, cost double")
 
 
 def costs_by_joins(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, rounds: int = 10_000) -> DataFrame:
     """The same by relaxation: each round extends the pairs that got cheaper by one edge and keeps the minimum."""
+    starts = sources.select(F.col("node_id").alias("source"), "node_id", F.lit(0.0).alias("offset")).distinct()
+    return _relaxed(edges, starts, cutoff, rounds)
+
+
+def _relaxed(edges: DataFrame, starts: DataFrame, cutoff: float | None, rounds: int) -> DataFrame:
+    """(source, node, cost) from starts (source, node_id, offset) by joins, until no cost falls any more."""
     both = written(edges.select("a", "b", "cost").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost")).groupBy("a", "b").agg(F.min("cost").alias("step")))
-    known = written(sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(0.0).alias("cost")).distinct())
+    first = starts if cutoff is None else starts.where(F.col("offset") <= cutoff)
+    known = written(first.groupBy("source", F.col("node_id").alias("node")).agg(F.min("offset").alias("cost")))
     frontier = known
     for _ in range(rounds):
         reach = frontier.join(both, frontier["node"] == both["a"]).select("source", F.col("b").alias("node"), (F.col("cost") + F.col("step")).alias("new"))
@@ -201,8 +220,27 @@ def costs_by_joins(edges: DataFrame, sources: DataFrame, cutoff: float | None =
         known = merged.select("source", "node", F.when(F.col("better"), F.col("new")).otherwise(F.col("cost")).alias("cost"))
         frontier = merged.where("better").select("source", "node", F.col("new").alias("cost"))
         if not frontier.limit(1).count():
-            break
-    return known
+            return known
+    raise RuntimeError(f"costs still fall after {rounds} rounds")
+
+
+def costs_from_places(edges: DataFrame, starts: DataFrame, cutoff: float | None = None) -> DataFrame:
+    """(source, node, cost) of all nodes within the cutoff of each source, which enters the network at several nodes.
+
+    starts: source (a long), node_id, offset (the cost of getting there; not below 0), any number of rows a source.
+    """
+    if edges.count() > BROADCAST_EDGES:
+        return _relaxed(edges, starts, cutoff, 10_000)
+
+    def kernel(graph: Csr, rows: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"source": [], "node": [], "cost": []})]
+        for source, at in zip(rows["source"], rows["at"], strict=True):
+            dist = graph.search([(int(x["node_id"]), float(x["offset"])) for x in at], cutoff)[0]
+            out.append(pd.DataFrame({"source": int(source), "node": list(dist), "cost": list(dist.values())}))
+        return pd.concat(out)
+
+    each = starts.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("offset", "node_id"))).alias("at"))
+    return per_source(edges, each, kernel, "source long, node long, cost double")
 
 
 def nearest_source(edges: DataFrame, starts: DataFrame, cutoff: float | None = None, rounds: int = 10_000) -> DataFrame:
@@ -235,7 +273,9 @@ def od_matrix(nodes: DataFrame, edges: DataFrame, origins: DataFrame, destinatio
     same = destinations is None
     o = nearest_node(origins.select(F.col("id").alias("origin_id"), "x", "y"), nodes).withColumnsRenamed({"x": "ox", "y": "oy", "node_id": "source"}).drop("snap_m")
     d = o.select(F.col("origin_id").alias("dest_id"), F.col("ox").alias("dx"), F.col("oy").alias("dy"), F.col("source").alias("node")) if same else nearest_node(destinations.select(F.col("id").alias("dest_id"), "x", "y"), nodes).withColumnsRenamed({"x": "dx", "y": "dy", "node_id": "node"}).drop("snap_m")
-    costs = costs_from(edges, o.select(F.col("source").alias("node_id")), cutoff)
+    o, d = written(o), d if same else written(d)
+    d = o.select(F.col("origin_id").alias("dest_id"), F.col("ox").alias("dx"), F.col("oy").alias("dy"), F.col("source").alias("node")) if same else d
+    costs = costs_from(edges, o.select(F.col("source").alias("node_id")), cutoff, d)
     pairs = costs.join(d, "node").join(o, "source")
     pairs = pairs.where("origin_id <> dest_id") if same else pairs
     straight = F.hypot(F.col("ox") - F.col("dx"), F.col("oy") - F.col("dy"))

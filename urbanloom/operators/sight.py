@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import calendar
 import datetime
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -122,33 +121,6 @@ def isovists(blocked: DataFrame, points: DataFrame, pixel: float, rays: int = 18
     return points.select("row", "col").repartition(blocked.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "row int, col int, iso_area double, iso_perim double, min_rad double, max_rad double, mean_rad double, circular double, occlus double")
 
 
-def filled(z: np.ndarray) -> np.ndarray:
-    """Pits raised to the lowest way out over the raster's rim: cells are taken in the order of the level they drain at."""
-    out, done = z.copy(), np.isnan(z)
-    rows, cols = z.shape
-    rim = [(z[r, c], r, c) for r in range(rows) for c in range(cols) if (r in (0, rows - 1) or c in (0, cols - 1)) and not done[r, c]]
-    for _, r, c in rim:
-        done[r, c] = True
-    heapq.heapify(rim)
-    while rim:
-        level, r, c = heapq.heappop(rim)
-        for a, b, _ in raster.NEIGHBOURS:
-            y, x = r + a, c + b
-            if 0 <= y < rows and 0 <= x < cols and not done[y, x]:
-                done[y, x] = True
-                out[y, x] = max(z[y, x], level)
-                heapq.heappush(rim, (out[y, x], y, x))
-    return out
-
-
-def fill_depressions(dem: DataFrame) -> DataFrame:
-    """dem with its pits filled. The order is global: one kernel fills the raster (at most CELLS cells)."""
-    z, r0, c0 = as_array(dem)
-    out = filled(z) if z.size else z
-    at = np.nonzero(~np.isnan(out))
-    return dem.sparkSession.createDataFrame(pd.DataFrame({"row": (at[0] + r0).astype("int32"), "col": (at[1] + c0).astype("int32"), "value": out[at]}), "row int, col int, value double")
-
-
 def clear_sky(altitude: float, day: int) -> tuple[float, float]:
     """(direct on the flat, diffuse) kW per m2 of a clear sky, from the yearly courses of the apparent solar constant,
     extinction and the diffuse share."""

@@ -7,9 +7,10 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urbanloom.operators import basins
 from urbanloom.operators import environment as env
 from urbanloom.operators import raster as ra
-from urbanloom.operators import sight
+from urbanloom.operators import screening, sight
 from urbanloom.operators import siting as st
 from urbanloom.plans.rounding import rounded
 from urbanloom.sources.tables import table
@@ -62,7 +63,7 @@ def capacitated_siting(spark: SparkSession, d: str) -> DataFrame:
 def gravity_flows(spark: SparkSession, d: str) -> DataFrame:
     jobs = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("z")).agg(F.count(F.lit(1)).alias("j"))
     zones = _weights(spark, d).join(jobs, F.col("demand") == F.col("z"), "left").select(F.col("demand").alias("zone"), (F.col("weight") * 1.5).alias("production"), (F.coalesce("j", F.lit(0)) * 2.0).alias("attraction"))
-    return rounded(st.gravity(_costs(spark, d).toDF("origin", "dest", "cost"), zones, 0.1), 3)
+    return rounded(st.gravity(_costs(spark, d).toDF("origin", "dest", "cost"), zones, 0.1, rounds=6, tolerance=0.0)[0], 4)
 
 
 def _dem(spark: SparkSession, d: str) -> DataFrame:
@@ -137,6 +138,26 @@ def noise_receivers(spark: SparkSession, d: str) -> DataFrame:
     return rounded(env.noise_at(_receivers(spark, d), sources, 250.0).select("id", "db", "band"), 4)
 
 
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as upright rectangles of p_size x p_size / 2 + 3."""
+    k, w, h = F.col("p_partkey"), F.col("p_size").cast("double"), F.col("p_size") / 2.0 + 3
+    x, y = (k * 31 % 1999).cast("double"), (k * 47 % 1997).cast("double")
+    at = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    return table(spark, d, "part").select(k.alias("building_id"), F.array(at(x, y), at(x + w, y), at(x + w, y + h), at(x, y + h)).alias("ext"), F.lit(None).cast("array<array<struct<x: double, y: double>>>").alias("holes"), (k % 9 * 3.0).alias("height"))
+
+
+def noise_screened(spark: SparkSession, d: str) -> DataFrame:
+    sources = _sources(spark, d).select("bx", "by", env.sample_level(env.traffic_level(F.col("volume"), F.col("heavy")), F.lit(10.0)).alias("level"))
+    return rounded(screening.noise_screened(_receivers(spark, d), sources, _blocks(spark, d), 10.0, 150.0).select("id", "db", "band"), 4)
+
+
+def canyon_factors(spark: SparkSession, d: str) -> DataFrame:
+    """Straight roads along x at multiples of 50; walls above and below a receiver within 30."""
+    at = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    roads = spark.range(0, 42).select(F.col("id").alias("line_id"), F.array(at(F.lit(-100), F.col("id") * 50), at(F.lit(2200), F.col("id") * 50)).alias("pts"))
+    return rounded(screening.canyon_factors(_receivers(spark, d), roads, _blocks(spark, d), 20.0, 30.0), 6)
+
+
 def air_receivers(spark: SparkSession, d: str) -> DataFrame:
     return rounded(env.air_at(_receivers(spark, d), _sources(spark, d).select("bx", "by", F.col("volume").alias("strength")), 2.0, 1.0, 5.0, 250.0).select("id", "index"), 6)
 
@@ -166,7 +187,7 @@ def isovist_field(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fill_depressions(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(sight.fill_depressions(_dem(spark, d)), 6)
+    return rounded(basins.fill_depressions(_dem(spark, d), 16), 6)
 
 
 def solar_irradiation(spark: SparkSession, d: str) -> DataFrame:
@@ -177,7 +198,7 @@ def annual_solar(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sight.annual_irradiation(_dem(spark, d), 2.0, 2026, 1.0, 45.0, 9.0, 240.0, None, 12.0), 6)
 
 
-QUERIES = {f.__name__: f for f in (viewshed, visual_exposure, isovist_field, fill_depressions, solar_irradiation, annual_solar, site_coverage, site_nearest, max_coverage, p_median, capacitated_allocation, capacitated_siting, gravity_flows, flow_directions, flow_accumulation, height_above_drainage, flood_exposure, neighbour_share, edge_length, sprawl_metrics, growth, shadow_cells, sky_view, sun_hours, noise_receivers, air_receivers, kernel_density, entropy_mix)}
+QUERIES = {f.__name__: f for f in (viewshed, visual_exposure, isovist_field, fill_depressions, solar_irradiation, annual_solar, site_coverage, site_nearest, max_coverage, p_median, capacitated_allocation, capacitated_siting, gravity_flows, flow_directions, flow_accumulation, height_above_drainage, flood_exposure, neighbour_share, edge_length, sprawl_metrics, growth, shadow_cells, sky_view, sun_hours, noise_receivers, noise_screened, canyon_factors, air_receivers, kernel_density, entropy_mix)}
 
 _SITES = """c AS (SELECT a.n_nationkey AS site, b.n_nationkey AS demand, CAST(10 * abs(a.n_nationkey % 5 - b.n_nationkey % 5) + 10 * abs(a.n_nationkey // 5 - b.n_nationkey // 5) + (a.n_nationkey * 3 + b.n_nationkey * 7) % 4 AS DOUBLE) AS cost FROM nation a, nation b),
 w AS (SELECT CAST(c_nationkey AS BIGINT) AS demand, CAST(count(*) AS DOUBLE) AS weight FROM customer GROUP BY 1)"""
@@ -203,7 +224,38 @@ u{k} AS (SELECT * FROM u{k - 1} UNION ALL SELECT r, c, {k} FROM (SELECT * FROM n
 _PATCHES = """e AS (SELECT x.r * 50 + x.c AS a, y.r * 50 + y.c AS b FROM m x JOIN m y ON y.r BETWEEN x.r - 1 AND x.r + 1 AND abs(x.r - y.r) + abs(x.c - y.c) <= 1),
 t AS (SELECT a, a AS b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON e.a = t.b), s AS (SELECT root, count(*) AS n FROM (SELECT a, min(b) AS root FROM t GROUP BY a) GROUP BY root)"""
 
+_ROUND = """r{1} AS MATERIALIZED (SELECT zone, p / greatest(coalesce(sum(f * s), 0), 1e-12) AS r FROM z LEFT JOIN (SELECT site, f, s FROM m JOIN s{0} ON s{0}.zone = m.demand) ON site = zone GROUP BY zone, p),
+s{1} AS MATERIALIZED (SELECT zone, a / greatest(coalesce(sum(f * r), 0), 1e-12) AS s FROM z LEFT JOIN (SELECT demand, f, r FROM m JOIN r{1} ON r{1}.zone = m.site) ON demand = zone GROUP BY zone, a)"""
+_PICK = """u{1} AS MATERIALIZED (SELECT site, sum(weight) AS gain FROM near WHERE demand NOT IN (SELECT demand FROM near JOIN t{0} USING (site)) AND site NOT IN (SELECT site FROM t{0}) GROUP BY site),
+t{1} AS MATERIALIZED (SELECT * FROM t{0} UNION ALL (SELECT site, {1}, gain FROM u{1} WHERE gain > 0 ORDER BY gain DESC, site LIMIT 1))"""
+_BLOCKS = "w AS (SELECT p_partkey % 9 * 3.0::DOUBLE AS h, p_partkey * 31 % 1999 AS x0, p_partkey * 31 % 1999 + p_size AS x1, p_partkey * 47 % 1997 AS y0, p_partkey * 47 % 1997 + p_size / 2.0::DOUBLE + 3 AS y1 FROM part)"
+_PLACES = "c AS (SELECT c_custkey AS id, c_custkey * 37 % 2001 + 0.25::DOUBLE AS x, c_custkey * 53 % 2003 + 0.25::DOUBLE AS y FROM customer)"
 ORACLES = {
+    # A sight meets an upright rectangle where its parts over both ranges overlap.
+    "noise_screened": f"""WITH {_BLOCKS}, {_PLACES}, s AS (SELECT s_suppkey * 41 % 2011 AS ox, s_suppkey * 59 % 2017 AS oy, s_suppkey * 13 % 700 * (1 + 0.082::DOUBLE * (s_suppkey % 20)) AS m FROM supplier),
+p AS (SELECT id, x, y, ox, oy, x - ox AS dx, y - oy AS dy, m, sqrt((x - ox) ^ 2 + (y - oy) ^ 2) AS d FROM c, s WHERE m > 0 AND (x - ox) ^ 2 + (y - oy) ^ 2 <= 22500),
+k AS (SELECT p.*, EXISTS (SELECT 1 FROM w WHERE greatest(0, least((x0 - ox) / dx, (x1 - ox) / dx), least((y0 - oy) / dy, (y1 - oy) / dy)) <= least(1, greatest((x0 - ox) / dx, (x1 - ox) / dx), greatest((y0 - oy) / dy, (y1 - oy) / dy))) AS hid FROM p),
+v AS (SELECT id, 10 * log10(sum(10 ^ ((37.3::DOUBLE + 10 * log10(m) + 10 * log10(250 / pi()) - 20 * log10(greatest(d, 1)) - CASE WHEN hid THEN 10 ELSE 0 END) / 10))) AS db FROM k GROUP BY id),
+r AS (SELECT c.id, coalesce(db, -1) AS db FROM c LEFT JOIN v USING (id))
+SELECT id, round(db, 4) AS db, CASE WHEN db < 45 THEN '< 45 dB' WHEN db < 50 THEN '45 - 50 dB' WHEN db < 55 THEN '50 - 55 dB' WHEN db < 60 THEN '55 - 60 dB' WHEN db < 65 THEN '60 - 65 dB' WHEN db < 70 THEN '65 - 70 dB' WHEN db < 75 THEN '70 - 75 dB' ELSE '>= 75 dB' END AS band FROM r""",
+    "canyon_factors": f"""WITH {_BLOCKS}, {_PLACES}, n AS (SELECT id, x, y, abs(y - 50 * least(41, floor(y / 50 + 0.5::DOUBLE))) <= 20 AS near FROM c),
+u AS (SELECT id, avg(greatest(h, 1)) AS a FROM n JOIN w ON near AND x BETWEEN x0 AND x1 AND y1 >= y AND y0 <= y + 30 GROUP BY id),
+l AS (SELECT id, avg(greatest(h, 1)) AS b FROM n JOIN w ON near AND x BETWEEN x0 AND x1 AND y1 >= y - 30 AND y0 <= y GROUP BY id)
+SELECT n.id, CASE WHEN a IS NULL OR b IS NULL THEN 1.0 ELSE round(1 + least(2, (a + b) / 2 / 15), 6) END AS factor FROM n LEFT JOIN u USING (id) LEFT JOIN l USING (id)""",
+    "fill_depressions": f"""WITH RECURSIVE {_DEM}, x AS (SELECT min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM d),
+i AS (SELECT d.*, r IN (r0, r1) OR c IN (c0, c1) AS rim FROM d, x), o AS (SELECT unnest([-1, 0, 1]) AS v),
+n AS MATERIALIZED (SELECT i.r, i.c, i.z, i.rim, i.r + p.v AS nr, i.c + q.v AS nc FROM i, o p, o q),
+t AS (SELECT r, c, CASE WHEN rim THEN z ELSE 1e18 END AS l, 0 AS k FROM i UNION ALL
+  SELECT n.r, n.c, CASE WHEN rim THEN z ELSE greatest(z, min(t.l)) END, any_value(t.k) + 1 FROM t JOIN n ON n.nr = t.r AND n.nc = t.c WHERE t.k < 150 GROUP BY n.r, n.c, z, rim)
+SELECT r AS row, c AS col, round(l, 6) AS value FROM t WHERE k = 150""",
+    "gravity_flows": f"""WITH {_SITES}, j AS (SELECT s_nationkey AS zone, count(*) AS j FROM supplier GROUP BY 1),
+z0 AS (SELECT demand AS zone, weight * 1.5::DOUBLE AS p, coalesce(j, 0) * 2.0::DOUBLE AS a FROM w LEFT JOIN j ON zone = demand),
+z AS (SELECT zone, p, a * (SELECT sum(p) / sum(a) FROM z0) AS a FROM z0), m AS (SELECT site, demand, cost, exp(-0.1::DOUBLE * cost) AS f FROM c WHERE cost <= 45 AND site IN (SELECT zone FROM z) AND demand IN (SELECT zone FROM z)),
+s0 AS (SELECT zone, 1.0::DOUBLE AS s FROM z), {", ".join(_ROUND.format(k, k + 1) for k in range(6))}
+SELECT CAST(site AS BIGINT) AS origin, CAST(demand AS BIGINT) AS dest, cost, round(r * f * s, 4) AS flow FROM m JOIN r6 ON r6.zone = site JOIN s6 ON s6.zone = demand""",
+    "max_coverage": f"""WITH {_SITES}, near AS (SELECT site, demand, weight FROM c JOIN w USING (demand) WHERE cost <= 15),
+t0 AS (SELECT site, 0 AS rank, 0.0::DOUBLE AS gain FROM near WHERE FALSE), {", ".join(_PICK.format(k, k + 1) for k in range(4))}
+SELECT CAST(site AS BIGINT) AS site, rank, gain FROM t4""",
     "site_coverage": f"WITH {_SITES} SELECT CAST(site AS BIGINT) AS site, sum(weight) AS reach_dem FROM c JOIN w USING (demand) WHERE cost <= 15 GROUP BY site",
     "site_nearest": f"WITH {_SITES}, r AS (SELECT demand, site, cost, row_number() OVER (PARTITION BY demand ORDER BY cost, site) AS k FROM c WHERE site IN (3, 11, 20) AND cost <= 45) SELECT w.demand, weight, CAST(site AS BIGINT) AS site, cost FROM w LEFT JOIN r ON r.demand = w.demand AND k = 1",
     "flow_directions": f"WITH {_FLOW} SELECT r AS row, c AS col, dir FROM f",

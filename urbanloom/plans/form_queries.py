@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanloom.operators import form, network
-from urbanloom.plans.network_queries import _centres, _facilities, _graph, lattice
+from urbanloom.plans.network_queries import _centres, _facilities, _town_graph, lattice, town
 from urbanloom.plans.rounding import rounded
 from urbanloom.sources.tables import table
 
@@ -40,12 +40,12 @@ def spacematrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def street_summary(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _graph(spark)
-    return rounded(form.street_summary(nodes, edges, lattice(spark)), 6)
+    nodes, edges = _town_graph(spark, d)
+    return rounded(form.street_summary(nodes, edges, town(spark, d)), 6)
 
 
 def space_syntax(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(form.space_syntax(lattice(spark), 400.0), 6)
+    return rounded(form.space_syntax(town(spark, d), 400.0), 6)
 
 
 def route_quality(spark: SparkSession, d: str) -> DataFrame:

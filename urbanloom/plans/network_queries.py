@@ -1,5 +1,6 @@
-"""Network queries on an 8 x 8 lattice of streets; points come from suppliers, customers and parts.
+"""Network queries on a lattice of streets; points come from suppliers, customers and parts.
 
+Measures of streets alone run on a town of suppliers that grows with the table, the others on 8 x 8 points.
 The SQL oracles get all shortest costs by squaring the cost matrix five times (paths of up to 32 streets).
 """
 
@@ -16,16 +17,27 @@ from urbanloom.sources.tables import table
 SIDE = 8
 
 
-def lattice(spark: SparkSession) -> DataFrame:
+def lattice(spark: SparkSession, at: DataFrame | None = None, side: int = SIDE) -> DataFrame:
     """Lines to the right and upper neighbour of each lattice point, with costs, stress levels and their ends."""
-    at = spark.range(SIDE * SIDE).select((F.col("id") % SIDE).alias("c"), F.floor(F.col("id") / SIDE).alias("r"), "id")
+    at = (spark.range(side * side) if at is None else at).select((F.col("id") % side).alias("c"), F.floor(F.col("id") / side).alias("r"), "id")
     point = lambda x, y: F.struct((x * 100.0).alias("x"), (y * 100.0).alias("y"))
-    right = at.where(F.col("c") < SIDE - 1).select((2 * F.col("id")).alias("line_id"), F.array(point(F.col("c"), F.col("r")), point(F.col("c") + 1, F.col("r"))).alias("pts"), "c", "r", "id", F.lit(0).alias("up"))
-    up = at.where(F.col("r") < SIDE - 1).select((2 * F.col("id") + 1).alias("line_id"), F.array(point(F.col("c"), F.col("r")), point(F.col("c"), F.col("r") + 1)).alias("pts"), "c", "r", "id", F.lit(1).alias("up"))
+    right = at.where(F.col("c") < side - 1).select((2 * F.col("id")).alias("line_id"), F.array(point(F.col("c"), F.col("r")), point(F.col("c") + 1, F.col("r"))).alias("pts"), "c", "r", "id", F.lit(0).alias("up"))
+    up = at.where(F.col("r") < side - 1).select((2 * F.col("id") + 1).alias("line_id"), F.array(point(F.col("c"), F.col("r")), point(F.col("c"), F.col("r") + 1)).alias("pts"), "c", "r", "id", F.lit(1).alias("up"))
     cost = 100.0 + (F.col("c") * 7 + F.col("r") * 13 + F.col("up") * 3) % 11 * 7.5
     return right.unionByName(up).select("line_id", "pts", cost.alias("cost"), ((F.col("id") * 5 + F.col("up")) % 7 / 2 + 1).alias("lts"))
 
 
+def town(spark: SparkSession, d: str) -> DataFrame:
+    """Streets between suppliers, who live on the points of a square lattice that grows with their number."""
+    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    side = int(suppliers.count() ** 0.5)
+    return lattice(spark, suppliers.where(F.col("id") < side * side), side)
+
+
+def _town_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return op.build_graph(town(spark, d), cost="cost", keep=["lts"])
+
+
 def _points(spark: SparkSession, d: str, name: str, key: str, *more) -> DataFrame:
     k = F.col(key)
     return table(spark, d, name).select(k.alias("id"), (k * 37 % 701 + 0.25).alias("x"), (k * 53 % 701 + 0.25).alias("y"), *more)
@@ -96,28 +108,28 @@ def green_access_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def street_nodes(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _graph(spark)
+    nodes, edges = _town_graph(spark, d)
     found = op.street_nodes(nodes, edges).join(nodes, "node_id")
     return found.select("x", "y", "degree", "node_type")
 
 
 def low_stress_islands(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _graph(spark)
+    nodes, edges = _town_graph(spark, d)
     return rounded(op.low_stress_islands(edges, "lts", 2).select("edge_id", "lowstress", "island_m"), 6)
 
 
 def network_centrality(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _graph(spark)
+    nodes, edges = _town_graph(spark, d)
     return rounded(op.centrality(nodes, edges).join(nodes, "node_id").select("x", "y", "degree", "reach", "closeness", "harm_clo", "straight"), 8)
 
 
 def network_betweenness(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _graph(spark)
+    nodes, edges = _town_graph(spark, d)
     return rounded(op.centrality(nodes, edges).join(nodes, "node_id").select("x", "y", "betweenness", "betw_norm"), 6)
 
 
 def network_edge_betweenness(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _graph(spark)
+    nodes, edges = _town_graph(spark, d)
     return rounded(op.edge_centrality(nodes, edges), 6)
 
 
@@ -134,7 +146,7 @@ def service_area_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def network_eigenvector(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _graph(spark)
+    nodes, edges = _town_graph(spark, d)
     return rounded(op.eigenvector(edges).join(nodes, "node_id").select("x", "y", "eigen"), 6)
 
 
@@ -160,6 +172,9 @@ QUERIES = {f.__name__: f for f in (network_eigenvector, prepare_network, walkabi
 _EDGES = """l AS (SELECT range AS id, range % 8 AS c, range // 8 AS r FROM range(64)),
 e AS (SELECT id * 2 AS edge, id AS a, id + 1 AS b, 100 + (c * 7 + r * 13) % 11 * 7.5::DOUBLE AS cost, (id * 5) % 7 / 2.0::DOUBLE + 1 AS lts FROM l WHERE c < 7
   UNION ALL SELECT id * 2 + 1, id, id + 8, 100 + (c * 7 + r * 13 + 3) % 11 * 7.5::DOUBLE, (id * 5 + 1) % 7 / 2.0::DOUBLE + 1 FROM l WHERE r < 7)"""
+_TOWN_EDGES = """side AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS s FROM supplier), l AS (SELECT s_suppkey AS id, s_suppkey % s AS c, s_suppkey // s AS r FROM supplier, side WHERE s_suppkey < s * s),
+e AS (SELECT id * 2 AS edge, id AS a, id + 1 AS b, 100 + (c * 7 + r * 13) % 11 * 7.5::DOUBLE AS cost, (id * 5) % 7 / 2.0::DOUBLE + 1 AS lts FROM l, side WHERE c < s - 1
+  UNION ALL SELECT id * 2 + 1, id, id + s, 100 + (c * 7 + r * 13 + 3) % 11 * 7.5::DOUBLE, (id * 5 + 1) % 7 / 2.0::DOUBLE + 1 FROM l, side WHERE r < s - 1)"""
 _SQUARE = "d{1} AS MATERIALIZED (SELECT p.a, q.b, min(p.cost + q.cost) AS cost FROM d{0} p JOIN d{0} q ON p.b = q.a GROUP BY p.a, q.b)"
 _COSTS = _EDGES + """, d0 AS (SELECT a, b, cost FROM e UNION ALL SELECT b, a, cost FROM e UNION ALL SELECT id, id, 0 FROM l),
 """ + ",\n".join(_SQUARE.format(i, i + 1) for i in range(5)) + ",\nd AS (SELECT * FROM d5)"
@@ -244,3 +259,11 @@ o AS (SELECT edge, count(c.id) AS pois FROM m LEFT JOIN c ON (m.x - c.x) ^ 2 + (
 s AS (SELECT m.edge, km2, pois, coalesce(abs(ha.z - hb.z), 0) AS slope FROM m JOIN j USING (edge) JOIN o USING (edge) LEFT JOIN h ha ON ha.id = m.a LEFT JOIN h hb ON hb.id = m.b)
 SELECT edge AS line_id, round((30 * least(km2 / 120, 1) + 25 * least(pois / 25.0::DOUBLE, 1) + 10 * 0.9375::DOUBLE + 10 * greatest(least((12 - slope) / 12, 1), 0)) / 0.75::DOUBLE, 6) AS walk_score, round(km2, 6) AS int_km2, 100.0::DOUBLE AS blk_len, CAST(pois AS INTEGER) AS n_pois, round(slope, 6) AS slope_pct FROM s""",
 }
+
+_NODES = "(SELECT count(*) FROM l)"
+#: The same over the town, whose number of points and side are read from the table.
+for _name in ("street_nodes", "low_stress_islands", "network_centrality", "network_betweenness", "network_edge_betweenness", "network_eigenvector"):
+    _sql = ORACLES[_name].replace(_EDGES, _TOWN_EDGES)
+    for _old, _new in ((" % 8", " % (SELECT s FROM side)"), (" // 8", " // (SELECT s FROM side)"), ("64 AS reach", f"CAST({_NODES} AS INTEGER) AS reach"), ("63 / ", f"({_NODES} - 1) / "), ("/ 1953", f"/ (({_NODES} - 1) * ({_NODES} - 2) / 2)")):
+        _sql = _sql.replace(_old, _new)
+    ORACLES[_name] = _sql
