@@ -14,8 +14,9 @@ so equal strings have equal anchors. The bytes from anchor to anchor are phrases
    sorts are over distinct keys with counts, so letters or suffixes that many texts share are one row.
 4. Ranks order the suffixes; adjacent ones are compared on the phrases that lie within what every string of an anchor
    covers. Runs of equal prefixes are classes; a suffix alone in its class starts no repeat.
-5. Exact check within classes: anchors with equal bytes all around are repeats at once. Where only a part is equal (the
-   ends of repeated passages), each string of the anchor is checked by a 128-bit hash of its bytes within the class.
+5. Exact check within classes, by 128-bit hashes of bytes: anchors with equal bytes all around are repeats at once. At
+   the ends of repeated passages blocks of BLOCK strings are judged next (what all of them share must repeat, or none
+   does; what any of them covers repeats, then all do), and single strings only in the blocks that hold an end.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ from . import common
 from . import tokens as tk
 
 LENGTH = 200
-WINDOW, GRAM = 64, 16
+WINDOW, GRAM = 96, 8
 LONG_GRAM = 64
+#: Strings of an anchor that are judged together before single ones are.
+BLOCK = 16
 #: Shortest strings that have a whole anchor window within what all strings of an anchor cover.
 LEAST = 2 * WINDOW + GRAM - 2
 #: Bytes of a batch, and of starts in a piece of a long text or stretch: they bound a task's memory.
@@ -229,15 +232,21 @@ def _below(distinct: DataFrame, keys: list[str], counts: list[str]) -> DataFrame
     return found.select(*keys, *[(F.col(f"{c}_below") + F.col(f"_{c}")).alias(f"{c}_below") for c in counts])
 
 
+def followed(letters: DataFrame) -> DataFrame:
+    """letters (s, i, c) with the next two letters of their string, c1 and c2 (0 at its end)."""
+    row = W.partitionBy("s").orderBy("i")
+    return letters.select("s", "i", "c", *[F.coalesce(F.lead("c", k).over(row), F.lit(0)).alias(f"c{k}") for k in (1, 2)])
+
+
 def ranks(letters: DataFrame, most: int, cover: int = 1) -> DataFrame:
-    """(s, i, r) for letters (s: string, i: place from 0, c: letter over 0): r is the number of smaller suffixes.
+    """(s, i, r) for letters as followed() gives them (s: string, i: place from 0, c: letter over 0): r is the number
+    of smaller suffixes.
 
     Suffixes count as equal when they agree in their first `most` letters of level 0, of which one letter covers
     `cover`, or more. The end of a string is smaller than any letter.
     """
     row = W.partitionBy("s").orderBy("i")
-    wide = letters.select("s", "i", "c", *[F.coalesce(F.lead("c", k).over(row), F.lit(0)).alias(f"c{k}") for k in (1, 2)])
-    wide = common.store(wide)
+    wide = common.store(letters)
     place = F.col("i") % 3
     triples = wide.where(place > 0)
     keys = ["c", "c1", "c2"]
@@ -246,7 +255,7 @@ def ranks(letters: DataFrame, most: int, cover: int = 1) -> DataFrame:
     if 3 * cover < most:
         one = F.col("i") % 3 - 1
         deeper = names.select((2 * F.col("s") + one).alias("s"), F.floor(F.col("i") / 3).cast("int").alias("i"), (F.col("r") + 1).alias("c"))
-        deeper = ranks(common.store(deeper), most, 3 * cover)
+        deeper = ranks(followed(deeper), most, 3 * cover)
         odd = F.pmod(F.col("s"), F.lit(2))
         names = deeper.select(F.floor(F.col("s") / 2).cast("long").alias("s"), (3 * F.col("i") + 1 + odd).cast("int").alias("i"), "r")
     else:
@@ -310,62 +319,103 @@ def classes(members: DataFrame) -> DataFrame:
     return common.store(placed.join(shared, "class").select("m", "r", "class"))
 
 
-def _wide_keys(batches: Iterator[pa.RecordBatch], length: int, alone: bool) -> Iterator[pa.RecordBatch]:
-    """For stretches with anchors (own: idx, class): with alone, one key for each string of them (p: its start), else
-    one for each anchor that has length bytes from it and WINDOW - 1 before it in its stretch."""
-    for batch in common.small_batches(batches, "body", BATCH):
-        bodies, own, s = (batch.column(c).to_pylist() for c in ("body", "own", "s"))
-        for group in groups(zip(range(len(s)), bodies, strict=True)):
-            offsets, data = _joined([g[-1] for g in group])
-            anchor, owner, _, _, _ = parsed(offsets, data, length, length - WINDOW + 1)
-            base = np.searchsorted(owner, np.arange(len(group)))
-            rows = [(j, x["idx"], x["class"]) for j, (i, _) in enumerate(group) for x in own[i]]
-            j, idx, cls = (np.array([r[k] for r in rows], "i8") for k in range(3))
-            place = anchor[base[j] + idx]
-            if alone:
-                at = lowest(windows(data, GRAM), WINDOW)
-                p = np.flatnonzero(_inside(offsets, at.size, length))
-                order = np.argsort(place, kind="stable")
-                hit = np.searchsorted(place[order], at[p])
-                ok = (hit < place.size) & (place[order][np.minimum(hit, place.size - 1)] == at[p])
-                p, row = p[ok], order[hit[ok]]
-                j, idx, cls = j[row], idx[row], cls[row]
-                size, start = length, p
-            else:
-                size, start = length + WINDOW - 1, place - (WINDOW - 1)
-                ok = (start >= offsets[j]) & (place + length <= offsets[j + 1])
-                j, idx, cls, start = j[ok], idx[ok], cls[ok], start[ok]
-            keys = [windows(data, size, k)[start].view("i8") for k in (0, 1)] if start.size else [np.zeros(0, "i8")] * 2
-            which = np.array([s[i] for i, _ in group], "i8")[j]
-            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(idx.astype("i4")), pa.array((start - offsets[j]).astype("i4")), pa.array(cls), *map(pa.array, keys)], names=["s", "idx", "p", "class", "k1", "k2"])
+def _listed(column: pa.Array, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(row of each entry, its fields) of a column of lists of structs; a null number is -1."""
+    flat = column.flatten()
+    rows = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+    return rows, [flat.field(flat.type.get_field_index(n)).fill_null(-1).to_numpy(zero_copy_only=False).astype("i8") for n in names]
 
 
-_KEYS = "s long, idx int, p int, class long, k1 long, k2 long"
+def _places(offsets: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchors; the first of each text in them; starts of strings; the anchor of each as a place among the anchors)."""
+    anchor, owner, _, _, _ = parsed(offsets, data, length, length - WINDOW + 1)
+    at = lowest(windows(data, GRAM), WINDOW)
+    p = np.flatnonzero(_inside(offsets, at.size, length))
+    return anchor, np.searchsorted(owner, np.arange(offsets.size - 1)), p, np.searchsorted(anchor, at[p])
 
 
-def repeats(held: DataFrame, placed: DataFrame, length: int) -> DataFrame:
-    """(s, idx) of anchors all of whose strings repeat, p null; and (s, p) of other strings that repeat.
+def _keys(batches: Iterator[pa.RecordBatch], length: int, size: int) -> Iterator[pa.RecordBatch]:
+    """For stretches with anchors (own: idx, b, class; b: the block of BLOCK strings, -1 for all): a row for each block of
+    `size` strings of them that holds a string. The block's number counts from the anchor back; c1, c2: hash of the
+    bytes that all its strings share; f1, f2: of those that any covers, null where the stretch ends before them."""
+    for batch in common.small_batches(batches, "body", BATCH):
+        for first, group in _row_groups(batch.column("body").to_pylist()):
+            offsets, data = _joined(group)
+            rows, (idx, block, cls) = _listed(batch.column("own").slice(first, len(group)), ["idx", "b", "class"])
+            anchor, base, p, of = _places(offsets, data, length)
+            place = base[rows] + idx
+            # Strings and the anchors that ask for them meet by anchor; an anchor may ask for several blocks.
+            lo, hi = np.searchsorted(of, place), np.searchsorted(of, place, side="right")
+            each = np.repeat(np.arange(place.size), hi - lo)
+            start = p[np.arange(each.size) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
+            back = anchor[place[each]] - start
+            ok = (block[each] < 0) | (back // BLOCK == block[each])
+            each, number = each[ok], back[ok] // size
+            keep = np.flatnonzero(np.append(True, (np.diff(each) != 0) | (np.diff(number) != 0))) if each.size else each
+            each, number = each[keep], number[keep]
+            at, row = anchor[place[each]], rows[each]
+            wide = length + size - 1
+            begin = at - number * size - (size - 1)
+            fits = (begin >= offsets[row]) & (begin + wide <= offsets[row + 1])
+            out = [batch.column("s").slice(first, len(group)).take(pa.array(row)), pa.array(idx[each].astype("i4")), pa.array(number.astype("i4")), pa.array(cls[each])]
+            for start_, n, good in ((at - number * size, length - size + 1, np.ones(fits.size, bool)), (begin, wide, fits)):
+                if n < 1:
+                    out += [pa.nulls(row.size, pa.int64())] * 2
+                    continue
+                for which in (0, 1):
+                    held = windows(data, n, which)
+                    value = np.zeros(row.size, "i8")
+                    value[good] = held[start_[good]].view("i8")
+                    out.append(pa.array(value, mask=~good))
+            yield pa.RecordBatch.from_arrays(out, names=["s", "idx", "b", "class", "c1", "c2", "f1", "f2"])
+
+
+def _row_groups(bodies: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, bodies) of rows in a row with about BATCH bytes."""
+    for group in groups(zip(range(len(bodies)), bodies, strict=True)):
+        yield group[0][0], [g[-1] for g in group]
 
-    held: stretches; placed: (s, idx, class) of anchors in classes.
-    """
 
-    def keyed(anchors: DataFrame, alone: bool) -> DataFrame:
-        own = anchors.groupBy("s").agg(F.collect_list(F.struct("idx", "class")).alias("own"))
+def repeats(held: DataFrame, placed: DataFrame, length: int) -> DataFrame:
+    """(s, idx, b, o) of strings that repeat: all of an anchor's (b and o null), a block's, or the one that starts o
+    bytes before the anchor. held: stretches; placed: (s, idx, class) of anchors in classes."""
+    schema = "s long, idx int, b int, class long, c1 long, c2 long, f1 long, f2 long"
+    none = F.lit(None).cast("int")
+
+    def keyed(anchors: DataFrame, size: int) -> DataFrame:
+        own = anchors.groupBy("s").agg(F.collect_list(F.struct("idx", "b", "class")).alias("own"))
         rows = held.select("s", "body").join(own, "s").select("s", "body", "own")
-        return common.store(rows.mapInArrow(lambda b: _wide_keys(b, length, alone), _KEYS))
-
-    key = ["class", "k1", "k2"]
-    whole = keyed(placed, False)
-    folded = common.store(whole.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("s", "idx")).alias("one")).where("n > 1"))
-    sure = common.store(whole.join(folded, key, "left_semi").select("s", "idx"))
-    open_ = placed.join(sure, ["s", "idx"], "left_anti")
-    some = open_.select("class").distinct()
-    # In their classes, one of each kind of sure anchors stands for all.
-    ones = folded.join(some, "class", "left_semi").select("one.s", "one.idx", "class")
-    strings = keyed(open_.select("s", "idx", "class").unionByName(ones).distinct(), True)
+        return common.store(rows.mapInArrow(lambda batches: _keys(batches, length, size), schema))
+
+    def judged(rows: DataFrame, core: bool) -> tuple[DataFrame, DataFrame]:
+        """(blocks whose strings all repeat; of those that are left, and of one of each kind of sure ones beside them,
+        what the next level needs)."""
+        full, shared = ["class", "b", "f1", "f2"], ["class", "b", *(["c1", "c2"] if core else [])]
+        folded = common.store(rows.where("f1 is not null").groupBy(*full).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("s", "idx", *shared[2:])).alias("one")).where("n > 1"))
+        sure = common.store(rows.join(folded, full, "left_semi").select("s", "idx", "b"))
+        rest = rows.join(sure, ["s", "idx", "b"], "left_anti")
+        ones = folded.select("class", "b", "one.*")
+        some = rest.select("s", "idx", *shared).unionByName(ones.select("s", "idx", *shared)) if core else None
+        if core:
+            # What a block's strings share must occur twice; sure blocks count, once for each kind.
+            alive = some.groupBy(*shared).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*shared)
+            rest = common.store(rest.join(alive, shared, "left_semi").select("s", "idx", *shared))
+        wanted = rest.select(*shared).distinct()
+        open_ = rest.select("s", "idx", "b", "class").unionByName(ones.join(wanted, shared, "left_semi").select("s", "idx", "b", "class"))
+        return sure, common.store(open_)
+
+    whole = keyed(placed.withColumn("b", none), WINDOW)
+    sure, open_ = judged(whole, False)
+    common.drop_stored(whole)
+    blocks = keyed(open_.withColumn("b", none), BLOCK)
+    part, open_ = judged(blocks, True)
+    common.drop_stored(blocks)
+    strings = keyed(open_, 1)
+    key = ["class", "c1", "c2"]
     twice = strings.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    single = strings.join(twice, key, "left_semi").select("s", F.lit(None).cast("int").alias("idx"), "p")
-    return common.store(sure.select("s", "idx", F.lit(None).cast("int").alias("p")).unionByName(single))
+    single = strings.join(twice, key, "left_semi").select("s", "idx", none.alias("b"), F.col("b").alias("o"))
+    every = sure.select("s", "idx", none.alias("b"), none.alias("o")).unionByName(part.select("s", "idx", "b", none.alias("o"))).unionByName(single)
+    return common.store(every)
 
 
 def removed(held: DataFrame, found: DataFrame, length: int) -> DataFrame:
@@ -373,32 +423,32 @@ def removed(held: DataFrame, found: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches, "body", BATCH):
-            bodies, found, start = (batch.column(c).to_pylist() for c in ("body", "found", "start"))
-            for group in groups(zip(range(len(bodies)), bodies, strict=True)):
-                offsets, data = _joined([g[-1] for g in group])
-                anchor, owner, _, _, _ = parsed(offsets, data, length, length - WINDOW + 1)
-                base = np.searchsorted(owner, np.arange(len(group)))
-                at = lowest(windows(data, GRAM), WINDOW)
-                p = np.flatnonzero(_inside(offsets, at.size, length))
-                hits = [(j, x["idx"], x["p"]) for j, (i, _) in enumerate(group) for x in found[i]]
-                sure = np.array([anchor[base[j] + idx] for j, idx, p_ in hits if p_ is None], "i8")
+            for at, group in _row_groups(batch.column("body").to_pylist()):
+                offsets, data = _joined(group)
+                rows, (idx, block, back) = _listed(batch.column("found").slice(at, len(group)), ["idx", "b", "o"])
+                anchor, base, p, of = _places(offsets, data, length)
+                place = base[rows] + idx
+                # Codes of (anchor, what of it): -1 all, else a block, or a single string beyond all blocks.
+                blocks = WINDOW // BLOCK + 1
+                code = lambda a, k: a * (blocks + WINDOW + 1) + k + 1
+                asked = np.unique(code(place, np.where(back >= 0, blocks + back, block)))
+                before = anchor[of] - p
+                hit = np.zeros(p.size, bool)
+                for k in (np.full(p.size, -1), before // BLOCK, blocks + before):
+                    hit |= np.isin(code(of, k), asked)
                 go = np.zeros(data.size + 1, "i8")
-                starts = np.unique(np.concatenate([p[np.isin(at[p], sure)], np.array([offsets[j] + p_ for j, _, p_ in hits if p_ is not None], "i8")]))
-                np.add.at(go, starts, 1)
-                np.add.at(go, starts + length, -1)
+                np.add.at(go, p[hit], 1)
+                np.add.at(go, p[hit] + length, -1)
                 gone = np.cumsum(go)[:-1] > 0
-                edge = gone.copy()
-                edge[1:] &= ~gone[:-1]
-                edge[offsets[:-1][offsets[:-1] < data.size]] |= gone[offsets[:-1][offsets[:-1] < data.size]]
-                first = np.flatnonzero(edge)
-                stop = gone & np.append(~gone[1:] | edge[1:], True)
-                last = np.flatnonzero(stop) + 1
+                border = np.zeros(data.size, bool)
+                border[offsets[:-1][offsets[:-1] < data.size]] = True
+                first = np.flatnonzero(gone & (border | ~np.append(False, gone[:-1])))
+                last = np.flatnonzero(gone & np.append(border[1:] | ~gone[1:], True)) + 1
                 own = np.searchsorted(offsets, first, side="right") - 1
-                shift = np.array([start[i] for i, _ in group], "i8")[own] - offsets[own]
-                digest = batch.column("digest").take(pa.array([group[j][0] for j in own], pa.int64()))
-                yield pa.RecordBatch.from_arrays([digest, pa.array((first + shift).astype("i4")), pa.array((last + shift).astype("i4"))], names=["digest", "lo", "hi"])
+                shift = batch.column("start").to_numpy(zero_copy_only=False)[at + own] - offsets[own]
+                yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(at + own)), pa.array((first + shift).astype("i4")), pa.array((last + shift).astype("i4"))], names=["digest", "lo", "hi"])
 
-    own = found.groupBy("s").agg(F.collect_list(F.struct("idx", "p")).alias("found"))
+    own = found.groupBy("s").agg(F.collect_list(F.struct("idx", "b", "o")).alias("found"))
     rows = held.select("s", "digest", "start", "body").join(own, "s").select("digest", "start", "body", "found")
     cuts = rows.mapInArrow(run, "digest binary, lo int, hi int")
     return common.store(cuts.groupBy("digest").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts")))
@@ -429,13 +479,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     twice = common.store(places.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("fp"))
     spans = places.join(twice, "fp", "left_semi").groupBy("digest").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     spans = common.store(spans.join(texts.select("digest", "rep"), "digest").withColumnRenamed("digest", "_digest"))
+    copies = common.store(texts.where("n > 1").select("digest", F.lit(True).alias("all")))
+    for x in (texts, twice):
+        common.drop_stored(x)
+    _release(rows)
     held = stretches(long, spans, length)
     common.drop_stored(spans)
     _release(rows)
     anchors = held.select("s", "names", F.explode(F.arrays_zip("idx", "m")).alias("x"))
     anchors = anchors.select("s", F.col("x.idx").alias("i"), F.col("x.m").alias("m"), F.slice("names", F.col("x.idx") + 1, F.col("x.m")).alias("prefix"))
     most = held.agg(F.max(F.array_max("m"))).first()[0] or 0
-    letters = held.select("s", F.posexplode("names").alias("i", "c"))
+    following = F.transform("names", lambda c, i: F.struct(i.alias("i"), c.alias("c"), *[F.coalesce(F.get("names", i + k), F.lit(0)).alias(f"c{k}") for k in (1, 2)]))
+    letters = held.select("s", F.explode(following).alias("x")).select("s", "x.*")
     order = ranks(letters, most)
     _release(rows)
     members = common.store(anchors.join(order, ["s", "i"]))
@@ -446,8 +501,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     _release(rows)
     cuts = removed(held, repeats(held, placed, length), length)
     _release(rows)
-    gone = texts.select("digest", (F.col("n") > 1).alias("all")).join(cuts, "digest", "left").where("all or cuts is not null")
-    gone = common.store(gone.select(F.col("digest").alias("_digest"), "all", F.when(~F.col("all"), F.col("cuts")).alias("cuts")))
+    gone = copies.join(cuts, "digest", "full").select(F.col("digest").alias("_digest"), F.coalesce("all", F.lit(False)).alias("all"), "cuts")
+    gone = common.store(gone.withColumn("cuts", F.when(~F.col("all"), F.col("cuts"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.small_batches(batches, "body"):
