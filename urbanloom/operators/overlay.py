@@ -116,7 +116,7 @@ def shared_walls(buildings: DataFrame, cell: float = 50.0, tolerance: float = 1e
 
 
 def clip_box(points: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
-    """The part of a convex polygon (k, 2) in a box."""
+    """The part of a polygon (k, 2) in a box; parts of one that is not convex may hang together along the box's sides."""
     for axis, bound, sign in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
         if not len(points):
             break
@@ -136,25 +136,27 @@ def clip_box(points: np.ndarray, x0: float, y0: float, x1: float, y1: float) ->
     return points if len(points) >= 3 else points[:0]
 
 
-def sweep(shapes: list[np.ndarray]) -> np.ndarray:
-    """The union of convex polygons as trapezoids (y0, y1, left and right at y0, left and right at y1).
+def sweep(shapes: list[np.ndarray], layers: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(trapezoids, what covers them: 1 the first layer, 2 the second, 3 both) of simple polygons in one or two layers
+    (0 and 1). A trapezoid is y0, y1, left and right at y0, left and right at y1.
 
     Heights where edges end or cross bound slabs in which no edges cross; there, edges in the order of their middles
     are the sides of the shapes that cover what is between them.
     """
+    layers = np.zeros(len(shapes), "i8") if layers is None else layers
     edges = []
-    for p in shapes:
+    for p, layer in zip(shapes, layers, strict=True):
         q = np.roll(p, -1, axis=0)
         up = q[:, 1] > p[:, 1]
         flat = q[:, 1] == p[:, 1]
         turned = ((p[:, 0] * q[:, 1]) - (q[:, 0] * p[:, 1])).sum() < 0
         low, high = np.where(up[:, None], p, q)[~flat], np.where(up[:, None], q, p)[~flat]
         # Counter-clockwise, a falling edge is the left side of its shape.
-        edges.append(np.column_stack([low, high, np.where(up[~flat] ^ turned, -1, 1)]))
-    e = np.concatenate(edges) if edges else np.zeros((0, 5))
+        edges.append(np.column_stack([low, high, np.where(up[~flat] ^ turned, -1, 1), np.full((~flat).sum(), layer)]))
+    e = np.concatenate(edges) if edges else np.zeros((0, 6))
     if not len(e):
-        return np.zeros((0, 6))
-    x, y, dx, dy, side = e[:, 0], e[:, 1], e[:, 2] - e[:, 0], e[:, 3] - e[:, 1], e[:, 4]
+        return np.zeros((0, 6)), np.zeros(0, "i8")
+    x, y, dx, dy, side, layer = e[:, 0], e[:, 1], e[:, 2] - e[:, 0], e[:, 3] - e[:, 1], e[:, 4], e[:, 5]
     cross = dx[:, None] * dy[None, :] - dy[:, None] * dx[None, :]
     with np.errstate(divide="ignore", invalid="ignore"):
         t = ((x[None, :] - x[:, None]) * dy[None, :] - (y[None, :] - y[:, None]) * dx[None, :]) / cross
@@ -162,7 +164,7 @@ def sweep(shapes: list[np.ndarray]) -> np.ndarray:
         meet = (cross != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
         i, j = np.nonzero(np.triu(meet))
     heights = np.unique(np.concatenate([y, y + dy, y[i] + t[i, j] * dy[i]]))
-    out = []
+    out, kinds = [], []
     slope = dx / dy
     for a, b in zip(heights[:-1], heights[1:], strict=True):
         on = np.flatnonzero((y <= a) & (y + dy >= b))
@@ -170,31 +172,35 @@ def sweep(shapes: list[np.ndarray]) -> np.ndarray:
             continue
         low, high = x[on] + (a - y[on]) * slope[on], x[on] + (b - y[on]) * slope[on]
         order = np.lexsort((-side[on], low + high))
-        depth = np.cumsum(side[on][order])
-        first = np.flatnonzero((depth > 0) & (np.append(0, depth[:-1]) <= 0))
-        last = np.flatnonzero((depth <= 0) & (np.append(0, depth[:-1]) > 0))
-        for f, k in zip(order[first], order[last], strict=False):
-            out.append((a, b, low[f], low[k], high[f], high[k]))
-    return np.array(out).reshape(-1, 6)
+        step, of = side[on][order], layer[on][order]
+        kind = (np.cumsum(step * (of == 0)) > 0) + 2 * (np.cumsum(step * (of == 1)) > 0)
+        first = np.flatnonzero(kind != np.append(0, kind[:-1]))
+        for f, k in zip(first, np.append(first[1:], kind.size - 1), strict=True):
+            if kind[f] and (low[order[k]] > low[order[f]] or high[order[k]] > high[order[f]]):
+                out.append((a, b, low[order[f]], low[order[k]], high[order[f]], high[order[k]]))
+                kinds.append(kind[f])
+    return np.array(out).reshape(-1, 6), np.array(kinds, "i8")
 
 
-def trapezoid_area(t: np.ndarray) -> float:
-    return float(((t[:, 1] - t[:, 0]) * ((t[:, 3] - t[:, 2]) + (t[:, 5] - t[:, 4])) / 2).sum())
+#: What covers a part of an overlay.
+FIRST, SECOND, BOTH = 1, 2, 3
 
 
-def union(shapes: DataFrame, keys: list[str], tile: float | None = None) -> DataFrame:
-    """The union of the convex rings of each combination of keys: keys, y0, y1, and left and right at y0 (l0, r0) and
-    at y1 (l1, r1) of trapezoids that do not overlap.
+def overlaid(shapes: DataFrame, keys: list[str], tile: float | None = None) -> DataFrame:
+    """The rings of each combination of keys laid over one another: keys, part (FIRST, SECOND or BOTH, by the layers
+    that cover it), y0, y1, and left and right at y0 (l0, r0) and at y1 (l1, r1) of trapezoids that do not overlap.
 
-    shapes: keys, ring (convex). Equal rings of a key count once. A tile with many shapes is quartered until it has
+    shapes: keys, ring (a simple polygon), and layer (0 or 1; without the column all are 0). Equal rings of a key and
+    layer count once. A tile with many shapes is quartered until it has
     few or HALVINGS is reached, so only shapes that truly meet in one place meet in one task. tile: the side of the
     first tiles (default: a part of the extent that follows the number of shapes; the union is the same for any).
     """
     box = {f"{n}{a}": f(F.transform("ring", lambda p: p[a])) for a in "xy" for n, f in (("lo", F.array_min), ("hi", F.array_max))}
-    held = written(shapes.where(F.size("ring") >= 3).select(*keys, F.col("ring").cast(POINTS).alias("ring")).distinct().select("*", *[c.alias(n) for n, c in box.items()]))
+    shapes = shapes if "layer" in shapes.columns else shapes.withColumn("layer", F.lit(0))
+    held = written(shapes.where(F.size("ring") >= 3).select(*keys, F.col("layer").cast("int").alias("layer"), F.col("ring").cast(POINTS).alias("ring")).distinct().select("*", *[c.alias(n) for n, c in box.items()]))
     extent = held.agg(F.min("lox").alias("x"), F.min("loy").alias("y"), F.max(F.greatest(F.col("hix"), F.col("hiy"))).alias("top"), F.max("hix").alias("x1"), F.max("hiy").alias("y1"), F.count(F.lit(1)).alias("n")).first()
     if not extent.n:
-        return held.select(*keys, *[F.lit(0.0).alias(c) for c in ("y0", "y1", "l0", "r0", "l1", "r1")])
+        return held.select(*keys, F.lit(0).alias("part"), *[F.lit(0.0).alias(c) for c in ("y0", "y1", "l0", "r0", "l1", "r1")])
     span = max(extent.x1 - extent.x, extent.y1 - extent.y, 1e-9)
     tile = tile or span / max(1.0, (extent.n / TILE_SHAPES) ** 0.5)
 
@@ -204,7 +210,7 @@ def union(shapes: DataFrame, keys: list[str], tile: float | None = None) -> Data
         return rows.withColumn("i", F.explode(cells("x", extent.x))).withColumn("j", F.explode(cells("y", extent.y)))
 
     todo, done, size = dealt(held, tile), [], tile
-    columns = [*keys, "ring", "i", "j", "size"]
+    columns = [*keys, "layer", "ring", "i", "j", "size"]
     for level in range(HALVINGS + 1):
         todo = written(todo)
         counts = todo.groupBy(*keys, "i", "j").agg(F.count(F.lit(1)).alias("_n"))
@@ -224,20 +230,26 @@ def union(shapes: DataFrame, keys: list[str], tile: float | None = None) -> Data
         size = pdf["size"].iat[0]
         x, y = extent.x + pdf["i"].iat[0] * size, extent.y + pdf["j"].iat[0] * size
         parts = [clip_box(np.array([(p["x"], p["y"]) for p in ring], "f8"), x, y, x + size, y + size) for ring in pdf["ring"]]
-        found = sweep([p for p in parts if len(p)])
+        some = [k for k, p in enumerate(parts) if len(p)]
+        found, kinds = sweep([parts[k] for k in some], pdf["layer"].to_numpy("i8")[some])
         out = pd.DataFrame(found, columns=["y0", "y1", "l0", "r0", "l1", "r1"])
+        out["part"] = kinds.astype("i4")
         for k in keys:
             out[k] = pdf[k].iat[0]
-        return out[[*keys, "y0", "y1", "l0", "r0", "l1", "r1"]]
+        return out[[*keys, "part", "y0", "y1", "l0", "r0", "l1", "r1"]]
 
-    schema = ", ".join([*[f"`{k}` {held.schema[k].dataType.simpleString()}" for k in keys], *[f"{c} double" for c in ("y0", "y1", "l0", "r0", "l1", "r1")]])
+    schema = ", ".join([*[f"`{k}` {held.schema[k].dataType.simpleString()}" for k in keys], "part int", *[f"{c} double" for c in ("y0", "y1", "l0", "r0", "l1", "r1")]])
     return every.groupBy(*keys, "size", "i", "j").applyInPandas(run, schema)
 
 
+def trapezoid_area() -> Column:
+    """Area of a row of overlaid()."""
+    return (F.col("y1") - F.col("y0")) * (F.col("r0") - F.col("l0") + F.col("r1") - F.col("l1")) / 2
+
+
 def union_area(shapes: DataFrame, keys: list[str], tile: float | None = None) -> DataFrame:
-    """keys and area of the union of their shapes."""
-    part = (F.col("y1") - F.col("y0")) * (F.col("r0") - F.col("l0") + F.col("r1") - F.col("l1")) / 2
-    return union(shapes, keys, tile).groupBy(*keys).agg(F.sum(part).alias("area"))
+    """keys and area of the union of their shapes, whatever their layer."""
+    return overlaid(shapes, keys, tile).groupBy(*keys).agg(F.sum(trapezoid_area()).alias("area"))
 
 
 def hulls(points: DataFrame, keys: list[str]) -> DataFrame:

@@ -195,20 +195,23 @@ def pieces(edges: DataFrame, reached: DataFrame, breaks: list[float], rings: boo
     return out.where("pts is not null")
 
 
-def _arc(x: Column, y: Column, radius: float, first: Column, steps: int, step: float) -> Column:
+def _arc(x: Column, y: Column, radius: float | Column, first: Column, steps: int, step: float) -> Column:
     """Points of a circle from the angle `first` on."""
     angles = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: first + k * step)
     return F.transform(angles, lambda a: F.struct((x + radius * F.cos(a)).alias("x"), (y + radius * F.sin(a)).alias("y")))
 
 
-def street_buffers(cut: DataFrame, width: float) -> DataFrame:
-    """source, band and convex rings whose union is everything within `width` of the pieces."""
+def street_buffers(cut: DataFrame, width: float | Column, keys: list[str] | None = None) -> DataFrame:
+    """The keys (source and band) and convex rings whose union is everything within `width` of polylines (pts)."""
+    keys = ["source", "band"] if keys is None else keys
+    width = width if isinstance(width, Column) else F.lit(float(width))
     pairs = F.zip_with(F.slice("pts", 1, F.size("pts") - 1), F.slice("pts", 2, F.size("pts")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    rows = cut.select("source", "band", F.explode(pairs).alias("s"))
+    rows = cut.select(*keys, width.alias("_w"), F.explode(pairs).alias("s"))
+    width = F.col("_w")
     a, b = F.col("s.a"), F.col("s.b")
     away, step = F.atan2(b["y"] - a["y"], b["x"] - a["x"]), 3.141592653589793 / 2 / ARC
     ring = F.concat(_arc(b["x"], b["y"], width, away - 3.141592653589793 / 2, 2 * ARC, step), _arc(a["x"], a["y"], width, away + 3.141592653589793 / 2, 2 * ARC, step))
-    return rows.select("source", "band", ring.alias("ring"))
+    return rows.select(*keys, ring.alias("ring"))
 
 
 def circles(placed: DataFrame, breaks: list[float], each: bool = False) -> DataFrame:

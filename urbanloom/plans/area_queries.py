@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from urbanloom.operators import contiguity, network, overlay
+from urbanloom.operators import blockage, contiguity, network, overlay
 from urbanloom.operators import service_areas as sa
 from urbanloom.operators import tessellation as cell_map
 from urbanloom.plans.form_queries import _buildings
-from urbanloom.plans.network_queries import _COSTS, _centres, lattice
+from urbanloom.plans.network_queries import _COSTS, _N, _centres, lattice
 from urbanloom.plans.rounding import rounded
 from urbanloom.sources.tables import table
 
@@ -80,8 +80,27 @@ def contiguous_allocation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found, 6)
 
 
-QUERIES = {f.__name__: f for f in (service_area_pieces, service_area_hulls, union_footprints, polygon_density, shared_walls, tessellation, contiguous_allocation)}
+def blocked_streets(spark: SparkSession, d: str) -> DataFrame:
+    """Every third part as a fallen building, suppliers as straight streets of 6 to 14 m."""
+    k = F.col("s_suppkey")
+    at = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    y, w = k * 59 % 1997, 6 + k % 5 * 2
+    streets = table(spark, d, "supplier").select(F.array(at(F.lit(-50), y), at(F.lit(2050), y), at(F.lit(2050), y + w), at(F.lit(-50), y + w)).alias("ring"))
+    houses = _buildings(spark, d).select("ext", (F.col("height") * 0.4).alias("spread_m"), (F.col("id") % 3 == 0).alias("collapsed"))
+    return rounded(blockage.blockage(blockage.blocked_streets(houses, streets)), 4)
+
+
+QUERIES = {f.__name__: f for f in (service_area_pieces, service_area_hulls, union_footprints, polygon_density, shared_walls, tessellation, contiguous_allocation, blocked_streets)}
 
+_GAPS = """cut AS (SELECT source, edge, band, greatest(lo, 0) AS lo, least(hi, 1) AS hi FROM raw WHERE least(hi, 1) - greatest(lo, 0) > 1e-9),
+m AS (SELECT *, max(hi) OVER (PARTITION BY source, edge, band ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM cut),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR lo > before + 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY source, edge, band ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m),
+i AS (SELECT source, edge, band, min(lo) AS lo, max(hi) AS hi, island FROM g GROUP BY source, edge, band, island),
+inner_ AS (SELECT o.source, o.edge, o.band, o.island, o.lo AS olo, o.hi AS ohi, p.lo, p.hi FROM i o JOIN k ON TRUE JOIN i p ON p.source = o.source AND p.edge = o.edge AND p.band = k.band AND p.lo >= o.lo - 1e-9 AND p.hi <= o.hi + 1e-9
+  WHERE k.band = (SELECT max(q.band) FROM k q WHERE q.band < o.band)),
+gaps AS (SELECT source, edge, band, island, coalesce(lag(hi) OVER w, olo) AS lo, lo AS hi FROM inner_ WINDOW w AS (PARTITION BY source, edge, band, island ORDER BY lo)
+  UNION ALL SELECT source, edge, band, island, max(hi), max(ohi) FROM inner_ GROUP BY source, edge, band, island
+  UNION ALL SELECT source, edge, band, island, lo, hi FROM i WHERE NOT EXISTS (SELECT 1 FROM inner_ n WHERE n.source = i.source AND n.edge = i.edge AND n.band = i.band AND n.island = i.island))"""
 _PIECES = f"""WITH {_COSTS},
 z AS (SELECT CAST(n_nationkey AS BIGINT) AS source, n_nationkey * 37 % 701 + 0.25::DOUBLE AS x, n_nationkey * 53 % 701 + 0.25::DOUBLE AS y FROM nation),
 s AS (SELECT edge, a, b, cost, a % 8 * 100.0::DOUBLE AS ax, a // 8 * 100.0::DOUBLE AS ay, (b - a) % 8 * 100.0::DOUBLE AS ux, (b - a) // 8 * 100.0::DOUBLE AS uy FROM e),
@@ -95,17 +114,22 @@ k AS (SELECT unnest([{", ".join(str(b) for b in BREAKS)}])::DOUBLE AS band),
 raw AS (SELECT c.source, edge, band, 0.0::DOUBLE AS lo, (band - c.cost) / e.cost AS hi FROM e JOIN c ON c.node = e.a, k UNION ALL
   SELECT c.source, edge, band, 1 - (band - c.cost) / e.cost, 1 FROM e JOIN c ON c.node = e.b, k UNION ALL
   SELECT source, edge, band, t - band / cost, t + band / cost FROM en JOIN e USING (edge), k),
-cut AS (SELECT source, edge, band, greatest(lo, 0) AS lo, least(hi, 1) AS hi FROM raw WHERE least(hi, 1) - greatest(lo, 0) > 1e-9),
-m AS (SELECT *, max(hi) OVER (PARTITION BY source, edge, band ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM cut),
-g AS (SELECT *, sum(CASE WHEN before IS NULL OR lo > before + 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY source, edge, band ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m),
-i AS (SELECT source, edge, band, min(lo) AS lo, max(hi) AS hi, island FROM g GROUP BY source, edge, band, island),
-inner_ AS (SELECT o.source, o.edge, o.band, o.island, o.lo AS olo, o.hi AS ohi, p.lo, p.hi FROM i o JOIN k ON TRUE JOIN i p ON p.source = o.source AND p.edge = o.edge AND p.band = k.band AND p.lo >= o.lo - 1e-9 AND p.hi <= o.hi + 1e-9
-  WHERE k.band = (SELECT max(q.band) FROM k q WHERE q.band < o.band)),
-gaps AS (SELECT source, edge, band, island, coalesce(lag(hi) OVER w, olo) AS lo, lo AS hi FROM inner_ WINDOW w AS (PARTITION BY source, edge, band, island ORDER BY lo)
-  UNION ALL SELECT source, edge, band, island, max(hi), max(ohi) FROM inner_ GROUP BY source, edge, band, island
-  UNION ALL SELECT source, edge, band, island, lo, hi FROM i WHERE NOT EXISTS (SELECT 1 FROM inner_ n WHERE n.source = i.source AND n.edge = i.edge AND n.band = i.band AND n.island = i.island))"""
+{_GAPS}"""
 
 ORACLES = {
+    "service_area_edges": f"""WITH {_COSTS}, {_N}, c AS (SELECT d.b AS node, min(d.cost) AS cost FROM z0 JOIN d ON d.a = z0.node GROUP BY d.b), k AS (SELECT unnest([150, 300, 500])::DOUBLE AS band),
+raw AS (SELECT 0 AS source, edge, band, 0.0::DOUBLE AS lo, (band - c.cost) / e.cost AS hi FROM e JOIN c ON c.node = e.a, k UNION ALL SELECT 0, edge, band, 1 - (band - c.cost) / e.cost, 1 FROM e JOIN c ON c.node = e.b, k),
+{_GAPS} SELECT band, count(*) AS pieces, round(sum((hi - lo) * 100), 6) AS length_m FROM gaps WHERE hi - lo > 1e-9 GROUP BY band""",
+    # Areas of unions in slabs of x: of streets, of debris and of both together; blocked is what the sums count twice.
+    "blocked_streets": """WITH s AS (SELECT 'a' AS k, -50.0::DOUBLE AS x0, 2050.0::DOUBLE AS x1, s_suppkey * 59 % 1997 * 1.0::DOUBLE AS y0, s_suppkey * 59 % 1997 + 6 + s_suppkey % 5 * 2.0::DOUBLE AS y1 FROM supplier),
+b AS (SELECT 'b' AS k, p_partkey * 37 % 1999 - m AS x0, p_partkey * 37 % 1999 + p_size + m AS x1, p_partkey * 53 % 1997 - m AS y0, p_partkey * 53 % 1997 + p_size / 2.0::DOUBLE + m AS y1
+  FROM (SELECT *, (p_partkey % 9 * 3.0::DOUBLE + 3) * 0.4::DOUBLE AS m FROM part) WHERE p_partkey % 3 = 0),
+r AS (SELECT * FROM s UNION ALL SELECT * FROM b UNION ALL SELECT 'u', x0, x1, y0, y1 FROM s UNION ALL SELECT 'u', x0, x1, y0, y1 FROM b),
+x AS (SELECT k, x, lead(x) OVER (PARTITION BY k ORDER BY x) AS z FROM (SELECT k, x0 AS x FROM r UNION SELECT k, x1 FROM r)),
+a AS (SELECT x.k, x.x, x.z, y0, y1, max(y1) OVER (PARTITION BY x.k, x.x ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM x JOIN r ON r.k = x.k AND r.x0 <= x.x AND r.x1 >= x.z),
+m AS (SELECT k, sum((z - x) * greatest(0, y1 - greatest(y0, coalesce(top, y0)))) AS m FROM a GROUP BY k),
+v AS (SELECT (SELECT m FROM m WHERE k = 'a') AS a, coalesce((SELECT m FROM m WHERE k = 'b'), 0) AS b, (SELECT m FROM m WHERE k = 'u') AS u)
+SELECT 'envelope' AS what, round(b, 4) AS area_m2 FROM v UNION ALL SELECT 'blocked', round(a + b - u, 4) FROM v UNION ALL SELECT 'corridors', round(u - b, 4) FROM v""",
     "service_area_pieces": _PIECES + """ SELECT CASE WHEN source >= 0 THEN source END AS source, edge AS edge_id, band, round(lo, 5) AS lo, round(hi, 5) AS hi, round((hi - lo) * 100, 5) AS len_m FROM gaps WHERE hi - lo > 1e-9""",
     "union_footprints": """WITH r AS (SELECT DISTINCT p_brand, p_partkey * 37 % 199 * 1.0::DOUBLE AS x0, p_partkey * 37 % 199 + p_size * 1.0::DOUBLE AS x1, p_partkey * 53 % 197 * 1.0::DOUBLE AS y0, p_partkey * 53 % 197 + p_size / 2.0::DOUBLE AS y1 FROM part),
 x AS (SELECT p_brand, x, lead(x) OVER (PARTITION BY p_brand ORDER BY x) AS z FROM (SELECT p_brand, x0 AS x FROM r UNION SELECT p_brand, x1 FROM r)),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanloom.operators import audit as op
-from urbanloom.operators import scenarios
+from urbanloom.operators import detection, scenarios
 from urbanloom.plans import network_queries as net
 from urbanloom.plans import planning_queries as plan
 from urbanloom.plans.rounding import rounded
@@ -34,12 +34,30 @@ def scenario_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found.metrics, 3)
 
 
-QUERIES = {f.__name__: f for f in (plan_audit, scenario_pipeline)}
+def detected_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of the result tables of other queries, which are known by their columns alone."""
+    tables = {name: query(spark, d) for name, query in (("a", net.od_routes), ("b", net.access_score), ("c", plan.landuse_balance), ("d", net.facility_adequacy), ("e", plan.density_grid), ("f", net.facility_summary))}
+    found = detection.metrics_of(detection.detect(tables))
+    return rounded(found.select("metric_key", "value"), 2)
+
+
+QUERIES = {f.__name__: f for f in (plan_audit, scenario_pipeline, detected_metrics)}
 
 _LABELS = ", ".join(f"('{k}', '{label}')" for k, (label, _) in scenarios.METRICS.items())
 _WALK = net.ORACLES["walkability"].replace("c_custkey", "s_suppkey").replace("FROM customer", "FROM supplier")
 
 ORACLES = {
+    "detected_metrics": f"""WITH acc AS ({net.ORACLES["access_score"]}), bal AS ({plan.ORACLES["landuse_balance"]}), fac AS ({net.ORACLES["facility_adequacy"]}), den AS ({plan.ORACLES["density_grid"]}),
+a AS (SELECT avg(score) AS mean, median(score) AS median, 100.0::DOUBLE * count(*) FILTER (score >= 100) / count(*) AS full_, 100.0::DOUBLE * count(*) FILTER (score < 50) / count(*) AS low, count(*) AS n FROM acc),
+b AS (SELECT count(*) FILTER (status <> 'No standard') AS n, count(*) FILTER (status = 'Deficit') AS short FROM bal),
+f AS (SELECT count(*) AS n, count(*) FILTER (status = 'Overloaded') AS over_, count(*) FILTER (status = 'Unused') AS idle, coalesce(avg(utilization) FILTER (status <> 'Unused'), 0) AS use_ FROM fac),
+e AS (SELECT avg(dens_ha) AS mean, max(dens_ha) AS top, count(*) AS n FROM den),
+m AS (SELECT 'access_mean' AS k, mean AS value FROM a UNION ALL SELECT 'access_median', median FROM a UNION ALL SELECT 'access_share_full', full_ FROM a UNION ALL SELECT 'access_share_low', low FROM a UNION ALL SELECT 'origins', n FROM a
+  UNION ALL SELECT 'standards_compliance_pct', 100.0::DOUBLE * (n - short) / nullif(n, 0) FROM b UNION ALL SELECT 'standards_deficits', short FROM b UNION ALL SELECT 'standards_categories', n FROM b
+  UNION ALL SELECT 'covered_pop', 0 FROM f UNION ALL SELECT 'total_pop', 0 FROM f UNION ALL SELECT 'facilities', n FROM f UNION ALL SELECT 'facilities_overloaded', over_ FROM f UNION ALL SELECT 'facilities_unused', idle FROM f UNION ALL SELECT 'mean_utilization', use_ FROM f
+  UNION ALL SELECT 'density_mean', mean FROM e UNION ALL SELECT 'density_max', top FROM e UNION ALL SELECT 'density_cells', n FROM e),
+every_ AS (SELECT * FROM m UNION ALL SELECT 'plan_performance_index', avg(value) FROM m WHERE k IN ('access_mean', 'standards_compliance_pct', 'covered_share'))
+SELECT k AS metric_key, round(round(value, 4), 2) AS value FROM every_ WHERE value IS NOT NULL""",
     "plan_audit": f"""WITH acc AS ({net.ORACLES["access_score"]}), wlk AS ({_WALK}), bal AS ({plan.ORACLES["landuse_balance"]}), fac AS ({net.ORACLES["facility_adequacy"]}), grn AS ({net.ORACLES["green_access_summary"]}),
 people AS (SELECT id, id % 4 + 1.0::DOUBLE AS w, score AS v FROM acc),
 runs AS (SELECT w, v, coalesce(sum(w) OVER (ORDER BY v, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wb, coalesce(sum(w * v) OVER (ORDER BY v, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sb FROM people),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanloom.operators import form, network
-from urbanloom.plans.network_queries import _centres, _facilities, _town_graph, lattice, town
+from urbanloom.plans.network_queries import _TOWN_EDGES, _centres, _facilities, _town_graph, lattice, town
 from urbanloom.plans.rounding import rounded
 from urbanloom.sources.tables import table
 
@@ -71,6 +71,16 @@ g AS (SELECT *, greatest(0, least(x + w, cx * 100 + 100) - greatest(x, cx * 100)
 k AS (SELECT * FROM g WHERE s > 0)"""
 
 ORACLES = {
+    # The town is a square of streets of 100 m along both axes: one part, equal lengths in four directions.
+    "street_summary": f"""WITH {_TOWN_EDGES}, g AS (SELECT node, count(*) AS g FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node),
+t AS (SELECT count(*) AS n, count(*) FILTER (g = 1) AS cul, count(*) FILTER (g >= 3) AS inter, avg(g) AS deg FROM g), v AS (SELECT *, (SELECT count(*) FROM e) AS e, (SELECT s FROM side) AS s FROM t)
+SELECT unnest(['nodes', 'edges', 'components', 'total_length_km', 'avg_segment_length_m', 'avg_node_degree', 'intersections_deg3plus', 'culdesac_count', 'culdesac_ratio', 'intersection_density_km2', 'alpha_meshedness', 'beta_index', 'gamma_index', 'orientation_entropy_nats', 'orientation_order']) AS metric,
+  round(unnest([n, e, 1, e / 10.0::DOUBLE, 100, deg, inter, cul, cul / n, inter / ((s - 1) ^ 2 / 100.0::DOUBLE), greatest(0, (e - n + 1) / (2 * n - 5)), e / n, e / (3 * (n - 2)), ln(4), 1]::DOUBLE[]), 6) AS value FROM v""",
+    # Patches k and k + 1 are linked unless 4 divides k: chains of four, which a loss cuts in two.
+    "green_connectivity": """WITH p AS (SELECT s_suppkey AS id, (s_suppkey + 3) // 4 AS c, s_suppkey % 7 + 1.0::DOUBLE AS area FROM supplier),
+x AS (SELECT *, sum(area) OVER (PARTITION BY c) AS big, coalesce(sum(area) OVER (PARTITION BY c ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM p),
+t AS (SELECT sum(big * area) AS q FROM x)
+SELECT id, CAST(dense_rank() OVER (ORDER BY c) - 1 AS INTEGER) AS comp_id, area AS area_m2, big AS comp_m2, round(100 * (big ^ 2 - l ^ 2 - (big - l - area) ^ 2) / q, 6) AS dpc FROM x, t""",
     "building_metrics": f"""WITH {_B}, c AS (SELECT *, w * h AS e, 2 * (w + h) AS p, CASE WHEN id % 3 = 0 THEN w * h / 16 ELSE 0 END AS court FROM b)
 SELECT id, round(e - court, 6) AS area_m2, round(p, 6) AS perim_m, round(4 * pi() * (e - court) / p ^ 2, 6) AS compact, 1.0::DOUBLE AS convexity, 1.0::DOUBLE AS rectang, 0.5::DOUBLE AS elongation, 0.0::DOUBLE AS orient_deg,
   round(court, 6) AS court_m2, round(court / e, 6) AS court_idx, CASE WHEN p > 4 AND e > 1 THEN round(2 * ln(p / 4) / ln(e), 6) ELSE 0 END AS fractal, 4 AS corners FROM c""",
