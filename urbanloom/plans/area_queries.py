@@ -92,7 +92,7 @@ def blocked_streets(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (service_area_pieces, service_area_hulls, union_footprints, polygon_density, shared_walls, tessellation, contiguous_allocation, blocked_streets)}
 
-_GAPS = """cut AS (SELECT source, edge, band, greatest(lo, 0) AS lo, least(hi, 1) AS hi FROM raw WHERE least(hi, 1) - greatest(lo, 0) > 1e-9),
+_GAPS = """cut AS (SELECT DISTINCT source, edge, band, greatest(lo, 0) AS lo, least(hi, 1) AS hi FROM raw WHERE least(hi, 1) - greatest(lo, 0) > 1e-9),
 m AS (SELECT *, max(hi) OVER (PARTITION BY source, edge, band ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM cut),
 g AS (SELECT *, sum(CASE WHEN before IS NULL OR lo > before + 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY source, edge, band ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m),
 i AS (SELECT source, edge, band, min(lo) AS lo, max(hi) AS hi, island FROM g GROUP BY source, edge, band, island),
