@@ -76,3 +76,20 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     below = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select("_part", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"))
     return ranged.join(F.broadcast(counts), "_part").withColumn(out, F.col("_at") + F.col("_below")).drop("_part", "_at", "_below")
+
+
+def running(df: DataFrame, order: list[str], sums: list[str], count: str) -> DataFrame:
+    """df with <c>_upto for each column of `sums` (its sum over the rows up to this one, in the order) and `count` (their
+    number), without one task for all rows.
+
+    Rows are dealt by ranges of the order and summed within each range; a table with a row for each range shifts them.
+    Rows that the order does not tell apart come in any order, all in one range.
+    """
+    ranged = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    upto = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    own = ranged.withColumns({**{f"_s{i}": F.sum(c).over(upto) for i, c in enumerate(sums)}, "_n": F.count(F.lit(1)).over(upto)})
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)], F.count(F.lit(1)).alias("_m"))
+    totals = totals.select("_part", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0.0)).alias(f"_b{i}") for i in range(len(sums))], F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_bn"))
+    out = own.join(F.broadcast(totals), "_part")
+    return out.select(*df.columns, *[(F.col(f"_s{i}") + F.col(f"_b{i}")).alias(f"{c}_upto") for i, c in enumerate(sums)], (F.col("_n") + F.col("_bn")).alias(count))

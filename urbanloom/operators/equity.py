@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from urbanloom.functions.ordered import gini, quantile, value_curve
+from urbanloom.functions.ordered import gini, quantile, running, value_curve
+from urbanloom.functions.scratch import written
 
 
 def _units(df: DataFrame, value: str, pop: str | None, group: str | None) -> DataFrame:
@@ -83,13 +84,14 @@ def access_equity(df: DataFrame, value: str, pop: str | None = None, group: str
 
 def inequality_curve(df: DataFrame, value: str, pop: str | None = None, rank: str | None = None, order: str | None = None) -> DataFrame:
     """Lorenz curve (by value) or concentration curve (by rank, ties by `order`): point 0.., pop_share, value_share,
-    equality, gap. A point for each unit and the origin; the points of a unit table are numbered by one window."""
+    equality, gap. A point for each unit and the origin; units are numbered and summed by ranges of the order."""
     units = _units(df, value, pop, None).withColumn("_v", F.greatest("_x", F.lit(0.0)))
-    keys = [F.col(rank).try_cast("double") if rank else F.col("_v"), *([F.col(order)] if order else [])]
-    upto = W.orderBy(*keys, *([] if order else [F.col("_w"), F.col("_v")])).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy()
-    share = lambda c: F.coalesce(F.try_divide(F.sum(c).over(upto), F.sum(c).over(whole)), F.lit(0.0))
-    points = units.select(F.count(F.lit(1)).over(upto).cast("int").alias("point"), share(F.col("_w")).alias("pop_share"), share(F.col("_w") * F.col("_v")).alias("value_share"))
+    keys = {"_k0": F.col(rank).try_cast("double") if rank else F.col("_v"), "_k1": F.col(order) if order else F.col("_w"), "_k2": F.lit(0.0) if order else F.col("_v")}
+    held = units.select(*[c.alias(k) for k, c in keys.items()], F.col("_w").alias("w"), (F.col("_w") * F.col("_v")).alias("m"))
+    summed = written(running(held, list(keys), ["w", "m"], "n"))
+    whole = summed.agg(F.sum("w").alias("_all_w"), F.sum("m").alias("_all_m"))
+    share = lambda c: F.coalesce(F.try_divide(F.col(f"{c}_upto"), F.col(f"_all_{c}")), F.lit(0.0))
+    points = summed.crossJoin(F.broadcast(whole)).select(F.col("n").cast("int").alias("point"), share("w").alias("pop_share"), share("m").alias("value_share"))
     origin = df.sparkSession.range(1).select(F.lit(0).alias("point"), F.lit(0.0).alias("pop_share"), F.lit(0.0).alias("value_share"))
     return origin.unionByName(points).select("*", F.col("pop_share").alias("equality"), (F.col("pop_share") - F.col("value_share")).alias("gap"))
 

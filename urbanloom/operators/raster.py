@@ -63,6 +63,8 @@ def flow_accumulation(dirs: DataFrame, rounds: int = 64) -> DataFrame:
         total = written(total.join(sent, ["row", "col"], "left").select("row", "col", (F.col("value") + F.coalesce("more", F.lit(0))).alias("value")))
         then = jump.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_row").alias("z_row"), F.col("to_col").alias("z_col"))
         jump = written(jump.join(then, ["to_row", "to_col"]).select("row", "col", F.col("z_row").alias("to_row"), F.col("z_col").alias("to_col")))
+    else:
+        raise RuntimeError(f"cells still drain on after {rounds} doublings: the directions have a loop")
     return total
 
 
@@ -77,6 +79,8 @@ def height_above_drainage(dem: DataFrame, dirs: DataFrame, drainage: DataFrame,
         at = step.select("row", "col", F.col("z_row").alias("to_row"), F.col("z_col").alias("to_col"))
         if not step.where("_moved").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"paths still move on after {rounds} doublings: the directions have a loop")
     low = dem.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("value").alias("_low"))
     return at.join(low, ["to_row", "to_col"]).join(dem, ["row", "col"]).select("row", "col", (F.col("value") - F.col("_low")).alias("value"))
 
