@@ -137,3 +137,14 @@ def test_shared_walls(spark):
         for cell in (50.0, 3.0):
             got = {r.id: (round(r.shared_m, 6), round(r.sharedwall, 6)) for r in overlay.shared_walls(df, cell).collect()}
             assert got == {1: (9.0, 0.225), 2: (4.0, 0.142857), 3: (5.0, 0.25), 4: (0.0, 0.0), 5: (0.0, 0.0)}
+
+
+def test_sweep_of_shapes_without_width():
+    """Sides that lie on one another cover nothing, and do not disturb the shapes beside them."""
+    thin = np.array([(0.0, 0.0), (1.0, 0.0), (1.0, 5.0), (1.0, 0.0)])
+    line_ = np.array([(3.0, 1.0), (3.0, 4.0), (3.0, 2.0)])
+    found, kinds = overlay.sweep([thin, line_])
+    assert not len(found) and not len(kinds)
+    square = np.array([(2.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 4.0)])
+    found, _ = overlay.sweep([square, line_])
+    assert ((found[:, 1] - found[:, 0]) * (found[:, 3] - found[:, 2] + found[:, 5] - found[:, 4]) / 2).sum() == pytest.approx(16)

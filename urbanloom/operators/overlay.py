@@ -175,6 +175,8 @@ def sweep(shapes: list[np.ndarray], layers: np.ndarray | None = None) -> tuple[n
         step, of = side[on][order], layer[on][order]
         kind = (np.cumsum(step * (of == 0)) > 0) + 2 * (np.cumsum(step * (of == 1)) > 0)
         first = np.flatnonzero(kind != np.append(0, kind[:-1]))
+        if not first.size:  # only sides that cover nothing, as where a shape touches the box
+            continue
         for f, k in zip(first, np.append(first[1:], kind.size - 1), strict=True):
             if kind[f] and (low[order[k]] > low[order[f]] or high[order[k]] > high[order[f]]):
                 out.append((a, b, low[order[f]], low[order[k]], high[order[f]], high[order[k]]))
