@@ -147,4 +147,4 @@ def test_sweep_of_shapes_without_width():
     assert not len(found) and not len(kinds)
     square = np.array([(2.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 4.0)])
     found, _ = overlay.sweep([square, line_])
-    assert ((found[:, 1] - found[:, 0]) * (found[:, 3] - found[:, 2] + found[:, 5] - found[:, 4]) / 2).sum() == pytest.approx(16)
+    assert ((found[:, 1] - found[:, 0]) * (found[:, 3] - found[:, 2] + found[:, 5] - found[:, 4]) / 2).sum() == pytest.approx(8)
