@@ -67,16 +67,33 @@ def windows(data: np.ndarray, length: int, which: int = 0) -> np.ndarray:
 
 def lowest(values: np.ndarray, width: int) -> np.ndarray:
     """The place of the smallest of the `width` values from each place on (leftmost of equals)."""
-    at, size = np.arange(values.size), 1
+    at, low, size = np.arange(values.size, dtype="i4"), values, 1
+    for shift in [*(1 << k for k in range(width.bit_length() - 1)), width - (1 << (width.bit_length() - 1))]:
+        if not shift:
+            continue
+        if at.size <= shift:
+            return at[:0]
+        first = low[:-shift] <= low[shift:]
+        at, low = np.where(first, at[:-shift], at[shift:]), np.minimum(low[:-shift], low[shift:])
+        size += shift
+    return at
 
-    def pick(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.where(values[a] <= values[b], a, b)
 
-    while 2 * size <= width:
-        at = pick(at[:-size], at[size:]) if at.size > size else at[:0]
-        size *= 2
-    rest = width - size
-    return at if not rest else pick(at[:-rest], at[rest:]) if at.size > rest else at[:0]
+@cache
+def _powers(which: int, bits: int) -> np.ndarray:
+    out = np.full(1 << bits, _BASES[which], "u8")
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def hashes_at(data: np.ndarray, starts: list[np.ndarray], lengths: list[int], which: int) -> list[np.ndarray]:
+    """64-bit hashes of the bytes from some places on, for several lengths: from sums up to each place, as only few
+    places are asked for."""
+    power = _powers(which, max(16, data.size.bit_length()))
+    total = np.empty(data.size + 1, "u8")
+    total[0] = 0
+    np.cumsum(_values(which)[data] * power[: data.size], out=total[1:])
+    return [tk.mix((total[s + n] - total[s]) * power[data.size - s]) if s.size else np.zeros(0, "u8") for s, n in zip(starts, lengths, strict=True)]
 
 
 def _inside(offsets: np.ndarray, size: int, need: int) -> np.ndarray:
@@ -183,14 +200,18 @@ def stretches(docs: DataFrame, spans: DataFrame, length: int) -> DataFrame:
     return common.store(found.dropDuplicates(["digest", "start"]).withColumn("s", F.monotonically_increasing_id()))
 
 
-def parsed(offsets: np.ndarray, data: np.ndarray, length: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each anchor: place, text, name of the phrase from it to the next (none for a text's last: 0), whether strings
-    have it as their first anchor, and how many phrases lie within `span` bytes from it, whatever follows."""
+def placed_anchors(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the anchor of each window by its start; the anchors of all texts; the text of each)."""
     at = lowest(windows(data, GRAM), WINDOW)
     p = np.flatnonzero(_inside(offsets, at.size, WINDOW + GRAM - 1))
-    owner = np.searchsorted(offsets, p, side="right") - 1
     first, _ = _runs(at[p])
-    anchor, owner = at[p[first]], owner[first]
+    return at, at[p[first]].astype("i8"), np.searchsorted(offsets, p[first], side="right") - 1
+
+
+def parsed(offsets: np.ndarray, data: np.ndarray, length: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each anchor: place, text, name of the phrase from it to the next (none for a text's last: 0), whether strings
+    have it as their first anchor, and how many phrases lie within `span` bytes from it, whatever follows."""
+    at, anchor, owner = placed_anchors(offsets, data)
     starts = np.unique(at[np.flatnonzero(_inside(offsets, at.size, length))])
     member = np.isin(anchor, starts, assume_unique=True)
     name = np.zeros(anchor.size, "i8")
@@ -328,8 +349,7 @@ def _listed(column: pa.Array, names: list[str]) -> tuple[np.ndarray, list[np.nda
 
 def _places(offsets: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchors; the first of each text in them; starts of strings; the anchor of each as a place among the anchors)."""
-    anchor, owner, _, _, _ = parsed(offsets, data, length, length - WINDOW + 1)
-    at = lowest(windows(data, GRAM), WINDOW)
+    at, anchor, owner = placed_anchors(offsets, data)
     p = np.flatnonzero(_inside(offsets, at.size, length))
     return anchor, np.searchsorted(owner, np.arange(offsets.size - 1)), p, np.searchsorted(anchor, at[p])
 
@@ -358,15 +378,19 @@ def _keys(batches: Iterator[pa.RecordBatch], length: int, size: int) -> Iterator
             begin = at - number * size - (size - 1)
             fits = (begin >= offsets[row]) & (begin + wide <= offsets[row + 1])
             out = [batch.column("s").slice(first, len(group)).take(pa.array(row)), pa.array(idx[each].astype("i4")), pa.array(number.astype("i4")), pa.array(cls[each])]
-            for start_, n, good in ((at - number * size, length - size + 1, np.ones(fits.size, bool)), (begin, wide, fits)):
-                if n < 1:
-                    out += [pa.nulls(row.size, pa.int64())] * 2
-                    continue
-                for which in (0, 1):
-                    held = windows(data, n, which)
-                    value = np.zeros(row.size, "i8")
-                    value[good] = held[start_[good]].view("i8")
-                    out.append(pa.array(value, mask=~good))
+            whole = np.flatnonzero(fits)
+            starts, lengths = [begin[whole]], [wide]
+            if length >= size:
+                starts, lengths = [at - number * size, *starts], [length - size + 1, *lengths]
+            else:
+                out += [pa.nulls(row.size, pa.int64())] * 2
+            found = [hashes_at(data, starts, lengths, which) for which in (0, 1)]
+            if length >= size:
+                out += [pa.array(f[0].view("i8")) for f in found]
+            for f in found:
+                value = np.zeros(row.size, "i8")
+                value[whole] = f[-1].view("i8")
+                out.append(pa.array(value, mask=~fits))
             yield pa.RecordBatch.from_arrays(out, names=["s", "idx", "b", "class", "c1", "c2", "f1", "f2"])
 
 
