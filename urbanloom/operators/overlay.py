@@ -215,8 +215,10 @@ def overlaid(shapes: DataFrame, keys: list[str], tile: float | None = None) -> D
     columns = [*keys, "layer", "ring", "i", "j", "size"]
     for level in range(HALVINGS + 1):
         todo = written(todo)
-        counts = todo.groupBy(*keys, "i", "j").agg(F.count(F.lit(1)).alias("_n"))
-        full = written(counts.where(F.col("_n") > TILE_SHAPES).drop("_n")) if level < HALVINGS else None
+        # Shapes as large as the tile stay in all its quarters: only tiles with mostly smaller ones are cut.
+        small = (F.col("hix") - F.col("lox") < size) & (F.col("hiy") - F.col("loy") < size)
+        counts = todo.groupBy(*keys, "i", "j").agg(F.count(F.lit(1)).alias("_n"), F.count_if(small).alias("_small"))
+        full = written(counts.where((F.col("_n") > TILE_SHAPES) & (2 * F.col("_small") > F.col("_n"))).select(*keys, "i", "j")) if level < HALVINGS else None
         few = todo if full is None else todo.join(full, [*keys, "i", "j"], "left_anti")
         done.append(few.withColumn("size", F.lit(size)).select(*columns))
         if full is None or not full.limit(1).count():
