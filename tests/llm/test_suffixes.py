@@ -52,6 +52,15 @@ def test_against_brute_force(spark, monkeypatch, piece):
     assert found(spark.createDataFrame(rows, "doc_id long, text string"), 200) == brute(rows, 200)
 
 
+def test_hashes_of_places_do_not_depend_on_what_surrounds_them():
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 256, 3000, dtype="u1")
+    for which in (0, 1):
+        whole = sx.hashes_at(data, [np.array([700])], [200], which)[0]
+        part = sx.hashes_at(data[650:1000], [np.array([50])], [200], which)[0]
+        assert whole == part
+
+
 def test_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = sorted((tuple(r) for r in sx.op11_repeats(spark, "/root/testdata/sf0.001").collect()), key=str)

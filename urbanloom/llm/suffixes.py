@@ -80,20 +80,21 @@ def lowest(values: np.ndarray, width: int) -> np.ndarray:
 
 
 @cache
-def _powers(which: int, bits: int) -> np.ndarray:
-    out = np.full(1 << bits, _BASES[which], "u8")
+def _powers(which: int, bits: int, sign: int = 1) -> np.ndarray:
+    out = np.full(1 << bits, pow(_BASES[which], sign, 2**64), "u8")
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
 def hashes_at(data: np.ndarray, starts: list[np.ndarray], lengths: list[int], which: int) -> list[np.ndarray]:
     """64-bit hashes of the bytes from some places on, for several lengths: from sums up to each place, as only few
-    places are asked for."""
-    power = _powers(which, max(16, data.size.bit_length()))
+    places are asked for. The same bytes have the same hash wherever they stand and however long data is."""
+    bits = max(16, data.size.bit_length())
+    power, back = _powers(which, bits), _powers(which, bits, -1)
     total = np.empty(data.size + 1, "u8")
     total[0] = 0
     np.cumsum(_values(which)[data] * power[: data.size], out=total[1:])
-    return [tk.mix((total[s + n] - total[s]) * power[data.size - s]) if s.size else np.zeros(0, "u8") for s, n in zip(starts, lengths, strict=True)]
+    return [tk.mix((total[s + n] - total[s]) * back[s]) if s.size else np.zeros(0, "u8") for s, n in zip(starts, lengths, strict=True)]
 
 
 def _inside(offsets: np.ndarray, size: int, need: int) -> np.ndarray:
