@@ -6,12 +6,14 @@ All of it is column expressions, windows over one line, and the distance join of
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from urbanloom.operators.environment import tobler_kmh, within
+from urbanloom.operators.environment import summed_within, tobler_kmh
 
 #: Carriageway widths (m) by road class; ramps have their road's.
 ROAD_WIDTHS = {
@@ -40,20 +42,19 @@ def road_samples(lines: DataFrame, step: float) -> DataFrame:
     return parts.select(*rest, at("x"), at("y"), (F.col("_l") / F.col("_n")).alias("seg_len"))
 
 
-def kernel(d: Column, bandwidth: float, kind: str) -> Column:
-    """Weight of a distance up to the bandwidth; the gaussian has a third of the bandwidth as its deviation."""
-    u = d / bandwidth
-    shapes = {"uniform": F.lit(1.0), "triangular": 1 - u, "epanechnikov": 1 - u * u, "gaussian": F.exp(-4.5 * u * u)}
+def kernel(bandwidth: float, kind: str) -> Callable[[np.ndarray], np.ndarray]:
+    """Weights of distances up to the bandwidth; the gaussian has a third of the bandwidth as its deviation."""
+    shapes = {"uniform": np.ones_like, "triangular": lambda u: 1 - u, "epanechnikov": lambda u: 1 - u * u, "gaussian": lambda u: np.exp(-4.5 * u * u)}
     if bandwidth <= 0 or kind.lower() not in shapes:
         raise ValueError(f"no kernel {kind!r} of bandwidth {bandwidth}")
-    return F.when(u <= 1, shapes[kind.lower()]).otherwise(0.0)
+    return lambda d: shapes[kind.lower()](d / bandwidth)
 
 
 def street_density(lines: DataFrame, points: DataFrame, bandwidth: float, step: float, kind: str = "gaussian") -> DataFrame:
     """line_id, density: weights of points (bx, by, weight) by the kernel of their distance, the mean over a line's samples."""
-    samples = road_samples(lines.select("line_id", "pts"), step).withColumn("sample_id", F.monotonically_increasing_id())
+    samples = road_samples(lines.select("line_id", "pts"), step).withColumnRenamed("line_id", "id")
     counts = road_samples(lines.select("line_id", "pts"), step).groupBy("line_id").agg(F.count(F.lit(1)).alias("n"))
-    sums = within(samples, points, bandwidth).groupBy("line_id").agg(F.sum(F.col("weight") * kernel(F.col("d"), bandwidth, kind)).alias("s"))
+    sums = summed_within(samples, points, bandwidth, "weight", kernel(bandwidth, kind)).withColumnRenamed("id", "line_id")
     held = lines.select("line_id").join(counts, "line_id", "left").join(sums, "line_id", "left")
     return held.select("line_id", F.coalesce(F.try_divide("s", "n"), F.lit(0.0)).alias("density"))
 
