@@ -135,23 +135,27 @@ def clear_sky(altitude: float, day: int) -> tuple[float, float]:
     return normal * h / 1000, c * normal / 1000
 
 
-def irradiation(dsm: DataFrame, pixel: float, date: datetime.date, utc_offset: float, lat: float, lon: float, interval_min: float = 60.0, svf: DataFrame | None = None, reach: float | None = None) -> DataFrame:
-    """row, col, kwh_m2 of a clear day: direct where the sun is not hidden, diffuse by the share of sky (row, col, svf)."""
-    steps, diffuse, hours = [], 0.0, interval_min / 60
+def _day(date: datetime.date, utc_offset: float, lat: float, lon: float, interval_min: float) -> tuple[list[tuple[float, float, float]], float]:
+    """(suns of a clear day: altitude, azimuth and direct energy of an interval; the day's diffuse energy)."""
+    suns, diffuse, hours = [], 0.0, interval_min / 60
     for k in range(int(24 * 60 / interval_min)):
         up, way = raster.sun_position(date.year, date.month, date.day, (k + 0.5) * hours - utc_offset, lat, lon)
         direct, sky = clear_sky(up, date.timetuple().tm_yday)
         diffuse += sky * hours
         if direct > 0:
-            steps.append(raster.shadow(dsm, up, way, pixel, reach).select("row", "col", ((1 - F.col("shadow")) * F.lit(direct * hours)).alias("e")))
-    held = dsm.select("row", "col")
-    held = held.join(svf, ["row", "col"], "left").withColumn("svf", F.coalesce("svf", F.lit(1.0))) if svf is not None else held.withColumn("svf", F.lit(1.0))
-    if not steps:
-        return held.select("row", "col", (F.col("svf") * diffuse).alias("kwh_m2"))
-    every = steps[0]
-    for more in steps[1:]:
-        every = every.unionByName(more)
-    return held.join(every.groupBy("row", "col").agg(F.sum("e").alias("e")), ["row", "col"]).select("row", "col", (F.col("e") + F.col("svf") * diffuse).alias("kwh_m2"))
+            suns.append((up, way, direct * hours))
+    return suns, diffuse
+
+
+def _energy(dsm: DataFrame, pixel: float, suns: list[tuple[float, float, float]], diffuse: float, svf: DataFrame | None, reach: float | None) -> DataFrame:
+    direct = raster.sunlit(dsm, suns, pixel, reach) if suns else dsm.select("row", "col", F.lit(0.0).alias("lit"))
+    held = direct.withColumn("svf", F.lit(1.0)) if svf is None else direct.join(svf, ["row", "col"], "left")
+    return held.select("row", "col", (F.col("lit") + F.coalesce("svf", F.lit(1.0)) * diffuse).alias("kwh_m2"))
+
+
+def irradiation(dsm: DataFrame, pixel: float, date: datetime.date, utc_offset: float, lat: float, lon: float, interval_min: float = 60.0, svf: DataFrame | None = None, reach: float | None = None) -> DataFrame:
+    """row, col, kwh_m2 of a clear day: direct where the sun is not hidden, diffuse by the share of sky (row, col, svf)."""
+    return _energy(dsm, pixel, *_day(date, utc_offset, lat, lon, interval_min), svf, reach)
 
 
 #: The day of each month whose declination is nearest to the month's mean.
@@ -160,8 +164,10 @@ REPRESENTATIVE_DAYS = (17, 16, 16, 15, 15, 11, 17, 16, 15, 15, 14, 10)
 
 def annual_irradiation(dsm: DataFrame, pixel: float, year: int, utc_offset: float, lat: float, lon: float, interval_min: float = 60.0, svf: DataFrame | None = None, reach: float | None = None) -> DataFrame:
     """row, col, kwh_m2 of a year: a representative day of each month, times the month's days."""
-    months = [irradiation(dsm, pixel, datetime.date(year, m, REPRESENTATIVE_DAYS[m - 1]), utc_offset, lat, lon, interval_min, svf, reach).withColumn("kwh_m2", F.col("kwh_m2") * calendar.monthrange(year, m)[1]) for m in range(1, 13)]
-    every = months[0]
-    for more in months[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("row", "col").agg(F.sum("kwh_m2").alias("kwh_m2"))
+    suns, diffuse = [], 0.0
+    for m in range(1, 13):
+        days = calendar.monthrange(year, m)[1]
+        own, sky = _day(datetime.date(year, m, REPRESENTATIVE_DAYS[m - 1]), utc_offset, lat, lon, interval_min)
+        suns += [(up, way, energy * days) for up, way, energy in own]
+        diffuse += sky * days
+    return _energy(dsm, pixel, suns, diffuse, svf, reach)
