@@ -21,6 +21,8 @@ from urbanloom.functions.ordered import numbered
 from urbanloom.functions.scratch import written
 
 BROADCAST_EDGES = 2_000_000
+#: Nodes in 3 x 3 cells that a point meets as one array.
+CROWD = 4_096
 INF = float("inf")
 
 
@@ -60,37 +62,47 @@ def nearest_node(points: DataFrame, nodes: DataFrame, cell: float | None = None)
     with cells four times as large, so each round's join is on equal cells and local. A point outside the nodes'
     bounds looks around its nearest place on them, at distance out: a node farther than one cell from there is
     farther than hypot(out, cell) from the point, so a best node within that is the nearest. Once a cell is as
-    large as the bounds every node is in reach, so each point with coordinates finds its node.
+    large as the bounds every node is in reach, so each point with coordinates finds its node. Where no 3 x 3 cells
+    hold more than CROWD nodes, a point meets them as one array, in its own row: points are not multiplied or sorted.
     """
     bounds = nodes.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("n")).first()
+    none = [F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("snap_m")]
     if not bounds.n:
-        return points.select("*", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("snap_m"))
+        return points.select("*", *none)
     span = max(bounds.x1 - bounds.x0, bounds.y1 - bounds.y0, 1.0)
     cell = cell or max(span / max(1.0, bounds.n**0.5), span * 1e-6)
     near = lambda c: F.least(F.greatest(F.col(c), F.lit(bounds[f"{c}0"])), F.lit(bounds[f"{c}1"]))
-    todo = written(points.select("*", F.monotonically_increasing_id().alias("_pid")))
-    whole, done = todo, []
-    todo = todo.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    todo = todo.select("_pid", "x", "y", near("x").alias("px"), near("y").alias("py"))
+    known = "x is not null and y is not null and not isnan(x) and not isnan(y)"
+    done = [points.where(f"not ({known})").select("*", *none)]
+    todo = points.where(known).withColumns({"_px": near("x"), "_py": near("y")})
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    out = F.hypot(F.col("x") - F.col("_px"), F.col("y") - F.col("_py"))
     while True:
         last = cell >= span
-        at = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"), F.floor(F.col("x") / cell).alias("ci"), F.floor(F.col("y") / cell).alias("cj"))
-        seen = todo.select("*", around.alias("o")).withColumns({"ci": F.floor(F.col("px") / cell) + F.col("o.i"), "cj": F.floor(F.col("py") / cell) + F.col("o.j")})
-        d = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
-        out = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
-        best = seen.join(at, ["ci", "cj"]).groupBy("_pid").agg(F.min(F.struct(d.alias("d"), "node_id")).alias("b"), F.first(out).alias("out"))
-        best = best.select("_pid", F.col("b.node_id").alias("node_id"), F.col("b.d").alias("snap_m"), "out")
-        best = written((best if last else best.where(F.col("snap_m") <= F.hypot("out", F.lit(cell)))).drop("out"))
-        done.append(best)
-        todo = written(todo.join(best, "_pid", "left_anti"))
+        own = todo.withColumns({"_ci": F.floor(F.col("_px") / cell), "_cj": F.floor(F.col("_py") / cell)})
+        spots = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"), around.alias("o"))
+        spots = spots.select("node_id", "nx", "ny", (F.floor(F.col("nx") / cell) + F.col("o.i")).alias("_ci"), (F.floor(F.col("ny") / cell) + F.col("o.j")).alias("_cj"))
+        crowd = spots.groupBy("_ci", "_cj").count().agg(F.max("count")).first()[0]
+        if crowd <= CROWD:
+            held = written(spots.groupBy("_ci", "_cj").agg(F.collect_list(F.struct("node_id", "nx", "ny")).alias("_near")))
+            d = lambda n: F.struct(F.hypot(F.col("x") - n["nx"], F.col("y") - n["ny"]).alias("d"), n["node_id"].alias("node_id"))
+            seen = own.join(held, ["_ci", "_cj"], "left").withColumn("_b", F.array_min(F.transform("_near", d))).drop("_near")
+        else:
+            own = written(own.withColumn("_pid", F.monotonically_increasing_id()))
+            d = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
+            best = own.select("_pid", "x", "y", "_ci", "_cj").join(spots, ["_ci", "_cj"]).groupBy("_pid").agg(F.min(F.struct(d.alias("d"), "node_id")).alias("_b"))
+            seen = own.join(best, "_pid", "left").drop("_pid")
+        sure = F.lit(True) if last else F.coalesce(F.col("_b.d") <= F.hypot(out, F.lit(cell)), F.lit(False))
+        seen = written(seen.withColumn("_sure", sure).drop("_ci", "_cj"))
+        done.append(seen.where("_sure").select(*points.columns, F.col("_b.node_id").alias("node_id"), F.col("_b.d").alias("snap_m")))
+        todo = seen.where("not _sure").drop("_b", "_sure")
         if last or not todo.limit(1).count():
             break
         cell *= 4
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)
-    return whole.join(every, "_pid", "left").drop("_pid")
+    return every
 
 
 class Csr:
