@@ -109,3 +109,12 @@ def test_slots_end_where_no_single_exchange_helps():
         pass
     assert len(set(plan.slots.tolist())) == 3 and 0 not in plan.slots and plan.loads().sum() == 30
     assert not any(plan.refill(k) for k in range(3))
+
+
+def test_mean_grade_at_the_border_of_a_class(spark):
+    # Rises are summed as given: divided by their step and multiplied by it again they give 19.666666666666664, not ...668.
+    ups = [0.59] * 30
+    z = [sum(ups[:i]) for i in range(31)]
+    rows = spark.createDataFrame([(1, i * 3.0, float(v)) for i, v in enumerate(z)], "line_id long, d double, z double")
+    want = 100 * sum(abs(b - a) for a, b in zip(z[:-1], z[1:])) / 90.0
+    assert street.walking_slope(rows, (10.0, 15.0, 20.0)).first().mean_grade == want

@@ -94,7 +94,7 @@ def walking_slope(profiles: DataFrame, breaks: tuple[float, ...] = SLOPE_BREAKS)
     minutes = lambda g: F.coalesce(F.sum(F.when(F.col("l") > 0, F.col("l") / 1000 / tobler_kmh(g) * 60)), F.lit(0.0))
     flat = F.lit(0.0)
     found = steps.groupBy("line_id").agg(
-        F.coalesce(100 * F.try_divide(F.sum(F.abs(grade) * F.col("l")), F.sum(F.when(F.col("l") > 0, F.col("l")))), flat).alias("mean_grade"),
+        F.coalesce(F.try_divide(100 * F.sum(F.when(F.col("l") > 0, F.abs("up"))), F.sum(F.when(F.col("l") > 0, F.col("l")))), flat).alias("mean_grade"),
         F.coalesce(100 * F.max(F.abs(grade)), flat).alias("max_grade"),
         F.coalesce(F.sum(F.greatest("up", flat)), flat).alias("climb"),
         F.coalesce(F.sum(F.greatest(-F.col("up"), flat)), flat).alias("descent"),
