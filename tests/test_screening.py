@@ -69,3 +69,19 @@ def test_grid(spark):
     source = spark.createDataFrame([(105.0, 45.0, 70.0)], "bx double, by double, level double")
     empty = spark.createDataFrame([], BUILDINGS)
     assert screening.noise_screened(grid, source, empty, nearest=5.0).where(F.col("id") == 0).first().db == pytest.approx(70 - 20 * math.log10(5))
+
+
+def test_met_buildings_are_counted_within_tasks_as_pairs_say(spark):
+    rng = np.random.default_rng(5)
+    houses = [(i, [(x, y), (x + w, y), (x + w, y + h), (x, y + h)], [[(x + 1.0, y + 1.0), (x + w - 1, y + 1.0), (x + w - 1, y + h - 1), (x + 1.0, y + h - 1)]] if i % 3 == 0 else None, float(i)) for i, (x, y, w, h) in enumerate(rng.integers(4, 40, (30, 4)).astype(float).tolist())]
+    buildings = spark.createDataFrame(houses, "building_id long, ext array<struct<x: double, y: double>>, holes array<array<struct<x: double, y: double>>>, height double")
+    lines = [(i, *p) for i, p in enumerate(rng.integers(-10, 60, (200, 4)).astype(float).tolist())] + [(900, 10.0, 10.0, 10.0, 10.0), (901, None, 1.0, 1.0, 1.0)]
+    sights = spark.createDataFrame(lines, "sight_id long, ax double, ay double, bx double, by double")
+    want: dict[int, list[int]] = {}
+    for r in screening.crossings(sights, buildings, 11.0).collect():
+        want.setdefault(r.sight_id, []).append(r.building_id)
+    for pairs in (1, 200_000):
+        screening.PAIRS, old = pairs, screening.PAIRS
+        got = {r.sight_id: (r.n, r.total) for r in screening.met_by_sights(sights, buildings, F.col("height"), 11.0).collect()}
+        screening.PAIRS = old
+        assert got == {k: (len(v), float(sum(v))) for k, v in want.items()}

@@ -56,6 +56,12 @@ def met_within(a: DataFrame, b: DataFrame, radius: float, kernel: Callable[[pd.D
     moves = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     left = a.withColumns({"_i": F.floor(F.col("x") / side), "_j": F.floor(F.col("y") / side)})
     right = b.select("*", moves.alias("_m")).withColumns({"_i": F.floor(F.col("bx") / side) + F.col("_m.i"), "_j": F.floor(F.col("by") / side) + F.col("_m.j")}).drop("_m")
+    return dealt(left, right, kernel, schema)
+
+
+def dealt(left: DataFrame, right: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """The rows of kernel(part of left, part of right) over the squares (_i, _j) of both, such that all rows of a square
+    meet in exactly one call. A crowded square is dealt over several calls by _n; rows of equal _n stay together."""
     count = lambda df, name, each: df.groupBy("_i", "_j").agg(F.ceil(F.count(F.lit(1)) / each).cast("int").alias(name))
     parts = count(left, "_ka", RECEIVERS).join(count(right, "_kb", SOURCES), ["_i", "_j"])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -63,7 +69,7 @@ def met_within(a: DataFrame, b: DataFrame, radius: float, kernel: Callable[[pd.D
     left = left.join(parts, ["_i", "_j"]).withColumns({"_p": own("_ka"), "_q": every("_kb")})
     right = right.join(parts, ["_i", "_j"]).withColumns({"_p": every("_ka"), "_q": own("_kb")})
     keys = ["_i", "_j", "_p", "_q"]
-    tasks = 4 * a.sparkSession.sparkContext.defaultParallelism
+    tasks = 4 * left.sparkSession.sparkContext.defaultParallelism
     left, right = (x.drop("_n", "_ka", "_kb").repartition(tasks, *keys) for x in (left, right))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(kernel, schema)
 

@@ -7,6 +7,8 @@ are signs of cross products of the given coordinates. Buildings that hold a whol
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from urbanloom.operators.service_areas import nearest_edge, point_at
 
 #: Widening of what a line covers of a column of cells, as part of a cell: no line that touches a border is missed.
 EDGE = 1e-6
+#: Pairs of a sight and a side that are tested at once, about.
+PAIRS = 200_000
 
 
 def _cells(rows: DataFrame, cell: float) -> DataFrame:
@@ -85,6 +89,63 @@ def crossings(sights: DataFrame, buildings: DataFrame, cell: float = 50.0) -> Da
     return found.unionByName(inside).distinct()
 
 
+def met_by_sights(sights: DataFrame, buildings: DataFrame, value: Column, cell: float = 50.0) -> DataFrame:
+    """sight_id, n, total: how many buildings each sight meets, as crossings() says, and their sum of a value (a column of
+    buildings); sights that meet none are absent.
+
+    Sights and buildings go to the square cells of their boxes; a pair counts in the one cell where both ranges of
+    cells begin. Pairs never leave their task: a cell's sights meet its sides in blocks.
+    """
+    low = lambda *c: F.floor(F.least(*c) / cell)
+    high = lambda *c: F.floor(F.greatest(*c) / cell)
+    known = sights.where("ax is not null and ay is not null and bx is not null and by is not null").select("sight_id", "ax", "ay", "bx", "by", F.monotonically_increasing_id().alias("_n"))
+    left = known.withColumns({"_lx": low("ax", "bx"), "_ly": low("ay", "by")})
+    left = left.withColumn("_i", F.explode(F.sequence("_lx", high("ax", "bx")))).withColumn("_j", F.explode(F.sequence("_ly", high("ay", "by"))))
+    rings = F.concat(F.array(F.col("ext").cast(POINTS)), F.coalesce(F.col("holes").cast(f"array<{POINTS}>"), F.array().cast(f"array<{POINTS}>")))
+    side = F.transform(F.flatten(F.transform(rings, _pairs)), lambda s: F.struct(*[s[p][c].cast("double").alias(f"{q}{c}") for p, q in (("a", "p"), ("b", "q")) for c in "xy"]))
+    right = buildings.where(F.size("ext") >= 3).select(F.monotonically_increasing_id().alias("_n"), value.cast("double").alias("v"), side.alias("s"))
+    box = {f"_{n}{c}": F.floor(f(F.transform("s", lambda s: s[f"p{c}"])) / cell) for c in "xy" for n, f in (("l", F.array_min), ("h", F.array_max))}
+    right = right.withColumns(box).withColumn("_i", F.explode(F.sequence("_lx", "_hx"))).withColumn("_j", F.explode(F.sequence("_ly", "_hy")))
+    right = right.select("_n", F.col("_n").alias("b"), "v", "_lx", "_ly", "_i", "_j", F.explode("s").alias("s")).select("_n", "b", "v", "_lx", "_ly", "_i", "_j", "s.*")
+
+    def kernel(own: pd.DataFrame, sides: pd.DataFrame) -> pd.DataFrame:
+        out = {c: np.zeros(len(own), t) for c, t in (("n", "i8"), ("total", "f8"))}
+        sides = sides.sort_values("b", kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(sides["b"].to_numpy()) != 0)) if len(sides) else np.zeros(0, "i8")
+        if first.size and len(own):
+            i, j = own["_i"].iat[0], own["_j"].iat[0]
+            ends = sides[["px", "py", "qx", "qy"]].to_numpy("f8").T
+            v, lx, ly = (sides[c].to_numpy()[first] for c in ("v", "_lx", "_ly"))
+            count = np.diff(np.append(first, len(sides)))
+            x0, x1, y0, y1 = (f.reduceat(ends[c], first) for c in (0, 1) for f in (np.minimum, np.maximum))
+            # Sights in the order of x: a block meets the buildings of its own box.
+            order, step = np.argsort(own["ax"].to_numpy(), kind="stable"), max(1, PAIRS // len(sides))
+            for k in range(0, len(own), step):
+                at = order[k : k + step]
+                rows = own.iloc[at]
+                ax, ay, bx, by = (rows[c].to_numpy("f8")[:, None] for c in ("ax", "ay", "bx", "by"))
+                near = (x0 <= np.maximum(ax, bx).max()) & (x1 >= np.minimum(ax, bx).min()) & (y0 <= np.maximum(ay, by).max()) & (y1 >= np.minimum(ay, by).min())
+                if not near.any():
+                    continue
+                starts = np.cumsum(np.append(0, count[near][:-1]))
+                px, py, qx, qy = ends[:, np.repeat(near, count)][:, None, :]
+                slope = np.divide(qx - px, qy - py, out=np.zeros_like(px), where=qy != py)
+                turn = lambda ax, ay, bx, by, cx, cy: np.sign((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+                meet = turn(ax, ay, bx, by, px, py) * turn(ax, ay, bx, by, qx, qy) <= 0
+                meet &= turn(px, py, qx, qy, ax, ay) * turn(px, py, qx, qy, bx, by) <= 0
+                meet &= (np.minimum(ax, bx) <= np.maximum(px, qx)) & (np.minimum(px, qx) <= np.maximum(ax, bx))
+                meet &= (np.minimum(ay, by) <= np.maximum(py, qy)) & (np.minimum(py, qy) <= np.maximum(ay, by))
+                right_of = ((py > ay) != (qy > ay)) & (ax < px + (ay - py) * slope)
+                hit = np.logical_or.reduceat(meet, starts, axis=1) | (np.add.reduceat(right_of, starts, axis=1, dtype="i4") % 2 == 1)
+                hit &= (np.maximum(rows["_lx"].to_numpy()[:, None], lx[near]) == i) & (np.maximum(rows["_ly"].to_numpy()[:, None], ly[near]) == j)
+                out["n"][at], out["total"][at] = hit.sum(axis=1), np.where(hit, v[near], 0.0).sum(axis=1)
+        found = pd.DataFrame({"sight_id": own["sight_id"], **out})
+        return found[found["n"] > 0]
+
+    met = environment.dealt(left, right, kernel, f"sight_id {sights.schema['sight_id'].dataType.simpleString()}, n long, total double")
+    return met.groupBy("sight_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
 def noise_screened(receivers: DataFrame, sources: DataFrame, buildings: DataFrame, screen_db: float = 10.0, cutoff: float = 300.0, nearest: float = 1.0, cell: float = 50.0) -> DataFrame:
     """Rows of receivers (id, x, y, ...) with db and band, as environment.noise_at; sources whose line of sight meets a
     building count screen_db less."""
@@ -114,10 +175,11 @@ def canyon_factors(receivers: DataFrame, roads: DataFrame, buildings: DataFrame,
     across = F.when(size < 1e-6, F.struct(F.lit(0.0).alias("x"), F.lit(1.0).alias("y"))).otherwise(F.struct((-dy / F.nullif(size, F.lit(0.0))).alias("x"), (dx / F.nullif(size, F.lit(0.0))).alias("y")))
     sides = near.select("id", "x", "y", across.alias("n"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("side"))
     sights = written(sides.select("id", "side", F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + F.col("side") * search * F.col("n.x")).alias("bx"), (F.col("y") + F.col("side") * search * F.col("n.y")).alias("by"), F.monotonically_increasing_id().alias("sight_id")))
-    hits = crossings(sights, buildings, cell).join(buildings.select("building_id", F.greatest(F.col("height").cast("double"), F.lit(1.0)).alias("height")), "building_id")
-    means = hits.groupBy("sight_id").agg(F.avg("height").alias("h")).join(sights.select("sight_id", "id"), "sight_id")
+    # Heights are summed within tasks, as pairs would grow with the product of both tables; rows of receivers are never broadcast.
+    hits = met_by_sights(sights, buildings, F.greatest(F.col("height").cast("double"), F.lit(1.0)), cell).select("sight_id", (F.col("total") / F.col("n")).alias("h"))
+    means = sights.select("sight_id", "id").join(hits.hint("merge"), "sight_id")
     both = means.groupBy("id").agg(F.avg("h").alias("h"), F.count(F.lit(1)).alias("n")).where("n = 2")
-    return receivers.select("id").join(both, "id", "left").select("id", F.when(F.col("h").isNotNull(), street.canyon_factor(F.col("h"), F.lit(width))).otherwise(1.0).alias("factor"))
+    return receivers.select("id").join(both.hint("merge"), "id", "left").select("id", F.when(F.col("h").isNotNull(), street.canyon_factor(F.col("h"), F.lit(width))).otherwise(1.0).alias("factor"))
 
 
 def air_in_streets(receivers: DataFrame, sources: DataFrame, roads: DataFrame, buildings: DataFrame, wind: float = 2.0, alpha: float = 1.0, d0: float = 5.0, cutoff: float = 300.0, **canyon: float) -> DataFrame:

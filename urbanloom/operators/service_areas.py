@@ -9,6 +9,8 @@ with a null source.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,25 +104,37 @@ def nearest_edge(points: DataFrame, edges: DataFrame, cell: float | None = None)
     span = max(bounds.x1 - bounds.x0, bounds.y1 - bounds.y0, 1.0)
     cell = cell or max(span / max(1.0, bounds.n**0.5), bounds.mean, span * 1e-6)
     near = lambda c: F.least(F.greatest(F.col(c), F.lit(bounds[f"{c}0"])), F.lit(bounds[f"{c}1"]))
-    whole, done = written(points.select("*", F.monotonically_increasing_id().alias("_pid"))), []
+    whole, done = written(points.repartition(4 * points.sparkSession.sparkContext.defaultParallelism).select("*", F.monotonically_increasing_id().alias("_pid"))), []
     todo = whole.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
     todo = todo.select("_pid", "x", "y", near("x").alias("px"), near("y").alias("py"))
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    ux, uy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    square = ux * ux + uy * uy
-    u = F.when(square > 0, F.least(F.greatest(((F.col("x") - F.col("ax")) * ux + (F.col("y") - F.col("ay")) * uy) / F.when(square > 0, square), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    d = F.hypot(F.col("x") - F.col("ax") - u * ux, F.col("y") - F.col("ay") - u * uy)
+    out = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
+
+    def best_of(get: Callable[[str], Column]) -> Column:
+        """struct<d, edge_id, i, u> of the point to a segment."""
+        ux, uy = get("bx") - get("ax"), get("by") - get("ay")
+        square = ux * ux + uy * uy
+        u = F.when(square > 0, F.least(F.greatest(((F.col("x") - get("ax")) * ux + (F.col("y") - get("ay")) * uy) / F.when(square > 0, square), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        d = F.hypot(F.col("x") - get("ax") - u * ux, F.col("y") - get("ay") - u * uy)
+        return F.struct(d.alias("d"), get("edge_id").alias("edge_id"), get("i").alias("i"), u.alias("u"))
+
     while True:
         last = cell >= span
         cells = lambda c: F.sequence(F.floor(F.least(f"a{c}", f"b{c}") / cell), F.floor(F.greatest(f"a{c}", f"b{c}") / cell))
-        at = segments.withColumn("ci", F.explode(cells("x"))).withColumn("cj", F.explode(cells("y")))
-        seen = todo.select("*", around.alias("o")).withColumns({"ci": F.floor(F.col("px") / cell) + F.col("o.i"), "cj": F.floor(F.col("py") / cell) + F.col("o.j")})
-        out = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
-        best = seen.join(at, ["ci", "cj"]).groupBy("_pid").agg(F.min(F.struct(d.alias("d"), "edge_id", "i", u.alias("u"))).alias("b"), F.first(out).alias("out"))
+        at = segments.withColumn("ci", F.explode(cells("x"))).withColumn("cj", F.explode(cells("y"))).select("*", around.alias("o"))
+        at = at.withColumns({"ci": F.col("ci") + F.col("o.i"), "cj": F.col("cj") + F.col("o.j")}).drop("o").distinct()
+        own = todo.withColumns({"ci": F.floor(F.col("px") / cell), "cj": F.floor(F.col("py") / cell)})
+        crowd = at.groupBy("ci", "cj").count().agg(F.max("count")).first()[0]
+        if crowd <= network.CROWD:
+            held = written(at.groupBy("ci", "cj").agg(F.collect_list(F.struct(*segments.columns)).alias("_near")))
+            best = own.join(held, ["ci", "cj"]).select("_pid", F.array_min(F.transform("_near", lambda s: best_of(lambda c: s[c]))).alias("b"), out.alias("out"))
+        else:
+            best = own.join(at, ["ci", "cj"]).groupBy("_pid").agg(F.min(best_of(F.col)).alias("b"), F.first(out).alias("out"))
         best = best.select("_pid", "b.edge_id", "b.i", "b.u", F.col("b.d").alias("snap_m"), "out")
         best = written((best if last else best.where(F.col("snap_m") <= F.hypot("out", F.lit(cell)))).drop("out"))
         done.append(best)
-        todo = written(todo.join(best, "_pid", "left_anti"))
+        # Rows of points are never broadcast, however small their files are.
+        todo = written(todo.join(best.hint("merge"), "_pid", "left_anti"))
         if last or not todo.limit(1).count():
             break
         cell *= 4
@@ -131,7 +145,7 @@ def nearest_edge(points: DataFrame, edges: DataFrame, cell: float | None = None)
     arc = F.element_at(cum, F.col("i") + 1) + F.col("u") * (F.element_at(cum, F.col("i") + 2) - F.element_at(cum, F.col("i") + 1))
     fraction = F.when(F.element_at(cum, -1) > 0, F.least(arc / F.when(F.element_at(cum, -1) > 0, F.element_at(cum, -1)), F.lit(1.0))).otherwise(0.0)
     placed = every.join(edges.select("edge_id", "pts"), "edge_id").select("_pid", "edge_id", fraction.alias("t"), "snap_m")
-    return whole.join(placed, "_pid", "left").drop("_pid")
+    return whole.join(placed.hint("merge"), "_pid", "left").drop("_pid")
 
 
 def entries(edges: DataFrame, facilities: DataFrame, snap_counts: bool = True) -> DataFrame:
