@@ -85,3 +85,15 @@ def test_met_buildings_are_counted_within_tasks_as_pairs_say(spark):
         got = {r.sight_id: (r.n, r.total) for r in screening.met_by_sights(sights, buildings, F.col("height"), 11.0).collect()}
         screening.PAIRS = old
         assert got == {k: (len(v), float(sum(v))) for k, v in want.items()}
+
+
+def test_places_in_buildings_make_no_pairs(spark, monkeypatch):
+    seen, real = [], environment.within
+    monkeypatch.setattr(environment, "within", lambda a, b, r: seen.append((a.count(), b.count())) or real(a, b, r))
+    houses = spark.createDataFrame([(1, box(0, 0, 50, 50), None, 3.0)], BUILDINGS)
+    at = spark.range(100).selectExpr("id", "id % 10 * 4D + 1.5 AS x", "id div 10 * 4D + 1.5 AS y")
+    loud = spark.createDataFrame([(60.0, 10.0, 70.0), (20.0, 20.0, 70.0)], "bx double, by double, level double")
+    got = {r.id: r.db for r in screening.noise_screened(at, loud, houses, 10.0, 100.0).collect()}
+    assert seen == [(0, 1)]
+    d = [max(1.0, math.hypot(1.5 - x, 1.5 - y)) for x, y in ((60, 10), (20, 20))]
+    assert got[0] == pytest.approx(10 * math.log10(sum(10**6 / v**2 for v in d)))

@@ -146,15 +146,48 @@ def met_by_sights(sights: DataFrame, buildings: DataFrame, value: Column, cell:
     return met.groupBy("sight_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
+def _told_within(points: DataFrame, x: str, y: str, buildings: DataFrame, cell: float) -> DataFrame:
+    """points with _in: whether a building holds them. The search for one ends at the first."""
+    rings = F.concat(F.array(F.col("ext").cast(POINTS)), F.coalesce(F.col("holes").cast(f"array<{POINTS}>"), F.array().cast(f"array<{POINTS}>")))
+    boxes = buildings.where(F.size("ext") >= 3).select(F.flatten(F.transform(rings, _pairs)).alias("s"))
+    boxes = boxes.withColumns({f"{n}{c}": f(F.transform("s", lambda s: s["a"][c])) for c in "xy" for n, f in (("l", F.array_min), ("h", F.array_max))})
+    for c, name in (("x", "ci"), ("y", "cj")):
+        boxes = boxes.withColumn(name, F.explode(F.sequence(F.floor(F.col(f"l{c}") / cell), F.floor(F.col(f"h{c}") / cell))))
+    at = written(points.withColumns({"_id": F.monotonically_increasing_id(), "ci": F.floor(F.col(x) / cell), "cj": F.floor(F.col(y) / cell)}))
+
+    def right(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        meet = a["x"] + (F.col(y) - a["y"]) * (b["x"] - a["x"]) / F.nullif(b["y"] - a["y"], F.lit(0.0))
+        return F.coalesce(((a["y"] > F.col(y)) != (b["y"] > F.col(y))) & (F.col(x) < meet), F.lit(False))
+
+    box = F.col(x).between(F.col("lx"), F.col("hx")) & F.col(y).between(F.col("ly"), F.col("hy"))
+    own, box_rows = at.alias("p"), boxes.hint("merge").alias("q")
+    odd = box & (F.size(F.filter("s", right)) % 2 == 1)
+    found = own.join(box_rows, (F.col("p.ci") == F.col("q.ci")) & (F.col("p.cj") == F.col("q.cj")) & odd, "left_semi").select("_id", F.lit(True).alias("_in"))
+    held = at.join(found.hint("merge"), "_id", "left").select(*points.columns, F.coalesce("_in", F.lit(False)).alias("_in"))
+    return written(held)
+
+
 def noise_screened(receivers: DataFrame, sources: DataFrame, buildings: DataFrame, screen_db: float = 10.0, cutoff: float = 300.0, nearest: float = 1.0, cell: float = 50.0) -> DataFrame:
     """Rows of receivers (id, x, y, ...) with db and band, as environment.noise_at; sources whose line of sight meets a
     building count screen_db less."""
-    loud = sources.where("level is not null").select("bx", "by", "level")
-    pairs = written(environment.within(receivers.select("id", "x", "y"), loud, cutoff).withColumn("sight_id", F.monotonically_increasing_id()))
+    # What stands in a building is hidden from everything: only pairs of free places need a test of their sight, the
+    # others are summed within tasks.
+    loud = sources.where("level is not null").withColumn("_power", F.pow(F.lit(10.0), F.col("level") / 10)).select("bx", "by", "_power")
+    low = 10 ** (-screen_db / 10)
+    heard = _told_within(receivers.select("id", "x", "y"), "x", "y", buildings, cell)
+    made = _told_within(loud, "bx", "by", buildings, cell)
+
+    def share(d: np.ndarray) -> np.ndarray:
+        return low / np.maximum(d, nearest) ** 2
+
+    inside = environment.summed_within(heard, made.where("_in"), cutoff, "_power", share)
+    inside = inside.unionByName(environment.summed_within(heard.where("_in"), made.where("not _in"), cutoff, "_power", share))
+    pairs = written(environment.within(heard.where("not _in").drop("_in"), made.where("not _in").drop("_in"), cutoff).withColumn("sight_id", F.monotonically_increasing_id()))
     sights = pairs.select("sight_id", F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    hidden = crossings(sights, buildings, cell).select("sight_id").distinct().withColumn("hidden", F.lit(screen_db))
-    each = pairs.join(hidden, "sight_id", "left").withColumn("db", F.col("level") - 20 * F.log10(F.greatest("d", F.lit(nearest))) - F.coalesce("hidden", F.lit(0.0)))
-    sums = each.groupBy("id").agg((10 * F.log10(F.sum(F.pow(F.lit(10.0), F.col("db") / 10)))).alias("db"))
+    hidden = met_by_sights(sights, buildings, F.lit(0.0), cell).select("sight_id", F.lit(low).alias("_low"))
+    free = pairs.join(hidden.hint("merge"), "sight_id", "left").select("id", (F.col("_power") * F.coalesce("_low", F.lit(1.0)) / F.pow(F.greatest("d", F.lit(nearest)), F.lit(2.0))).alias("s"))
+    sums = inside.unionByName(free).groupBy("id").agg((10 * F.log10(F.sum("s"))).alias("db"))
     level = F.coalesce("db", F.lit(-1.0))
     return receivers.join(sums, "id", "left").select(*receivers.columns, level.alias("db"), environment.noise_bands(level).alias("band"))
 
