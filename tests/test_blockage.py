@@ -64,3 +64,14 @@ def test_strips(spark):
     strips = blockage.street_strips(roads, F.col("w")).withColumn("k", F.lit(1))
     area = overlay.union_area(strips, ["k"]).first().area
     assert area == pytest.approx(100 * 10 + 50 * 10 + np.pi * 25 * 1.25 - 25, rel=5e-3)
+
+
+def test_stacked_shapes_leave_few_in_a_tile(spark, monkeypatch):
+    from urbanloom.operators import overlay
+
+    frames, real = [], overlay.written
+    monkeypatch.setattr(overlay, "written", lambda df: frames.append(real(df)) or frames[-1])
+    shapes = spark.range(400).selectExpr("1 AS k", "id * 7 % 20 / 2D AS x", "id * 11 % 400 / 40D AS y").selectExpr("k", "array(named_struct('x', x, 'y', y), named_struct('x', x + 40, 'y', y), named_struct('x', x + 40, 'y', y + 40), named_struct('x', x, 'y', y + 40)) AS ring")
+    overlay.overlaid(shapes, ["k"])
+    last = [f for f in frames if {"i", "ring"} <= set(f.columns)][-1]
+    assert last.groupBy("i", "j").count().agg({"count": "max"}).first()[0] < 200

@@ -194,37 +194,66 @@ def overlaid(shapes: DataFrame, keys: list[str], tile: float | None = None) -> D
 
     shapes: keys, ring (a simple polygon), and layer (0 or 1; without the column all are 0). Equal rings of a key and
     layer count once. A tile with many shapes is quartered until it has
-    few or HALVINGS is reached, so only shapes that truly meet in one place meet in one task. tile: the side of the
-    first tiles (default: a part of the extent that follows the number of shapes; the union is the same for any).
+    few or HALVINGS is reached, so only shapes that truly meet in one place meet in one task. Where a shape covers a
+    whole tile, the tile itself stands for all shapes of its layer. tile: the side of the first tiles (default: a part
+    of the extent that follows the number of shapes, or their mean side; the union is the same for any).
     """
     box = {f"{n}{a}": f(F.transform("ring", lambda p: p[a])) for a in "xy" for n, f in (("lo", F.array_min), ("hi", F.array_max))}
     shapes = shapes if "layer" in shapes.columns else shapes.withColumn("layer", F.lit(0))
     held = written(shapes.where(F.size("ring") >= 3).select(*keys, F.col("layer").cast("int").alias("layer"), F.col("ring").cast(POINTS).alias("ring")).distinct().select("*", *[c.alias(n) for n, c in box.items()]))
-    extent = held.agg(F.min("lox").alias("x"), F.min("loy").alias("y"), F.max(F.greatest(F.col("hix"), F.col("hiy"))).alias("top"), F.max("hix").alias("x1"), F.max("hiy").alias("y1"), F.count(F.lit(1)).alias("n")).first()
+    extent = held.agg(F.min("lox").alias("x"), F.min("loy").alias("y"), F.max(F.greatest(F.col("hix"), F.col("hiy"))).alias("top"), F.max("hix").alias("x1"), F.max("hiy").alias("y1"), F.avg(F.greatest(F.col("hix") - F.col("lox"), F.col("hiy") - F.col("loy"))).alias("mean"), F.count(F.lit(1)).alias("n")).first()
     if not extent.n:
         return held.select(*keys, F.lit(0).alias("part"), *[F.lit(0.0).alias(c) for c in ("y0", "y1", "l0", "r0", "l1", "r1")])
     span = max(extent.x1 - extent.x, extent.y1 - extent.y, 1e-9)
-    tile = tile or span / max(1.0, (extent.n / TILE_SHAPES) ** 0.5)
+    tile = tile or min(span, max(span / max(1.0, (extent.n / TILE_SHAPES) ** 0.5), extent.mean))
 
     def dealt(rows: DataFrame, size: float) -> DataFrame:
         """rows with the tiles (i, j) of a side that their boxes meet, within the tile they had."""
         cells = lambda a, o: F.sequence(F.floor((F.col(f"lo{a}") - o) / size).cast("long"), F.floor((F.col(f"hi{a}") - o) / size).cast("long"))
         return rows.withColumn("i", F.explode(cells("x", extent.x))).withColumn("j", F.explode(cells("y", extent.y)))
 
-    todo, done, size = dealt(held, tile), [], tile
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+
+    def folded(rows: DataFrame, size: float) -> DataFrame:
+        """rows, with the tile's square for all shapes of a layer where one of them covers it."""
+        left, low = extent.x + F.col("i") * size, extent.y + F.col("j") * size
+        right, top = left + size, low + size
+        corners = [(left, low), (right, low), (right, top), (left, top)]
+
+        def beside(s: Column) -> Column:
+            a, b = s["a"], s["b"]
+            turns = [(b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"]) for x, y in corners]
+            apart = (F.greatest(a["x"], b["x"]) <= left) | (F.least(a["x"], b["x"]) >= right) | (F.greatest(a["y"], b["y"]) <= low) | (F.least(a["y"], b["y"]) >= top)
+            return apart | (F.least(*turns) >= 0) | (F.greatest(*turns) <= 0)
+
+        def right_of(s: Column) -> Column:
+            a, b, x, y = s["a"], s["b"], left + size / 2, low + size / 2
+            return ((a["y"] > y) != (b["y"] > y)) & (x < a["x"] + (y - a["y"]) * (b["x"] - a["x"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)))
+
+        holds = (F.col("lox") <= left) & (F.col("hix") >= right) & (F.col("loy") <= low) & (F.col("hiy") >= top)
+        sides = _pairs(F.col("ring"))
+        rows = written(rows.withColumn("_whole", F.when(holds, F.forall(sides, beside) & (F.size(F.filter(sides, right_of)) % 2 == 1)).otherwise(False)))
+        whole = rows.where("_whole").groupBy(*keys, "layer", "i", "j").agg(F.min("_was").alias("_was"))
+        squares = whole.withColumns({"ring": F.array(*[at(x, y) for x, y in corners]).cast(POINTS), "lox": left, "hix": right, "loy": low, "hiy": top})
+        rest = rows.drop("_whole").join(whole.select(*keys, "layer", "i", "j").hint("merge"), [*keys, "layer", "i", "j"], "left_anti")
+        return written(rest.unionByName(squares))
+
+    todo, done, size = dealt(held, tile).withColumn("_was", F.lit(None).cast("long")), [], tile
     columns = [*keys, "layer", "ring", "i", "j", "size"]
     for level in range(HALVINGS + 1):
-        todo = written(todo)
-        # Shapes as large as the tile stay in all its quarters: only tiles with mostly smaller ones are cut.
+        todo = folded(todo, size)
+        # Shapes as large as the tile may stay in all its quarters: tiles with mostly such ones are cut while that leaves fewer,
+        # and down to an eighth of the shapes' mean side, where one may cover what is left.
         small = (F.col("hix") - F.col("lox") < size) & (F.col("hiy") - F.col("loy") < size)
-        counts = todo.groupBy(*keys, "i", "j").agg(F.count(F.lit(1)).alias("_n"), F.count_if(small).alias("_small"))
-        full = written(counts.where((F.col("_n") > TILE_SHAPES) & (2 * F.col("_small") > F.col("_n"))).select(*keys, "i", "j")) if level < HALVINGS else None
-        few = todo if full is None else todo.join(full, [*keys, "i", "j"], "left_anti")
+        counts = todo.groupBy(*keys, "i", "j").agg(F.count(F.lit(1)).alias("_n"), F.count_if(small).alias("_small"), F.max("_was").alias("_was"))
+        fewer = F.coalesce(4 * F.col("_n") <= 3 * F.col("_was"), F.lit(True)) | F.lit(size > extent.mean / 8)
+        full = written(counts.where((F.col("_n") > TILE_SHAPES) & ((2 * F.col("_small") > F.col("_n")) | fewer)).select(*keys, "i", "j", "_n")) if level < HALVINGS else None
+        few = todo if full is None else todo.join(full.hint("merge"), [*keys, "i", "j"], "left_anti")
         done.append(few.withColumn("size", F.lit(size)).select(*columns))
         if full is None or not full.limit(1).count():
             break
         size /= 2
-        many = todo.join(full, [*keys, "i", "j"], "left_semi").withColumnsRenamed({"i": "_i", "j": "_j"})
+        many = todo.drop("_was").join(full.withColumnRenamed("_n", "_was").hint("merge"), [*keys, "i", "j"]).withColumnsRenamed({"i": "_i", "j": "_j"})
         todo = dealt(many, size).where("floor(i / 2) = _i and floor(j / 2) = _j").drop("_i", "_j")
     every = done[0]
     for more in done[1:]:
