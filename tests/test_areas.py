@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -128,6 +129,32 @@ def test_split_over_cells(spark):
         assert v == pytest.approx(8.0 * on[r * 200 : r * 200 + 200, c * 200 : c * 200 + 200].sum() / on.sum(), abs=0.02)
 
 
+def test_split_over_cells_in_chunks(spark, monkeypatch):
+    """Polygons that are cut a few strips at a time; what has no area, no end or no shell takes no part."""
+    shapes, ring = "v double, ext array<struct<x: double, y: double>>, holes array<array<struct<x: double, y: double>>>", lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w)]
+    rows = [(float(k), ring(k * 7.0, k * 3.0, 5.0 + k % 60), [ring(k * 7.0 + 1, k * 3.0 + 1, 2.0), []] if k % 2 else None) for k in range(50)]
+    rows += [(1.0, [(0.0, 0.0), (1.0, float("nan")), (1.0, 1.0)], None), (1.0, [(0.0, 0.0), (9.0, 9.0), (3.0, 3.0)], None), (1.0, None, None), (2.0, ring(-500.0, -500.0, 900.0), [ring(0.0, 0.0, 10.0)])]
+    batch = spark.createDataFrame([(v, [e, *(h or [])] if e else []) for v, e, h in rows if e], "v double, rings array<array<struct<x: double, y: double>>>").toArrow().combine_chunks().to_batches()[0]
+    whole = overlay._cell_sums(batch, 10.0).to_pandas()
+    monkeypatch.setattr(overlay, "STRIP_POINTS", 9)
+    parts = overlay._cell_sums(batch, 10.0).to_pandas()
+    assert parts[["_i", "_j", "n_feat"]].equals(whole[["_i", "_j", "n_feat"]]) and np.allclose(parts["value"], whole["value"])
+    cells = overlay.polygon_grid(spark.createDataFrame(rows, shapes), 10.0, "v").collect()
+    assert len(cells) == len(whole) == 90 * 90 and sum(r.value for r in cells) == pytest.approx(sum(range(50)) + 2.0)
+
+
+def test_split_of_many_polygons_over_cells(spark):
+    """20,000 courts take seconds: rings do not pass through nested expressions."""
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y = F.col("id") * 37 % 1999, F.col("id") * 53 % 1997
+    ring = lambda a, b: F.array(at(x + a, y + a), at(x + b, y + a), at(x + b, y + b), at(x + a, y + b))
+    df = spark.range(20_000).select(ring(0, 40).alias("ext"), F.array(ring(10, 20)).alias("holes"), F.lit(3.0).alias("v"))
+    start = time.perf_counter()
+    cells = overlay.polygon_grid(df, 100.0, "v").collect()
+    assert sum(r.value for r in cells) == pytest.approx(60_000.0)
+    assert time.perf_counter() - start < 40
+
+
 def test_shared_walls(spark):
     turn = lambda ps, a: [(x * math.cos(a) - y * math.sin(a), x * math.sin(a) + y * math.cos(a)) for x, y in ps]
     box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]

@@ -2,7 +2,7 @@
 
 A ring is array<struct<x, y>>, open or closed. Unions work in square tiles: shapes meet only those of their tile, a
 tile that holds many is cut into four until it holds few, and a sweep over the edges of a tile gives its part of the
-union as trapezoids. Splits over cells and shared walls are column expressions.
+union as trapezoids. Splits over cells go over arrays of rings, shared walls are column expressions.
 """
 
 from __future__ import annotations
@@ -11,43 +11,117 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanloom.functions.scratch import written
-from urbanloom.operators.form import _pairs, _sum, ring_perimeter
+from urbanloom.operators.form import _pairs, ring_perimeter
 
 #: Shapes of a tile's sweep, about: its work grows with their square. Tiles are halved so many times at most.
 TILE_SHAPES, HALVINGS = 48, 16
+#: Points, about, that polygons are cut into strips with at once.
+STRIP_POINTS = 1 << 20
 POINTS = "array<struct<x: double, y: double>>"
 
 
-def _signed(ring: Column) -> Column:
-    """Twice the signed area of a ring."""
-    return F.when(F.size(ring) >= 3, _sum(F.transform(_pairs(ring), lambda s: s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]))).otherwise(0.0)
+def _runs(of: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of the items of the runs `of`, where runs of n items follow one another."""
+    k = n[of]
+    return np.repeat(np.cumsum(n)[of] - n[of] - np.cumsum(k) + k, k) + np.arange(k.sum())
 
 
-def clipped(ring: Column, axis: str, bound: Column, above: bool) -> Column:
-    """The part of a ring where axis ('x' or 'y') is at least (above) or at most the bound.
+def _next(n: np.ndarray) -> np.ndarray:
+    """For each point of rings of n points the place of the next one of its ring."""
+    after, ends = np.arange(n.sum()) + 1, np.cumsum(n)
+    after[ends[n > 0] - 1] = (ends - n)[n > 0]
+    return after
 
-    Of a ring that is not convex, parts may hang together by sides along the bound, which have no area.
-    """
-    other = "y" if axis == "x" else "x"
-
-    def inside(p: Column) -> Column:
-        return p[axis] >= bound if above else p[axis] <= bound
 
-    def at(a: Column, b: Column) -> Column:
-        value = a[other] + (b[other] - a[other]) * ((bound - a[axis]) / (b[axis] - a[axis]))
-        parts = {axis: bound.cast("double"), other: value}
-        return F.struct(parts["x"].alias("x"), parts["y"].alias("y"))
+def clipped(points: np.ndarray, n: np.ndarray, axis: int, bound: np.ndarray, above: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(points, n) of the parts of rings where axis (0: x, 1: y) is at least (above) or at most the ring's bound.
 
-    def side(s: Column) -> Column:
-        a, b = s["a"], s["b"]
-        plain = F.struct(b["x"].alias("x"), b["y"].alias("y"))
-        return F.when(inside(a) & inside(b), F.array(plain)).when(inside(a), F.array(at(a, b))).when(inside(b), F.array(at(a, b), plain)).otherwise(F.array().cast(POINTS))
-
-    return F.when(F.size(ring) >= 3, F.flatten(F.transform(_pairs(ring), side))).otherwise(F.array().cast(POINTS))
+    points: two rows, the rings of n points after one another; rings of fewer than three points become empty. Of a
+    ring that is not convex, parts may hang together by sides along the bound, which have no area.
+    """
+    ring, after = np.repeat(np.arange(len(n)), n), _next(n)
+    u, w, b = points[axis], points[1 - axis], bound[ring]
+    whole = n[ring] >= 3
+    here = (u >= b if above else u <= b) & whole
+    there = here[after]
+    cross = here != there
+    emits = cross.astype("i8") + there
+    at = np.cumsum(emits) - emits
+    out = np.empty((2, emits.sum()))
+    c, d = np.flatnonzero(cross), after[cross]
+    out[axis, at[c]], out[1 - axis, at[c]] = b[c], w[c] + (w[d] - w[c]) * ((b[c] - u[c]) / (u[d] - u[c]))
+    out[:, (at + cross)[there]] = points[:, after[there]]
+    return out, np.bincount(ring, emits, len(n)).astype("i8")
+
+
+def _areas(points: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Areas of polygons of m rings of n points: shells count with theirs, holes against it, whatever their direction."""
+    (x, y), after = points, _next(n)
+    ring = np.repeat(np.arange(len(n)), n)
+    own = np.where(n >= 3, np.abs(np.bincount(ring, x * y[after] - x[after] * y, len(n))) / 2, 0.0)
+    shell = np.cumsum(m) - m
+    return 2 * own[shell] - np.bincount(np.repeat(np.arange(len(m)), m), own, len(m))
+
+
+def _strips(points: np.ndarray, n: np.ndarray, m: np.ndarray, axis: int, cell: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(polygon, strip, and points, n, m of its part) of polygons cut into strips of cells, about STRIP_POINTS at once.
+
+    Every shell has at least three points."""
+    shell = np.cumsum(m) - m
+    u, starts = points[axis, _runs(shell, n)], np.cumsum(n[shell]) - n[shell]
+    low = np.floor(np.minimum.reduceat(u, starts) / cell).astype("i8")
+    high = np.maximum(np.ceil(np.maximum.reduceat(u, starts) / cell).astype("i8") - 1, low)
+    size = np.bincount(np.repeat(np.arange(len(m)), m), n, len(m)).astype("i8")
+    wide = high - low + 1
+    # Strips of all polygons are numbered through; a call takes those whose points, summed up, are in one chunk.
+    ends = np.cumsum(wide)
+    done, total = 0, int(ends[-1])
+    points_upto = np.cumsum(wide * size)
+    while done < total:
+        p = int(np.searchsorted(ends, done, "right"))
+        seen = points_upto[p] - (ends[p] - done) * size[p]
+        q = int(np.searchsorted(points_upto, seen + STRIP_POINTS, "right"))
+        upto = total if q == len(m) else max(done + 1, int(ends[q] + (seen + STRIP_POINTS - points_upto[q]) // size[q]))
+        strips = np.arange(done, min(upto, total))
+        done = int(strips[-1]) + 1
+        of = np.searchsorted(ends, strips, "right")
+        at = low[of] + strips - (ends - wide)[of]
+        rings = _runs(of, m)
+        edge = np.repeat(at, m[of])
+        part, k = clipped(points[:, _runs(rings, n)], n[rings], axis, edge * cell, True)
+        part, k = clipped(part, k, axis, (edge + 1) * cell, False)
+        shells = np.cumsum(m[of]) - m[of]
+        held = np.flatnonzero(k[shells] >= 3)
+        if len(held):
+            rings = _runs(held, m[of])
+            yield of[held], at[held], part[:, _runs(rings, k)], k[rings], m[of][held]
+
+
+def _cell_sums(batch: pa.RecordBatch, cell: float) -> pa.RecordBatch:
+    """_i, _j, n_feat, value of the cells that the batch's polygons (v, rings) touch with some area."""
+    count = lambda lists: pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype("i8")
+    v, rings = batch.column("v").to_numpy(zero_copy_only=False), batch.column("rings")
+    m, n = count(rings), count(rings.flatten())
+    points = np.array([c.to_numpy(zero_copy_only=False) for c in rings.flatten().flatten().flatten()], "f8").reshape(2, -1)
+    area = _areas(points, n, m)
+    good = np.flatnonzero((area > 0) & np.isfinite(area))
+    sums = [pd.DataFrame({"_i": [], "_j": [], "n_feat": [], "value": []}).astype({"_i": "i8", "_j": "i8", "n_feat": "i8", "value": "f8"})]
+    if len(good):
+        v, area, kept = v[good], area[good], _runs(good, m)
+        for p, i, *strip in _strips(points[:, _runs(kept, n)], n[kept], m[good], 0, cell):
+            for q, j, *part in _strips(*strip, 1, cell):
+                own = _areas(*part)
+                has, of = own > 0, p[q]
+                each = pd.DataFrame({"_i": i[q], "_j": j, "n_feat": 1, "value": v[of] * own / area[of]})[has]
+                sums.append(each.groupby(["_i", "_j"], as_index=False).sum())
+    out = pd.concat(sums).groupby(["_i", "_j"], as_index=False).sum()
+    return pa.RecordBatch.from_pandas(out, preserve_index=False)
 
 
 def polygon_grid(polygons: DataFrame, cell: float = 100.0, value: str | None = None) -> DataFrame:
@@ -55,27 +129,22 @@ def polygon_grid(polygons: DataFrame, cell: float = 100.0, value: str | None = N
 
     polygons: ext (ring), holes (rings, may be null) and a value (null or none: 0; no column: 1), which is split over
     the cells by area. The grid starts at the multiple of `cell` below the smallest coordinates. Polygons are first
-    cut into columns of cells and these into cells, so a row is made only for what a column holds. Polygons without
-    area take no part.
+    cut into columns of cells and these into cells, a batch's polygons as arrays, and a batch gives one row for a cell.
+    Polygons without area or with coordinates that are not finite take no part.
     """
     if cell <= 0:
         raise ValueError("the cell size must be positive")
     given = F.coalesce(F.col(value).try_cast("double"), F.lit(0.0)) if value else F.lit(1.0)
     rings = F.concat(F.array(F.col("ext").cast(POINTS)), F.coalesce(F.col("holes").cast(f"array<{POINTS}>"), F.array().cast(f"array<{POINTS}>")))
-    # Shells count with their area, holes against it, whatever their direction.
-    held = polygons.where(F.size("ext") >= 3).select(given.alias("v"), rings.alias("rings"), F.monotonically_increasing_id().alias("_p"))
-    area = lambda rs: F.abs(_signed(rs[0])) / 2 - _sum(F.transform(F.slice(rs, 2, F.size(rs)), lambda r: F.abs(_signed(r)) / 2))
-    held = held.withColumn("area", area(F.col("rings"))).where("area > 0")
-    low = lambda axis: F.floor(F.array_min(F.transform(F.col("rings")[0], lambda p: p[axis])) / cell)
-    high = lambda axis: F.greatest(F.ceil(F.array_max(F.transform(F.col("rings")[0], lambda p: p[axis])) / cell) - 1, low(axis))
-
-    def strip(rows: DataFrame, axis: str, name: str) -> DataFrame:
-        each = rows.select("*", F.explode(F.sequence(low(axis), high(axis))).alias(name))
-        cut = F.transform("rings", lambda r: clipped(clipped(r, axis, F.col(name) * cell, True), axis, (F.col(name) + 1) * cell, False))
-        return each.withColumn("rings", cut).where(F.size(F.col("rings")[0]) >= 3)
-
-    parts = strip(strip(held, "x", "_i"), "y", "_j").withColumn("part", area(F.col("rings"))).where("part > 0")
-    sums = written(parts.groupBy("_i", "_j").agg(F.count(F.lit(1)).alias("n_feat"), F.sum(F.col("v") * F.col("part") / F.col("area")).alias("value")))
+    held = polygons.where(F.size("ext") >= 3).select(given.alias("v"), rings.alias("rings"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _cell_sums(batch, cell)
+
+    parts = held.mapInArrow(run, "_i long, _j long, n_feat long, value double")
+    sums = written(parts.groupBy("_i", "_j").agg(F.sum("n_feat").alias("n_feat"), F.sum("value").alias("value")))
     origin = sums.agg(F.min("_i").alias("_i0"), F.min("_j").alias("_j0"), F.max("_i").alias("_i1"))
     at = sums.crossJoin(F.broadcast(origin)).withColumns({"col": F.col("_i") - F.col("_i0"), "row": F.col("_j") - F.col("_j0")})
     wide = F.col("_i1") - F.col("_i0") + 1
