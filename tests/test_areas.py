@@ -136,7 +136,7 @@ def test_split_over_cells_in_chunks(spark, monkeypatch):
     rows += [(1.0, [(0.0, 0.0), (1.0, float("nan")), (1.0, 1.0)], None), (1.0, [(0.0, 0.0), (9.0, 9.0), (3.0, 3.0)], None), (1.0, None, None), (2.0, ring(-500.0, -500.0, 900.0), [ring(0.0, 0.0, 10.0)])]
     batch = spark.createDataFrame([(v, [e, *(h or [])] if e else []) for v, e, h in rows if e], "v double, rings array<array<struct<x: double, y: double>>>").toArrow().combine_chunks().to_batches()[0]
     whole = overlay._cell_sums(batch, 10.0).to_pandas()
-    monkeypatch.setattr(overlay, "STRIP_POINTS", 9)
+    monkeypatch.setattr(overlay, "STRIP_POINTS", 300)
     parts = overlay._cell_sums(batch, 10.0).to_pandas()
     assert parts[["_i", "_j", "n_feat"]].equals(whole[["_i", "_j", "n_feat"]]) and np.allclose(parts["value"], whole["value"])
     cells = overlay.polygon_grid(spark.createDataFrame(rows, shapes), 10.0, "v").collect()
