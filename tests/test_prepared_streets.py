@@ -41,6 +41,25 @@ def test_a_line_does_not_cut_itself_and_odd_lines(spark):
     assert noding.prepare_network(spark.createDataFrame([], LINE)).count() == 0
 
 
+def test_doubles_are_found_by_digest_and_numbers_follow_lines(spark):
+    """Lines upon lines in both directions; the numbers have no gaps where doubles went."""
+    rows = [(k, [(0, k // 3), (10, k // 3)][:: 1 if k % 2 else -1]) for k in range(12)] + [(90, [(5, -1), (5, 9)]), (91, [(5, 9), (5, 1), (5, -1)])]
+    got = pieces(spark, rows)
+    assert [(i, n) for i, _, n in got] == [(k, 5.0) for k in (0, 3, 6, 9) for _ in "ab"] + [(90, n) for n in (1.0, 1.0, 1.0, 1.0, 6.0)]
+
+
+def test_cells_shrink_with_the_crowd(spark, monkeypatch):
+    """A cell holds about CELL_PARTS segments, so pairs grow no faster than crossings; the pieces stay the same."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [tuple(rng.uniform(0, 100, 2)), tuple(rng.uniform(0, 100, 2))]) for i in range(60)]
+    whole = pieces(spark, rows)
+    monkeypatch.setattr(noding, "CELL_PARTS", 8)
+    parts = noding.segments(lines(spark, rows))
+    side = noding.cell_side(parts)
+    crowd = noding.in_cells(parts, side).groupBy("ci", "cj").count().agg({"count": "avg"}).first()[0]
+    assert 2 < crowd < 16 and pieces(spark, rows) == whole
+
+
 def test_prepared_lines_make_a_joined_graph(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [tuple(rng.uniform(0, 100, 2)) for _ in range(3)]) for i in range(25)]

@@ -6,14 +6,20 @@ to as many cells as it crosses, not to all of its bounds), so the join is on equ
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from urbanloom.functions.ordered import numbered
+from urbanloom.functions.ordered import running
 from urbanloom.functions.scratch import written
-from urbanloom.operators.network import length
 
 ON_LINE = 1e-9
+#: Segments of a cell, about.
+CELL_PARTS = 256
 
 
 def segments(lines: DataFrame) -> DataFrame:
@@ -51,7 +57,8 @@ def crossings(parts: DataFrame, cell: float) -> DataFrame:
     Of parallel segments that lie on each other, each is met at the ends of the other. Both sides of a meeting
     have the same x and y: an end if it is at one, else the place on the segment of the smaller line_id.
     """
-    placed = in_cells(parts, cell)
+    # Cells are few bytes and much work: their tasks are not to be merged by size.
+    placed = in_cells(parts, cell).repartition(parts.sparkSession.sparkContext.defaultParallelism * 4, "ci", "cj")
     a = placed.select("ci", "cj", *[F.col(c).alias(f"p_{c}") for c in parts.columns])
     b = placed.select("ci", "cj", *[F.col(c).alias(f"q_{c}") for c in parts.columns])
     pair = a.join(b, ["ci", "cj"]).where("p_line_id < q_line_id").drop("ci", "cj")
@@ -81,27 +88,62 @@ def crossings(parts: DataFrame, cell: float) -> DataFrame:
     return met.unionByName(flat)
 
 
+def _pieces(key: tuple, stops: pa.Table, min_length: float) -> pa.Table:
+    """line_id, piece, nth, pts, length_m of one line from its stops (pos, t, x, y, cut: 0 for its own points)."""
+    pos, t, x, y, cut = (stops.column(c).to_numpy() for c in ("pos", "t", "x", "y", "cut"))
+    order = np.lexsort((y, x, cut, t, pos))
+    pos, t, x, y, cut = (c[order] for c in (pos, t, x, y, cut))
+    # Of stops at one place the line's own point counts.
+    start = np.flatnonzero(np.concatenate([[True], (pos[1:] != pos[:-1]) | (t[1:] != t[:-1])]))
+    ends = np.maximum.reduceat(cut, start) == 1
+    ends[[0, -1]] = True
+    x, y, at = x[start], y[start], np.flatnonzero(ends)
+    length_m = np.add.reduceat(np.hypot(np.diff(x), np.diff(y)), at[:-1])
+    kept = np.flatnonzero(~(length_m <= min_length))
+    n = at[kept + 1] - at[kept] + 1
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    points = np.repeat(at[kept] - offsets[:-1], n) + np.arange(offsets[-1])
+    pts = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(x[points]), pa.array(y[points])], ["x", "y"]))
+    line = pa.array([key[0].as_py()], stops.schema.field("line_id").type).take(pa.array(np.zeros(len(kept), "i8")))
+    return pa.table({"line_id": line, "piece": pa.array(kept, pa.int32()), "nth": pa.array(np.arange(len(kept))), "pts": pts, "length_m": length_m[kept]})
+
+
+def cell_side(parts: DataFrame) -> float:
+    """The side of cells that segments share with about CELL_PARTS others, at most twice their mean length."""
+    at = parts.agg(F.avg(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))).alias("mean"), F.count(F.lit(1)).alias("n"), *[(F.max(F.greatest(f"a{c}", f"b{c}")) - F.min(F.least(f"a{c}", f"b{c}"))).alias(c) for c in "xy"]).first()
+    if not at.n:
+        return 2.0
+    # A segment runs through about 4 / pi * mean / side cells beside its first one.
+    long, room = 4 / math.pi * at["mean"], max(at.x, at["mean"]) * max(at.y, at["mean"]) * CELL_PARTS / at.n
+    return min(2 * at["mean"], 2 * room / (long + math.sqrt(long * long + 4 * room)))
+
+
 def prepare_network(lines: DataFrame, min_length: float = 0.05, cell: float | None = None) -> DataFrame:
     """seg_id, line_id, piece, pts, length_m: lines (line_id, pts) cut wherever they meet another line.
 
     Pieces with the same points, in either direction, are one (that of the smallest line_id and piece), pieces of
     min_length or less go. A line does not cut itself. Numbers follow line_id and piece. cell: side of the cells in which
-    segments meet, twice their mean length if not given. No lines give no rows.
+    segments meet, cell_side() if not given. No lines give no rows. A line's stops are sorted as arrays; only pieces whose
+    digests are not unique are compared, and only lines are put in order: a piece counts from its line's first.
     """
     parts = written(segments(lines))
-    if cell is None:
-        cell = 2 * (parts.agg(F.avg(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))).first()[0] or 1.0)
-    cuts = crossings(parts, cell)
+    cuts = crossings(parts, cell or cell_side(parts))
     last = F.col("t") == 1.0
     cuts = cuts.select("line_id", F.when(last, F.col("pos") + 1).otherwise(F.col("pos")).alias("pos"), F.when(last, 0.0).otherwise(F.col("t")).alias("t"), "x", "y", F.lit(1).alias("cut"))
     corners = lines.where(F.size("pts") >= 2).select("line_id", F.posexplode("pts").alias("pos", "p")).select("line_id", "pos", F.lit(0.0).alias("t"), "p.x", "p.y", F.lit(0).alias("cut"))
-    stops = corners.unionByName(cuts).groupBy("line_id", "pos", "t").agg(F.min_by(F.struct("x", "y"), F.struct("cut", "x", "y")).alias("p"), F.max("cut").alias("cut"))
-    held = stops.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("pos", "t", "p", "cut"))).alias("s"))
-    n = F.size("s")
-    inner = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (i == n - 1) | (F.get("s", i)["cut"] == 1))
-    held = held.select("line_id", F.transform("s", lambda v: v["p"]).alias("pts"), inner.alias("at"))
-    pair = F.transform(F.sequence(F.lit(1), F.size("at") - 1), lambda i: F.slice("pts", F.element_at("at", i) + 1, F.element_at("at", i + 1) - F.element_at("at", i) + 1))
-    pieces = held.select("line_id", F.posexplode(pair).alias("piece", "pts")).withColumn("length_m", length("pts")).where(F.col("length_m") > min_length)
+
+    def run(key: tuple, stops: pa.Table) -> pa.Table:
+        return _pieces(key, stops, min_length)
+
+    kind = lines.schema["line_id"].dataType.simpleString()
+    pieces = written(corners.unionByName(cuts).repartition(lines.sparkSession.sparkContext.defaultParallelism * 4, "line_id").groupBy("line_id").applyInArrow(run, f"line_id {kind}, piece int, nth long, pts array<struct<x: double, y: double>>, length_m double"))
     shape = F.least(F.col("pts"), F.reverse("pts"))
-    one = pieces.groupBy(shape.alias("_shape")).agg(F.min_by(F.struct("line_id", "piece", "pts", "length_m"), F.struct("line_id", "piece")).alias("v")).select("v.*")
-    return numbered(written(one), ["line_id", "piece"], "seg_id")
+    digests = pieces.select("line_id", "piece", "nth", shape.alias("_shape"), F.xxhash64(shape).alias("_d"))
+    alike = written(digests.groupBy("_d").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_d"))
+    again = written(digests.join(alike, "_d", "left_semi").withColumn("_first", F.min(F.struct("line_id", "piece")).over(W.partitionBy("_shape"))).where(F.struct("line_id", "piece") != F.col("_first")).select("line_id", "piece", "nth"))
+    gone = again.groupBy("line_id").agg(F.sort_array(F.collect_list("nth")).alias("_gone"))
+    counts = pieces.groupBy("line_id").agg(F.count(F.lit(1)).alias("_n")).join(gone, "line_id", "left").withColumn("_left", F.col("_n") - F.coalesce(F.size("_gone"), F.lit(0)))
+    upto = running(counts, ["line_id"], ["_left"], "_lines").select("line_id", "_gone", (F.col("_left_upto") - F.col("_left")).cast("long").alias("_base"))
+    held = pieces.join(written(upto), "line_id").where(F.col("_gone").isNull() | ~F.array_contains("_gone", F.col("nth")))
+    before = F.coalesce(F.size(F.filter("_gone", lambda g: g < F.col("nth"))), F.lit(0))
+    return held.select((F.col("_base") + F.col("nth") - before).alias("seg_id"), "line_id", "piece", "pts", "length_m")
