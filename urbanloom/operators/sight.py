@@ -1,13 +1,15 @@
 """Sight and sun over rasters: viewsheds, isovists, landmark exposure, irradiation; and the filling of pits.
 
-Rays from one place need its surroundings in order, so they run in kernels: the raster (row, col, value) goes to every
-task as an array of at most CELLS cells, and places are dealt over tasks. Results are cell tables again.
+Rays from one place need its surroundings in order, so they run in kernels. Views of a bounded radius go over tiles with the
+cells around them; for others the raster (row, col, value) goes to every task as an array of at most CELLS cells, and places
+are dealt over tasks. Results are cell tables again.
 """
 
 from __future__ import annotations
 
 import calendar
 import datetime
+import functools
 import math
 from collections.abc import Iterator
 
@@ -40,16 +42,15 @@ def _directions(n: int) -> np.ndarray:
     return np.stack([-np.cos(a), np.sin(a)], axis=1)
 
 
-def visible(z: np.ndarray, at: tuple[int, int], pixel: float, eye: float, target: float, radius: float, rays: int) -> np.ndarray:
-    """Which cells are seen: along each ray, in half pixels, a cell whose slope is not below all slopes before it."""
+def visible(z: np.ndarray, at: tuple[int, int], pixel: float, eye: float, target: float, radius: float, rays: int, base: tuple[int, int] = (0, 0)) -> np.ndarray:
+    """Which cells are seen: along each ray, in half pixels, a cell whose slope is not below all slopes before it.
+
+    base: the array's first row and column in its raster, where halves are rounded to even places."""
     seen = np.zeros(z.shape, bool)
     if not (0 <= at[0] < z.shape[0] and 0 <= at[1] < z.shape[1]) or np.isnan(z[at]):
         return seen
     seen[at] = True
-    far = np.arange(pixel / 2, radius + pixel / 2, pixel / 2)
-    way = _directions(rays)
-    r = np.rint(at[0] + far[None, :] / pixel * way[:, :1]).astype(int)
-    c = np.rint(at[1] + far[None, :] / pixel * way[:, 1:]).astype(int)
+    r, c = (_steps(at[k] + base[k], k, pixel, radius, rays).astype(int) + at[k] for k in (0, 1))
     inside = (r >= 0) & (r < z.shape[0]) & (c >= 0) & (c < z.shape[1]) & ((r != at[0]) | (c != at[1]))
     ground = np.where(inside, z[np.clip(r, 0, z.shape[0] - 1), np.clip(c, 0, z.shape[1] - 1)], np.nan)
     d = pixel * np.hypot(r - at[0], c - at[1])
@@ -62,24 +63,145 @@ def visible(z: np.ndarray, at: tuple[int, int], pixel: float, eye: float, target
     return seen
 
 
+def _steps(place: int, axis: int, pixel: float, radius: float, rays: int) -> np.ndarray:
+    """How far from a row (axis 0) or column (axis 1) `place` of the raster rays (first axis) are, in half pixels."""
+    far = np.arange(pixel / 2, radius + pixel / 2, pixel / 2)
+    return (np.rint(place + far[None, :] / pixel * _directions(rays)[:, axis : axis + 1]) - place).astype("i4")
+
+
+@functools.lru_cache(maxsize=512)
+def _way(place: int, axis: int, pixel: float, radius: float, rays: int) -> bytes:
+    return _steps(place, axis, pixel, radius, rays).tobytes()
+
+
+@functools.lru_cache(maxsize=64)
+def _tree(rows: bytes, cols: bytes, rays: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """(offsets of cells, steps): rays that pass the same cells so far share their steps. A step is (cell, the depth it
+    stands at, whether rays part behind it), each ray's steps after those that it shares."""
+    r, c = (np.frombuffer(x, "i4").reshape(rays, -1) for x in (rows, cols))
+    root: dict = {}
+    for way in zip(r.tolist(), c.tolist(), strict=True):
+        at, last = root, (0, 0)
+        for cell in zip(*way, strict=True):
+            # A cell that a ray stays in counts once: its own slope does not hide it.
+            if cell != last:
+                at, last = at.setdefault(cell, {}), cell
+    cells: dict[tuple[int, int], int] = {}
+    steps, todo = [], [(cell, 1, more) for cell, more in root.items()]
+    while todo:
+        cell, depth, more = todo.pop()
+        steps.append((cells.setdefault(cell, len(cells)), depth, len(more)))
+        todo += [(k, depth + 1, v) for k, v in more.items()]
+    return list(cells), steps
+
+
+#: Observers times cells around them, about, that are looked at as one array.
+SIGHTS = 1 << 20
+
+
+def _seen(z: np.ndarray, rows: np.ndarray, cols: np.ndarray, times: np.ndarray, pixel: float, eye: float, target: float, radius: float, rays: int, base: tuple[int, int]) -> np.ndarray:
+    """How many observers (distinct rows and cols of z, each as often as times says) see each cell, as visible() has it."""
+    total = np.zeros(z.shape, "i8")
+    kept = ~np.isnan(z[rows, cols])
+    rows, cols, times = rows[kept], cols[kept], times[kept]
+    ways, kinds = [], []
+    for axis, own in enumerate((rows, cols)):
+        places, back = np.unique(own, return_inverse=True)
+        named: dict[bytes, int] = {}
+        kinds.append(np.array([named.setdefault(_way(v + base[axis], axis, pixel, radius, rays), len(named)) for v in places.tolist()], "i8")[back])
+        ways.append(list(named))
+    kind = kinds[0] * max(1, len(ways[1])) + kinds[1]
+    for one in np.unique(kind).tolist():
+        own = np.flatnonzero(kind == one)
+        r, c = rows[own], cols[own]
+        cells, steps = _tree(ways[0][one // len(ways[1])], ways[1][one % len(ways[1])], rays)
+        count = max(1, SIGHTS // max(1, len(cells)))
+        for k in range(0, len(own), count):
+            _look(total, z, r[k : k + count], c[k : k + count], times[own[k : k + count]], cells, steps, pixel, eye, target)
+    return total
+
+
+def _look(total: np.ndarray, z: np.ndarray, rows: np.ndarray, cols: np.ndarray, times: np.ndarray, cells: list[tuple[int, int]], steps: list[tuple[int, int, int]], pixel: float, eye: float, target: float) -> None:
+    """Adds to total what observers see whose rays pass the same cells around them."""
+    own = z[rows, cols]
+    off = np.array(cells, "i8").reshape(-1, 2)
+    y, x = rows[None, :] + off[:, :1], cols[None, :] + off[:, 1:]
+    inside = (y >= 0) & (y < z.shape[0]) & (x >= 0) & (x < z.shape[1])
+    ground = np.where(inside, z[np.clip(y, 0, z.shape[0] - 1), np.clip(x, 0, z.shape[1] - 1)], np.nan)
+    d = pixel * np.hypot(off[:, 0], off[:, 1])[:, None]
+    rise, top = (ground - own - eye) / d, (ground + target - own - eye) / d
+    known = ~np.isnan(ground)
+    rise[~known] = -np.inf
+    clear = np.zeros(ground.shape, bool)
+    deepest = max((depth for _, depth, _ in steps), default=0)
+    before = np.full((deepest + 1, len(rows)), -np.inf)
+    high, sees = np.empty(len(rows)), np.empty(len(rows), bool)
+    for cell, depth, more in steps:
+        np.subtract(before[depth - 1], 1e-12, out=high)
+        np.greater_equal(top[cell], high, out=sees)
+        np.logical_or(clear[cell], sees, out=clear[cell])
+        if more:
+            np.maximum(before[depth - 1], rise[cell], out=before[depth])
+    clear &= known
+    np.add.at(total, (rows, cols), times)
+    at, who = np.nonzero(clear)
+    place = y[at, who] * z.shape[1] + x[at, who]
+    total += np.bincount(place, times[who], total.size).astype("i8").reshape(total.shape)
+
+
 def viewshed(dsm: DataFrame, observers: DataFrame, pixel: float, eye: float = 1.6, target: float = 0.0, radius: float | None = None, rays: int = 720) -> DataFrame:
-    """row, col, seen: how many observers (row, col) see each cell of the raster; observers outside see nothing."""
+    """row, col, seen: how many observers (row, col) see each cell of the raster; observers outside see nothing.
+
+    Observers look around in tiles, which are dealt over tasks with the cells that the radius reaches; beyond
+    raster.HALO cells each task has the whole raster.
+    """
+    far = int(math.ceil(radius / pixel)) + 1 if radius else None
+    if far is None or far > raster.HALO:
+        return _viewshed_of_all(dsm, observers, pixel, eye, target, radius, rays)
+    low = dsm.agg(F.min("row"), F.min("col")).first()
+    side = max(raster.TILE, far)
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - far) / side).cast("int"), F.floor((F.col(c) + far) / side).cast("int")))
+    sent = dsm.select("row", "col", F.col("value").cast("double").alias("value"), F.lit(0).cast("long").alias("n")).withColumn("_i", tiles("row")).withColumn("_j", tiles("col"))
+    eyes = observers.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n")).where("row is not null and col is not null")
+    eyes = eyes.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.lit(None).cast("double").alias("value"), "n", F.floor(F.col("row") / side).cast("int").alias("_i"), F.floor(F.col("col") / side).cast("int").alias("_j"))
+    seats = eyes.select("_i", "_j").distinct()
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        base = [int(k) * side - far for k in key]
+        r, c = (pdf[name].to_numpy("i8") - b for name, b in zip(("row", "col"), base, strict=True))
+        n = pdf["n"].to_numpy("i8")
+        held = np.full((side + 2 * far, side + 2 * far), np.nan)
+        cell, eye_ = n == 0, n > 0
+        held[r[cell], c[cell]] = pdf["value"].to_numpy("f8")[cell]
+        total = _seen(held, r[eye_], c[eye_], n[eye_], pixel, eye, target, radius, rays, (base[0] - low[0], base[1] - low[1]))
+        at = np.nonzero(total)
+        return pd.DataFrame({"row": at[0] + base[0], "col": at[1] + base[1], "n": total[at]})
+
+    every = sent.join(seats, ["_i", "_j"], "left_semi").unionByName(eyes)
+    parts = every.groupBy("_i", "_j").applyInPandas(run, "row int, col int, n long")
+    return _sums(dsm, parts)
+
+
+def _sums(dsm: DataFrame, parts: DataFrame) -> DataFrame:
+    sums = parts.groupBy("row", "col").agg(F.sum("n").alias("seen"))
+    return dsm.select("row", "col").join(sums, ["row", "col"], "left").select("row", "col", F.coalesce("seen", F.lit(0)).alias("seen"))
+
+
+def _viewshed_of_all(dsm: DataFrame, observers: DataFrame, pixel: float, eye: float, target: float, radius: float | None, rays: int) -> DataFrame:
     z, r0, c0 = as_array(dsm)
     spark = dsm.sparkSession
     shared = spark.sparkContext.broadcast(z)
     reach = radius or pixel * math.hypot(*z.shape)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(shared.value.shape, "i8")
         for pdf in batches:
-            total = np.zeros(shared.value.shape, "i8")
             for r, c in zip(pdf["row"] - r0, pdf["col"] - c0, strict=True):
                 total += visible(shared.value, (int(r), int(c)), pixel, eye, target, reach, rays)
-            at = np.nonzero(total)
-            yield pd.DataFrame({"row": at[0] + r0, "col": at[1] + c0, "n": total[at]})
+        at = np.nonzero(total)
+        yield pd.DataFrame({"row": at[0] + r0, "col": at[1] + c0, "n": total[at]})
 
-    parts = observers.select("row", "col").repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "row int, col int, n long")
-    sums = parts.groupBy("row", "col").agg(F.sum("n").alias("seen"))
-    return dsm.select("row", "col").join(sums, ["row", "col"], "left").select("row", "col", F.coalesce("seen", F.lit(0)).alias("seen"))
+    return _sums(dsm, observers.select("row", "col").repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "row int, col int, n long"))
 
 
 def visual_exposure(dsm: DataFrame, landmark: DataFrame, pixel: float, extra: float = 0.0, eye: float = 1.6, radius: float | None = None) -> DataFrame:
