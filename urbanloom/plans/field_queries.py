@@ -195,7 +195,7 @@ def solar_irradiation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annual_solar(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(sight.annual_irradiation(_dem(spark, d), 2.0, 2026, 1.0, 45.0, 9.0, 240.0, None, 12.0), 6)
+    return rounded(sight.annual_irradiation(_dem(spark, d), 2.0, 2026, 1.0, 45.0, 9.0, 60.0), 6)
 
 
 QUERIES = {f.__name__: f for f in (viewshed, visual_exposure, isovist_field, fill_depressions, solar_irradiation, annual_solar, site_coverage, site_nearest, max_coverage, p_median, capacitated_allocation, capacitated_siting, gravity_flows, flow_directions, flow_accumulation, height_above_drainage, flood_exposure, neighbour_share, edge_length, sprawl_metrics, growth, shadow_cells, sky_view, sun_hours, noise_receivers, noise_screened, canyon_factors, air_receivers, kernel_density, entropy_mix)}
