@@ -191,7 +191,7 @@ def fill_depressions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def solar_irradiation(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(sight.irradiation(_dem(spark, d), 2.0, datetime.date(2026, 6, 21), 2.0, 45.0, 9.0, 120.0, None, 20.0), 6)
+    return rounded(sight.irradiation(_dem(spark, d), 2.0, datetime.date(2026, 6, 21), 2.0, 45.0, 9.0, 30.0), 6)
 
 
 def annual_solar(spark: SparkSession, d: str) -> DataFrame:
