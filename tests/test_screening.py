@@ -97,3 +97,14 @@ def test_places_in_buildings_make_no_pairs(spark, monkeypatch):
     assert seen == [(0, 1)]
     d = [max(1.0, math.hypot(1.5 - x, 1.5 - y)) for x, y in ((60, 10), (20, 20))]
     assert got[0] == pytest.approx(10 * math.log10(sum(10**6 / v**2 for v in d)))
+
+
+def test_rows_that_meet_in_squares_are_not_broadcast(spark, monkeypatch):
+    houses = spark.createDataFrame([(1, box(0, 0, 50, 50), None, 3.0)], BUILDINGS)
+    sights = spark.range(100).selectExpr("id AS sight_id", "id * 1D AS ax", "0D AS ay", "id * 1D AS bx", "30D AS by")
+    for squares, hint in ((1000, "rightHint=(strategy=broadcast)"), (0, "rightHint=(strategy=merge)")):
+        monkeypatch.setattr(environment, "SQUARES", squares)
+        met = screening.met_by_sights(sights, houses, F.col("height"))
+        joins = [line for line in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+        assert len(joins) == 2 and all(hint in line for line in joins)
+        assert met.count() == 51

@@ -10,8 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from urbanloom.functions.scratch import written
+
 #: Rows of receivers and of sources that meet in one call, about, and receivers of a block of distances.
 RECEIVERS, SOURCES, BLOCK = 4_000, 50_000, 128
+#: Squares whose counts are broadcast, at most; beyond, rows meet them by sorting.
+SQUARES = 200_000
 
 
 def within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
@@ -63,7 +67,9 @@ def dealt(left: DataFrame, right: DataFrame, kernel: Callable[[pd.DataFrame, pd.
     """The rows of kernel(part of left, part of right) over the squares (_i, _j) of both, such that all rows of a square
     meet in exactly one call. A crowded square is dealt over several calls by _n; rows of equal _n stay together."""
     count = lambda df, name, each: df.groupBy("_i", "_j").agg(F.ceil(F.count(F.lit(1)) / each).cast("int").alias(name))
-    parts = count(left, "_ka", RECEIVERS).join(count(right, "_kb", SOURCES), ["_i", "_j"])
+    # Spark overrates the counts and underrates rows: without a hint it would send the rows through the driver.
+    parts = written(count(left, "_ka", RECEIVERS).join(count(right, "_kb", SOURCES).hint("merge"), ["_i", "_j"]))
+    parts = parts.hint("broadcast" if parts.count() <= SQUARES else "merge")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.col("_n"), F.col(n)).cast("int")
     left = left.join(parts, ["_i", "_j"]).withColumns({"_p": own("_ka"), "_q": every("_kb")})
