@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from urbanloom.operators import network, noding, planning, transit, walkability
@@ -121,3 +122,16 @@ def test_eigenvector(spark):
 def test_housing_rows():
     rows = dict(planning.housing_metrics(10000, 3800, 2.5, 0.05, 100, 50))
     assert len(rows) == 9 and rows["Target stock (units)"] == 4200 and rows["Dwellings needed"] == 550
+
+
+def test_pairs_of_segments_stay_in_their_task(spark, monkeypatch):
+    lines = spark.range(60).selectExpr("id AS line_id", "array(named_struct('x', id * 37 % 61 * 1D, 'y', id * 23 % 59 * 1D), named_struct('x', id * 41 % 67 * 1D, 'y', id * 53 % 71 * 1D)) AS pts")
+    parts = noding.segments(lines).cache()
+    met = noding.crossings(parts, 20.0)
+    assert "Join" not in met._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(noding, "PAIRS", 1)
+    rows = pa.table({n: [getattr(r, n) for r in parts.collect()] for n in parts.columns})
+    small = [tuple(r.values()) for b in noding._meetings(iter(rows.to_batches())) for r in b.to_pylist()]
+    monkeypatch.setattr(noding, "PAIRS", 200_000)
+    assert sorted(small) == sorted(tuple(r.values()) for b in noding._meetings(iter(rows.to_batches())) for r in b.to_pylist())
+    assert set(small) == {tuple(r) for r in met.collect()} and small

@@ -7,10 +7,11 @@ to as many cells as it crosses, not to all of its bounds), so the join is on equ
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from urbanloom.functions.scratch import written
 ON_LINE = 1e-9
 #: Segments of a cell, about.
 CELL_PARTS = 256
+#: Pairs of segments that are met at once, about.
+PAIRS = 200_000
 
 
 def segments(lines: DataFrame) -> DataFrame:
@@ -47,45 +50,57 @@ def in_cells(parts: DataFrame, cell: float) -> DataFrame:
     return held.select("*", F.explode(rows).alias("cj"))
 
 
-def _cross(ux: Column, uy: Column, vx: Column, vy: Column) -> Column:
-    return ux * vy - uy * vx
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """line_id, pos, t, x, y of the meetings of a cell's segments, in blocks of about PAIRS pairs."""
+    cell = pa.Table.from_batches(list(batches))
+    ids = cell.column("line_id").combine_chunks()
+    _, code = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    ids, pos, code = ids.take(pa.array(order)), cell.column("pos").combine_chunks().take(pa.array(order)), code[order]
+    ax, ay, bx, by = (cell.column(c).to_numpy()[order] for c in ("ax", "ay", "bx", "by"))
+    snap = lambda t: np.where(np.abs(t) <= ON_LINE, 0.0, np.where(np.abs(t - 1) <= ON_LINE, 1.0, t))
+    inside = lambda t: (t >= 0) & (t <= 1)
+    step = max(1, PAIRS // len(code))
+    for k in range(0, len(code), step):
+        low = int(np.searchsorted(code, code[k], side="right"))
+        p, q = np.nonzero(code[k : k + step, None] < code[None, low:])
+        p, q = p + k, q + low
+        rx, ry, sx, sy = bx[p] - ax[p], by[p] - ay[p], bx[q] - ax[q], by[q] - ay[q]
+        wx, wy = ax[q] - ax[p], ay[q] - ay[p]
+        turn = rx * sy - ry * sx
+        skew = np.abs(turn) > np.hypot(rx, ry) * np.hypot(sx, sy) * 1e-12
+        with np.errstate(all="ignore"):
+            t, u = snap((wx * sy - wy * sx) / turn), snap((wx * ry - wy * rx) / turn)
+            hit = np.flatnonzero(skew & inside(t) & inside(u))
+        t, u, hp, hq = t[hit], u[hit], p[hit], q[hit]
+        x, y = (np.select([t == 0, t == 1, u == 0, u == 1], [a[hp], b[hp], a[hq], b[hq]], a[hp] + t * d[hit]) for a, b, d in ((ax, bx, rx), (ay, by, ry)))
+        found = [(hp, t, x, y), (hq, u, x, y)]
+        flat = np.flatnonzero(~skew)
+        for own, other in ((p[flat], q[flat]), (q[flat], p[flat])) if flat.size else ():
+            dx, dy = bx[own] - ax[own], by[own] - ay[own]
+            for ex, ey in ((ax[other], ay[other]), (bx[other], by[other])):
+                ox, oy = ex - ax[own], ey - ay[own]
+                with np.errstate(all="ignore"):
+                    along, off = snap((ox * dx + oy * dy) / (dx * dx + dy * dy)), np.abs(dx * oy - dy * ox) / (dx * dx + dy * dy)
+                    on = np.flatnonzero(inside(along) & (off <= ON_LINE))
+                found.append((own[on], along[on], ex[on], ey[on]))
+        at, t, x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+        rows = pa.array(at)
+        yield pa.RecordBatch.from_arrays([ids.take(rows), pos.take(rows), pa.array(t), pa.array(x), pa.array(y)], ["line_id", "pos", "t", "x", "y"])
 
 
 def crossings(parts: DataFrame, cell: float) -> DataFrame:
     """line_id, pos, t, x, y: where segments meet those of other lines (t: 0 at the start, 1 at the end).
 
     Of parallel segments that lie on each other, each is met at the ends of the other. Both sides of a meeting
-    have the same x and y: an end if it is at one, else the place on the segment of the smaller line_id.
+    have the same x and y: an end if it is at one, else the place on the segment of the smaller line_id. A cell's pairs
+    are met as arrays and never leave their task.
     """
     # Cells are few bytes and much work: their tasks are not to be merged by size.
-    placed = in_cells(parts, cell).repartition(parts.sparkSession.sparkContext.defaultParallelism * 4, "ci", "cj")
-    a = placed.select("ci", "cj", *[F.col(c).alias(f"p_{c}") for c in parts.columns])
-    b = placed.select("ci", "cj", *[F.col(c).alias(f"q_{c}") for c in parts.columns])
-    pair = a.join(b, ["ci", "cj"]).where("p_line_id < q_line_id").drop("ci", "cj")
-    rx, ry, sx, sy = (F.col(f"{n}_b{c}") - F.col(f"{n}_a{c}") for n in "pq" for c in "xy")
-    wx, wy = F.col("q_ax") - F.col("p_ax"), F.col("q_ay") - F.col("p_ay")
-    turn = _cross(rx, ry, sx, sy)
-    size = F.hypot(rx, ry) * F.hypot(sx, sy)
-    skew = F.abs(turn) > size * 1e-12
-    snap = lambda t: F.when(F.abs(t) <= ON_LINE, F.lit(0.0)).when(F.abs(t - 1) <= ON_LINE, F.lit(1.0)).otherwise(t)
-    t, u = snap(_cross(wx, wy, sx, sy) / turn), snap(_cross(wx, wy, rx, ry) / turn)
-    spot = lambda n, c, k: F.when(k == 0, F.col(f"{n}_a{c}")).when(k == 1, F.col(f"{n}_b{c}"))
-    place = lambda c, d: F.coalesce(spot("p", c, F.col("t")), spot("q", c, F.col("u")), F.col(f"p_a{c}") + F.col("t") * d)
-    met = pair.where(skew).withColumns({"t": t, "u": u}).where("t between 0 and 1 and u between 0 and 1").withColumns({"x": place("x", rx), "y": place("y", ry)})
-    met = met.select(F.explode(F.array(*[F.struct(F.col(f"{n}_line_id").alias("line_id"), F.col(f"{n}_pos").alias("pos"), F.col(k).alias("t"), "x", "y") for n, k in (("p", "t"), ("q", "u"))])).alias("m")).select("m.*")
-
-    def ends(own: str, other: str) -> list[Column]:
-        dx, dy = F.col(f"{own}_bx") - F.col(f"{own}_ax"), F.col(f"{own}_by") - F.col(f"{own}_ay")
-        out = []
-        for e in "ab":
-            x, y = F.col(f"{other}_{e}x"), F.col(f"{other}_{e}y")
-            ox, oy = x - F.col(f"{own}_ax"), y - F.col(f"{own}_ay")
-            along, off = (ox * dx + oy * dy) / (dx * dx + dy * dy), F.abs(_cross(dx, dy, ox, oy)) / (dx * dx + dy * dy)
-            out.append(F.struct(F.col(f"{own}_line_id").alias("line_id"), F.col(f"{own}_pos").alias("pos"), snap(along).alias("t"), x.alias("x"), y.alias("y"), off.alias("off")))
-        return out
-
-    flat = pair.where(~skew).select(F.explode(F.array(*ends("p", "q"), *ends("q", "p"))).alias("m")).select("m.*").where(f"t between 0 and 1 and off <= {ON_LINE}").drop("off")
-    return met.unionByName(flat)
+    placed = in_cells(parts.where("line_id is not null"), cell).repartition(parts.sparkSession.sparkContext.defaultParallelism * 4, "ci", "cj")
+    held = placed.select("ci", "cj", "line_id", "pos", *[F.col(c).cast("double").alias(c) for c in ("ax", "ay", "bx", "by")])
+    kinds = [parts.schema[c].dataType.simpleString() for c in ("line_id", "pos")]
+    return held.groupBy("ci", "cj").applyInArrow(_meetings, f"line_id {kinds[0]}, pos {kinds[1]}, t double, x double, y double")
 
 
 def _pieces(key: tuple, stops: pa.Table, min_length: float) -> pa.Table:
